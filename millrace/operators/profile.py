@@ -258,7 +258,7 @@ def insights(df: DataFrame, pairs: int = 3) -> DataFrame:
     strong = high_correlations(df, 0.7).orderBy(F.abs("r").desc(), "a", "b").limit(pairs).selectExpr(
         "'correlation' AS kind", "concat(a, ' ~ ', b) AS subject", "r AS amount")
     sparse = missing_share(df).where("missing_pct > 30").selectExpr(
-        "'missing', `column`", "missing_pct").toDF("kind", "subject", "amount")
+        "'missing' AS kind", "`column` AS subject", "missing_pct AS amount")
     binary = distinct_counts(df, df.columns).where("distinct = 2").selectExpr(
         "'binary' AS kind", "`column` AS subject", "double(distinct) AS amount")
     return strong.unionByName(sparse).unionByName(binary)
