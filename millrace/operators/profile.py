@@ -35,6 +35,11 @@ def adjusted_kurtosis(c: str) -> str:
     return f"(({n} - 1D) / nullif(({n} - 2D) * ({n} - 3D), 0) * (({n} + 1D) * kurtosis({c}) + 6))"
 
 
+def correlation(a: str, b: str) -> str:
+    """Pearson correlation as SQL text; NULL (not an error) when a column is constant."""
+    return f"try_divide(regr_sxy({a}, {b}), sqrt(regr_sxx({a}, {b}) * regr_syy({a}, {b})))"
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str], method: str = "exact") -> DataFrame:
     """One row per column: (column, distinct).
 
@@ -244,7 +249,7 @@ def correlations(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
     """(a, b, r) for every pair, nulls skipped pair by pair, all in one aggregate."""
     columns = list(columns or numeric_columns(df))
     pairs = ", ".join(
-        f"named_struct('a', '{a}', 'b', '{b}', 'r', corr(`{a}`, `{b}`))" for a, b in combinations(columns, 2)
+        f"named_struct('a', '{a}', 'b', '{b}', 'r', {correlation(f'`{a}`', f'`{b}`')})" for a, b in combinations(columns, 2)
     )
     return df.selectExpr(f"array({pairs}) AS s").selectExpr("inline(s)")
 
@@ -294,7 +299,7 @@ def group_sum(df: DataFrame, by: str, value: str) -> DataFrame:
 
 def context_analysis(df: DataFrame, target: str, context: Sequence[str]) -> DataFrame:
     """(context, r, strength) of a numeric target with each numeric context column."""
-    pairs = ", ".join(f"named_struct('context', '{c}', 'r', corr(`{target}`, `{c}`))" for c in context)
+    pairs = ", ".join(f"named_struct('context', '{c}', 'r', {correlation(f'`{target}`', f'`{c}`')})" for c in context)
     size = F.abs("r")
     return df.selectExpr(f"array({pairs}) AS s").selectExpr("inline(s)").withColumn(
         "strength", F.when(size > 0.7, "strong").when(size > 0.3, "moderate").otherwise("weak"))

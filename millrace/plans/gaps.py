@@ -101,13 +101,13 @@ def fill_backward(t):
 
 
 INTERPOLATED = f"""
-WITH p AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS at FROM {GAPPY}),
-n AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN at END IGNORE NULLS) OVER (ORDER BY at) AS a0,
-  last_value(value IGNORE NULLS) OVER (ORDER BY at) AS v0,
-  first_value(CASE WHEN value IS NOT NULL THEN at END IGNORE NULLS) OVER (ORDER BY at ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a1,
-  first_value(value IGNORE NULLS) OVER (ORDER BY at ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v1 FROM p)
+WITH p AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS pos FROM {GAPPY}),
+n AS (SELECT *, last_value(CASE WHEN value IS NOT NULL THEN pos END IGNORE NULLS) OVER (ORDER BY pos) AS a0,
+  last_value(value IGNORE NULLS) OVER (ORDER BY pos) AS v0,
+  first_value(CASE WHEN value IS NOT NULL THEN pos END IGNORE NULLS) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a1,
+  first_value(value IGNORE NULLS) OVER (ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS v1 FROM p)
 SELECT event_id, round(CASE WHEN value IS NOT NULL THEN value WHEN v1 IS NULL THEN v0
-  ELSE v0 + (v1 - v0) * (at - a0) / nullif(a1 - a0, 0) END, 6) AS value FROM n"""
+  ELSE v0 + (v1 - v0) * (pos - a0) / nullif(a1 - a0, 0) END, 6) AS value FROM n"""
 
 
 @query("interpolate_linear", "M-7 W-5", INTERPOLATED)
