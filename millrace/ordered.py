@@ -222,33 +222,36 @@ def fill_along(
 
 
 def framed(
-    df: DataFrame, order: Sequence[str], build: Callable[[W], dict[str, Column]],
+    df: DataFrame, order: Sequence[str], build: Callable[[W], dict[str, Column]] | Sequence[Callable],
     before: int = 0, after: int = 0, series: Sequence[str] = (),
 ) -> DataFrame:
     """Add window columns whose frames reach ``before`` rows back and ``after`` ahead.
 
-    ``build`` gets the ordered window and returns the named columns. On large series the
-    rows are numbered, cut into blocks of equal size, and each block also receives the
-    few rows beyond its borders.
+    ``build`` gets the ordered window and returns the named columns; a list of builders runs
+    one after the other, each on the columns of those before it, and ``before`` and ``after``
+    are then the reach of all together. On large series the rows are numbered, cut into blocks
+    of equal size, and each block also receives the few rows beyond its borders.
     """
+    stages = [build] if callable(build) else list(build)
     if is_small(df, series):
         w = (W.partitionBy(*series) if series else W.partitionBy(F.lit(0))).orderBy(*order)
-        return df.select("*", *[c.alias(n) for n, c in build(w).items()])
+        for stage in stages:
+            df = df.select("*", *[c.alias(n) for n, c in stage(w).items()])
+        return df
     size = max(_setting(df, "rowsPerBucket", ROWS_PER_BUCKET), before, after, 1)
     pos = with_position(df, order, series)
     block = F.floor(F.col(POSITION) / size)
     inside = F.col(POSITION) % size
-    homes = F.filter(
-        F.array(
-            F.struct(block.alias("b"), F.lit(True).alias("h")),
-            F.when(inside >= size - before, F.struct((block + 1).alias("b"), F.lit(False).alias("h"))),
-            F.when((inside < after) & (block > 0), F.struct((block - 1).alias("b"), F.lit(False).alias("h"))),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    spread = pos.withColumn("_home", F.explode(homes)).select(
+    away = lambda b: F.struct(b.alias("b"), F.lit(False).alias("h"))
+    homes = F.array_compact(F.array(
+        F.struct(block.alias("b"), F.lit(True).alias("h")),
+        F.when(inside >= size - before, away(block + 1)),
+        F.when((inside < after) & (block > 0), away(block - 1)),
+    ))
+    out = pos.withColumn("_home", F.explode(homes)).select(
         *pos.columns, F.col("_home.b").alias(BLOCK), F.col("_home.h").alias(HOME)
     )
     w = W.partitionBy(*series, BLOCK).orderBy(POSITION)
-    out = spread.select(*df.columns, HOME, *[c.alias(n) for n, c in build(w).items()])
-    return out.where(HOME).drop(HOME)
+    for stage in stages:
+        out = out.select("*", *[c.alias(n) for n, c in stage(w).items()])
+    return out.where(HOME).drop(HOME, BLOCK, POSITION)

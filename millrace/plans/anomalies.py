@@ -1 +1,323 @@
-"""."""
+"""Queries over detectors and repairs."""
+
+from pyspark.sql import functions as F
+
+from millrace.operators import anomaly as A
+from millrace.operators import detectors as D
+from millrace.operators import repair as X
+from millrace.plans.registry import query
+
+# Standardised order totals, the column every single-model query looks at.
+Z = """z AS (SELECT o_orderkey AS k, (o_totalprice - (SELECT avg(o_totalprice) FROM orders)) / (SELECT stddev_pop(o_totalprice) FROM orders) AS x FROM orders)"""
+
+
+def _orders(t):
+    return t.orders.selectExpr("o_orderkey AS k", "o_totalprice AS price")
+
+
+def _detect(t, model):
+    found = A.detect(_orders(t), ["k"], ["price"], [model])
+    return found.select("k", F.round("score", 5).alias("score"), "label")
+
+
+def _labelled(scores, digits=5):
+    return f"WITH {Z}, {scores} SELECT k, round(score, {digits}) AS score, (score > (SELECT quantile_cont(score, 0.9) FROM s))::INTEGER AS label FROM s"
+
+
+@query("standardised_values", "X-1", """
+WITH c AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_nationkey END AS n, CASE WHEN c_custkey % 5 = 0 THEN 'x' ELSE c_custkey::VARCHAR END AS txt FROM customer),
+f AS (SELECT c_custkey, coalesce(n, (SELECT n FROM c WHERE n IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1))::DOUBLE AS n,
+  coalesce(try_cast(txt AS DOUBLE), (SELECT min(try_cast(txt AS DOUBLE)) FROM c)) AS txt FROM c)
+SELECT c_custkey, round((n - (SELECT avg(n) FROM f)) / (SELECT stddev_pop(n) FROM f), 6) AS n, round((txt - (SELECT avg(txt) FROM f)) / (SELECT stddev_pop(txt) FROM f), 6) AS txt FROM f""")
+def standardised_values(t):
+    df = t.customer.selectExpr("c_custkey", "IF(c_custkey % 7 = 0, NULL, c_nationkey) AS n",
+                               "IF(c_custkey % 5 = 0, 'x', string(c_custkey)) AS txt", "c_name AS empty")
+    out = A.preprocess(df, ["n", "txt", "empty"], ["c_custkey"])
+    return out.withColumns({c: F.round(c, 6) for c in ("n", "txt")})
+
+
+@query("detect_mad", "X-MAD X-ROD", f"""
+WITH {Z}, m AS (SELECT median(x) AS med FROM z), d AS (SELECT median(abs(x - med)) AS dev FROM z, m),
+s AS (SELECT k, 0.6745 * abs(x - med) / dev AS score FROM z, m, d) SELECT k, round(score, 5) AS score, (score > 3.5)::INTEGER AS label FROM s""")
+def detect_mad(t):
+    return _detect(t, "MAD")
+
+
+BINS = """e AS (SELECT min(x) lo, (max(x) - min(x)) / 10 w, count(*) n FROM z), b AS (SELECT k, x, least(floor((x - lo) / w), 9) AS b FROM z, e),
+h AS (SELECT b, count(*) AS c FROM b GROUP BY b)"""
+
+
+@query("detect_hbos", "X-HBOS", _labelled(f"{BINS}, s AS (SELECT k, -log2(c / (n * w) + 0.1) AS score FROM b JOIN h USING (b), e)"))
+def detect_hbos(t):
+    return _detect(t, "HBOS")
+
+
+@query("detect_loda", "X-LODA", _labelled(f"{BINS}, s AS (SELECT k, -ln(c / n + 1e-12) AS score FROM b JOIN h USING (b), e)"))
+def detect_loda(t):
+    return _detect(t, "LODA")
+
+
+TAILS = "u AS (SELECT k, x, -ln(cume_dist() OVER (ORDER BY x)) AS l, -ln(cume_dist() OVER (ORDER BY x DESC)) AS r FROM z), w AS (SELECT skewness(x) AS sk FROM z)"
+
+
+@query("detect_ecod", "X-ECOD", _labelled(f"{TAILS}, s AS (SELECT k, greatest(l, r) AS score FROM u, w)"))
+def detect_ecod(t):
+    return _detect(t, "ECOD")
+
+
+@query("detect_copod", "X-COPOD", _labelled(f"{TAILS}, s AS (SELECT k, greatest((l + r) / 2, CASE WHEN sk < 0 THEN l ELSE r END) AS score FROM u, w)"))
+def detect_copod(t):
+    return _detect(t, "COPOD")
+
+
+def _near(k):
+    return f"""p AS (SELECT k, x, row_number() OVER (ORDER BY x, k) AS i FROM z),
+n AS (SELECT a.k, a.x, a.i, b.i AS j, b.x AS y, abs(a.x - b.x) AS d, row_number() OVER (PARTITION BY a.i ORDER BY abs(a.x - b.x), b.i) AS r
+  FROM p a JOIN range(-{k}, {k} + 1) o(off) ON off <> 0 JOIN p b ON b.i = a.i + off)"""
+
+
+@query("detect_knn", "X-KNN", _labelled(f"{_near(5)}, s AS (SELECT k, d AS score FROM n WHERE r = 5)", 7))
+def detect_knn(t):
+    found = A.detect(_orders(t), ["k"], ["price"], ["KNN"])
+    return found.select("k", F.round("score", 7).alias("score"), "label")
+
+
+@query("detect_lof", "X-LOF", _labelled(f"""{_near(20)}, t AS (SELECT * FROM n WHERE r <= 20), kd AS (SELECT i, max(d) AS kd FROM t GROUP BY i),
+l AS (SELECT t.i, 1 / (avg(greatest(kd.kd, t.d)) + 1e-10) AS dens FROM t JOIN kd ON kd.i = t.j GROUP BY t.i),
+s AS (SELECT any_value(t.k) AS k, avg(o.dens) / any_value(m.dens) AS score FROM t JOIN l o ON o.i = t.j JOIN l m ON m.i = t.i GROUP BY t.i)"""))
+def detect_lof(t):
+    return _detect(t, "LOF")
+
+
+@query("detect_abod", "X-ABOD", _labelled(f"""{_near(5)}, t AS (SELECT i, k, j, y - x AS v, r FROM n WHERE r <= 5 AND d > 0),
+q AS (SELECT a.k, 1 / (a.v * b.v) AS c FROM t a JOIN t b ON a.i = b.i AND a.r < b.r),
+v AS (SELECT k, -(avg(c * c) - avg(c) * avg(c)) AS sc FROM q GROUP BY k), s AS (SELECT z.k, coalesce(sc, -1e300) AS score FROM z LEFT JOIN v USING (k))""").replace(
+    "round(score, 5) AS score", "round(ln(1 - score), 5) AS score"))
+def detect_abod(t):
+    found = A.detect(_orders(t), ["k"], ["price"], ["ABOD"])
+    return found.select("k", F.round(F.ln(1 - F.col("score")), 5).alias("score"), "label")
+
+
+@query("detect_mcd", "X-MCD", _labelled("""c AS (SELECT count(*) AS n, (count(*) + 2) // 2 AS h FROM z),
+p AS (SELECT k, x, row_number() OVER (ORDER BY x, k) AS i, sum(x) OVER (ORDER BY x, k) AS s1, sum(x * x) OVER (ORDER BY x, k) AS s2 FROM z),
+v AS (SELECT (a.s1 - coalesce(b.s1, 0)) / h AS m, (a.s2 - coalesce(b.s2, 0)) / h - pow((a.s1 - coalesce(b.s1, 0)) / h, 2) AS v FROM p a JOIN c ON a.i >= h LEFT JOIN p b ON b.i = a.i - h),
+w AS (SELECT m, v FROM v ORDER BY v LIMIT 1), s AS (SELECT k, (x - m) * (x - m) / v AS score FROM z, w)"""))
+def detect_mcd(t):
+    return _detect(t, "MCD")
+
+
+@query("support_fractions", "X-7", """
+SELECT (n - 2)::BIGINT AS i, least(1.0, greatest(0.5, 1 - 3.0 / (SELECT count(*) FROM supplier)) + 0.1 * (n - 2)) AS fraction FROM (SELECT unnest(range(2, 7)) AS n)""")
+def support_fractions(t):
+    fractions = D.support_fractions(t.supplier.count(), 3)
+    return t.spark.createDataFrame(list(enumerate(fractions)), "i bigint, fraction double")
+
+
+@query("detect_pca", "X-PCA", _labelled("s AS (SELECT k, x * x AS score FROM z)"))
+def detect_pca(t):
+    return _detect(t, "PCA")
+
+
+@query("detect_gmm", "X-GMM", _labelled("s AS (SELECT k, 0.5 * ln(2 * pi()) + x * x / 2 AS score FROM z)"))
+def detect_gmm(t):
+    return _detect(t, "GMM")
+
+
+@query("detect_kde", "X-KDE", """
+WITH z AS (SELECT c_custkey AS k, (c_acctbal - (SELECT avg(c_acctbal) FROM customer)) / (SELECT stddev_pop(c_acctbal) FROM customer) AS x FROM customer),
+s AS (SELECT a.k, -ln(avg(exp(-0.5 * (a.x - b.x) * (a.x - b.x))) / sqrt(2 * pi())) AS score FROM z a, z b GROUP BY a.k)
+SELECT k, round(score, 3) AS score, (score > (SELECT quantile_cont(score, 0.9) FROM s))::INTEGER AS label FROM s""")
+def detect_kde(t):
+    found = A.detect(t.customer.selectExpr("c_custkey AS k", "c_acctbal AS v"), ["k"], ["v"], ["KDE"])
+    return found.select("k", F.round("score", 3).alias("score"), "label")
+
+
+@query("detect_qmcd", "X-QMCD", _labelled("""e AS (SELECT min(x) lo, max(x) - min(x) w FROM z), u AS (SELECT k, (x - lo) / w AS u FROM z, e),
+t AS (SELECT sum(u) AS s1, sum(u * u) AS s2, count(*) AS n FROM u),
+c AS (SELECT k, u, sum(u) OVER (ORDER BY u) AS cs, count(*) OVER (ORDER BY u) AS cn FROM u),
+r AS (SELECT k, 1.5 - ((u * cn - cs + (s1 - cs) - u * (n - cn)) - (n * u * u - 2 * u * s1 + s2)) / n AS sc FROM c, t),
+y AS (SELECT min(sc) mn, max(sc) mx, skewness(sc) sk FROM r), s AS (SELECT k, CASE WHEN sk < 0 THEN mx + mn - sc ELSE sc END AS score FROM r, y)"""))
+def detect_qmcd(t):
+    return _detect(t, "QMCD")
+
+
+for _m, _id in {
+    "Sampling": "X-Sampling", "IForest": "X-IForest", "INNE": "X-INNE", "OCSVM": "X-OCSVM", "SOS": "X-SOS", "LOCI": "X-LOCI",
+    "DIF": "X-DIF", "SUOD": "X-SUOD", "SOD": "X-SOD", "LMDD": "X-LMDD", "KPCA": "X-KPCA",
+}.items():
+    query(f"detect_{_m.lower()}", _id)(lambda t, m=_m: _detect(t, m))
+
+
+@query("detect_feature_bagging", "X-FB")
+def detect_feature_bagging(t):
+    return A.detect(t.part.selectExpr("p_partkey AS k", "p_size", "p_retailprice"), ["k"], ["p_size", "p_retailprice"], ["FB"])
+
+
+TWO = """o AS (SELECT o_orderkey AS k, o_totalprice AS price, o_custkey AS cust FROM orders),
+a AS (SELECT k, 'price' AS c, (abs(price - (SELECT avg(price) FROM o))) AS s FROM o), b AS (SELECT k, 'cust' AS c, abs(cust - (SELECT avg(cust) FROM o)) AS s FROM o),
+pca AS (SELECT k, c, (s > (SELECT quantile_cont(s * s, 0.9) FROM a) ** 0.5)::INT AS l FROM a UNION ALL SELECT k, c, (s > (SELECT quantile_cont(s * s, 0.9) FROM b) ** 0.5)::INT FROM b),
+m AS (SELECT (SELECT median(price) FROM o) AS mp, (SELECT median(cust) FROM o) AS mc), md AS (SELECT median(abs(price - mp)) AS dp, median(abs(cust - mc)) AS dc FROM o, m),
+mad AS (SELECT k, 'price' AS c, (0.6745 * abs(price - mp) / dp > 3.5)::INT AS l FROM o, m, md UNION ALL SELECT k, 'cust', (0.6745 * abs(cust - mc) / dc > 3.5)::INT FROM o, m, md)"""
+
+
+def _two(t):
+    df = t.orders.selectExpr("o_orderkey AS k", "o_totalprice AS price", "o_custkey AS cust")
+    return A.detect(df, ["k"], ["price", "cust"], ["PCA", "MAD"])
+
+
+@query("anomaly_labels_any_model", "X-2 S-2", f"""
+WITH {TWO} SELECT p.k, max(CASE WHEN p.c = 'price' THEN greatest(p.l, q.l) ELSE 0 END) AS price, max(CASE WHEN p.c = 'cust' THEN greatest(p.l, q.l) ELSE 0 END) AS cust
+FROM pca p JOIN mad q USING (k, c) GROUP BY p.k""")
+def anomaly_labels(t):
+    return A.labels_by_column(_two(t), ["k"], ["price", "cust"])
+
+
+@query("anomalies_per_model", "X-3 X-6", f"""
+WITH {TWO} SELECT 'PCA' AS model, sum(l)::BIGINT AS anomalies FROM pca UNION ALL SELECT 'MAD', sum(l)::BIGINT FROM mad""")
+def anomalies_per_model(t):
+    return A.model_counts(_two(t))
+
+
+@query("anomaly_count_matrix", "X-4", f"""
+WITH {TWO} SELECT p.c AS "column", sum(p.l)::BIGINT AS "PCA", sum(q.l)::BIGINT AS "MAD" FROM pca p JOIN mad q USING (k, c) GROUP BY p.c""")
+def anomaly_count_matrix(t):
+    return A.count_matrix(_two(t), ["PCA", "MAD"])
+
+
+@query("anomalous_rows", "X-5", f"""
+WITH {TWO}, w AS (SELECT p.k, max(CASE WHEN p.c = 'price' THEN greatest(p.l, q.l) ELSE 0 END) AS price, max(CASE WHEN p.c = 'cust' THEN greatest(p.l, q.l) ELSE 0 END) AS cust
+ FROM pca p JOIN mad q USING (k, c) GROUP BY p.k) SELECT * FROM w WHERE price = 1 OR cust = 1""")
+def anomalous_rows(t):
+    return A.anomalous_rows(_two(t), ["k"], ["price", "cust"])
+
+
+# Repairs: every ninth order by key counts as anomalous.
+BASE = "o AS (SELECT o_orderkey AS k, o_totalprice AS v, (o_orderkey % 9 = 4)::INT AS l FROM orders), g AS (SELECT * FROM o WHERE l = 0)"
+
+
+def _fix(t, method, **options):
+    df = t.orders.selectExpr("o_orderkey AS k", "o_totalprice AS v")
+    labels = df.selectExpr("k", "int(k % 9 = 4) AS label")
+    out = X.fix(df, "v", labels, ["k"], method, **options)
+    return out.select("k", F.round("v", 4).alias("v"))
+
+
+def _fixed(value, extra=""):
+    return f"WITH {BASE}{extra} SELECT k, round(CASE WHEN l = 1 THEN {value} ELSE v END, 4) AS v FROM o"
+
+
+@query("fix_mean", "F-1", _fixed("(SELECT round(avg(v), 3) FROM g)"))
+def fix_mean(t):
+    return _fix(t, "mean")
+
+
+@query("fix_median", "F-2", _fixed("(SELECT median(v) FROM g)"))
+def fix_median(t):
+    return _fix(t, "median")
+
+
+@query("fix_mode", "F-3", _fixed("(SELECT v FROM g GROUP BY v ORDER BY count(*) DESC, v LIMIT 1)"))
+def fix_mode(t):
+    return _fix(t, "mode")
+
+
+@query("fix_interpolation", "F-4", f"""
+WITH {BASE}, n AS (SELECT k, CASE WHEN l = 0 THEN v END AS v, row_number() OVER (ORDER BY k) AS i FROM o),
+x AS (SELECT *, CASE WHEN v IS NOT NULL THEN i END AS q FROM n),
+w AS (SELECT *, last_value(v IGNORE NULLS) OVER a AS v0, last_value(q IGNORE NULLS) OVER a AS i0, first_value(v IGNORE NULLS) OVER b AS v1, first_value(q IGNORE NULLS) OVER b AS i1
+ FROM x WINDOW a AS (ORDER BY i), b AS (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT k, round(CASE WHEN v IS NOT NULL THEN v WHEN v1 IS NULL THEN v0 ELSE v0 + (v1 - v0) * (i - i0) / (i1 - i0) END, 4) AS v FROM w""")
+def fix_interpolation(t):
+    return _fix(t, "interpolation")
+
+
+@query("fix_nearest", "F-4", f"""
+WITH {BASE}, w AS (SELECT k, l, v, lag(v) OVER (ORDER BY k) AS p FROM o) SELECT k, round(CASE WHEN l = 1 THEN p ELSE v END, 4) AS v FROM w""")
+def fix_nearest(t):
+    return _fix(t, "interpolation", kind="nearest")
+
+
+@query("fix_knn_single_column", "F-5", _fixed("(SELECT avg(v) FROM g)"))
+def fix_knn(t):
+    return _fix(t, "knn")
+
+
+@query("fix_knn_with_features", "F-5", """
+WITH a AS (SELECT s_suppkey AS k, s_nationkey::DOUBLE AS x, s_acctbal AS v, (s_suppkey % 9 = 4) AS l FROM supplier),
+d AS (SELECT g.k, n.v, row_number() OVER (PARTITION BY g.k ORDER BY (g.x - n.x) * (g.x - n.x), n.k) AS r FROM a g JOIN a n ON NOT n.l WHERE g.l)
+SELECT k, round(avg(v), 4) AS v FROM d WHERE r <= 5 GROUP BY k UNION ALL SELECT k, round(v, 4) FROM a WHERE NOT l""")
+def fix_knn_features(t):
+    df = t.supplier.selectExpr("s_suppkey AS k", "double(s_nationkey) AS x", "s_acctbal AS v")
+    out = X.fix(df, "v", df.selectExpr("k", "int(k % 9 = 4) AS label"), ["k"], "knn", features=["x"])
+    return out.select("k", F.round("v", 4).alias("v"))
+
+
+@query("fix_simple_mean", "F-6", _fixed("(SELECT round(avg(v), 2) FROM g)"))
+def fix_simple_mean(t):
+    return _fix(t, "simple", strategy="mean", decimals=2)
+
+
+@query("fix_simple_most_frequent", "F-6", _fixed("(SELECT v FROM g GROUP BY v ORDER BY count(*) DESC, v LIMIT 1)"))
+def fix_simple_mode(t):
+    return _fix(t, "simple", strategy="most_frequent")
+
+
+@query("fix_constant", "F-6", _fixed("9999"))
+def fix_constant(t):
+    return _fix(t, "simple", strategy="constant")
+
+
+@query("fix_moving_average", "F-7", f"""
+WITH {BASE}, w AS (SELECT *, avg(CASE WHEN l = 0 THEN v END) OVER (ORDER BY k ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS m FROM o)
+SELECT k, round(CASE WHEN l = 1 THEN m ELSE v END, 4) AS v FROM w""")
+def fix_moving_average(t):
+    return _fix(t, "moving_average")
+
+
+@query("fix_winsorize", "F-8", f"""
+WITH {BASE}, b AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n FROM o WHERE l = 1),
+e AS (SELECT max(CASE WHEN i = floor(0.05 * n) THEN v END) AS lo, max(CASE WHEN i = n - floor(0.05 * n) - 1 THEN v END) AS hi FROM b)
+SELECT k, round(CASE WHEN l = 1 THEN least(greatest(v, lo), hi) ELSE v END, 4) AS v FROM o, e""")
+def fix_winsorize(t):
+    return _fix(t, "winsorize")
+
+
+NEAR = ", q AS (SELECT avg(v) AS m, stddev_pop(v) AS s FROM g), f AS (SELECT v FROM g, q WHERE abs((v - m) / s) < 1.5), r AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n FROM f)"
+_Z = {
+    "mean": "(SELECT avg(v) FROM f)", "median": "(SELECT median(v) FROM f)", "mode": "(SELECT v FROM f GROUP BY v ORDER BY count(*) DESC, v LIMIT 1)",
+    "trim_mean": "(SELECT avg(v) FROM r WHERE i >= floor(0.05 * n) AND i < n - floor(0.05 * n))",
+    "winsorize": "(SELECT avg(least(greatest(r.v, lo), hi)) FROM r, (SELECT max(CASE WHEN i = floor(0.05 * n) THEN v END) AS lo, max(CASE WHEN i = n - floor(0.05 * n) - 1 THEN v END) AS hi FROM r))",
+    "gmean": "(SELECT exp(avg(ln(v))) FROM f)", "hmean": "(SELECT 1 / avg(1 / v) FROM f)", "custom_percentile": "(SELECT quantile_cont(v, 0.9) FROM f)",
+}
+for _s, _q in _Z.items():
+    query(f"fix_zscore_{_s}", "F-9", _fixed(_q, NEAR))(lambda t, s=_s: _fix(t, "zscore", threshold=1.5, stat=s))
+
+
+@query("fix_quantile_clip", "F-10", _fixed("least(greatest(v, (SELECT quantile_cont(v, 0.05) FROM g)), (SELECT quantile_cont(v, 0.95) FROM g))"))
+def fix_quantile_clip(t):
+    return _fix(t, "quantile")
+
+
+@query("fix_random_forest", "F-11")
+def fix_random_forest(t):
+    return _fix(t, "random_forest")
+
+
+LOG = f"WITH {BASE}, c AS (SELECT k, 'v' AS \"column\", v AS anomaly_value, (SELECT median(v) FROM g) AS fixed_value FROM o WHERE l = 1)"
+
+
+def _log(t):
+    df = t.orders.selectExpr("o_orderkey AS k", "o_totalprice AS v")
+    labels = df.selectExpr("k", "int(k % 9 = 4) AS label")
+    return X.change_log(df, X.fix(df, "v", labels, ["k"], "median"), labels, ["k"], "v")
+
+
+@query("change_log", "F-12", LOG + " SELECT * FROM c")
+def change_log(t):
+    return _log(t)
+
+
+@query("review_table", "F-13 P-21", LOG + " SELECT *, CASE WHEN k % 2 = 0 THEN 1.5 ELSE fixed_value END AS final_value FROM c")
+def review_table(t):
+    edits = t.orders.where("o_orderkey % 2 = 0").selectExpr("o_orderkey AS k", "'v' AS column", "'1.5' AS value")
+    return X.review_table(_log(t), edits, ["k"])

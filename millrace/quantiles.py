@@ -81,6 +81,7 @@ def column_quantiles(
                 found[i, p] = None
                 continue
             h = (n - 1) * p
+            h = round(h) if abs(h - round(h)) < 1e-9 * max(1, n) ** 0.5 else h  # a rank, not a fraction
             at = dict(zip(spots, first[f"s{i}"]))
             ends = (first[f"lo{i}"], first[f"hi{i}"])
             open_[i, p] = {
