@@ -17,7 +17,7 @@ from millrace.quantiles import column_quantiles
 
 KNN_K, LOF_K, ABOD_K = 5, 20, 5
 HIST_BINS, HIST_ALPHA = 10, 0.1
-KDE_STEP, KDE_BINS = 0.01, 20_000
+KDE_STEP, KDE_BINS = 0.0005, 10_000
 
 
 def mad(df: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -1,12 +1,77 @@
-"""Time series (in progress)."""
+"""Time series: resampling, audit of recording changes, decomposition, stationarity, forecasts.
+
+A series is a table with a time column, a value column and optional series columns. Work that
+depends on order runs in bounded blocks with borders (``ordered.blocked``), so one very long
+series is spread over many tasks.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
+from statistics import NormalDist
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import StringType
 
 from millrace import ordered
+from millrace.operators import missing as M
+from millrace.operators.profile import as_timestamp, is_date_column
+from millrace.operators.values import DATE_FORMATS, DATETIME_FORMATS
+from millrace.quantiles import count_quantiles
+
+# Resampling rule -> (Spark unit, interval, shift from the unit's start to the label).
+RULES = {
+    "Y": ("year", "INTERVAL 1 YEAR"), "M": ("month", "INTERVAL 1 MONTH"), "W": ("week", "INTERVAL 7 DAY"),
+    "D": ("day", "INTERVAL 1 DAY"), "h": ("hour", "INTERVAL 1 HOUR"), "min": ("minute", "INTERVAL 1 MINUTE"),
+    "s": ("second", "INTERVAL 1 SECOND"),
+}
+
+
+def date_columns(df: DataFrame) -> list[str]:
+    """Date types, and string columns of which more than nine tenths parse."""
+    return [c for c in df.columns if is_date_column(df, c, 0.9)]
+
+
+def set_time_axis(df: DataFrame, column: str, day_first: bool = False, name: str = "ts") -> DataFrame:
+    """Add the time column; a column without any readable date raises."""
+    if isinstance(df.schema[column].dataType, StringType):
+        formats = sorted(DATETIME_FORMATS + DATE_FORMATS, key=lambda f: f.startswith("dd") != day_first)
+        ts = F.coalesce(as_timestamp(df, column), *[F.try_to_timestamp(F.trim(column), F.lit(f)).cast("timestamp_ntz") for f in formats])
+    else:
+        ts = as_timestamp(df, column)
+    out = df.withColumn(name, ts)
+    if out.where(F.col(name).isNotNull()).limit(1).count() == 0:
+        raise ValueError(f"{column} holds no date")
+    return out
+
+
+def _label(start: Column, rule: str) -> Column:
+    """Years, months and weeks are labelled by their last day, the others by their start."""
+    if rule == "Y":
+        return F.expr("INTERVAL 1 YEAR") + start - F.expr("INTERVAL 1 DAY")
+    if rule == "M":
+        return F.expr("INTERVAL 1 MONTH") + start - F.expr("INTERVAL 1 DAY")
+    return start + F.expr("INTERVAL 6 DAY") if rule == "W" else start
+
+
+def resample(df: DataFrame, ts: str, value: str, rule: str, series: Sequence[str] = (), fill: bool = True) -> DataFrame:
+    """(series..., ts, value): mean per period, gaps filled linearly."""
+    unit, step = RULES[rule]
+    means = df.withColumn("_p", F.date_trunc(unit, ts).cast("timestamp_ntz")).groupBy(*series, "_p").agg(F.avg(value).alias(value))
+    ends = means.groupBy(*series).agg(F.min("_p").alias("_a"), F.max("_p").alias("_b"))
+    if rule in ("h", "min", "s"):  # by day first, so that no single array holds a whole series
+        days = ends.select("*", F.explode(F.sequence(F.date_trunc("day", "_a").cast("timestamp_ntz"), "_b", F.expr("INTERVAL 1 DAY"))).alias("_d"))
+        slots = days.select(*series, "_a", "_b", F.explode(F.sequence(
+            "_d", F.col("_d") + F.expr("INTERVAL 1 DAY") - F.expr(step), F.expr(step))).alias("_p")).where("_p BETWEEN _a AND _b")
+    else:
+        slots = ends.select(*series, F.explode(F.sequence("_a", "_b", F.expr(step))).alias("_p"))
+    full = slots.select(*series, "_p").join(means, [*series, "_p"], "left")
+    if fill:
+        full = M.interpolate(full, value, ["_p"], series)
+    return full.select(*series, _label(F.col("_p"), rule).cast("timestamp_ntz").alias(ts), value)
 
 
 def rolling_mean(df: DataFrame, column: str, window: int, order_by: Sequence[str], series: Sequence[str] = (),
@@ -19,3 +84,316 @@ def rolling_mean(df: DataFrame, column: str, window: int, order_by: Sequence[str
         return {name or f"{column}_mean": F.when(F.count(column).over(frame) >= need, F.avg(column).over(frame))}
 
     return ordered.framed(df, order_by, build, before=window - 1, series=series)
+
+
+def difference(df: DataFrame, column: str, order_by: Sequence[str], lag: int = 1, order: int = 1,
+               series: Sequence[str] = (), name: str | None = None) -> DataFrame:
+    """Difference at a lag, ``order`` times."""
+    name = name or f"{column}_diff"
+    stages = [
+        lambda w, src=(column if i == 0 else f"_d{i - 1}"), out=(name if i == order - 1 else f"_d{i}"):
+        {out: F.col(src) - F.lag(src, lag).over(w)} for i in range(order)
+    ]
+    return ordered.framed(df, order_by, stages, before=lag * order, series=series).drop(*[f"_d{i}" for i in range(order - 1)])
+
+
+# --- audit of recording changes -------------------------------------------------------------
+
+
+def audit_windows(df: DataFrame, ts: str, value: str, window_days: float = 14, overlap_pct: float = 50,
+                  series: Sequence[str] = (), min_rows: int = 10) -> DataFrame:
+    """One row of statistics per sliding window from the first timestamp.
+
+    Windows end exclusive and are cut at the last timestamp, whose row is therefore in none;
+    windows with fewer than ``min_rows`` rows are left out. Each row goes to
+    100 / (100 - overlap) windows.
+    """
+    data = df.where(F.col(value).isNotNull()).select(*series, F.col(ts).alias("_ts"), F.col(value).cast("double").alias("v"))
+    first, last, offset = data.agg(
+        F.min("_ts").alias("a"), F.max("_ts").alias("b"), F.min(F.unix_micros(F.col("_ts").cast("timestamp"))).alias("u")).first()
+    width, slide = (round(d * 86_400_000_000) for d in (window_days, window_days * (1 - overlap_pct / 100)))
+    lo, hi = (F.lit(x).cast("timestamp_ntz") for x in (first, last))
+    win = F.window("_ts", f"{width} microseconds", f"{slide} microseconds", f"{offset % slide} microseconds")
+    placed = data.where(F.col("_ts") < hi).withColumn("_w", win).select(
+        *series, F.col("_w.start").cast("timestamp_ntz").alias("window_start"),
+        F.least(F.col("_w.end").cast("timestamp_ntz"), hi).alias("window_end"), "v",
+    ).where(F.col("window_start") >= lo)
+    by = [*series, "window_start", "window_end"]
+    stats = placed.groupBy(*by).agg(
+        F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"),
+        F.max("v").alias("max"), (F.avg((F.col("v") == 0).cast("int")) * 100).alias("zeros_pct"),
+        (F.avg((F.col("v") < 0).cast("int")) * 100).alias("negatives_pct"), F.skewness("v").alias("skewness"),
+        F.kurtosis("v").alias("kurtosis"), F.min(F.col("v") == F.floor("v")).alias("whole"),
+    ).where(F.col("count") >= min_rows)
+    counts = placed.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("n"))
+    quart = count_quantiles(counts, by, "v", "n", [0.25, 0.5, 0.75], ["q1", "median", "q3"])
+    kinds = counts.groupBy(*by).agg(F.count(F.lit(1)).alias("unique_values"))
+    # The step between neighbouring values, over the 100 smallest of each window.
+    low = counts.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy("v"))).where("_r <= 100")
+    gaps = low.withColumn("_g", F.col("v") - F.lag("v").over(W.partitionBy(*by).orderBy("_r")))
+    step = gaps.groupBy(*by).agg(F.expr("percentile(_g, 0.5)").alias("typical_step"))  # at most 99 values
+    out = stats.join(quart, by).join(kinds, by).join(step, by, "left")
+    return out.withColumns({
+        "iqr": F.col("q3") - F.col("q1"), "cv": F.when(F.col("mean") == 0, 0.0).otherwise(F.try_divide("std", "mean")),
+        "days": F.floor(F.timestamp_diff("MICROSECOND", F.col("window_start"), F.col("window_end")) / 86_400_000_000),
+        "typical_step": F.when(F.col("unique_values") > 10, F.coalesce("typical_step", F.lit(0.0))),
+    })
+
+
+def audit_alerts(windows: DataFrame, series: Sequence[str] = (), mean_pct: float = 30, std_pct: float = 50,
+                 range_ratio: float = 2.0, iqr_pct: float = 75, extras: bool = True) -> DataFrame:
+    """(series..., window_start, type, amount): each window against the one kept before it.
+
+    A negative mean before gives a negative change, which never alerts. ``extras`` adds the
+    spread and unit-scaling alerts.
+    """
+    order = (W.partitionBy(*series) if series else W.partitionBy(F.lit(0))).orderBy("window_start")  # few rows
+    seen = windows.withColumn("_i", F.row_number().over(order)).withColumn(
+        "_whole", F.when((F.col("unique_values") > 10) & (F.col("_i") > 1), F.col("whole")))
+    names = ["mean", "std", "min", "max", "unique_values", "iqr", "typical_step", "_whole"]
+    seen = seen.withColumns({f"p_{c}": F.lag(c).over(order) for c in names}).where("_i > 1")
+    c = F.col
+    pct = lambda n: F.try_divide(F.abs(c(n) - c(f"p_{n}")), c(f"p_{n}")) * 100
+    ratio = F.when(c("p_max") > c("p_min"), (c("max") - c("min")) / (c("p_max") - c("p_min")))
+    kinds = c("unique_values") / c("p_unique_values")
+    many = c("unique_values") > 10
+    step = F.when((c("typical_step") > 0) & (c("p_typical_step") > 0), c("typical_step") / F.nullif(c("p_typical_step"), F.lit(0)))
+    alerts = {
+        "mean_shift": (pct("mean") > mean_pct, pct("mean")), "std_shift": (pct("std") > std_pct, pct("std")),
+        "range_expansion": (ratio > range_ratio, ratio), "range_contraction": (ratio < 1 / range_ratio, ratio),
+        "type_conversion": (many & (c("_whole") != c("p__whole")), c("_whole").cast("double")),
+        "precision_increase": (many & (kinds > 3), kinds), "precision_decrease": (many & (kinds < 0.33), kinds),
+    }
+    if extras:
+        alerts |= {
+            "iqr_shift": (pct("iqr") > iqr_pct, pct("iqr")),
+            "unit_scaled_down": (many & (step > 0.05) & (step < 0.2), 1 / step), "unit_scaled_up": (many & (step > 5) & (step < 20), step),
+        }
+    rows = F.array_compact(F.array(*[
+        F.when(test, F.struct(F.lit(n).alias("type"), amount.cast("double").alias("amount"))) for n, (test, amount) in alerts.items()
+    ]))
+    return seen.select(*series, "window_start", F.explode(rows).alias("a")).select(*series, "window_start", "a.type", "a.amount")
+
+
+# --- decomposition --------------------------------------------------------------------------
+
+
+def decompose(df: DataFrame, value: str, order_by: Sequence[str], period: int = 7, model: str = "additive",
+              series: Sequence[str] = ()) -> DataFrame:
+    """Add trend (centred moving average), seasonal (mean by phase, centred) and residual."""
+    data = ordered.with_position(df.where(F.col(value).isNotNull()), order_by, series, "_at")
+    half, y = period // 2, F.col(value).cast("double")
+
+    def build(w):
+        inner = F.sum(y).over(w.rowsBetween(-half, half))
+        if period % 2 == 0:  # an even period counts both ends half
+            inner = inner - 0.5 * (F.lag(y, half).over(w) + F.lead(y, half).over(w))
+        whole = F.count(y).over(w.rowsBetween(-half, half)) == 2 * half + 1
+        return {"trend": F.when(whole, inner / period)}
+
+    out = ordered.framed(data, ["_at"], build, half, half, series)
+    add = model == "additive"
+    out = out.withColumn("_phase", F.col("_at") % period).withColumn("_free", y - F.col("trend") if add else y / F.col("trend"))
+    per = out.groupBy(*series, "_phase").agg(F.avg("_free").alias("_s"))
+    mean = F.avg("_s").over(W.partitionBy(*series) if series else W.partitionBy(F.lit(0)))  # `period` rows
+    side = per.select(*series, "_phase", (F.col("_s") - mean if add else F.col("_s") / mean).alias("seasonal"))
+    out = out.join(F.broadcast(side) if not series else side, [*series, "_phase"])
+    residual = F.col("_free") - F.col("seasonal") if add else F.col("_free") / F.col("seasonal")
+    return out.select(*df.columns, "trend", "seasonal", residual.alias("residual"))
+
+
+def decomposition_strength(parts: DataFrame, series: Sequence[str] = ()) -> DataFrame:
+    """(series..., trend_strength, seasonal_strength): 1 - var(residual) / var(part), 0 for a flat part."""
+    one = lambda c: F.when(F.var_pop(c) > 0, 1 - F.try_divide(F.var_pop("residual"), F.var_pop(c))).otherwise(0.0)
+    return parts.groupBy(*series).agg(one("trend").alias("trend_strength"), one("seasonal").alias("seasonal_strength"))
+
+
+def residual_anomalies(parts: DataFrame, ts: str, series: Sequence[str] = (), sigma: float = 3.0) -> DataFrame:
+    """(series..., ts, residual, deviation_sigma) of residuals beyond ``sigma`` standard deviations."""
+    stats = parts.groupBy(*series).agg(F.avg("residual").alias("_m"), F.stddev_samp("residual").alias("_s"))
+    both = parts.join(F.broadcast(stats)) if not series else parts.join(stats, list(series))
+    away = F.abs(F.col("residual") - F.col("_m"))
+    return both.where(away > sigma * F.col("_s")).select(
+        *series, ts, "residual", (away / F.nullif(F.col("_s"), F.lit(0.0))).alias("deviation_sigma"))
+
+
+# --- stationarity ---------------------------------------------------------------------------
+
+# Published response surface of the unit-root test (constant, no trend) and
+# critical values of the KPSS level test with their probabilities.
+ADF_SMALL, ADF_LARGE = (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
+ADF_MIN, ADF_MAX, ADF_SPLIT = -18.83, 2.74, -1.61
+KPSS_CRITICAL, KPSS_P = (0.347, 0.463, 0.574, 0.739), (0.10, 0.05, 0.025, 0.01)
+
+
+def _block_sums(df: DataFrame, value: str, order_by: Sequence[str], reach: int,
+                compute: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Sum over blocks of ``compute(values, home, positions)`` (a small fixed array).
+
+    Every block is bounded and holds the ``reach`` rows before it; one short row per block is
+    added up by Spark.
+    """
+    data = ordered.blocked(df.select(*order_by, F.col(value).cast("double").alias("_y")), order_by, before=reach)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(ordered.POSITION)
+        out = compute(pdf["_y"].to_numpy(), pdf[ordered.HOME].to_numpy(bool), pdf[ordered.POSITION].to_numpy())
+        flat = np.asarray(out, float).ravel()
+        return pd.DataFrame({"i": np.arange(len(flat)), "s": flat})
+
+    data = data.select(ordered.BLOCK, ordered.POSITION, ordered.HOME, "_y")
+    sums = data.groupBy(ordered.BLOCK).applyInPandas(run, "i int, s double").groupBy("i").agg(F.sum("s").alias("s"))
+    return np.array([r["s"] for r in sums.orderBy("i").collect()])
+
+
+def lag_products(df: DataFrame, value: str, order_by: Sequence[str], lags: int) -> tuple[np.ndarray, int]:
+    """Sums of (y_t - mean)(y_{t-k} - mean) for k = 0..lags, and the number of rows."""
+    mean, n = df.agg(F.avg(value), F.count(value)).first()
+
+    def compute(y, home, _):
+        z = y - mean
+        at = np.flatnonzero(home)
+        return np.array([(z[at[at >= k]] * z[at[at >= k] - k]).sum() for k in range(lags + 1)])
+
+    return _block_sums(df, value, order_by, lags, compute), n
+
+
+def autocorrelation(df: DataFrame, value: str, order_by: Sequence[str], lags: int | None = None) -> DataFrame:
+    """(lag, acf, pacf) up to ``lags`` (default min(40, n / 2)); pacf by Yule-Walker."""
+    n = df.where(F.col(value).isNotNull()).count()
+    lags = min(40, n // 2) if lags is None else lags
+    products, _ = lag_products(df.where(F.col(value).isNotNull()), value, order_by, lags)
+    r = products / products[0]
+    pacf, phi = [1.0], np.zeros(0)
+    for k in range(1, lags + 1):  # Levinson recursion on at most a few dozen numbers
+        last = (r[k] - phi @ r[k - 1:0:-1]) / (1 - phi @ r[1:k]) if k > 1 else r[1]
+        phi = np.append(phi - last * phi[::-1], last)
+        pacf.append(float(last))
+    rows = [(k, float(r[k]), pacf[k]) for k in range(lags + 1)]
+    return df.sparkSession.createDataFrame(rows, "lag int, acf double, pacf double")
+
+
+def _gram(df: DataFrame, value: str, order_by: Sequence[str], lags: int) -> tuple[np.ndarray, int]:
+    """Cross products of [dy_t, 1, y_{t-1}, dy_{t-1} .. dy_{t-lags}] over all rows with every lag."""
+    width = lags + 3
+
+    def compute(y, home, pos):
+        d = np.diff(y, prepend=np.nan)
+        at = np.flatnonzero(home & (pos >= lags + 1))
+        if not len(at):
+            return np.zeros(width * width + 1)
+        m = np.column_stack([d[at], np.ones(len(at)), y[at - 1], *[d[at - k] for k in range(1, lags + 1)]])
+        return np.append((m.T @ m).ravel(), len(at))
+
+    sums = _block_sums(df, value, order_by, lags + 1, compute)
+    return sums[:-1].reshape(width, width), int(sums[-1])
+
+
+def _least_squares(g: np.ndarray, n: int, lags: int) -> tuple[float, float]:
+    """(t value of y_{t-1}, AIC) with the first ``lags`` differences."""
+    x, xy = g[1:lags + 3, 1:lags + 3], g[1:lags + 3, 0]
+    inv = np.linalg.pinv(x)
+    beta = inv @ xy
+    rss = max(g[0, 0] - beta @ xy, 1e-300)
+    k = lags + 2
+    aic = n * (math.log(2 * math.pi * rss / n) + 1) + 2 * k
+    return beta[1] / math.sqrt(max(rss / (n - k) * inv[1, 1], 1e-300)), aic
+
+
+def adf_test(df: DataFrame, value: str, order_by: Sequence[str], max_lag: int | None = None) -> tuple[float, float, int]:
+    """(statistic, p value, lags): unit-root test with a constant, lags by AIC."""
+    n = df.count()
+    top = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2) if max_lag is None else max_lag
+    g, rows = _gram(df, value, order_by, top)
+    best = min(range(top + 1), key=lambda p: _least_squares(g, rows, p)[1])
+    g, rows = _gram(df, value, order_by, best)
+    t = _least_squares(g, rows, best)[0]
+    if t > ADF_MAX or t < ADF_MIN:
+        return t, float(t > ADF_MAX), best
+    coefs = ADF_SMALL if t <= ADF_SPLIT else ADF_LARGE
+    return t, NormalDist().cdf(sum(c * t**i for i, c in enumerate(coefs))), best
+
+
+def kpss_test(df: DataFrame, value: str, order_by: Sequence[str]) -> tuple[float, float, int]:
+    """(statistic, p value, lags): level stationarity, lags chosen from the data."""
+    mean, n = df.agg(F.avg(value), F.count(value)).first()
+    first = int(n ** (2 / 9))
+    c, _ = lag_products(df, value, order_by, first)
+    s0 = c[0] / n + sum(2 * c[i] / n for i in range(1, first + 1))
+    s1 = sum(i * 2 * c[i] / n for i in range(1, first + 1))
+    lags = min(int(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3)), n - 1)
+    c, _ = lag_products(df, value, order_by, lags)
+    long_run = (c[0] + 2 * sum(c[i] * (1 - i / (lags + 1)) for i in range(1, lags + 1))) / n
+    run = ordered.running_sum(df.select(*order_by, value), order_by, {"_s": F.col(value) - F.lit(mean)})
+    eta = run.agg(F.sum(F.col("_s") * F.col("_s"))).first()[0] / n**2
+    stat = eta / long_run if long_run else math.inf
+    return stat, float(np.interp(stat, KPSS_CRITICAL, KPSS_P)), lags
+
+
+def stationarity(df: DataFrame, value: str, order_by: Sequence[str], diff_level: int = 0) -> DataFrame:
+    """One row: both tests and the verdict; ``diff_level`` is a lag, as the differences are."""
+    data = df.where(F.col(value).isNotNull()).select(*order_by, F.col(value).cast("double").alias(value))
+    if diff_level:
+        data = difference(data, value, order_by, lag=diff_level, name="_d").select(*order_by, F.col("_d").alias(value)).where(F.col(value).isNotNull())
+    if data.limit(10).count() < 10:
+        raise ValueError("not enough data")
+    adf, adf_p, _ = adf_test(data, value, order_by)
+    kpss, kpss_p, _ = kpss_test(data, value, order_by)
+    a, k = adf_p < 0.05, kpss_p > 0.05
+    verdict = "stationary" if a and k else "non_stationary" if not a and not k else "ambiguous"
+    return df.sparkSession.createDataFrame(
+        [(float(adf), float(adf_p), a, float(kpss), float(kpss_p), k, verdict)],
+        "adf_statistic double, adf_pvalue double, adf_is_stationary boolean, kpss_statistic double, "
+        "kpss_pvalue double, kpss_is_stationary boolean, final_verdict string")
+
+
+# --- autoregressive fit ---------------------------------------------------------------------
+
+
+def _regress(df: DataFrame, y: str, xs: Sequence[str]) -> list[float]:
+    """Ordinary least squares with a constant, from one aggregate of cross products."""
+    names = ["1D", *[f"`{x}`" for x in xs]]
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    full = df.where(F.col(y).isNotNull()).dropna(subset=list(xs))
+    row = full.selectExpr(*[f"sum({a} * {b}) x{i}" for i, (a, b) in enumerate(pairs)], *[f"sum({a} * `{y}`) y{i}" for i, a in enumerate(names)]).first()
+    g = np.zeros((len(names), len(names)))
+    for i, (a, b) in enumerate(pairs):
+        g[names.index(a), names.index(b)] = g[names.index(b), names.index(a)] = row[f"x{i}"]
+    return [float(v) for v in np.linalg.pinv(g) @ np.array([row[f"y{i}"] for i in range(len(names))])]
+
+
+def arima_fit(df: DataFrame, value: str, order_by: Sequence[str], p: int = 1, d: int = 0, q: int = 0) -> DataFrame:
+    """Add ``fitted``: in-sample one-step values of an ARIMA(p, d, q).
+
+    Least squares on lagged values; moving-average terms use the residuals of a long
+    autoregression in place of the unseen shocks. Every step is lags and one aggregate, so a
+    long series is not walked through by one task.
+    """
+    cols = list(df.columns)
+    data, y = df.withColumn("_y0", F.col(value).cast("double")), "_y0"
+    for i in range(d):
+        data = difference(data, f"_y{i}", order_by, name=f"_y{i + 1}")
+        y = f"_y{i + 1}"
+
+    def lags(table: DataFrame, source: str, n: int, tag: str) -> DataFrame:
+        return ordered.framed(table, order_by, lambda w: {f"_{tag}{k}": F.lag(source, k).over(w) for k in range(1, n + 1)}, before=n)
+
+    def predict(coefs: Sequence[float], xs: Sequence[str]) -> Column:
+        return sum((F.lit(b) * F.col(x) for b, x in zip(coefs[1:], xs)), F.lit(coefs[0]))
+
+    xs = []
+    if q:
+        m = max(p, q) + 10
+        data = lags(data, y, m, "l")
+        long = [f"_l{k}" for k in range(1, m + 1)]
+        data = data.withColumn("_e", F.col(y) - predict(_regress(data, y, long), long)).drop(*long)
+        data = lags(data, "_e", q, "e")
+        xs += [f"_e{k}" for k in range(1, q + 1)]
+    if p:
+        data = lags(data, y, p, "a")
+        xs = [f"_a{k}" for k in range(1, p + 1)] + xs
+    hat = predict(_regress(data, y, xs), xs)
+    for i in range(d):  # back from differences to values
+        data = ordered.framed(data, order_by, lambda w, i=i: {f"_b{i}": F.lag(f"_y{i}").over(w)}, before=1)
+        hat = hat + F.col(f"_b{i}")
+    return data.select(*cols, hat.alias("fitted"))

@@ -113,13 +113,10 @@ def carry(
     ``summary`` maps an output name to (aggregate per bucket, combiner over buckets);
     ``scope`` is ``before``, ``after`` or ``all``.
     """
-    frames = {
-        "before": (W.unboundedPreceding, -1),
-        "after": (1, W.unboundedFollowing),
-        "all": (W.unboundedPreceding, W.unboundedFollowing),
-    }
     across = W.partitionBy(*series) if series else W.partitionBy(F.lit(0))
-    across = across.orderBy(BUCKET).rowsBetween(*frames[scope])
+    if scope != "all":
+        step = F.col(BUCKET) if scope == "before" else F.col(BUCKET).desc()
+        across = across.orderBy(step).rowsBetween(W.unboundedPreceding, -1)
     keys = [BUCKET, *series]
     per_bucket = bucketed.groupBy(*keys).agg(*[a.alias(n) for n, (a, _) in summary.items()])
     # Lead names out of the way so the join condition is unambiguous.
@@ -206,17 +203,20 @@ def fill_along(
             b = carry(b, series, {
                 f"_b_{n}": (
                     F.min_by(c, F.when(F.col(c).isNotNull(), at)),
-                    lambda s: F.first(s, ignorenulls=True),
+                    lambda s: F.last(s, ignorenulls=True),
                 ) for c, n in backward.items()
             }, "after")
-    ahead = w.rowsBetween(W.unboundedPreceding, 0)
-    behind = w.rowsBetween(0, W.unboundedFollowing)
+    # A frame to the end of the partition costs a pass per row in Spark, so "next" is "last"
+    # along the reversed order.
+    keys = ([] if small else [BUCKET]) + list(series)
+    back = (W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))).orderBy(*[F.desc(c) for c in order])
+    ahead, behind = (x.rowsBetween(W.unboundedPreceding, 0) for x in (w, back))
     added = []
     for c, n in forward.items():
         own = F.last(c, ignorenulls=True).over(ahead)
         added.append((own if small else F.coalesce(own, F.col(f"_f_{n}"))).alias(n))
     for c, n in backward.items():
-        own = F.first(c, ignorenulls=True).over(behind)
+        own = F.last(c, ignorenulls=True).over(behind)
         added.append((own if small else F.coalesce(own, F.col(f"_b_{n}"))).alias(n))
     return b.select(*df.columns, *added)
 
@@ -238,7 +238,23 @@ def framed(
         for stage in stages:
             df = df.select("*", *[c.alias(n) for n, c in stage(w).items()])
         return df
-    size = max(_setting(df, "rowsPerBucket", ROWS_PER_BUCKET), before, after, 1)
+    out = blocked(df, order, before, after, series)
+    w = W.partitionBy(*series, BLOCK).orderBy(POSITION)
+    for stage in stages:
+        out = out.select("*", *[c.alias(n) for n, c in stage(w).items()])
+    return out.where(HOME).drop(HOME, BLOCK, POSITION)
+
+
+def blocked(
+    df: DataFrame, order: Sequence[str], before: int = 0, after: int = 0, series: Sequence[str] = (),
+    rows: int | None = None,
+) -> DataFrame:
+    """Rows with ``POSITION``, cut into blocks (``BLOCK``) of at most ``rows`` rows per series.
+
+    Rows within ``before`` / ``after`` of a border also appear in the next / previous block,
+    there with ``HOME`` false. A (series, block) group is bounded, so it may be one task's work.
+    """
+    size = max(rows or _setting(df, "rowsPerBucket", ROWS_PER_BUCKET), before, after, 1)
     pos = with_position(df, order, series)
     block = F.floor(F.col(POSITION) / size)
     inside = F.col(POSITION) % size
@@ -248,10 +264,6 @@ def framed(
         F.when(inside >= size - before, away(block + 1)),
         F.when((inside < after) & (block > 0), away(block - 1)),
     ))
-    out = pos.withColumn("_home", F.explode(homes)).select(
+    return pos.withColumn("_home", F.explode(homes)).select(
         *pos.columns, F.col("_home.b").alias(BLOCK), F.col("_home.h").alias(HOME)
     )
-    w = W.partitionBy(*series, BLOCK).orderBy(POSITION)
-    for stage in stages:
-        out = out.select("*", *[c.alias(n) for n, c in stage(w).items()])
-    return out.where(HOME).drop(HOME, BLOCK, POSITION)

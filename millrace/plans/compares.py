@@ -90,7 +90,7 @@ def completeness_score(t):
     return Q.completeness_score(changed(t), base(t))
 
 
-@query("consistency_score", "Q-9", "SELECT 0.6 * 0.4 + 0.4 * 0.9 AS consistency FROM region WHERE r_regionkey = 0")
+@query("consistency_score", "Q-9", "SELECT (0.6 * 0.4 + 0.4 * 0.9)::DOUBLE AS consistency FROM region WHERE r_regionkey = 0")
 def consistency_score(t):
     df = t.customer.selectExpr("c_custkey AS `Customer Key`", "IF(c_custkey % 2 = 0, 'text', string(c_custkey)) AS mixed", "c_name AS name")
     return Q.consistency_score(df)
@@ -104,7 +104,7 @@ def validity_score(t):
 
 
 @query("quality_score", "Q-7", """
-SELECT 1.0::DOUBLE AS completeness, 1.0::DOUBLE AS consistency, 2.0::DOUBLE / 3 AS validity, 0.8 + 0.4 / 3 AS score FROM region WHERE r_regionkey = 0""")
+SELECT 1.0::DOUBLE AS completeness, 1.0::DOUBLE AS consistency, 2.0::DOUBLE / 3 AS validity, (0.8 + 0.4 / 3)::DOUBLE AS score FROM region WHERE r_regionkey = 0""")
 def quality_score(t):
     before = t.orders.selectExpr("o_orderkey", "IF(o_orderkey % 5 = 0, NULL, o_totalprice) AS price", "o_orderdate", "o_orderstatus")
     after, _ = M.fix_missing(before, "price", "mean")
