@@ -67,25 +67,29 @@ def profile_numeric(
     """One row per numeric column: counts, range, quantiles, moments."""
     columns = list(columns or numeric_columns(df))
     quantiles = column_quantiles(df, columns, list(QUARTILES.values()), method)
-    base = df.select(*[clean_double(c).alias(c) for c in columns])
-    rows = []
-    for c in columns:
-        q = dict(zip(QUARTILES, quantiles[c]))
-        qs = ", ".join(
-            f"'{n}', {'CAST(NULL AS double)' if v is None else f'double({v!r})'}" for n, v in q.items()
-        )
-        iqr = "CAST(NULL AS double)" if q["q25"] is None else f"double({q['q75'] - q['q25']!r})"
-        k = f"`{c}`"
-        rows.append(
-            f"named_struct('column', '{c}', 'count', count(*), 'missing', count(*) - count({k}), "
-            f"'zeroes', count_if({k} = 0), 'max', max({k}), 'min', min({k}), {qs}, "
-            f"'rng', max({k}) - min({k}), 'iqr', {iqr}, 'avg', avg({k}), 'std', stddev_samp({k}), "
-            f"'var', var_samp({k}), 'kurt', {adjusted_kurtosis(k)}, 'skew', {adjusted_skew(k)}, "
-            f"'sum', sum({k}))"
-        )
-    stats = base.selectExpr(f"array({', '.join(rows)}) AS s").selectExpr("inline(s)")
-    out = stats.join(F.broadcast(distinct_counts(base, columns, method)), "column")
-    return out.withColumn("duplicates", F.col("count") - F.col("distinct"))
+    fitted = df.sparkSession.createDataFrame(
+        [(c, *quantiles[c]) for c in columns], "column string, " + ", ".join(f"{q} double" for q in QUARTILES))
+    # Long form: one small set of aggregates for all columns keeps the generated code small.
+    cells = ", ".join(f"named_struct('column', '{c}', 'v', `{c}`)" for c in columns)
+    long = df.select(*[clean_double(c).alias(c) for c in columns]).selectExpr(f"inline(array({cells}))")
+    stats = long.groupBy("column").agg(
+        F.count(F.lit(1)).alias("count"), (F.count(F.lit(1)) - F.count("v")).alias("missing"),
+        F.count_if(F.col("v") == 0).alias("zeroes"), F.max("v").alias("max"), F.min("v").alias("min"),
+        (F.max("v") - F.min("v")).alias("rng"), F.avg("v").alias("avg"), F.stddev_samp("v").alias("std"),
+        F.var_samp("v").alias("var"), F.expr(adjusted_kurtosis("v")).alias("kurt"), F.expr(adjusted_skew("v")).alias("skew"),
+        F.sum("v").alias("sum"),
+    )
+    if method == "approx":
+        distinct = long.groupBy("column").agg(F.approx_count_distinct("v").alias("distinct"))
+    else:
+        seen = long.where("v IS NOT NULL").groupBy("column", "v").agg(F.lit(1).alias("one"))
+        distinct = seen.groupBy("column").agg(F.sum("one").cast("bigint").alias("distinct"))
+    # One row per column on every side.
+    out = stats.join(F.broadcast(fitted), "column").join(F.broadcast(distinct), "column", "left")
+    return out.withColumns({
+        "iqr": F.col("q75") - F.col("q25"), "distinct": F.coalesce("distinct", F.lit(0).cast("bigint")),
+        "duplicates": F.col("count") - F.coalesce("distinct", F.lit(0).cast("bigint")),
+    })
 
 
 def as_timestamp(df: DataFrame, column: str) -> Column:

@@ -4,9 +4,9 @@ Spark's own exact ``percentile`` merges every distinct value of a group into one
 buffer. Two routes avoid that:
 
 * ``column_quantiles``: whole columns. A bounded sketch gives a bracket of values around
-  each wanted rank; the rows inside are counted and the bracket shrinks by another
-  sketch until so few distinct values are left that they are picked exactly. No step
-  shuffles the column.
+  each wanted rank; rows are counted below, inside and above the brackets, and a bracket
+  shrinks by another sketch until so few distinct values are left that they are picked
+  exactly. Only counts are shuffled, never the column.
 * ``group_quantiles``: one set per group. Equal values are counted first, then ranks come
   from running sums along the values, so a hot group is spread over many tasks.
 """
@@ -64,97 +64,111 @@ def column_quantiles(
     data = df.select(*[clean_double(c).alias(f"c{i}") for i, c in enumerate(columns)])
     margin = 2.0 / ACCURACY
     spots = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, margin)})
-    # SQL text for generated lists: one call into the JVM per expression.
-    first = data.selectExpr(*[
-        x for i in range(len(columns)) for x in (
-            f"count(c{i}) n{i}", f"min(c{i}) lo{i}", f"max(c{i}) hi{i}",
-            f"percentile_approx(c{i}, {_array(spots)}, {ACCURACY}) s{i}",
-        )
-    ]).first()
-
-    # One open bracket per (column, prob): it must hold ranks floor(h) and ceil(h).
-    open_, found = {}, {}
+    cells = ", ".join(f"named_struct('k', {i}, 'v', c{i})" for i in range(len(columns)))
+    first = {
+        r["k"]: r for r in data.selectExpr(f"inline(array({cells}))").groupBy("k").agg(
+            F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+            F.expr(f"percentile_approx(v, {_array(spots)}, {ACCURACY})").alias("s"),
+        ).collect()
+    }
+    found: dict[tuple[int, float], float | None] = {}
+    wanted: dict[tuple[int, float], dict] = {}
     for i in range(len(columns)):
-        n = first[f"n{i}"]
+        n = first[i]["n"] if i in first else 0
         for p in probs:
             if not n:
                 found[i, p] = None
                 continue
             h = (n - 1) * p
-            h = round(h) if abs(h - round(h)) < 1e-9 * max(1, n) ** 0.5 else h  # a rank, not a fraction
-            at = dict(zip(spots, first[f"s{i}"]))
-            ends = (first[f"lo{i}"], first[f"hi{i}"])
-            open_[i, p] = {
-                "ranks": (math.floor(h), math.ceil(h)), "part": h - math.floor(h), "all": ends,
+            h = round(h) if abs(h - round(h)) < 1e-9 * n ** 0.5 else h  # a rank, not a fraction
+            at, ends = dict(zip(spots, first[i]["s"])), (first[i]["lo"], first[i]["hi"])
+            wanted[i, p] = {
+                "ranks": (math.floor(h), math.ceil(h)), "part": h - math.floor(h),
                 "lo": ends[0] if p - margin <= 0 else at[p - margin],
                 "hi": ends[1] if p + margin >= 1 else at[p + margin],
             }
-
+    # What the brackets of a first pass hold; few enough values are picked in that same pass.
+    held = sum(2 * margin * len(probs) * first[i]["n"] for i in first)
     for _ in range(MAX_ROUNDS):
-        if not open_:
+        if not wanted:
             break
-        keys = list(open_)
-        inside = [
-            f"c{i} BETWEEN {_num(open_[i, p]['lo'])} AND {_num(open_[i, p]['hi'])}" for i, p in keys
-        ]
-        row = data.selectExpr(*[
-            x for j, (i, p) in enumerate(keys) for x in (
-                f"count_if(c{i} < {_num(open_[i, p]['lo'])}) b{j}",
-                f"count_if({inside[j]}) i{j}",
-                f"approx_count_distinct(CASE WHEN {inside[j]} THEN c{i} END) d{j}",
-            )
-        ]).first()
-        ready, shrink = [], []
-        for j, k in enumerate(keys):
-            o = open_[k]
-            o["below"], o["n"] = row[f"b{j}"], row[f"i{j}"]
-            if not (o["below"] <= o["ranks"][0] and o["ranks"][1] < o["below"] + o["n"]):
-                o["lo"], o["hi"] = o["all"]  # the sketch missed: widen, then shrink again
-            elif o["lo"] == o["hi"]:
-                found[k] = o["lo"]
-                del open_[k]
-            elif row[f"d{j}"] <= PICK_LIMIT // len(keys):
-                ready.append(j)
+        spans = {i: _merged([(w["lo"], w["hi"]) for (j, _), w in wanted.items() if j == i])
+                 for i in {k[0] for k in wanted}}
+        parts = []
+        for i, sp in spans.items():
+            tests = " ".join(
+                f"WHEN c{i} < {_num(lo)} THEN {2 * j} WHEN c{i} <= {_num(hi)} THEN {2 * j + 1}" for j, (lo, hi) in enumerate(sp))
+            parts.append(f"named_struct('k', {i}, 'r', CASE {tests} ELSE {2 * len(sp)} END, 'v', c{i})")
+        placed = data.selectExpr(f"inline(array({', '.join(parts)}))").where("v IS NOT NULL")
+        inside = placed.where("r % 2 = 1")
+        if held <= PICK_LIMIT:
+            rows = placed.groupBy("k", "r", F.expr("IF(r % 2 = 1, v, NULL)").alias("v")).count().collect()
+        else:
+            rows = placed.groupBy("k", "r").count().collect()
+        sizes: dict[tuple[int, int], int] = {}
+        values: dict[tuple[int, int], list] = {}
+        for r in rows:
+            sizes[r["k"], r["r"]] = sizes.get((r["k"], r["r"]), 0) + r["count"]
+            if held <= PICK_LIMIT and r["v"] is not None:
+                values.setdefault((r["k"], r["r"]), []).append((r["v"], r["count"]))
+        below = {
+            (i, r): sum(sizes.get((i, q), 0) for q in range(r)) for i, sp in spans.items() for r in range(2 * len(sp) + 2)
+        }
+        big: dict[tuple[int, int], list] = {}
+        for key, w in list(wanted.items()):
+            i, sp = key[0], spans[key[0]]
+            r0, r1 = (max(r for r in range(2 * len(sp) + 1) if below[i, r] <= rank) for rank in w["ranks"])
+            if r0 != r1 or r0 % 2 == 0:  # the sketch missed: go on between the neighbouring brackets
+                w["lo"] = sp[r0 // 2 - (1 if r0 % 2 == 0 else 0)][0] if r0 >= 2 or r0 % 2 else first[i]["lo"]
+                w["hi"] = sp[r1 // 2][1] if r1 // 2 < len(sp) else first[i]["hi"]
+            elif sp[r0 // 2][0] == sp[r0 // 2][1]:
+                found[key] = sp[r0 // 2][0]
+                del wanted[key]
             else:
-                shrink.append(j)
-        if shrink:
-            # Sketch again, only what lies in the bracket, around the same ranks.
-            q = {
-                j: [
-                    min(1.0, max(0.0, (r - open_[keys[j]]["below"]) / open_[keys[j]]["n"] + d))
-                    for r, d in zip(open_[keys[j]]["ranks"], (-margin, margin))
-                ] for j in shrink
-            }
-            row = data.selectExpr(*[
-                f"percentile_approx(CASE WHEN {inside[j]} THEN c{keys[j][0]} END, "
-                f"{_array(q[j])}, {ACCURACY}) s{j}" for j in shrink
-            ]).first()
-            for j in shrink:
-                o, (lo, hi) = open_[keys[j]], row[f"s{j}"]
-                if (lo, hi) == (o["lo"], o["hi"]):
-                    raise RuntimeError("a quantile bracket did not shrink")
-                o["lo"], o["hi"] = (o["lo"] if q[j][0] == 0 else lo), (o["hi"] if q[j][1] == 1 else hi)
-        if ready:
-            cells = ", ".join(
-                f"CASE WHEN {inside[j]} THEN named_struct('k', {j}, 'v', c{keys[j][0]}) END"
-                for j in ready
-            )
-            rows = (
-                data.selectExpr(f"explode(filter(array({cells}), x -> x IS NOT NULL)) x")
-                .groupBy("x.k", "x.v").count().collect()
-            )
-            mine = {j: [] for j in ready}
-            for r in rows:
-                mine[r["k"]].append((r["v"], r["count"]))
-            for j in ready:
-                o = open_.pop(keys[j])
-                lo, hi = (_pick(sorted(mine[j]), o["below"], r) for r in o["ranks"])
-                found[keys[j]] = lo + (hi - lo) * o["part"]
-    if open_:
+                big.setdefault((i, r0), []).append(key)
+        if held > PICK_LIMIT and big:
+            hit = inside.where(" OR ".join(f"(k = {i} AND r = {r})" for i, r in big))
+            few = {g: sizes[g] for g in big}
+            if sum(few.values()) > PICK_LIMIT:
+                grid = {(r["k"], r["r"]): r for r in hit.groupBy("k", "r").agg(
+                    F.approx_count_distinct("v").alias("d"),
+                    F.expr(f"percentile_approx(v, {_array([x / 200 for x in range(201)])}, {ACCURACY})").alias("s"),
+                ).collect()}
+                few = {g: grid[g]["d"] for g in big if grid[g]["d"] <= PICK_LIMIT // len(big)}
+                for g in big.keys() - few.keys():
+                    for key in big[g]:
+                        w, lo, size = wanted[key], below[g], sizes[g]
+                        q0, q1 = ((rank - lo) / size for rank in w["ranks"])
+                        a, b = math.floor(q0 * 200) - 1, math.ceil(q1 * 200) + 1
+                        w["lo"] = grid[g]["s"][a] if a >= 0 else spans[g[0]][g[1] // 2][0]
+                        w["hi"] = grid[g]["s"][b] if b <= 200 else spans[g[0]][g[1] // 2][1]
+            if few:
+                small = hit.where(" OR ".join(f"(k = {i} AND r = {r})" for i, r in few))
+                for r in small.groupBy("k", "r", "v").count().collect():
+                    values.setdefault((r["k"], r["r"]), []).append((r["v"], r["count"]))
+        for g, keys in big.items():
+            if g in values:
+                counts = sorted(values[g])
+                for key in keys:
+                    w = wanted.pop(key)
+                    lo, hi = (_pick(counts, below[g], rank) for rank in w["ranks"])
+                    found[key] = lo + (hi - lo) * w["part"]
+    if wanted:
         raise RuntimeError("quantile brackets did not close")
     return {c: [found[i, p] for p in probs] for i, c in enumerate(columns)}
 
 
+def _merged(spans: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Disjoint ascending intervals that cover the given ones."""
+    out: list[list[float]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return [tuple(x) for x in out]
+
+
 def group_quantiles(
     df: DataFrame, by: Sequence[str], column: str, probs: Sequence[float],
     names: Sequence[str] | None = None,
