@@ -17,7 +17,8 @@ ENDINGS = (
     (r"(matr|vert|ind)(?:ix|ex)$", r"\1ices", r"(matr)ices$", r"\1ix"),
     (r"(x|ch|ss|sh)$", r"\1es", r"(x|ch|ss|sh)es$", r"\1"),
     (r"([^aeiouy]|qu)y$", r"\1ies", r"([^aeiouy]|qu)ies$", r"\1y"),
-    (r"(?:([^f])fe|([lr])f)$", r"\1\2ves", r"([lr])ves$", r"\1f"),
+    (r"(kni|wi|li)fe$", r"\1ves", r"(kni|wi|li)ves$", r"\1fe"),
+    (r"([lr])f$", r"\1ves", r"([lr])ves$", r"\1f"),
     (r"sis$", "ses", r"(analy|ba|diagno|parenthe|progno|synop|the)ses$", r"\1sis"),
     (r"([ti])um$", r"\1a", r"([ti])a$", r"\1um"),
     (r"(buffal|tomat|potat)o$", r"\1oes", r"(buffal|tomat|potat)oes$", r"\1o"),
@@ -72,7 +73,7 @@ def pluralize(name: str) -> str:
             return _cased(word, IRREGULAR[low])
         if re.search(r"(alias|status|bus)$", low):
             return word + "es"
-        for one, many, _, _ in ENDINGS[:7]:
+        for one, many, _, _ in ENDINGS[:-1]:
             if re.search(one, word):
                 return re.sub(one, many, word)
         return word if low.endswith("s") else word + "s"

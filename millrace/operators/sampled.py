@@ -132,7 +132,10 @@ def sos(points: np.ndarray, perplexity: float = 4.5, seed: int = SEED):
     z = np.exp(-beta[:, None] * (d2 - near[:, None])).sum(1)
 
     def score(x: np.ndarray) -> np.ndarray:
-        a = np.exp(np.minimum(-beta * (_distances(x, points) ** 2 - near), 700))
+        d = _distances(x, points)
+        a = np.exp(np.minimum(-beta * (d**2 - near), 700))
+        own = d.argmin(1)  # a row of the sample does not bind to itself
+        a[np.arange(len(x)), own] *= d.min(1) > 0
         return np.exp(np.log1p(-np.minimum(a / (z + a), 1 - 1e-12)).sum(1))
 
     return score
@@ -251,7 +254,7 @@ def kpca(points: np.ndarray, components: int = 10, seed: int = SEED):
     col, whole = k.mean(0), k.mean()
     values, vectors = np.linalg.eigh(k - col - col[:, None] + whole)
     values, vectors = values[::-1][:components], vectors[:, ::-1][:, :components]
-    keep = values > 1e-9
+    keep = values > 0.01 * k.trace()  # a lone sampled outlier must not explain itself
     load = vectors[:, keep] / np.sqrt(values[keep])
 
     def score(x: np.ndarray) -> np.ndarray:

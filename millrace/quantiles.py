@@ -134,7 +134,7 @@ def column_quantiles(
                     F.approx_count_distinct("v").alias("d"),
                     F.expr(f"percentile_approx(v, {_array([x / 200 for x in range(201)])}, {ACCURACY})").alias("s"),
                 ).collect()}
-                few = {g: grid[g]["d"] for g in big if grid[g]["d"] <= PICK_LIMIT // len(big)}
+                few = {g: grid[g]["d"] for g in big if grid[g]["d"] <= max(64, PICK_LIMIT // len(big))}
                 for g in big.keys() - few.keys():
                     for key in big[g]:
                         w, lo, size = wanted[key], below[g], sizes[g]
