@@ -187,7 +187,7 @@ def spikes(spark):
     return spark.createDataFrame(pd.DataFrame({"k": np.arange(400), "v": x, "w": rng.normal(size=400)})).cache()
 
 
-@pytest.mark.parametrize("model", [m for m in A.MODELS if m not in ("QMCD", "SOD", "Sampling")])
+@pytest.mark.parametrize("model", [m for m in A.MODELS if m not in ("QMCD", "SOD", "SOS", "Sampling")])
 def test_detectors_find_spikes(spikes, model):
     found = A.detect(spikes, ["k"], ["v", "w"] if model == "FB" else ["v"], [model]).where("`column` = 'v'")
     rows = {r["k"]: (r["score"], r["label"]) for r in found.collect()}
@@ -195,7 +195,7 @@ def test_detectors_find_spikes(spikes, model):
     assert all(rows[k][1] == 1 for k in (17, 203, 390))
 
 
-@pytest.mark.parametrize("model", ["SOD", "Sampling", "QMCD"])
+@pytest.mark.parametrize("model", ["SOD", "SOS", "Sampling", "QMCD"])
 def test_other_detectors_score_every_row(spikes, model):
     rows = A.detect(spikes, ["k"], ["v"], [model]).collect()
     assert len(rows) == 400 and all(np.isfinite(r["score"]) for r in rows)
