@@ -61,7 +61,7 @@ def _mean_of_models(data: DataFrame, key: Sequence[str]) -> DataFrame:
         mean, std = s.agg(F.avg("score"), F.stddev_pop("score")).first()
         parts.append(s.withColumn("score", (F.col("score") - mean) / (std or 1.0)))
     every = reduce(DataFrame.unionByName, parts)
-    return every.groupBy(*key).agg(F.first("x").alias("x"), F.avg("score").alias("score"))
+    return every.groupBy(*key).agg(F.max("x").alias("x"), F.avg("score").alias("score"))
 
 
 def label(scored: DataFrame, model: str, contamination: float = CONTAMINATION) -> DataFrame:

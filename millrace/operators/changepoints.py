@@ -1,8 +1,9 @@
 """Change points by penalised optimal partitioning, in bounded blocks.
 
-Each block is searched by one task. For the l2 cost the change points found in all blocks are
-candidates of a second search over running sums of the whole series, which drops those that only
-block borders made. A series within one block gets the exact result.
+Each block is searched by one task, together with the rows around it, and keeps the changes among
+its own rows, so that none is lost or made by a border. For the l2 cost the changes of all blocks
+are candidates of a second search over running sums of the whole series. A series within one block
+gets the exact result.
 """
 
 from __future__ import annotations
@@ -71,10 +72,12 @@ def change_points(df: DataFrame, value: str, order_by: Sequence[str], series: Se
     values gets none; of more than ``max_change_points`` found every n-th is reported.
     """
     data = df.where(F.col(value).isNotNull()).select(*series, *order_by, F.col(value).cast("double").alias("_y"))
-    size = BLOCK_ROWS[model]
+    size, around = BLOCK_ROWS[model] // 2, BLOCK_ROWS[model] // 4
     stats = data.groupBy(*series).agg(
         F.count("_y").alias("_n"), F.avg("_y").alias("_m"), (F.stddev_pop("_y") * penalty_factor).alias("_pen"))
-    blocks = ordered.blocked(data, order_by, series=series, rows=size)
+    if ordered.largest_group(data, series) <= BLOCK_ROWS[model]:
+        size, around = BLOCK_ROWS[model], 0
+    blocks = ordered.blocked(data, order_by, around, around, series, rows=size)
     blocks = (blocks.join(F.broadcast(stats)) if not series else blocks.join(stats, list(series))).where(f"_n >= {MIN_POINTS}")
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in series)
     lead = kinds + ", " if kinds else ""
@@ -82,17 +85,17 @@ def change_points(df: DataFrame, value: str, order_by: Sequence[str], series: Se
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ordered.POSITION)
         y, pen, start = pdf["_y"].to_numpy(), pdf["_pen"].iloc[0], int(pdf[ordered.POSITION].iloc[0])
-        places = [*range(0, len(y), JUMP), len(y)]
+        # Multiples of JUMP along the whole series, so that overlapping blocks agree on places.
+        places = sorted({0, *range(-start % JUMP, len(y), JUMP), len(y)})
         cuts = best_partition(places, segment_cost(y, model), pen, min_segment_size) if len(y) >= 2 * min_segment_size else []
-        cuts = [start + c for c in cuts] + ([start] if start else [])
+        mine = pdf[ordered.POSITION].to_numpy()[pdf[ordered.HOME].to_numpy(bool)]
+        cuts = [start + c for c in cuts if len(mine) and mine[0] <= start + c <= mine[-1]]
         return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(cuts) for c in series}, "position": np.array(cuts, "int64")})
 
     by = [*series, ordered.BLOCK]
-    found = blocks.select(*by, ordered.POSITION, "_y", "_pen").groupBy(*by).applyInPandas(search, f"{lead}position bigint")
+    found = blocks.select(*by, ordered.POSITION, ordered.HOME, "_y", "_pen").groupBy(*by).applyInPandas(search, f"{lead}position bigint")
     if model == "l2":
-        found = _merge(data, found, stats, order_by, series, lead, min_segment_size)
-    else:
-        found = found.where(F.col("position") % size != 0)  # a border is no change by itself
+        found = _merge(data, found, stats, order_by, series, lead)
     w = W.partitionBy(*series) if series else W.partitionBy(F.lit(0))
     ranked = found.withColumns({"_i": F.row_number().over(w.orderBy("position")) - 1, "_all": F.count(F.lit(1)).over(w)})
     step = F.greatest(F.lit(1), F.floor(F.col("_all") / max_change_points))
@@ -100,7 +103,7 @@ def change_points(df: DataFrame, value: str, order_by: Sequence[str], series: Se
     return ranked.where(thin).select(*series, "position")
 
 
-def _merge(data: DataFrame, found: DataFrame, stats: DataFrame, order_by, series, lead: str, min_size: int) -> DataFrame:
+def _merge(data: DataFrame, found: DataFrame, stats: DataFrame, order_by, series, lead: str) -> DataFrame:
     """Search again among the candidates of all blocks, on running sums at just those places."""
     many = stats.where(f"_n > {BLOCK_ROWS['l2']}")
     if many.isEmpty():

@@ -112,12 +112,11 @@ def lof(df: DataFrame, key: Sequence[str], k: int = LOF_K) -> DataFrame:
         return F.slice(ranked, 1, k)
 
     mean = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, o: s + f(o)) / F.size(a)
-    numbered = ordered.with_position(df, ["x", *key], name="at")
-    out = ordered.framed(numbered, ["at"], [
+    out = ordered.framed(df, ["x", *key], [
         lambda w: {"kdist": F.element_at(nearest(w), -1)["d"]},
         lambda w: {"dens": 1 / (mean(nearest(w, "kdist"), lambda o: F.greatest(o["kdist"], o["d"])) + 1e-10)},
         lambda w: {"score": mean(nearest(w, "dens"), lambda o: o["dens"]) / F.col("dens")},
-    ], 3 * k, 3 * k)
+    ], 3 * k, 3 * k, position="at")
     return out.drop("at", "kdist", "dens")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql.types import (
 
 from millrace import ordered
 from millrace.quantiles import column_modes, column_quantiles
+from millrace.session import cut_lineage, hash_sample
 
 # Words that count as missing, and the default replacements.
 MISSING_WORDS = ("nan", "NaN", "None", "NULL")
@@ -116,11 +117,13 @@ def interpolate(df: DataFrame, column: str, order_by: Sequence[str], series: Seq
     """Linear by row position; leading gaps stay, trailing gaps take the last value."""
     if not order_by:
         raise ValueError("order_by is needed: rows have no order of their own")
-    pos = ordered.with_position(df, order_by, series, "_at")
+    small = ordered.is_small(df, series)
+    pos = ordered.with_position(df, order_by, series, "_at", small)
     known = F.when(F.col(column).isNotNull(), F.struct(F.col("_at"), F.col(column).cast("double").alias("v")))
+    pos = pos.withColumn("_known", known)
     pos = ordered.fill_along(
-        pos.withColumn("_known", known), ["_known"], ["_at"], series,
-        forward={"_known": "_prev"}, backward={"_known": "_next"},
+        pos if small else cut_lineage(pos), ["_known"], ["_at"], series,
+        forward={"_known": "_prev"}, backward={"_known": "_next"}, small=small,
     )
     slope = (F.col("_next.v") - F.col("_prev.v")) / F.nullif(F.col("_next._at") - F.col("_prev._at"), F.lit(0))
     value = F.when(F.col(column).isNotNull(), F.col(column).cast("double")).when(
@@ -222,9 +225,7 @@ def knn_impute(df: DataFrame, columns: Sequence[str], key: Sequence[str], k: int
     coded, tables = category_codes(df, strings)
     num = coded.withColumns({c: F.col(c).cast("double") for c in columns})
     gap = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
-    pool = num.select(*columns, F.xxhash64(*key).alias("_h"), *key)
-    if pool.limit(donors + 1).count() > donors:
-        pool = pool.orderBy("_h", *key).limit(donors)
+    pool = hash_sample(num.select(*columns, *key), key, donors, 42)
     fixed = pool.orderBy(*key).toPandas()[list(columns)].to_numpy(float)  # at most `donors` rows
     held = df.sparkSession.sparkContext.broadcast(fixed)
     width = len(columns)

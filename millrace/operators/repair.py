@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from millrace import ordered
 from millrace.operators import missing as M
 from millrace.quantiles import column_modes, column_quantiles
+from millrace.session import cut_lineage
 
 FLAG = "_anomaly"
 Z_THRESHOLDS = (1.5, 2, 3, 4)
@@ -118,10 +119,11 @@ def fix(df: DataFrame, column: str, labels: DataFrame, key: Sequence[str], metho
 
 def _nearest(hidden: DataFrame, column: str, order_by: Sequence[str]) -> DataFrame:
     """The closer of the previous and the next known value by position; the previous on a tie."""
-    pos = ordered.with_position(hidden, order_by, name="_at")
-    known = F.when(F.col(column).isNotNull(), F.struct(F.col("_at"), F.col(column).alias("v")))
+    small = ordered.is_small(hidden, [])
+    pos = ordered.with_position(hidden, order_by, name="_at", small=small)
+    pos = pos.withColumn("_k", F.when(F.col(column).isNotNull(), F.struct(F.col("_at"), F.col(column).alias("v"))))
     both = ordered.fill_along(
-        pos.withColumn("_k", known), ["_k"], ["_at"], forward={"_k": "_p"}, backward={"_k": "_n"})
+        pos if small else cut_lineage(pos), ["_k"], ["_at"], forward={"_k": "_p"}, backward={"_k": "_n"}, small=small)
     to_prev, to_next = F.col("_at") - F.col("_p._at"), F.col("_n._at") - F.col("_at")
     value = F.when(F.col("_n").isNull() | (to_prev <= to_next), F.col("_p.v")).otherwise(F.col("_n.v"))
     return both.withColumn(column, F.coalesce(F.col(column), value)).select(*hidden.columns)

@@ -13,11 +13,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
+from millrace.session import hash_sample
+
 SEED = 42
 
 
 def take_sample(df: DataFrame, columns: Sequence[str], key: Sequence[str], size: int, seed: int = SEED) -> np.ndarray:
-    rows = df.select(*columns, *key).orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(size).toPandas()
+    rows = hash_sample(df.select(*columns, *key), key, size, seed).toPandas()
     return rows[list(columns)].to_numpy(float)
 
 

@@ -181,7 +181,7 @@ def audit_alerts(windows: DataFrame, series: Sequence[str] = (), mean_pct: float
 def decompose(df: DataFrame, value: str, order_by: Sequence[str], period: int = 7, model: str = "additive",
               series: Sequence[str] = ()) -> DataFrame:
     """Add trend (centred moving average), seasonal (mean by phase, centred) and residual."""
-    data = ordered.with_position(df.where(F.col(value).isNotNull()), order_by, series, "_at")
+    data = df.where(F.col(value).isNotNull())
     half, y = period // 2, F.col(value).cast("double")
 
     def build(w):
@@ -191,7 +191,7 @@ def decompose(df: DataFrame, value: str, order_by: Sequence[str], period: int =
         whole = F.count(y).over(w.rowsBetween(-half, half)) == 2 * half + 1
         return {"trend": F.when(whole, inner / period)}
 
-    out = ordered.framed(data, ["_at"], build, half, half, series)
+    out = ordered.framed(data, order_by, build, half, half, series, position="_at")
     add = model == "additive"
     out = out.withColumn("_phase", F.col("_at") % period).withColumn("_free", y - F.col("trend") if add else y / F.col("trend"))
     per = out.groupBy(*series, "_phase").agg(F.avg("_free").alias("_s"))

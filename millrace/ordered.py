@@ -130,11 +130,14 @@ def carry(
 
 def running_sum(
     df: DataFrame, order: Sequence[str], sums: dict[str, Column], series: Sequence[str] = (),
-    totals: dict[str, Column] | None = None,
+    totals: dict[str, Column] | None = None, small: bool | None = None,
 ) -> DataFrame:
-    """Add inclusive running sums (and whole-series totals) along ``order``."""
+    """Add inclusive running sums (and whole-series totals) along ``order``.
+
+    Here and below ``small`` says what ``is_small`` would find out, where the caller knows it.
+    """
     totals = totals or {}
-    if is_small(df, series):
+    if is_small(df, series) if small is None else small:
         w = W.partitionBy(*series) if series else W.partitionBy(F.lit(0))
         run = w.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         return df.select(
@@ -161,10 +164,11 @@ def running_sum(
 
 
 def with_position(
-    df: DataFrame, order: Sequence[str], series: Sequence[str] = (), name: str = POSITION
+    df: DataFrame, order: Sequence[str], series: Sequence[str] = (), name: str = POSITION,
+    small: bool | None = None,
 ) -> DataFrame:
     """Add the 0-based row position inside each series along ``order``."""
-    if is_small(df, series):
+    if is_small(df, series) if small is None else small:
         w = W.partitionBy(*series) if series else W.partitionBy(F.lit(0))
         return df.withColumn(name, F.row_number().over(w.orderBy(*order)).cast("bigint") - 1)
     b = carry(
@@ -223,22 +227,27 @@ def fill_along(
 
 def framed(
     df: DataFrame, order: Sequence[str], build: Callable[[W], dict[str, Column]] | Sequence[Callable],
-    before: int = 0, after: int = 0, series: Sequence[str] = (),
+    before: int = 0, after: int = 0, series: Sequence[str] = (), position: str | None = None,
 ) -> DataFrame:
     """Add window columns whose frames reach ``before`` rows back and ``after`` ahead.
 
     ``build`` gets the ordered window and returns the named columns; a list of builders runs
     one after the other, each on the columns of those before it, and ``before`` and ``after``
     are then the reach of all together. On large series the rows are numbered, cut into blocks
-    of equal size, and each block also receives the few rows beyond its borders.
+    of equal size, and each block also receives the few rows beyond its borders. ``position``
+    names a column for the 0-based position in the series, which builders may use.
     """
     stages = [build] if callable(build) else list(build)
     if is_small(df, series):
         w = (W.partitionBy(*series) if series else W.partitionBy(F.lit(0))).orderBy(*order)
+        if position:
+            df = with_position(df, order, series, position, small=True)
         for stage in stages:
             df = df.select("*", *[c.alias(n) for n, c in stage(w).items()])
         return df
-    out = blocked(df, order, before, after, series)
+    out = blocked(df, order, before, after, series, small=False)
+    if position:
+        out = out.withColumn(position, F.col(POSITION))
     w = W.partitionBy(*series, BLOCK).orderBy(POSITION)
     for stage in stages:
         out = out.select("*", *[c.alias(n) for n, c in stage(w).items()])
@@ -247,7 +256,7 @@ def framed(
 
 def blocked(
     df: DataFrame, order: Sequence[str], before: int = 0, after: int = 0, series: Sequence[str] = (),
-    rows: int | None = None,
+    rows: int | None = None, small: bool | None = None,
 ) -> DataFrame:
     """Rows with ``POSITION``, cut into blocks (``BLOCK``) of at most ``rows`` rows per series.
 
@@ -255,7 +264,7 @@ def blocked(
     there with ``HOME`` false. A (series, block) group is bounded, so it may be one task's work.
     """
     size = max(rows or _setting(df, "rowsPerBucket", ROWS_PER_BUCKET), before, after, 1)
-    pos = with_position(df, order, series)
+    pos = with_position(df, order, series, small=small)
     block = F.floor(F.col(POSITION) / size)
     inside = F.col(POSITION) % size
     away = lambda b: F.struct(b.alias("b"), F.lit(False).alias("h"))

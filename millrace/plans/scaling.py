@@ -131,8 +131,9 @@ def pca_two_columns(t):
 
 @query("pca_embeddings", "Z-13")
 def pca_embeddings(t):
-    wide = t.embeddings.select("vec_id", *[F.col("embedding")[i].alias(f"e{i}") for i in range(8)])
-    return Z.pca(wide, [f"e{i}" for i in range(8)], 3)[0].select("vec_id", "PCA_1", "PCA_2", "PCA_3")
+    width = t.embeddings.select(F.size("embedding")).first()[0]
+    wide = t.embeddings.select("vec_id", *[F.col("embedding")[i].alias(f"e{i}") for i in range(width)])
+    return Z.pca(wide, [f"e{i}" for i in range(width)], 3)[0].select("vec_id", "PCA_1", "PCA_2", "PCA_3")
 
 
 @query("batch_normalise", "Z-14", """

@@ -180,9 +180,14 @@ def decompose_additive(t):
     return out.select("ts", *[F.round(F.col(c) + 1.3e-7, 5).alias(c) for c in ("trend", "seasonal", "residual")])
 
 
-@query("decompose_multiplicative", "T-9")
+@query("decompose_multiplicative", "T-9", f"""
+WITH {HOURLY}, p AS (SELECT ts, value, row_number() OVER (ORDER BY ts) - 1 AS i FROM h),
+t AS (SELECT *, CASE WHEN count(*) OVER w = 7 THEN avg(value) OVER w END AS trend FROM p WINDOW w AS (ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING)),
+g AS (SELECT i % 7 AS ph, avg(value / trend) AS s FROM t GROUP BY 1), c AS (SELECT ph, s / (SELECT avg(s) FROM g) AS seasonal FROM g)
+SELECT ts::TIMESTAMP AS ts, value, round(trend, 6) AS trend, round(seasonal, 6) AS seasonal, round(value / trend / seasonal, 6) AS residual FROM t JOIN c ON ph = i % 7""")
 def decompose_multiplicative(t):
-    return T.decompose(hourly(t), "value", ["ts"], 7, "multiplicative")
+    out = T.decompose(hourly(t), "value", ["ts"], 7, "multiplicative")
+    return out.withColumns({c: F.round(c, 6) for c in ("trend", "seasonal", "residual")})
 
 
 @query("decomposition_strength", "T-9", f"""

@@ -40,10 +40,10 @@ def auto_standardize(t):
 
 
 @query("standard_number_keeps_text", "V-2", """
-SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'n/a' ELSE (p_partkey * 1000)::DOUBLE::VARCHAR END AS v FROM part WHERE p_partkey < 9000""")
+SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'n/a' ELSE (p_size * 1000)::DOUBLE::VARCHAR END AS v FROM part""")
 def standard_number(t):
-    text = F.expr("IF(p_partkey % 3 = 0, 'n/a', '$' || format_number(p_partkey * 1000, 0))")
-    return t.part.where("p_partkey < 9000").select("p_partkey", V.standard_number(text).alias("v"))
+    text = F.expr("IF(p_partkey % 3 = 0, 'n/a', '$' || format_number(p_size * 1000, 0))")
+    return t.part.select("p_partkey", V.standard_number(text).alias("v"))
 
 
 @query("clean_text", "V-7", r"""

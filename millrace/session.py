@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -55,3 +57,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def hash_sample(df: DataFrame, key: Sequence[str], size: int, seed: int) -> DataFrame:
+    """The ``size`` rows with the smallest key hash, in that order.
+
+    A threshold on the hash first keeps little more than ``size`` rows of the whole table, so
+    no task hands on ``size`` rows of its own.
+    """
+    rank = F.xxhash64(*key, F.lit(seed)).bitwiseAND(F.lit(2**63 - 1))
+    ranked = df.withColumn("_rank", rank)
+    n = df.count()
+    if n > 2 * size:
+        near = ranked.where(F.col("_rank") < F.lit(int(2**63 * min(1.0, (1.2 * size + 200) / n)) - 1))
+        if near.count() >= size:
+            ranked = near
+    return ranked.orderBy("_rank", *key).limit(size).drop("_rank")

@@ -235,6 +235,9 @@ def test_change_points(spark, monkeypatch):
     monkeypatch.setitem(CP.BLOCK_ROWS, "l2", 130)
     split = [r["position"] for r in CP.change_points(df, "y", ["t"], penalty_factor=20).orderBy("position").collect()]
     assert split == [100, 200, 300]
+    monkeypatch.setitem(CP.BLOCK_ROWS, "l1", 200)
+    got = [r["position"] for r in CP.change_points(df, "y", ["t"], model="l1", penalty_factor=20).orderBy("position").collect()]
+    assert got == [100, 200, 300]
     seg = CP.segments(df, "y", ["t"], CP.change_points(df, "y", ["t"], penalty_factor=20)).orderBy("segment").collect()
     assert [(r["start"], r["end"], r["samples"]) for r in seg] == [(0, 99, 100), (100, 199, 100), (200, 299, 100), (300, 399, 100)]
 
