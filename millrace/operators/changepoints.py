@@ -90,7 +90,7 @@ def change_points(df: DataFrame, value: str, order_by: Sequence[str], series: Se
         cuts = best_partition(places, segment_cost(y, model), pen, min_segment_size) if len(y) >= 2 * min_segment_size else []
         mine = pdf[ordered.POSITION].to_numpy()[pdf[ordered.HOME].to_numpy(bool)]
         cuts = [start + c for c in cuts if len(mine) and mine[0] <= start + c <= mine[-1]]
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(cuts) for c in series}, "position": np.array(cuts, "int64")})
+        return _rows(pdf, series, cuts)
 
     by = [*series, ordered.BLOCK]
     found = blocks.select(*by, ordered.POSITION, ordered.HOME, "_y", "_pen").groupBy(*by).applyInPandas(search, f"{lead}position bigint")
@@ -103,6 +103,12 @@ def change_points(df: DataFrame, value: str, order_by: Sequence[str], series: Se
     return ranked.where(thin).select(*series, "position")
 
 
+def _rows(pdf: pd.DataFrame, series: Sequence[str], cuts: Sequence[int]) -> pd.DataFrame:
+    """The cuts with the group's series values, also when there is no cut."""
+    named = {c: pd.Series([pdf[c].iloc[0]] * len(cuts), dtype=object) for c in series}
+    return pd.DataFrame({**named, "position": np.array(cuts, "int64")})
+
+
 def _merge(data: DataFrame, found: DataFrame, stats: DataFrame, order_by, series, lead: str) -> DataFrame:
     """Search again among the candidates of all blocks, on running sums at just those places."""
     many = stats.where(f"_n > {BLOCK_ROWS['l2']}")
@@ -120,8 +126,7 @@ def _merge(data: DataFrame, found: DataFrame, stats: DataFrame, order_by, series
         s1, s2 = (np.concatenate([[0.0], pdf[c].to_numpy()]) for c in ("s1", "s2"))
         cost = lambda a, b: (s2[b] - s2[a]) - (s1[b] - s1[a]) ** 2 / (pos[b] - pos[a])
         index = best_partition(range(len(pos)), cost, pdf["_pen"].iloc[0], 1)
-        cuts = pos[index].astype("int64")
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(cuts) for c in series}, "position": cuts})
+        return _rows(pdf, series, pos[index])
 
     # One group is the candidates of a series, not its rows.
     grouped = sums.withColumn("_g", F.lit(0)).groupBy("_g", *series)

@@ -8,8 +8,10 @@ distinct value replace pairwise distances, so nothing grows faster than a sort.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from millrace import ordered
@@ -17,6 +19,7 @@ from millrace.quantiles import column_quantiles
 
 KNN_K, LOF_K, ABOD_K = 5, 20, 5
 HIST_BINS, HIST_ALPHA = 10, 0.1
+BLOCK_ROWS = 100_000  # a few dozen neighbours of each row of a block fit one task
 KDE_STEP, KDE_BINS = 0.0005, 10_000
 
 
@@ -100,36 +103,57 @@ def knn(df: DataFrame, key: Sequence[str], k: int = KNN_K) -> DataFrame:
     return out.withColumn("score", F.get("near", size - 1)["d"]).drop("near")
 
 
+def _by_block(df: DataFrame, key: Sequence[str], reach: int, compute: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``compute`` on the sorted values of bounded blocks, each with ``reach`` rows on either side."""
+    blocks = ordered.blocked(df.select(*key, "x"), ["x", *key], reach, reach, rows=BLOCK_ROWS)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(ordered.POSITION)
+        return pdf.assign(score=compute(pdf["x"].to_numpy())).loc[pdf[ordered.HOME], [*key, "x", "score"]]
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in [*key, "x"])
+    return blocks.groupBy(ordered.BLOCK).applyInPandas(run, f"{kinds}, score double")
+
+
+def _nearest(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, places) of the k nearest other values of a sorted array, the earlier on ties."""
+    steps = np.r_[-k:0, 1:k + 1]
+    at = np.arange(len(x))[:, None] + steps
+    out = (at < 0) | (at >= len(x))
+    at = np.clip(at, 0, len(x) - 1)
+    d = np.where(out, np.inf, np.abs(x[at] - x[:, None]))
+    best = np.argsort(d, 1, kind="stable")[:, :min(k, len(x) - 1)]
+    return np.take_along_axis(d, best, 1), np.take_along_axis(at, best, 1)
+
+
 def lof(df: DataFrame, key: Sequence[str], k: int = LOF_K) -> DataFrame:
     """Local outlier factor: mean density of the k nearest rows over the row's own."""
-    frame = lambda w: w.rowsBetween(-k, k)
+    def compute(x: np.ndarray) -> np.ndarray:
+        if len(x) < 2:
+            return np.ones(len(x))
+        d, at = _nearest(x, k)
+        dens = 1 / (np.maximum(d[:, -1][at], d).mean(1) + 1e-10)
+        return dens[at].mean(1) / dens
 
-    def nearest(w: W, *fields: str) -> Column:
-        around = F.collect_list(F.struct("x", "at", *fields)).over(frame(w))
-        others = F.filter(around, lambda o: o["at"] != F.col("at"))
-        ranked = F.array_sort(F.transform(others, lambda o: F.struct(
-            F.abs(o["x"] - F.col("x")).alias("d"), o["at"].alias("at"), *[o[f].alias(f) for f in fields])))
-        return F.slice(ranked, 1, k)
-
-    mean = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, o: s + f(o)) / F.size(a)
-    out = ordered.framed(df, ["x", *key], [
-        lambda w: {"kdist": F.element_at(nearest(w), -1)["d"]},
-        lambda w: {"dens": 1 / (mean(nearest(w, "kdist"), lambda o: F.greatest(o["kdist"], o["d"])) + 1e-10)},
-        lambda w: {"score": mean(nearest(w, "dens"), lambda o: o["dens"]) / F.col("dens")},
-    ], 3 * k, 3 * k, position="at")
-    return out.drop("at", "kdist", "dens")
+    # The neighbours of neighbours of neighbours of a row lie within 3 k rows.
+    return _by_block(df, key, 3 * k, compute)
 
 
 def abod(df: DataFrame, key: Sequence[str], k: int = ABOD_K) -> DataFrame:
-    """Minus the variance of 1 / (a * b) over pairs of the k nearest rows at distances a, b
-    (signed); rows at the same place are left out, and a row with fewer than two others is dense."""
-    out = ordered.framed(df, ["x", *key], lambda w: {"near": F.slice(_neighbours(w, k), 1, k)}, k, k)
-    signed = F.transform(F.filter("near", lambda o: o["d"] > 0), lambda o: F.signum(o["j"]) * o["d"])
-    pairs = F.flatten(F.transform(signed, lambda a, i: F.transform(
-        F.slice(signed, i + 2, F.lit(k)), lambda b: 1 / (a * b))))
-    mean = F.aggregate(pairs, F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size(pairs), F.lit(0))
-    square = F.aggregate(pairs, F.lit(0.0), lambda s, v: s + v * v) / F.nullif(F.size(pairs), F.lit(0))
-    return out.withColumn("score", F.coalesce(-(square - mean * mean), F.lit(-1e300))).drop("near")
+    """Minus the variance of 1 / (a * b) over pairs of the k nearest rows at signed distances a, b;
+    rows at the same place are left out, and a row with fewer than two others is dense."""
+    def compute(x: np.ndarray) -> np.ndarray:
+        if len(x) < 3:
+            return np.full(len(x), -1e300)
+        d, at = _nearest(x, k)
+        v = np.where(np.isfinite(d) & (d > 0), x[at] - x[:, None], np.nan)
+        i, j = np.triu_indices(v.shape[1], 1)
+        c = 1 / (v[:, i] * v[:, j])
+        n = (~np.isnan(c)).sum(1)
+        mean, square = np.nansum(c, 1) / np.maximum(n, 1), np.nansum(c * c, 1) / np.maximum(n, 1)
+        return np.where(n > 0, mean**2 - square, -1e300)
+
+    return _by_block(df, key, k, compute)
 
 
 def support_fractions(n: int, low_variance: int) -> list[float]:
@@ -177,8 +201,6 @@ def kde(df: DataFrame, key: Sequence[str], bandwidth: float = 1.0) -> DataFrame:
     Rows are counted on a fine grid; the density is summed over the occupied cells, whose number
     is bounded by the grid, and read off linearly between cell centres.
     """
-    import numpy as np
-
     lo, hi, n = df.agg(F.min("x"), F.max("x"), F.count("x")).first()
     step = max(KDE_STEP, (hi - lo) / KDE_BINS)
     cell = F.floor((F.col("x") - lo) / step).cast("int")
