@@ -51,7 +51,7 @@ SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net,
        CASE WHEN l_tax > 0.05 AND l_quantity > 10 THEN sqrt(l_quantity) ELSE -abs(l_tax) END AS mix,
        l_quantity - (-7) * floor(l_quantity / (-7)) AS neg_mod,
        CASE WHEN l_discount = 0 THEN NULL ELSE l_tax / l_discount END AS ratio
-FROM lineitem""")
+FROM lineitem""", rounded="net sq mix neg_mod ratio", digits=8)
 def computed_column(t):
     li = t.lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_quantity", "l_tax")
     for name, text in {
@@ -63,7 +63,7 @@ def computed_column(t):
     return li.select("l_orderkey", "l_linenumber", "net", "sq", "mix", "neg_mod", "ratio")
 
 
-@query("computed_eval", "P-6 U-1", "SELECT p_partkey, p_retailprice / p_size + sin(pi() * p_size) AS v FROM part")
+@query("computed_eval", "P-6 U-1", "SELECT p_partkey, p_retailprice / p_size + sin(pi() * p_size) AS v FROM part", rounded="v", digits=9)
 def computed_eval(t):
     return t.part.select("p_partkey", column_expr("p_retailprice / p_size + sin(pi * p_size)", t.part).alias("v"))
 
@@ -252,7 +252,7 @@ def count_duplicates(t):
 SELECT p_partkey, log10(p_retailprice) AS lg, exp(p_size / 10.0) AS ex, atan(p_size) AS at, degrees(p_size) AS dg,
        sinh(p_size / 10.0) AS sh, gcd(CAST(p_partkey AS BIGINT), CAST(p_size AS BIGINT)) AS g,
        trunc(-p_retailprice / 7) AS tr, abs(p_size - 25) <= 0.1 * greatest(p_size, 25) AS cl, factorial(p_size % 10)::BIGINT AS fc
-FROM part""")
+FROM part""", rounded="lg ex at dg sh", digits=9)
 def scalar_math(t):
     p, texts = t.part, {
         "lg": "log10(p_retailprice)", "ex": "exp(p_size / 10.0)", "at": "atan(p_size)", "dg": "degrees(p_size)",
@@ -267,21 +267,21 @@ def scalar_math(t):
 SELECT p_partkey, least(greatest(p_size, 10), 40) AS clipped,
        CASE WHEN p_size >= 30 THEN 3 WHEN p_size >= 20 THEN 2 WHEN p_size >= 10 THEN 1 ELSE 0 END AS bin,
        CASE WHEN p_size <= 10 THEN p_size / 10.0 WHEN p_size <= 30 THEN 1 + (p_size - 10) * 0.2 ELSE 5 END AS curve,
-       ln(1 + p_size) AS l1, exp(p_size / 50.0) - 1 AS e1, log2(p_size) AS l2, sign(p_size - 25) AS sg, p_size = -1 AS inf
-FROM part""")
+       ln(1 + p_size) AS l1, exp(p_size / 50.0) - 1 AS e1, log2(p_size) AS l2, sign(p_size - 25)::INTEGER AS sg, p_size = -1 AS inf
+FROM part""", rounded="curve l1 e1 l2", digits=9)
 def scalar_numeric(t):
     size = F.col("p_size")
     return t.part.select(
         "p_partkey", S.clip(size, F.lit(10), F.lit(40)).alias("clipped"), S.digitize(size, [10, 20, 30]).alias("bin"),
         S.interp(size, [0, 10, 30], [0, 1, 5]).alias("curve"), F.log1p(size).alias("l1"),
-        F.expm1(size / 50).alias("e1"), F.log2(size).alias("l2"), F.signum(size - 25).cast("tinyint").alias("sg"),
+        F.expm1(size / 50).alias("e1"), F.log2(size).alias("l2"), F.signum(size - 25).cast("int").alias("sg"),
         S.is_inf(size).alias("inf"),
     )
 
 
 @query("scalar_aggregates", "2.9 numpy aggregate", """
 SELECT avg(l_quantity) AS mean, stddev_pop(l_quantity) AS std, var_pop(l_quantity) AS var, corr(l_quantity, l_extendedprice) AS r,
-       covar_samp(l_quantity, l_extendedprice) AS cov, count(DISTINCT l_quantity) AS n_unique FROM lineitem""")
+       covar_samp(l_quantity, l_extendedprice) AS cov, count(DISTINCT l_quantity) AS n_unique FROM lineitem""", rounded="mean std var r cov")
 def scalar_aggregates(t):
     return t.lineitem.agg(
         F.avg("l_quantity").alias("mean"), F.stddev_pop("l_quantity").alias("std"), F.var_pop("l_quantity").alias("var"),
