@@ -11,7 +11,7 @@ from pyspark.sql.types import (
 )
 
 from millrace import ordered
-from millrace.quantiles import column_modes, column_quantiles
+from millrace.quantiles import column_modes, column_quantiles, literal
 from millrace.session import cut_lineage, hash_sample
 
 # Words that count as missing, and the default replacements.
@@ -59,7 +59,7 @@ def fix_missing(
     ffill, bfill, interpolate. A method that does not fit the column's type leaves it as is.
     """
     kind = df.schema[column].dataType
-    lit = lambda v: F.lit(v).cast(kind)
+    lit = lambda v: literal(v, kind)
     numeric = _is(df, column, NumericType)
     if process == "replace":
         value = NUMERIC_FILL if numeric else TEXT_FILL
@@ -156,7 +156,7 @@ def replace_missing(df: DataFrame, process: str, order_by: Sequence[str] | None
         return df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(v)) for c, v in values.items()})
     if process == "mode" and gaps:
         modes = column_modes(df, gaps)
-        return _fill(df, {c: F.lit(v).cast(df.schema[c].dataType) for c, v in modes.items()})
+        return _fill(df, {c: literal(v, df.schema[c].dataType) for c, v in modes.items()})
     if process in ("ffill", "bfill") and gaps:
         return fill_along(df, gaps, process, order_by, series)
     if process == "interpolate":
@@ -288,9 +288,10 @@ def fill_by_context(df: DataFrame, target: str, context: Sequence[str]) -> DataF
         per = counts.groupBy(*context).agg(F.min(F.struct(-F.col("count"), F.col(target).alias("v")))["v"].alias("_near"))
         whole = column_modes(df, [target])[target]
         kind = df.schema[target].dataType
+    rest = F.lit(whole).cast(kind) if isinstance(kind, str) else literal(whole, kind)
     side = per.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(context)], "_near")
     match = [df[c].eqNullSafe(side[f"_c{i}"]) for i, c in enumerate(context)]
-    value = F.coalesce(F.col(target).cast(kind), F.col("_near"), F.lit(whole).cast(kind))
+    value = F.coalesce(F.col(target).cast(kind), F.col("_near"), rest)
     return df.join(side, match, "left").select(*[value.alias(c) if c == target else F.col(c) for c in df.columns])
 
 

@@ -9,25 +9,22 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
+from datetime import datetime, timedelta
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, TimestampNTZType
 
 from millrace import ordered
 from millrace.operators import missing as M
-from millrace.operators.profile import as_timestamp, is_date_column
+from millrace.operators.profile import _micros, as_timestamp, is_date_column
 from millrace.operators.values import DATE_FORMATS, DATETIME_FORMATS
-from millrace.quantiles import count_quantiles
+from millrace.quantiles import count_quantiles, literal
 
-# Resampling rule -> (Spark unit, interval, shift from the unit's start to the label).
-RULES = {
-    "Y": ("year", "INTERVAL 1 YEAR"), "M": ("month", "INTERVAL 1 MONTH"), "W": ("week", "INTERVAL 7 DAY"),
-    "D": ("day", "INTERVAL 1 DAY"), "h": ("hour", "INTERVAL 1 HOUR"), "min": ("minute", "INTERVAL 1 MINUTE"),
-    "s": ("second", "INTERVAL 1 SECOND"),
-}
+# Resampling rule -> length of a period.
+RULES = {"Y": "1 YEAR", "M": "1 MONTH", "W": "7 DAY", "D": "1 DAY", "h": "1 HOUR", "min": "1 MINUTE", "s": "1 SECOND"}
 
 
 def date_columns(df: DataFrame) -> list[str]:
@@ -59,11 +56,16 @@ def _label(start: Column, rule: str) -> Column:
 
 def resample(df: DataFrame, ts: str, value: str, rule: str, series: Sequence[str] = (), fill: bool = True) -> DataFrame:
     """(series..., ts, value): mean per period, gaps filled linearly."""
-    unit, step = RULES[rule]
-    means = df.withColumn("_p", F.date_trunc(unit, ts).cast("timestamp_ntz")).groupBy(*series, "_p").agg(F.avg(value).alias(value))
+    step = f"INTERVAL {RULES[rule]}"
+    time = F.col(ts).cast("timestamp_ntz")
+    if rule in ("Y", "M"):
+        start = F.trunc(time, "year" if rule == "Y" else "month").cast("timestamp_ntz")
+    else:  # windows without time zone do not depend on the session's; weeks start on Monday
+        start = F.window("_t", RULES[rule], startTime="4 days" if rule == "W" else "0 seconds")["start"]
+    means = df.withColumn("_t", time).withColumn("_p", start).groupBy(*series, "_p").agg(F.avg(value).alias(value))
     ends = means.groupBy(*series).agg(F.min("_p").alias("_a"), F.max("_p").alias("_b"))
     if rule in ("h", "min", "s"):  # by day first, so that no single array holds a whole series
-        days = ends.select("*", F.explode(F.sequence(F.date_trunc("day", "_a").cast("timestamp_ntz"), "_b", F.expr("INTERVAL 1 DAY"))).alias("_d"))
+        days = ends.select("*", F.explode(F.sequence(F.col("_a").cast("date").cast("timestamp_ntz"), "_b", F.expr("INTERVAL 1 DAY"))).alias("_d"))
         slots = days.select(*series, "_a", "_b", F.explode(F.sequence(
             "_d", F.col("_d") + F.expr("INTERVAL 1 DAY") - F.expr(step), F.expr(step))).alias("_p")).where("_p BETWEEN _a AND _b")
     else:
@@ -109,10 +111,11 @@ def audit_windows(df: DataFrame, ts: str, value: str, window_days: float = 14, o
     100 / (100 - overlap) windows.
     """
     data = df.where(F.col(value).isNotNull()).select(*series, F.col(ts).alias("_ts"), F.col(value).cast("double").alias("v"))
-    first, last, offset = data.agg(
-        F.min("_ts").alias("a"), F.max("_ts").alias("b"), F.min(F.unix_micros(F.col("_ts").cast("timestamp"))).alias("u")).first()
+    data = data.withColumn("_ts", F.col("_ts").cast("timestamp_ntz"))
+    first, last = data.agg(F.min("_ts"), F.max("_ts")).first()
+    offset = (first - datetime(1970, 1, 1)) // timedelta(microseconds=1)
     width, slide = (round(d * 86_400_000_000) for d in (window_days, window_days * (1 - overlap_pct / 100)))
-    lo, hi = (F.lit(x).cast("timestamp_ntz") for x in (first, last))
+    lo, hi = (literal(x, TimestampNTZType()) for x in (first, last))
     win = F.window("_ts", f"{width} microseconds", f"{slide} microseconds", f"{offset % slide} microseconds")
     placed = data.where(F.col("_ts") < hi).withColumn("_w", win).select(
         *series, F.col("_w.start").cast("timestamp_ntz").alias("window_start"),
@@ -135,7 +138,7 @@ def audit_windows(df: DataFrame, ts: str, value: str, window_days: float = 14, o
     out = stats.join(quart, by).join(kinds, by).join(step, by, "left")
     return out.withColumns({
         "iqr": F.col("q3") - F.col("q1"), "cv": F.when(F.col("mean") == 0, 0.0).otherwise(F.try_divide("std", "mean")),
-        "days": F.floor(F.timestamp_diff("MICROSECOND", F.col("window_start"), F.col("window_end")) / 86_400_000_000),
+        "days": F.floor((_micros(F.col("window_end")) - _micros(F.col("window_start"))) / 86_400_000_000),
         "typical_step": F.when(F.col("unique_values") > 10, F.coalesce("typical_step", F.lit(0.0))),
     })
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from millrace.operators import columns as C
-from millrace.quantiles import column_modes
+from millrace.quantiles import column_modes, literal
 
 # Formats accepted for dates and timestamps.
 DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "dd-MM-yyyy", "MMM d, yyyy", "d MMM yyyy", "yyyyMMdd", "M/d/yyyy")
@@ -205,7 +205,7 @@ def standardize_missing(df: DataFrame, column: str, reference: str, mapping: Dat
     if isinstance(kind, NumericType):
         spare = F.lit(df.agg(F.avg(column)).first()[0])
     else:
-        spare = F.lit(column_modes(df, [column])[column])
+        spare = literal(column_modes(df, [column])[column], kind)
     side = mapping.select(F.col("term").alias("_t"), F.col("fixed").alias("_f"))
     joined = df.join(side, F.col(reference) == F.col("_t"), "left")
     mapped = F.col("_f").try_cast(kind) if isinstance(kind, NumericType) else F.col("_f")

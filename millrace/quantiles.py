@@ -17,6 +17,7 @@ import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DataType, TimestampNTZType
 
 from millrace.ordered import running_sum
 
@@ -31,6 +32,16 @@ def clean_double(c: str | Column) -> Column:
     return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
 
 
+def literal(value, kind: DataType) -> Column:
+    """A collected value as a column of its type.
+
+    A time without zone goes by its text: as a Python datetime it would be taken for an instant
+    and shift with the session's zone.
+    """
+    text = isinstance(kind, TimestampNTZType) and value is not None
+    return F.lit(str(value) if text else value).cast(kind)
+
+
 def _num(x: float) -> str:
     """A double literal that keeps every digit."""
     return f"double('{x!r}')"
