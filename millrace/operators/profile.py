@@ -7,7 +7,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import (
-    BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType,
+    DateType, NumericType, StringType, TimestampNTZType, TimestampType,
 )
 
 from millrace.quantiles import clean_double, column_quantiles, group_quantiles
