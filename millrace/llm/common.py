@@ -38,3 +38,14 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
             total += size
         if start < len(sizes):
             yield batch.slice(start)
+
+
+def bounded_batches(spark) -> None:
+    """Hold Arrow batches at 16 MB, unless the session names a bound, so that long rows cannot fill a Python worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.sparkContext.getConf().toDebugString():
+        spark.conf.set(name, str(16 << 20))
+
+
+#: Stands for a null id where ids are compared; nulls come first.
+NULL_ID = -(1 << 63)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import mixing, quality, urls
+from millrace.llm import chat, decontaminate, html, katz, mixing, quality, simhash, substrings, tokens, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +27,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op1_chat_format")
+def op1(spark, folder):
+    return chat.formatted(table(spark, folder, "conversations"))
+
+
 RULES = [
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
     ("net", "/es/", "block"), ("net", "/fr/", "block"),
@@ -78,6 +88,37 @@ def op3(spark, folder):
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+@query("op4_substring_dedup")
+def op4(spark, folder):
+    return substrings.deduplicated(table(spark, folder, "documents"))
+
+
+@query("op5_simhash_groups")
+def op5(spark, folder):
+    out = simhash.grouped(table(spark, folder, "documents"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op6_html_text")
+def op6(spark, folder):
+    return html.extracted(table(spark, folder, "pages"))
+
+
+@query("op7_token_files")
+def op7(spark, folder):
+    return tokens.encoded(table(spark, folder, "documents"), vocabulary())
+
+
+@query("op8_benchmark_passages")
+def op8(spark, folder):
+    return decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op9_katz_scores")
+def op9(spark, folder):
+    return katz.scores(table(spark, folder, "documents"))
+
+
 @query("op10_quality_rules")
 def op10(spark, folder):
     out = quality.judge(table(spark, folder, "documents"))
