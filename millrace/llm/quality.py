@@ -189,6 +189,6 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def keep(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that the rules accept, all their columns; texts are measured once to fit and once to filter."""
-    model = fit(measured(docs.select(text), text))
-    return judged(measured(docs, text), model).where("kept").select(f"{ROW}.*")
+    """The documents that the rules accept, all their columns; documents are written once beside their measures."""
+    table = cut_lineage(measured(docs, text))
+    return judged(table, fit(table)).where("kept").select(f"{ROW}.*")
