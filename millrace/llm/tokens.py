@@ -10,7 +10,7 @@ place and their high part in the exception list. All numbers are little-endian.
 reads will do, a lost task only rewrites its own part, and readers start at any segment, or at any block by the index.
 
 Ids are those of the ``tokenizers`` library. Its vocabulary splits at white space first and its normaliser does not look across
-it, so each distinct word of a task is encoded once.
+it, so a distinct word is encoded once while a Python worker keeps its ids.
 
 Null texts count as empty. Null ids come first; rows alike in id are ordered by text. An empty table gives empty files.
 """
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ MAGIC = b"PFR1"
 BLOCK, PERCENTILE = 8192, 0.95
 SEGMENT_IDS = 1 << 19
 END_ID = 1
-#: Distinct words whose ids a task keeps.
-WORDS_KEPT = 200_000
+#: Distinct words whose ids a Python worker keeps (about 175 bytes each).
+WORDS_KEPT = 1_000_000
 #: Layouts of the heads of a payload and of a block.
 HEAD, BLOCK_HEAD = "<4sQI", "<IIIB"
 
@@ -92,8 +93,21 @@ def decode(data: bytes, start: int = 0, stop: int | None = None, block: int = BL
     return got[start - first * block:stop - first * block]
 
 
+class Places(dict):
+    """A number for each distinct word, in the order of their first use."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = len(self)
+        self.new.append(word)
+        return place
+
+
 class Encoder:
-    """Ids of whole texts, word by word, each distinct word through the library once."""
+    """Ids of whole texts, word by word, each distinct word through the library once while its ids are kept."""
 
     def __init__(self, path: str):
         import os
@@ -105,36 +119,35 @@ class Encoder:
         self.reset()
 
     def reset(self):
-        self.place: dict[bytes, int] = {}
+        self.place = Places()
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def learn(self, found: set[bytes]):
-        if len(self.place) + len(found) > WORDS_KEPT:
-            self.reset()
-        new = sorted(found - self.place.keys())
-        ids = [np.array(e.ids, np.uint32) for e in self.library.encode_batch([w.decode() for w in new], add_special_tokens=False)]
-        sizes = np.array([len(x) for x in ids], np.int64)
+    def learn(self):
+        """Encode the words that were met since the last call."""
+        new, self.place.new = self.place.new, []
+        if not new:
+            return
+        ids = [e.ids for e in self.library.encode_batch([w.decode() for w in new], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         n, need = len(self.place), self.used + int(sizes.sum())
         while len(self.flat) < need:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while len(self.start) < n + len(new):
+        while len(self.start) < n:
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        if new:
-            self.flat[self.used:need] = np.concatenate(ids) if ids else 0
-            self.size[n:n + len(new)] = sizes
-            self.start[n:n + len(new)] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used:need] = np.fromiter(chain.from_iterable(ids), np.uint32, need - self.used)
+        self.size[n - len(new):n] = sizes
+        self.start[n - len(new):n] = self.used + np.cumsum(sizes) - sizes
         self.used = need
-        self.place.update(zip(new, range(n, n + len(new))))
 
     def texts(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by ``end``, and the length of each."""
+        if len(self.place) > WORDS_KEPT:
+            self.reset()
         split = [t.encode().split() for t in texts]
-        found = set().union(*split)
-        if found - self.place.keys():
-            self.learn(found)
         counts = np.array([len(s) for s in split], np.int64)
-        at = np.fromiter((self.place[w] for s in split for w in s), np.int64, int(counts.sum()))
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        self.learn()
         size = self.size[at]
         ends = np.concatenate([[0], np.cumsum(size)])
         lengths = ends[np.cumsum(counts)] - ends[np.cumsum(counts) - counts] + 1
@@ -146,6 +159,16 @@ class Encoder:
         return out, lengths
 
 
+def worker_encoder(path: str) -> Encoder:
+    """One encoder for all tasks of a Python worker. This package travels by value, so it is kept with the library's module."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_encoders_of_worker", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
 def write(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id", text: str = "text", end: int = END_ID) -> None:
     """Encode every document and write the segments under ``path``, in ascending order of ``key``."""
     bounded_batches(docs.sparkSession)
@@ -156,7 +179,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id", text
     def run(batches):
         from pyspark import TaskContext
 
-        part, before, encoder = TaskContext.get().partitionId(), 0, Encoder(vocabulary)
+        part, before, encoder = TaskContext.get().partitionId(), 0, worker_encoder(vocabulary)
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
         def segment():
