@@ -77,9 +77,10 @@ def copies(
     """
     narrow = docs if keep_row else docs.select(*dict.fromkeys([key, source, text]))
     sized = carried(narrow, text).select(
-        ROW, F.size(words(F.col(TEXT))).cast("long").alias("_llm_size"), F.col(ROW)[source].alias("_llm_source"),
+        ROW if keep_row else F.struct(F.col(ROW)[key].alias(key)).alias(ROW), F.size(words(F.col(TEXT))).cast("long").alias("_llm_size"), F.col(ROW)[source].alias("_llm_source"),
         _order(F.col(ROW)[key], seed).alias("_llm_order"))
-    slim = sized if keep_row else cut_lineage(sized)
+    # What the passes over sizes read is written once: no texts.
+    slim = cut_lineage(sized.drop(ROW) if keep_row else sized)
     sources = source_sizes(slim)
     if weights is None:
         sources = repeating_weights(sources)
@@ -116,7 +117,8 @@ def copies(
     ).select("_llm_b_source", "_llm_border", "_llm_last").join(parts, F.col("_llm_b_source").eqNullSafe(F.col("_llm_source")), "right")
     filled = cut_lineage(filled.select(
         F.col("_llm_source").alias("_llm_f_source"), "_llm_source_size", "_llm_target", "_llm_whole", "_llm_part", "_llm_border", "_llm_last").coalesce(1))
-    out = slim.join(F.broadcast(filled) if _small(sources) else filled, slim["_llm_source"].eqNullSafe(filled["_llm_f_source"]))
+    rows_out = sized if keep_row else slim
+    out = rows_out.join(F.broadcast(filled) if _small(sources) else filled, rows_out["_llm_source"].eqNullSafe(filled["_llm_f_source"]))
     extra = (F.col("_llm_part") > 0) & F.coalesce(
         (bucket < F.col("_llm_border")) | F.coalesce(F.struct("_llm_order", "_llm_size") <= F.col("_llm_last"), F.lit(False)), F.lit(False))
     out = out.withColumn("copies", (F.col("_llm_whole") + extra.cast("long")).cast("long"))
