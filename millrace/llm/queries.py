@@ -119,7 +119,53 @@ def op9(spark, folder):
     return katz.scores(table(spark, folder, "documents"))
 
 
-@query("op10_quality_rules")
+def _op10_sql() -> str:
+    """The measures, votes and rounds of ``quality`` in SQL; the rounds are a recursive table of one row each."""
+    gone = r"[\x20\x09-\x0D0-9.,;:!?()\[\]{}''" + r'"' + r"_/\\+=@^~`#*$%&|<>-]"
+    at_least = lambda x: f"greatest({x}, 1)"
+    symbols, ending, shouts = (f"{c} / {at_least('n_words')}" for c in ("n_symbols", "n_symbol_words", "n_shouts"))
+    lines, again, long_ = f"n_dup_lines / {at_least('n_lines')}", f"n_repeat_words / {at_least('n_words')}", f"word_chars / {at_least('n_words')}"
+    upper, marks, letters = f"n_upper / {at_least('word_chars')}", f"n_marks / {at_least('n_words')}", f"n_letters / {at_least('word_chars')}"
+    tests = {
+        "length": ("n_words < 50", "n_words >= 100"), "symbols": (f"{symbols} > 0.3", f"{symbols} <= 0.05"),
+        "symbol_words": (f"{ending} > 0.2", f"{ending} <= 0.02"), "letters": (f"{letters} < 0.6", f"{letters} >= 0.85"),
+        "repeated_lines": (f"{lines} > 0.3", f"n_lines >= 2 AND {lines} <= 0.1"), "repeated_words": (f"{again} > 0.5", f"{again} <= 0.2"),
+        "capitals": (f"{upper} > 0.5", f"{upper} <= 0.15"), "shouts": (f"{shouts} > 0.2", f"{shouts} <= 0.02"),
+        "sentences": (f"{marks} > 0.7 AND n_words >= 20 OR {marks} < 0.005 AND n_words >= 200", f"{marks} >= 0.02 AND {marks} <= 0.4"),
+        "word_length": (f"{long_} < 2.5 OR {long_} > 12", f"{long_} >= 3.5 AND {long_} <= 9"),
+    }
+    n = range(len(quality.RULES))
+    votes = ", ".join(f"CASE WHEN {tests[r][0]} THEN -1 WHEN {tests[r][1]} THEN 1 ELSE 0 END AS v{i}" for i, r in enumerate(quality.RULES))
+    odds = "ln(p / (1 - p))" + "".join(f" + CASE v{i} WHEN 1 THEN ln((1 - g{i}) / (1 - b{i})) WHEN -1 THEN ln(g{i} / b{i}) ELSE 0 END" for i in n)
+    q = quality
+    next_ = lambda part, chance, share, i: (
+        f"(coalesce(sum({part}) FILTER (WHERE v{i} = -1), 0) + {chance * share * q.BELIEF} * any_value(n)) / (coalesce(sum({part}) FILTER (WHERE v{i} <> 0), 0) + {share * q.BELIEF} * any_value(n))")
+    step = ", ".join([next_("c * q", q.DOWN_GOOD, q.PRIOR, i) for i in n] + [next_("c * (1 - q)", q.DOWN_BAD, 1 - q.PRIOR, i) for i in n])
+    names = ", ".join([f"g{i}" for i in n] + [f"b{i}" for i in n])
+    start = ", ".join([f"{q.DOWN_GOOD}::DOUBLE"] * len(n) + [f"{q.DOWN_BAD}::DOUBLE"] * len(n))
+    keys = ", ".join(f"v{i}" for i in n)
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+x AS (SELECT r, i, w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2] AS g FROM w, unnest(range(1, len(w) - 1)) AS u(i)),
+k AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM x),
+z AS (SELECT r, count(DISTINCT i + o) AS n_repeat_words FROM k, (VALUES (0), (1), (2)) AS s(o) WHERE c > 1 GROUP BY r),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+  (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
+  coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper,
+  length(t) - length(regexp_replace(t, '[.!?]', '', 'g')) AS n_marks, length(regexp_replace(t, '{gone}', '', 'g')) AS n_letters,
+  len(list_filter(w, x -> regexp_matches(x, '[#*$%&|<>]$'))) AS n_symbol_words, (length(t) - length(replace(t, '!!', ''))) // 2 AS n_shouts FROM w LEFT JOIN z USING (r)),
+v AS (SELECT *, {votes} FROM m), pat AS (SELECT {keys}, count(*)::DOUBLE AS c FROM v GROUP BY ALL), tot AS (SELECT sum(c) AS n FROM pat),
+em(it, p, {names}) AS (
+  SELECT 0, {q.PRIOR}::DOUBLE, {start}
+  UNION ALL
+  SELECT it + 1, (sum(c * q) + {q.PRIOR * q.BELIEF} * any_value(n)) / ((1 + {q.BELIEF}) * any_value(n)), {step}
+  FROM (SELECT em.it, pat.*, tot.n, 1 / (1 + exp(-({odds}))) AS q FROM em, pat, tot WHERE em.it < {q.ROUNDS}) GROUP BY it),
+f AS (SELECT v.*, 1 / (1 + exp(-({odds}))) AS q, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS failed FROM v, (SELECT * FROM em WHERE it = {q.ROUNDS}))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed AS base_failed, NOT failed AND q >= {q.KEEP_AT} AS kept, round(q, 6) AS posterior FROM f"""
+
+
+@query("op10_quality_rules", _op10_sql())
 def op10(spark, folder):
     out = quality.judge(table(spark, folder, "documents"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))

@@ -55,7 +55,7 @@ def score(data: DataFrame, model: str, key: Sequence[str]) -> DataFrame:
 
 def _mean_of_models(data: DataFrame, key: Sequence[str]) -> DataFrame:
     """Mean of the standardised scores of several detectors, as one grouped sum."""
-    parts = []
+    data, parts = cut_lineage(data), []
     for m in SUOD_BASE:
         s = cut_lineage(score(data, m, key).select(*key, "x", "score"))
         mean, std = s.agg(F.avg("score"), F.stddev_pop("score")).first()
@@ -66,7 +66,7 @@ def _mean_of_models(data: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def label(scored: DataFrame, model: str, contamination: float = CONTAMINATION) -> DataFrame:
     """Add 0/1 ``label``: above 3.5 for MAD, else above the exact (1 - contamination) quantile."""
-    if model in ("MAD", "ROD"):
+    if model == "MAD":
         return scored.withColumn("label", (F.col("score") > MAD_THRESHOLD).cast("int"))
     scored = cut_lineage(scored)  # scores are read several times from here on
     limit = column_quantiles(scored, ["score"], [1 - contamination])["score"][0]
@@ -78,6 +78,8 @@ def detect(df: DataFrame, key: Sequence[str], columns: Sequence[str], models: Se
     """Long table (key..., column, model, score, label)."""
     data = preprocess(df, columns, key)
     present = [c for c in columns if c in data.columns]
+    if len(models) * len(present) > 1:  # read by every model and column
+        data = cut_lineage(data)
     parts = []
     for m in models:
         if m in WHOLE_TABLE:

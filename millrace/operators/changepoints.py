@@ -65,18 +65,21 @@ def best_partition(places: Sequence[int], cost: Callable, penalty: float, min_si
 
 
 def change_points(df: DataFrame, value: str, order_by: Sequence[str], series: Sequence[str] = (), model: str = "l2",
-                  min_segment_size: int = 10, penalty_factor: float = 2.0, max_change_points: int = 50) -> DataFrame:
+                  min_segment_size: int = 10, penalty_factor: float = 2.0, max_change_points: int | None = None,
+                  block_rows: int | None = None) -> DataFrame:
     """(series..., position): 0-based positions at which a new segment starts.
 
     The penalty is the series' standard deviation times the factor. A series of fewer than 50
-    values gets none; of more than ``max_change_points`` found every n-th is reported.
+    values gets none. With ``max_change_points``, of more than that many every n-th is reported.
+    ``block_rows`` (by default ``BLOCK_ROWS`` of the cost) is the length up to which a series is searched whole.
     """
     data = df.where(F.col(value).isNotNull()).select(*series, *order_by, F.col(value).cast("double").alias("_y"))
-    size, around = BLOCK_ROWS[model] // 2, BLOCK_ROWS[model] // 4
+    whole = block_rows or BLOCK_ROWS[model]
+    size, around = whole // 2, whole // 4
     stats = data.groupBy(*series).agg(
         F.count("_y").alias("_n"), F.avg("_y").alias("_m"), (F.stddev_pop("_y") * penalty_factor).alias("_pen"))
-    if ordered.largest_group(data, series) <= BLOCK_ROWS[model]:
-        size, around = BLOCK_ROWS[model], 0
+    if ordered.largest_group(data, series) <= whole:
+        size, around = whole, 0
     blocks = ordered.blocked(data, order_by, around, around, series, rows=size)
     blocks = (blocks.join(F.broadcast(stats)) if not series else blocks.join(stats, list(series))).where(f"_n >= {MIN_POINTS}")
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in series)
@@ -95,7 +98,9 @@ def change_points(df: DataFrame, value: str, order_by: Sequence[str], series: Se
     by = [*series, ordered.BLOCK]
     found = blocks.select(*by, ordered.POSITION, ordered.HOME, "_y", "_pen").groupBy(*by).applyInPandas(search, f"{lead}position bigint")
     if model == "l2":
-        found = _merge(data, found, stats, order_by, series, lead)
+        found = _merge(data, found, stats, order_by, series, lead, whole)
+    if max_change_points is None:
+        return found
     w = W.partitionBy(*series) if series else W.partitionBy(F.lit(0))
     ranked = found.withColumns({"_i": F.row_number().over(w.orderBy("position")) - 1, "_all": F.count(F.lit(1)).over(w)})
     step = F.greatest(F.lit(1), F.floor(F.col("_all") / max_change_points))
@@ -109,9 +114,9 @@ def _rows(pdf: pd.DataFrame, series: Sequence[str], cuts: Sequence[int]) -> pd.D
     return pd.DataFrame({**named, "position": np.array(cuts, "int64")})
 
 
-def _merge(data: DataFrame, found: DataFrame, stats: DataFrame, order_by, series, lead: str) -> DataFrame:
+def _merge(data: DataFrame, found: DataFrame, stats: DataFrame, order_by, series, lead: str, whole: int) -> DataFrame:
     """Search again among the candidates of all blocks, on running sums at just those places."""
-    many = stats.where(f"_n > {BLOCK_ROWS['l2']}")
+    many = stats.where(f"_n > {whole}")
     if many.isEmpty():
         return found
     mean = data.join(F.broadcast(stats)) if not series else data.join(stats, list(series))

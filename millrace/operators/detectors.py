@@ -156,10 +156,19 @@ def abod(df: DataFrame, key: Sequence[str], k: int = ABOD_K) -> DataFrame:
     return _by_block(df, key, k, compute)
 
 
-def support_fractions(n: int, low_variance: int) -> list[float]:
-    """Five evenly spaced support fractions from the base up to 0.4 above it (at most 1)."""
-    base = max(0.5, 1 - low_variance / n)
-    return [min(1.0, base + 0.1 * i) for i in range(5)]
+def support_fractions(data: DataFrame, columns: Sequence[str], threshold: float = 0.01, least: float = 0.5) -> list[float]:
+    """Five evenly spaced support fractions over standardised columns.
+
+    The base is the share of columns whose sample deviation is not below ``threshold`` (two digits, ``least`` at least); the
+    last is 0.4 above it, at most 0.99. One aggregate reads the table.
+    """
+    if not columns:
+        base = least
+    else:
+        spread = data.agg(*[F.stddev_samp(c).alias(c) for c in columns]).first()
+        low = sum(s is not None and s < threshold for s in spread)
+        base = round(max(least, 1 - low / len(columns)), 2)
+    return np.linspace(base, min(0.99, base + 0.4), 5).tolist()
 
 
 def mcd(df: DataFrame, key: Sequence[str], support: float | None = None) -> DataFrame:
@@ -241,8 +250,9 @@ def qmcd(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def sampling(df: DataFrame, key: Sequence[str], size: int = 20, seed: int = 42) -> DataFrame:
-    """Distance to the nearest of a few rows picked by a hash of the key."""
-    rows = df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(size).collect()
+    """Distance to the nearest of a few rows picked by a digest of the key."""
+    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
+    rows = df.orderBy(digest, *key).limit(size).collect()
     points = F.array(*[F.lit(r["x"]) for r in rows])
     return df.withColumn("score", F.array_min(F.transform(points, lambda p: F.abs(F.col("x") - p))))
 

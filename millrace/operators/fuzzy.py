@@ -67,8 +67,7 @@ def similar_pairs(terms: DataFrame, threshold: float = 90) -> DataFrame:
     return close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"), "ratio"))
 
 
-def group_similar(terms: DataFrame, order: str, threshold: float = 90, max_group_size: int = 5,
-                  max_rounds: int = 100) -> DataFrame:
+def group_similar(terms: DataFrame, order: str, threshold: float = 90, max_group_size: int = 5) -> DataFrame:
     """(representative, term, place): greedy groups in ascending ``order``.
 
     A term that nobody took before becomes a representative and takes those of its
@@ -89,9 +88,7 @@ def group_similar(terms: DataFrame, order: str, threshold: float = 90, max_group
         place.join(lists.select(F.col("b").alias("term")).distinct(), "term", "left_anti")
         .select("term", F.lit(True).alias("rep")))
     open_ = cut_lineage(place.join(state, "term", "left_anti").select("term"))
-    for _ in range(max_rounds):
-        if open_.isEmpty():
-            break
+    while not open_.isEmpty():  # the earliest open term is settled in every round
         votes = lists.join(open_.select(F.col("term").alias("b")), "b", "left_semi").join(
             state.select(F.col("term").alias("a"), "rep"), "a", "left")
         done = votes.groupBy("b").agg(
@@ -99,8 +96,6 @@ def group_similar(terms: DataFrame, order: str, threshold: float = 90, max_group
         ).where("waiting = 0 OR taken").select(F.col("b").alias("term"), (~F.coalesce("taken", F.lit(False))).alias("rep"))
         state = cut_lineage(state.unionByName(done))
         open_ = cut_lineage(place.join(state, "term", "left_anti").select("term"))
-    else:
-        raise RuntimeError("fuzzy groups were not settled: raise max_rounds")
     reps = state.where("rep").select(F.col("term").alias("a"))
     taken = lists.join(reps, "a", "left_semi").groupBy("b").agg(F.min(F.struct("a_pos", "a", "place")).alias("x"))
     members = taken.select(F.col("x.a").alias("representative"), F.col("b").alias("term"), F.col("x.place").alias("place"))

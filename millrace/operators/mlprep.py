@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.operators import encode as E
@@ -123,15 +124,27 @@ def split_rows(df: DataFrame, key: Sequence[str], train_pct: int = 80, seed: int
 
 
 def fit_linear(df: DataFrame, target: str, features: Sequence[str], key: Sequence[str]) -> DataFrame:
-    """One row: test MSE, intercept and coefficients of a linear regression on an 80/20 split."""
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    vec = VectorAssembler(inputCols=list(features), outputCol="_x").transform(df.dropna(subset=[target, *features]))
-    train, test = split_rows(vec.select(*key, "_x", F.col(target).cast("double").alias("_y")), key)
-    model = LinearRegression(featuresCol="_x", labelCol="_y", solver="normal").fit(train)
-    mse = RegressionEvaluator(labelCol="_y", metricName="mse").evaluate(model.transform(test))
+    """One row: test MSE, intercept and coefficients of a linear regression on an 80/20 split.
+
+    One aggregate takes the cross products of both parts, from which the coefficients and the test error follow.
+    """
+    names = ["1D", *[f"CAST(`{c}` AS DOUBLE)" for c in [*features, target]]]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    train, test = split_rows(df.dropna(subset=[target, *features]), key)
+
+    def products(part: DataFrame, test_part: bool) -> DataFrame:
+        return part.select(F.lit(test_part).alias("_t"), *[F.expr(n).alias(f"_v{i}") for i, n in enumerate(names)])
+
+    sums = products(train, False).unionAll(products(test, True)).groupBy("_t").agg(
+        *[F.sum(F.col(f"_v{i}") * F.col(f"_v{j}")).alias(f"s{i}_{j}") for i, j in pairs]).collect()
+    gram = {}
+    for row in sums:
+        g = gram[row["_t"]] = np.zeros((len(names), len(names)))
+        for i, j in pairs:
+            g[i, j] = g[j, i] = row[f"s{i}_{j}"]
+    g, k = gram[False], len(names) - 1
+    beta = np.linalg.pinv(g[:k, :k]) @ g[:k, k]
+    away = np.append(-beta, 1.0)
+    mse = float(away @ gram[True] @ away / gram[True][0, 0]) if True in gram else None
     return df.sparkSession.createDataFrame(
-        [(float(mse), float(model.intercept), *[float(x) for x in model.coefficients])],
-        "mse double, intercept double, " + ", ".join(f"`coef_{c}` double" for c in features))
+        [(mse, *[float(x) for x in beta])], "mse double, intercept double, " + ", ".join(f"`coef_{c}` double" for c in features))

@@ -204,12 +204,21 @@ def dtype_groups(df: DataFrame) -> DataFrame:
     )
 
 
-def distinct_values(df: DataFrame, columns: Sequence[str], show: int = 1000) -> DataFrame:
-    """(column, n_values, values): the exact number, and the ``show`` smallest joined."""
+def distinct_value_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, value, n): every distinct value as a row, with its number of rows; one job for all columns."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))
+    return df.select(cells.alias("x")).where("x.value IS NOT NULL").groupBy("x.column", "x.value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def distinct_values(df: DataFrame, columns: Sequence[str], show: int | None = None) -> DataFrame:
+    """(column, n_values, values): the exact number, and all values joined (with ``show``, that many of the smallest).
+
+    Joining puts a column's values into one cell; ``distinct_value_rows`` has them as rows.
+    """
     out = None
     for c in columns:
         values = df.select(F.col(c).cast("string").alias("v")).where("v IS NOT NULL").distinct()
-        shown = values.orderBy("v").limit(show).agg(
+        shown = (values.orderBy("v").limit(show) if show else values).agg(
             F.concat_ws(", ", F.array_sort(F.collect_list("v"))).alias("values")
         )
         one = values.agg(F.count(F.lit(1)).alias("n_values")).join(shown).select(

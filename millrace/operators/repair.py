@@ -70,6 +70,8 @@ def fix(df: DataFrame, column: str, labels: DataFrame, key: Sequence[str], metho
     """
     marked = flagged(df, labels, key)
     clean = _clean(marked, column)
+    if method in ("zscore", "quantile", "median", "mode", "simple"):
+        clean = cut_lineage(clean)  # one narrow column, read several times: the join with the labels is not repeated
     order_by = list(order_by or key)
     if method == "mean":
         return _put(marked, column, F.bround(F.lit(statistic(clean, column, "mean")), 3))

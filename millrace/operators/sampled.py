@@ -1,4 +1,7 @@
-"""Detectors whose model is fitted on a bounded, seeded sample and scored in Arrow batches.
+"""Detectors whose model is fitted on a bounded, seeded sample.
+
+Isolation trees and nearest-neighbour spheres (whose small subsamples are the method itself) are step functions of a column and
+become a lookup column; the others are scored in Arrow batches and are approximations for tables larger than their sample.
 
 The sample is the rows with the smallest key hash, so it does not depend on partitioning; the
 fitted arrays are small and travel with the tasks. Inputs are 2-D arrays (rows x columns).
@@ -10,7 +13,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
 from millrace.session import hash_sample
@@ -36,6 +39,24 @@ def _distances(x: np.ndarray, points: np.ndarray) -> np.ndarray:
     return np.sqrt(sum((x[:, j, None] - points[:, j]) ** 2 for j in range(x.shape[1])))
 
 
+def step_score(x: Column, breaks: np.ndarray, score: Callable[[np.ndarray], np.ndarray]) -> Column:
+    """A score that changes only at ``breaks``, as a lookup by binary search inside the row.
+
+    Every break and the number after it are edges, so that what holds exactly at a break is kept.
+    """
+    breaks = np.unique(breaks)
+    edges = np.unique(np.concatenate([breaks, np.nextafter(breaks, np.inf)])) if len(breaks) else np.zeros(1)
+    values = score(np.concatenate([[edges[0] - 1], edges])[:, None])
+    table = lambda xs: F.split(F.lit(",".join(map(repr, map(float, xs)))), ",").cast("array<double>")
+    held, found = table(edges), table(values)
+    steps = [2**i for i in range(len(edges).bit_length() - 1, -1, -1)]
+
+    def advance(at: Column, step: Column) -> Column:
+        return F.when(F.coalesce(F.get(held, at + step - 1) <= x, F.lit(False)), at + step).otherwise(at)
+
+    return F.get(found, F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), advance))
+
+
 def isolation_forest(points: np.ndarray, trees: int = 100, size: int = 256, seed: int = SEED):
     """Random splits isolate outliers early: score 2 ** (-mean depth / expected depth)."""
     rng = np.random.default_rng(seed)
@@ -49,9 +70,11 @@ def isolation_forest(points: np.ndarray, trees: int = 100, size: int = 256, seed
             return depth + expected(len(part))
         j = rng.choice(spread)
         cut = rng.uniform(part[:, j].min(), part[:, j].max())
+        cuts.append(cut)
         low = part[:, j] < cut
         return j, cut, grow(part[low], depth + 1), grow(part[~low], depth + 1)
 
+    cuts: list[float] = []
     forest = [grow(points[rng.choice(len(points), size, replace=False)], 0) for _ in range(trees)]
 
     def depth_of(node, x: np.ndarray, out: np.ndarray, rows: np.ndarray) -> None:
@@ -68,6 +91,7 @@ def isolation_forest(points: np.ndarray, trees: int = 100, size: int = 256, seed
             depth_of(tree, x, total, np.arange(len(x)))
         return 2 ** (-(total / len(forest)) / max(expected(size), 1e-12))
 
+    score.breaks = np.array(cuts)
     return score
 
 
@@ -93,6 +117,8 @@ def inne(points: np.ndarray, rounds: int = 200, size: int = 8, seed: int = SEED)
             total += np.where(np.isfinite(radius.min(1)), s[best], 1.0)
         return total / len(balls)
 
+    if points.shape[1] == 1:
+        score.breaks = np.concatenate([np.concatenate([c[:, 0] - r, c[:, 0] + r]) for c, r, _ in balls])
     return score
 
 
@@ -278,4 +304,7 @@ SAMPLED = {
 
 def score_sampled(df: DataFrame, columns: Sequence[str], key: Sequence[str], model: str) -> DataFrame:
     fit, size = SAMPLED[model]
-    return with_score(df, columns, fit(take_sample(df, columns, key, size)))
+    score = fit(take_sample(df, columns, key, size))
+    if len(columns) == 1 and hasattr(score, "breaks"):
+        return df.withColumn("score", step_score(F.col(columns[0]), score.breaks, score))
+    return with_score(df, columns, score)

@@ -104,7 +104,7 @@ def difference(df: DataFrame, column: str, order_by: Sequence[str], lag: int = 1
 
 def audit_windows(df: DataFrame, ts: str, value: str, window_days: float = 14, overlap_pct: float = 50,
                   series: Sequence[str] = (), min_rows: int = 10) -> DataFrame:
-    """One row of statistics per sliding window from the first timestamp.
+    """One row of statistics per sliding window from the first timestamp (of each series).
 
     Windows end exclusive and are cut at the last timestamp, whose row is therefore in none;
     windows with fewer than ``min_rows`` rows are left out. Each row goes to
@@ -112,15 +112,22 @@ def audit_windows(df: DataFrame, ts: str, value: str, window_days: float = 14, o
     """
     data = df.where(F.col(value).isNotNull()).select(*series, F.col(ts).alias("_ts"), F.col(value).cast("double").alias("v"))
     data = data.withColumn("_ts", F.col("_ts").cast("timestamp_ntz"))
-    first, last = data.agg(F.min("_ts"), F.max("_ts")).first()
-    offset = (first - datetime(1970, 1, 1)) // timedelta(microseconds=1)
     width, slide = (round(d * 86_400_000_000) for d in (window_days, window_days * (1 - overlap_pct / 100)))
-    lo, hi = (literal(x, TimestampNTZType()) for x in (first, last))
-    win = F.window("_ts", f"{width} microseconds", f"{slide} microseconds", f"{offset % slide} microseconds")
-    placed = data.where(F.col("_ts") < hi).withColumn("_w", win).select(
-        *series, F.col("_w.start").cast("timestamp_ntz").alias("window_start"),
-        F.least(F.col("_w.end").cast("timestamp_ntz"), hi).alias("window_end"), "v",
-    ).where(F.col("window_start") >= lo)
+    span = data.groupBy(*series).agg(F.min("_ts").alias("_lo"), F.max("_ts").alias("_hi"))
+    if series:
+        data = data.join(span, list(series))
+    else:
+        lo, hi = span.first()
+        data = data.withColumns({"_lo": literal(lo, TimestampNTZType()), "_hi": literal(hi, TimestampNTZType())})
+    # A row at t microseconds after the first one is in the windows i with i * slide <= t < i * slide + width.
+    at = _micros(F.col("_ts")) - _micros(F.col("_lo"))
+    until = F.floor(at / slide).cast("bigint")
+    since = F.greatest(F.lit(0), F.floor((at - width) / slide) + 1).cast("bigint")
+    shift = lambda micros: F.col("_lo") + F.make_dt_interval(
+        F.floor(micros / 86_400_000_000).cast("int"), F.lit(0), F.lit(0), ((micros % 86_400_000_000) / F.lit(1_000_000)).cast("decimal(18,6)"))
+    placed = data.where(F.col("_ts") < F.col("_hi")).withColumn("_i", F.explode(F.sequence(since, until))).select(
+        *series, shift(F.col("_i") * slide).alias("window_start"),
+        F.least(shift(F.col("_i") * slide + width), F.col("_hi")).alias("window_end"), "v")
     by = [*series, "window_start", "window_end"]
     stats = placed.groupBy(*by).agg(
         F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"),
@@ -261,17 +268,23 @@ def lag_products(df: DataFrame, value: str, order_by: Sequence[str], lags: int)
     return _block_sums(df, value, order_by, lags, compute), n
 
 
+def partial_correlations(r: np.ndarray) -> list[float]:
+    """Partial autocorrelations from autocorrelations, by Levinson's recursion on a few dozen numbers."""
+    pacf, phi = [1.0], np.zeros(0)
+    for k in range(1, len(r)):
+        last = (r[k] - phi @ r[k - 1:0:-1]) / (1 - phi @ r[1:k]) if k > 1 else r[1]
+        phi = np.append(phi - last * phi[::-1], last)
+        pacf.append(float(last))
+    return pacf
+
+
 def autocorrelation(df: DataFrame, value: str, order_by: Sequence[str], lags: int | None = None) -> DataFrame:
     """(lag, acf, pacf) up to ``lags`` (default min(40, n / 2)); pacf by Yule-Walker."""
     n = df.where(F.col(value).isNotNull()).count()
     lags = min(40, n // 2) if lags is None else lags
     products, _ = lag_products(df.where(F.col(value).isNotNull()), value, order_by, lags)
     r = products / products[0]
-    pacf, phi = [1.0], np.zeros(0)
-    for k in range(1, lags + 1):  # Levinson recursion on at most a few dozen numbers
-        last = (r[k] - phi @ r[k - 1:0:-1]) / (1 - phi @ r[1:k]) if k > 1 else r[1]
-        phi = np.append(phi - last * phi[::-1], last)
-        pacf.append(float(last))
+    pacf = partial_correlations(r)
     rows = [(k, float(r[k]), pacf[k]) for k in range(lags + 1)]
     return df.sparkSession.createDataFrame(rows, "lag int, acf double, pacf double")
 
@@ -311,10 +324,14 @@ def adf_test(df: DataFrame, value: str, order_by: Sequence[str], max_lag: int |
     best = min(range(top + 1), key=lambda p: _least_squares(g, rows, p)[1])
     g, rows = _gram(df, value, order_by, best)
     t = _least_squares(g, rows, best)[0]
+    return t, adf_pvalue(t), best
+
+
+def adf_pvalue(t: float) -> float:
     if t > ADF_MAX or t < ADF_MIN:
-        return t, float(t > ADF_MAX), best
+        return float(t > ADF_MAX)
     coefs = ADF_SMALL if t <= ADF_SPLIT else ADF_LARGE
-    return t, NormalDist().cdf(sum(c * t**i for i, c in enumerate(coefs))), best
+    return NormalDist().cdf(sum(c * t**i for i, c in enumerate(coefs)))
 
 
 def kpss_test(df: DataFrame, value: str, order_by: Sequence[str]) -> tuple[float, float, int]:
@@ -353,50 +370,73 @@ def stationarity(df: DataFrame, value: str, order_by: Sequence[str], diff_level:
 # --- autoregressive fit ---------------------------------------------------------------------
 
 
-def _regress(df: DataFrame, y: str, xs: Sequence[str]) -> list[float]:
-    """Ordinary least squares with a constant, from one aggregate of cross products."""
+def _regress(df: DataFrame, y: str, xs: Sequence[str], series: Sequence[str] = ()) -> list[float] | DataFrame:
+    """Ordinary least squares with a constant, from one aggregate of cross products.
+
+    The coefficients, or with ``series`` a table (series..., _b: coefficients).
+    """
     names = ["1D", *[f"`{x}`" for x in xs]]
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     full = df.where(F.col(y).isNotNull()).dropna(subset=list(xs))
-    row = full.selectExpr(*[f"sum({a} * {b}) x{i}" for i, (a, b) in enumerate(pairs)], *[f"sum({a} * `{y}`) y{i}" for i, a in enumerate(names)]).first()
-    g = np.zeros((len(names), len(names)))
-    for i, (a, b) in enumerate(pairs):
-        g[names.index(a), names.index(b)] = g[names.index(b), names.index(a)] = row[f"x{i}"]
-    return [float(v) for v in np.linalg.pinv(g) @ np.array([row[f"y{i}"] for i in range(len(names))])]
+    sums = full.groupBy(*series).agg(F.array(
+        *[F.expr(f"sum({a} * {b})") for a, b in pairs], *[F.expr(f"sum({a} * `{y}`)") for a in names]).alias("_s"))
 
+    def solve(s) -> list[float]:
+        g = np.zeros((len(names), len(names)))
+        for v, (a, b) in zip(s, pairs):
+            g[names.index(a), names.index(b)] = g[names.index(b), names.index(a)] = v
+        return [float(v) for v in np.linalg.pinv(g) @ np.array(s[len(pairs):])]
 
-def arima_fit(df: DataFrame, value: str, order_by: Sequence[str], p: int = 1, d: int = 0, q: int = 0) -> DataFrame:
-    """Add ``fitted``: in-sample one-step values of an ARIMA(p, d, q).
+    if not series:
+        return solve(sums.first()["_s"])
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(_b=[solve(s) for s in pdf["_s"]]).drop(columns="_s")
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in series)
+    return sums.mapInPandas(run, f"{kinds}, _b array<double>")
+
+
+def arima_fit(df: DataFrame, value: str, order_by: Sequence[str], p: int = 1, d: int = 0, q: int = 0,
+              series: Sequence[str] = ()) -> DataFrame:
+    """Add ``fitted``: in-sample one-step values of an ARIMA(p, d, q), fitted by two-stage least squares to each series.
 
-    Least squares on lagged values; moving-average terms use the residuals of a long
+    Regression on lagged values, not a likelihood fit; moving-average terms use the residuals of a long
     autoregression in place of the unseen shocks. Every step is lags and one aggregate, so a
     long series is not walked through by one task.
     """
     cols = list(df.columns)
     data, y = df.withColumn("_y0", F.col(value).cast("double")), "_y0"
     for i in range(d):
-        data = difference(data, f"_y{i}", order_by, name=f"_y{i + 1}")
+        data = difference(data, f"_y{i}", order_by, series=series, name=f"_y{i + 1}")
         y = f"_y{i + 1}"
 
     def lags(table: DataFrame, source: str, n: int, tag: str) -> DataFrame:
-        return ordered.framed(table, order_by, lambda w: {f"_{tag}{k}": F.lag(source, k).over(w) for k in range(1, n + 1)}, before=n)
+        return ordered.framed(table, order_by, lambda w: {f"_{tag}{k}": F.lag(source, k).over(w) for k in range(1, n + 1)}, before=n, series=series)
 
-    def predict(coefs: Sequence[float], xs: Sequence[str]) -> Column:
-        return sum((F.lit(b) * F.col(x) for b, x in zip(coefs[1:], xs)), F.lit(coefs[0]))
+    def predicted(table: DataFrame, source: str, names: Sequence[str], out: str) -> DataFrame:
+        """Add ``out``: the regression of ``source`` on the named columns."""
+        coefs = _regress(table, source, names, series)
+        if series:
+            table = table.join(coefs, list(series), "left")
+            coefs = [F.get("_b", F.lit(i)) for i in range(len(names) + 1)]
+        terms = [b * F.col(x) if series else F.lit(b) * F.col(x) for b, x in zip(coefs[1:], names)]
+        return table.withColumn(out, sum(terms, coefs[0] if series else F.lit(coefs[0]))).drop("_b")
 
     xs = []
     if q:
         m = max(p, q) + 10
         data = lags(data, y, m, "l")
         long = [f"_l{k}" for k in range(1, m + 1)]
-        data = data.withColumn("_e", F.col(y) - predict(_regress(data, y, long), long)).drop(*long)
+        data = predicted(data, y, long, "_p").withColumn("_e", F.col(y) - F.col("_p")).drop(*long, "_p")
         data = lags(data, "_e", q, "e")
         xs += [f"_e{k}" for k in range(1, q + 1)]
     if p:
         data = lags(data, y, p, "a")
         xs = [f"_a{k}" for k in range(1, p + 1)] + xs
-    hat = predict(_regress(data, y, xs), xs)
+    data, hat = predicted(data, y, xs, "_hat"), F.col("_hat")
     for i in range(d):  # back from differences to values
-        data = ordered.framed(data, order_by, lambda w, i=i: {f"_b{i}": F.lag(f"_y{i}").over(w)}, before=1)
-        hat = hat + F.col(f"_b{i}")
+        data = ordered.framed(data, order_by, lambda w, i=i: {f"_back{i}": F.lag(f"_y{i}").over(w)}, before=1, series=series)
+        hat = hat + F.col(f"_back{i}")
     return data.select(*cols, hat.alias("fitted"))

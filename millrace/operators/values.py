@@ -18,21 +18,24 @@ DATETIME_FORMATS = (
 )
 # Patterns that make a column a date or a timestamp.
 DATE_PATTERN = r"\d{4}-\d{2}-\d{2}"
-DATETIME_PATTERN = (
-    r"\d{4}-\d{2}-\d{2}[T\s]\d{2}:\d{2}|\d{2}/\d{2}/\d{4}\s+\d{2}:\d{2}"
-    r"|\d{2}-\d{2}-\d{4}\s+\d{2}:\d{2}|\d{8}_\d{4}"
+DATETIME_PATTERNS = (
+    r"\d{4}-\d{2}-\d{2}[T\s]\d{2}:\d{2}",
+    r"\d{2}/\d{2}/\d{4}\s+\d{2}:\d{2}",
+    r"\d{2}-\d{2}-\d{4}\s+\d{2}:\d{2}",
+    r"\d{8}_\d{4}",
 )
 # What is cut out of a suggested term.
 RESPONSE_NOISE = (
     r"(?i)standardization", r"(?i)standardized term:\s*", r"(?i)the standard name for (?:the\s*)?",
     r"\.\s+", r"->", r"[\"']", r"\(.*?\)", r"\[.*?\]",
 )
-SAMPLE = 50
 
 
-def detect_types(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], sample: int | None = SAMPLE,
+def detect_types(df: DataFrame, columns: Sequence[str], order_by: Sequence[str], sample: int | None = None,
                  compat: bool = False) -> DataFrame:
-    """(column, kind) from the first ``sample`` non-null values along ``order_by`` (None: all).
+    """(column, kind) from all non-null values, or only the first ``sample`` along ``order_by``.
+
+    A column is a timestamp if one of the shapes of timestamps makes up more than half of it.
 
     Kinds: email, phone, numeric, date, datetime, text. Dates are tested before phone numbers,
     because a date has as many digits as a phone number; ``compat`` tests phones first.
@@ -48,7 +51,7 @@ def detect_types(df: DataFrame, columns: Sequence[str], order_by: Sequence[str],
         r = v.agg(
             share(F.contains("v", F.lit("@"))).alias("email"), share(digits.between(7, 15)).alias("phone"),
             F.when(F.count_if(number.isNull()) == 0, share(number != 0)).alias("numeric"),
-            share(F.col("v").rlike(DATE_PATTERN)).alias("date"), share(F.col("v").rlike(DATETIME_PATTERN)).alias("datetime"),
+            share(F.col("v").rlike(DATE_PATTERN)).alias("date"), F.greatest(*[share(F.col("v").rlike(p)) for p in DATETIME_PATTERNS]).alias("datetime"),
         )
         email, phone = (F.col("email") > 0.7), (F.col("phone") > 0.7)
         date, datetime = (F.col("date") > 0.5), (F.col("datetime") > 0.5)
@@ -109,7 +112,7 @@ RULES = {
 
 
 def auto_standardize(df: DataFrame, order_by: Sequence[str], columns: Sequence[str] | None = None,
-                     sample: int | None = SAMPLE, compat: bool = False) -> tuple[DataFrame, dict[str, str]]:
+                     sample: int | None = None, compat: bool = False) -> tuple[DataFrame, dict[str, str]]:
     """Detect each string column's kind and apply its rule, in one projection."""
     texts = [f.name for f in df.schema if isinstance(f.dataType, StringType)]
     columns = [c for c in columns or texts if c in texts]

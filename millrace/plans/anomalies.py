@@ -107,10 +107,33 @@ def detect_mcd(t):
 
 
 @query("support_fractions", "X-7", """
-SELECT (n - 2)::BIGINT AS i, least(1.0, greatest(0.5, 1 - 3.0 / (SELECT count(*) FROM supplier)) + 0.1 * (n - 2)) AS fraction FROM (SELECT unnest(range(2, 7)) AS n)""")
+WITH c AS (SELECT s_acctbal AS a, s_nationkey::DOUBLE AS b, 7.0::DOUBLE AS c, s_suppkey::DOUBLE AS d, -1.0::DOUBLE AS e FROM supplier),
+z AS (SELECT unnest([stddev_samp(a) / stddev_pop(a), stddev_samp(b) / stddev_pop(b), stddev_samp(c), stddev_samp(d) / stddev_pop(d), stddev_samp(e)]) AS s FROM c),
+f AS (SELECT round(greatest(0.5, 1 - count(*) FILTER (WHERE s < 0.01) / count(*)), 2) AS base FROM z)
+SELECT i::BIGINT AS i, round(base + (least(0.99, base + 0.4) - base) * i / 4, 9) AS fraction FROM f, range(0, 5) r(i)""")
 def support_fractions(t):
-    fractions = D.support_fractions(t.supplier.count(), 3)
-    return t.spark.createDataFrame(list(enumerate(fractions)), "i bigint, fraction double")
+    df = t.supplier.selectExpr("s_suppkey AS k", "s_acctbal AS a", "double(s_nationkey) AS b", "7D AS c", "double(s_suppkey) AS d", "-1D AS e")
+    fractions = D.support_fractions(A.preprocess(df, list("abcde"), ["k"]), list("abcde"))
+    return t.spark.createDataFrame([(i, round(f, 9)) for i, f in enumerate(fractions)], "i bigint, fraction double")
+
+
+CUBED = """WITH v AS (SELECT o_orderkey AS k, power(o_totalprice / 1000, 3) AS v FROM orders), z AS (SELECT k, (v - (SELECT avg(v) FROM v)) / (SELECT stddev_pop(v) FROM v) AS x FROM v),
+m AS (SELECT median(x) AS m FROM z), d AS (SELECT median(abs(x - m)) AS d FROM z, m), s AS (SELECT k, 0.6745 * abs(x - m) / d AS score FROM z, m, d)"""
+
+
+def _cubed(t, model):
+    found = A.detect(t.orders.selectExpr("o_orderkey AS k", "power(o_totalprice / 1000, 3) AS v"), ["k"], ["v"], [model])
+    return found.select("k", F.round("score", 5).alias("score"), "label")
+
+
+@query("detect_mad_skewed", "X-MAD", CUBED + " SELECT k, round(score, 5) AS score, (score > 3.5)::INTEGER AS label FROM s")
+def detect_mad_skewed(t):
+    return _cubed(t, "MAD")
+
+
+@query("detect_rod", "X-ROD", CUBED + " SELECT k, round(score, 5) AS score, (score > (SELECT quantile_cont(score, 0.9) FROM s))::INTEGER AS label FROM s")
+def detect_rod(t):
+    return _cubed(t, "ROD")
 
 
 @query("detect_pca", "X-PCA", _labelled("s AS (SELECT k, x * x AS score FROM z)"))
@@ -141,9 +164,29 @@ def detect_qmcd(t):
     return _detect(t, "QMCD")
 
 
+def _standard(name, scores):
+    return f"{name} AS (WITH {scores} SELECT k, (score - avg(score) OVER ()) / stddev_pop(score) OVER () AS v FROM s)"
+
+
+@query("detect_suod", "X-SUOD", _labelled(", ".join([
+    _standard("s1", f"{_near(5)}, s AS (SELECT k, d AS score FROM n WHERE r = 5)"),
+    _standard("s2", f"{BINS}, s AS (SELECT k, -log2(c / (n * w) + 0.1) AS score FROM b JOIN h USING (b), e)"),
+    _standard("s3", f"{TAILS}, s AS (SELECT k, greatest(l, r) AS score FROM u, w)"),
+    _standard("s4", f"{TAILS}, s AS (SELECT k, greatest((l + r) / 2, CASE WHEN sk < 0 THEN l ELSE r END) AS score FROM u, w)"),
+    "s AS (SELECT k, avg(v) AS score FROM (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT * FROM s4) GROUP BY k)"])))
+def detect_suod(t):
+    return _detect(t, "SUOD")
+
+
+@query("detect_sampling", "X-Sampling", _labelled(
+    "p AS (SELECT x FROM z ORDER BY md5(k || '|42'), k LIMIT 20), s AS (SELECT z.k, min(abs(z.x - p.x)) AS score FROM z, p GROUP BY z.k)"))
+def detect_sampling(t):
+    return _detect(t, "Sampling")
+
+
 for _m, _id in {
-    "Sampling": "X-Sampling", "IForest": "X-IForest", "INNE": "X-INNE", "OCSVM": "X-OCSVM", "SOS": "X-SOS", "LOCI": "X-LOCI",
-    "DIF": "X-DIF", "SUOD": "X-SUOD", "SOD": "X-SOD", "LMDD": "X-LMDD", "KPCA": "X-KPCA",
+    "IForest": "X-IForest", "INNE": "X-INNE", "OCSVM": "X-OCSVM", "SOS": "X-SOS", "LOCI": "X-LOCI",
+    "DIF": "X-DIF", "SOD": "X-SOD", "LMDD": "X-LMDD", "KPCA": "X-KPCA",
 }.items():
     query(f"detect_{_m.lower()}", _id)(lambda t, m=_m: _detect(t, m))
 

@@ -280,14 +280,64 @@ def scalar_numeric(t):
 
 
 @query("scalar_aggregates", "2.9 numpy aggregate", """
-SELECT avg(l_quantity) AS mean, stddev_pop(l_quantity) AS std, var_pop(l_quantity) AS var, corr(l_quantity, l_extendedprice) AS r,
-       covar_samp(l_quantity, l_extendedprice) AS cov, count(DISTINCT l_quantity) AS n_unique FROM lineitem""", rounded="mean std var r cov")
+SELECT o_orderkey, round(o_totalprice - avg(o_totalprice) OVER (), 6) AS centred, round((o_totalprice - avg(o_totalprice) OVER ()) / stddev_pop(o_totalprice) OVER (), 6) AS z,
+       round(stddev_samp(o_totalprice) OVER () / sqrt(var_pop(o_totalprice) OVER ()), 9) AS ratio, round(corr(o_totalprice, o_custkey) OVER (), 9) AS r,
+       round(covar_samp(o_totalprice, o_custkey) OVER (), 3) AS cov, (SELECT count(DISTINCT o_custkey) FROM orders) AS n_unique,
+       o_totalprice > (SELECT quantile_cont(o_totalprice, 0.75) FROM orders) AS high, o_totalprice = max(o_totalprice) OVER () AS top FROM orders""")
 def scalar_aggregates(t):
-    return t.lineitem.agg(
-        F.avg("l_quantity").alias("mean"), F.stddev_pop("l_quantity").alias("std"), F.var_pop("l_quantity").alias("var"),
-        F.corr("l_quantity", "l_extendedprice").alias("r"), F.covar_samp("l_quantity", "l_extendedprice").alias("cov"),
-        F.countDistinct("l_quantity").alias("n_unique"),
-    )
+    df = t.orders
+    texts = {
+        "centred": "o_totalprice - mean(o_totalprice)", "z": "(o_totalprice - np.mean(o_totalprice)) / std(o_totalprice)",
+        "ratio": "o_totalprice.std() / sqrt(var(o_totalprice))", "r": "corrcoef(o_totalprice, o_custkey)", "cov": "cov(o_totalprice, o_custkey)",
+        "n_unique": "nunique(o_custkey)", "high": "o_totalprice > percentile(o_totalprice, 75)", "top": "o_totalprice == max(o_totalprice)"}
+    out = df.select("o_orderkey", *[column_expr(x, df).alias(n) for n, x in texts.items()])
+    return out.withColumns({c: F.round(c, d) for c, d in {"centred": 6, "z": 6, "ratio": 9, "r": 9, "cov": 3}.items()})
+
+
+@query("filter_query_syntax", "P-10 P-11 U-1", """
+SELECT c_custkey FROM customer WHERE (c_acctbal > 1000 AND c_nationkey IN (1, 2, 3, 20)) OR NOT (c_mktsegment <> 'BUILDING')
+  AND contains(c_name, '7') AND c_nationkey NOT IN (5, 6) AND CASE WHEN c_acctbal > 0 THEN c_nationkey > 3 ELSE c_custkey % 2 = 0 END""")
+def filter_query_syntax(t):
+    df = t.customer.withColumnRenamed("c_acctbal", "account balance")
+    return C.keep_rows(df, """(`account balance` > 1000) & (c_nationkey in [1, 2, 3, 20]) | ~(c_mktsegment != "BUILDING")
+        & c_name.str.contains('7') & c_nationkey not in (5, 6) & (c_nationkey > 3 if `account balance` > 0 else c_custkey % 2 == 0)""".replace("\n", " ")).select("c_custkey")
+
+
+@query("delete_query_syntax", "P-11", """
+SELECT p_partkey FROM part WHERE NOT ((p_size BETWEEN 10 AND 20 AND p_retailprice > 1000) OR starts_with(lower(p_name), 'a') OR p_size = 7)""")
+def delete_query_syntax(t):
+    return C.delete_rows(t.part, "p_size.between(10, 20) & (df['p_retailprice'] > 1e3) | p_name.str.lower().str.startswith('a') | df.p_size.isin([7])").select("p_partkey")
+
+
+@query("computed_binned", "P-5 P-6 2.9 pandas numpy scalar", """
+WITH q AS (SELECT quantile_cont(p_retailprice, 0.25) AS a, quantile_cont(p_retailprice, 0.5) AS b, quantile_cont(p_retailprice, 0.75) AS c FROM part)
+SELECT p_partkey, CASE WHEN p_size <= 10 THEN 'small' WHEN p_size <= 30 THEN 'middle' ELSE 'large' END AS band,
+       CASE WHEN p_retailprice <= a THEN 0 WHEN p_retailprice <= b THEN 1 WHEN p_retailprice <= c THEN 2 ELSE 3 END AS quarter,
+       (p_size >= 10)::INT + (p_size >= 20)::INT AS step, CASE WHEN p_size > 40 THEN 1 WHEN p_size > 20 THEN 2 ELSE 0 END AS pick,
+       round(CASE WHEN p_size <= 10 THEN p_size / 10.0 WHEN p_size <= 50 THEN 1 + (p_size - 10) / 10.0 ELSE 5 END, 9) AS curve,
+       (p_size // 7)::DOUBLE AS whole, (p_size % 7)::DOUBLE AS rest, p_size + p_partkey AS total, 3.5::DOUBLE AS lin FROM part, q""")
+def computed_binned(t):
+    df, out = t.part, t.part.select("p_partkey", "p_size", "p_retailprice")
+    texts = {
+        "band": "pd.cut(p_size, bins=[0, 10, 30, 1000], labels=['small', 'middle', 'large'])", "quarter": "qcut(p_retailprice, 4)", "step": "np.digitize(p_size, [10, 20])",
+        "pick": "select([p_size > 40, p_size > 20], [1, 2], 0)", "curve": "interp(p_size, [0, 10, 50], [0, 1, 5])", "whole": "divmod(p_size, 7)[0]",
+        "rest": "divmod(p_size, 7)[1]", "total": "sum([p_size, p_partkey])", "lin": "linspace(2, 4, 5)[3]"}
+    out = df.select("p_partkey", *[column_expr(x, df).alias(n) for n, x in texts.items()])
+    return out.withColumns({"curve": F.round("curve", 9), "total": F.col("total").cast("bigint")})
+
+
+@query("computed_dates", "P-5 P-6 2.9 date parts text regex timedelta", """
+SELECT o_orderkey, year(o_orderdate) AS y, quarter(o_orderdate) AS q, monthname(o_orderdate) AS mn, (o_orderdate + INTERVAL 3 DAY + INTERVAL 2 HOUR)::TIMESTAMP AS later,
+       date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS days, regexp_replace(o_orderpriority, '[0-9]-', '', 'g') AS word, regexp_matches(o_orderpriority, '^[12]') AS urgent,
+       nullif(regexp_extract(o_orderpriority, '([A-Z]+)$', 1), '') AS tail, substr(o_orderpriority, 1, 1)::DOUBLE AS level FROM orders""")
+def computed_dates(t):
+    df = t.orders.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz"))
+    texts = {
+        "y": "o_orderdate.dt.year", "q": "o_orderdate.dt.quarter", "mn": "o_orderdate.dt.month_name()", "later": "o_orderdate + timedelta(days=3, hours=2)",
+        "word": "re.sub('[0-9]-', '', o_orderpriority)", "urgent": "re.search('^[12]', o_orderpriority)", "tail": "o_orderpriority.str.extract('([A-Z]+)$')",
+        "level": "to_numeric(o_orderpriority.str.slice(0, 1))"}
+    out = df.select("o_orderkey", *[column_expr(x, df).alias(n) for n, x in texts.items()], F.datediff("o_orderdate", F.lit("1992-01-01")).cast("bigint").alias("days"))
+    return out.withColumns({"y": F.col("y").cast("bigint"), "q": F.col("q").cast("bigint")})
 
 
 @query("scalar_generators", "2.9 numpy generators", """

@@ -116,6 +116,13 @@ def distinct_values(t):
     return P.distinct_values(t.orders, ["o_orderstatus", "o_orderpriority"])
 
 
+@query("distinct_value_rows", "A-7", " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", {c}::VARCHAR AS value, count(*) AS n FROM orders WHERE {c} IS NOT NULL GROUP BY {c}"
+    for c in ("o_orderstatus", "o_custkey")))
+def distinct_value_rows(t):
+    return P.distinct_value_rows(t.orders, ["o_orderstatus", "o_custkey"])
+
+
 @query("dataset_summary", "A-8", f"""
 SELECT count(*) AS "rows", 5 AS columns, 3 AS numeric_columns, 2 AS categorical_columns, 0 AS datetime_columns,
   count(*) - count(c_acctbal) AS missing, (count(*) - count(c_acctbal)) * 100.0::DOUBLE / (count(*) * 5) AS missing_pct,

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import changepoints as CP
 from millrace.operators import forecast as FC
+from millrace.operators import panel as PN
 from millrace.operators import timeseries as T
 from millrace.plans.registry import query
 
@@ -54,9 +55,9 @@ g AS (SELECT unnest(generate_series((SELECT min(p) FROM m), (SELECT max(p) FROM
 j AS (SELECT g.p, v, CASE WHEN v IS NOT NULL THEN epoch(g.p) / 60 END AS e FROM g LEFT JOIN m USING (p)),
 f AS (SELECT *, count(v) OVER (ORDER BY p) AS a, count(v) OVER (ORDER BY p DESC) AS b FROM j),
 k AS (SELECT *, max(v) OVER (PARTITION BY a) AS v0, max(e) OVER (PARTITION BY a) AS e0, max(v) OVER (PARTITION BY b) AS v1, max(e) OVER (PARTITION BY b) AS e1 FROM f)
-SELECT p::TIMESTAMP AS ts, round(CASE WHEN v IS NOT NULL THEN v ELSE v0 + (v1 - v0) * (epoch(p) / 60 - e0) / (e1 - e0) END + 1e-7, 4) AS value FROM k""")
+SELECT p::TIMESTAMP AS ts, round(CASE WHEN v IS NOT NULL THEN v ELSE v0 + (v1 - v0) * (epoch(p) / 60 - e0) / (e1 - e0) END, 9) AS value FROM k""")
 def resample_minutes(t):
-    return T.resample(_events(t), "ts", "value", "min").withColumn("value", F.round(F.col("value") + 1e-7, 4))
+    return T.resample(_events(t), "ts", "value", "min").withColumn("value", F.round("value", 9))
 
 
 @query("moving_average_fit", "T-3 W-4", """
@@ -91,6 +92,14 @@ def arima_211(t):
     return T.arima_fit(_events(t), "value", KEY, p=2, d=1, q=1).select("event_id", "fitted")
 
 
+@query("arima_by_type", "T-4", """
+WITH a AS (SELECT event_id, event_type, value AS y, lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS x FROM events),
+c AS (SELECT event_type, regr_slope(y, x) AS b, regr_intercept(y, x) AS a0 FROM a GROUP BY event_type)
+SELECT event_id, round(a0 + b * x, 5) AS fitted FROM a JOIN c USING (event_type)""")
+def arima_by_type(t):
+    return T.arima_fit(_events(t), "value", KEY, p=1, series=["event_type"]).select("event_id", F.round("fitted", 5).alias("fitted"))
+
+
 @query("change_points", "T-5")
 def change_points(t):
     return CP.change_points(hourly(t), "value", ["ts"])
@@ -140,6 +149,17 @@ def audit_windows(t):
     return out.withColumns({c: F.round(c, 5) for c in FLOATS})
 
 
+@query("audit_windows_by_type", "T-6 T-8", """
+WITH b AS (SELECT event_type, min(ts) AS a, max(ts) AS z FROM events GROUP BY 1), s AS (SELECT unnest(range(0, 100)) AS i),
+w AS (SELECT event_type, a + to_days((i * 5)::INT) AS window_start, least(a + to_days((i * 5 + 10)::INT), z) AS window_end FROM s, b WHERE a + to_days((i * 5)::INT) <= z),
+r AS (SELECT w.*, value FROM w JOIN events e ON e.event_type = w.event_type AND ts >= window_start AND ts < window_end)
+SELECT event_type, window_start, window_end, count(*) AS count, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max, count(DISTINCT value) AS unique_values
+FROM r GROUP BY 1, 2, 3 HAVING count(*) >= 10""")
+def audit_windows_by_type(t):
+    out = T.audit_windows(_events(t), "ts", "value", window_days=10, series=["event_type"])
+    return out.select("event_type", "window_start", "window_end", "count", F.round("mean", 6).alias("mean"), "min", "max", "unique_values")
+
+
 @query("audit_typical_step", "T-8", f"""
 WITH {AUDIT}, d AS (SELECT DISTINCT window_start, value FROM r), k AS (SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY value) AS n FROM d),
 g AS (SELECT window_start, value - lag(value) OVER (PARTITION BY window_start ORDER BY n) AS gap FROM k WHERE n <= 100)
@@ -173,11 +193,46 @@ g AS (SELECT i % 24 AS ph, avg(value - trend) AS s FROM t GROUP BY 1), c AS (SEL
 d AS (SELECT ts, value, trend, seasonal, value - trend - seasonal AS residual FROM t JOIN c ON ph = i % 24)"""
 
 
-@query("decompose_additive", "T-9", f"WITH {PARTS} SELECT ts::TIMESTAMP AS ts, round(trend + 1.3e-7, 5) AS trend, round(seasonal + 1.3e-7, 5) AS seasonal, round(residual + 1.3e-7, 5) AS residual FROM d")
+# Weeks in which the recording changes: as it is, whole numbers, ten times as large, as it is again, nearly constant.
+STAGED = """lo AS (SELECT min(ts) AS a, max(ts) AS z FROM events), e AS (SELECT ts, (epoch_us(ts) - epoch_us(a)) // 604800000000 AS w, value FROM events, lo),
+ev AS (SELECT ts, w, CASE w WHEN 1 THEN floor(value / 20) WHEN 2 THEN value * 10 WHEN 4 THEN 5.0 + floor(value / 100) ELSE value END AS v FROM e WHERE ts < (SELECT z FROM lo)),
+q AS (SELECT (SELECT a FROM lo) + to_days((w * 7)::INT) AS window_start, avg(v) AS mean, stddev_pop(v) AS std, min(v) AS mn, max(v) AS mx, count(DISTINCT v) AS u,
+ quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr, bool_and(v = floor(v)) AS whole FROM ev GROUP BY w HAVING count(*) >= 10),
+dv AS (SELECT DISTINCT w, v FROM ev), rk AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY v) AS n FROM dv),
+gp AS (SELECT w, v - lag(v) OVER (PARTITION BY w ORDER BY n) AS gap FROM rk WHERE n <= 100),
+sp AS (SELECT (SELECT a FROM lo) + to_days((w * 7)::INT) AS window_start, median(gap) AS step FROM gp GROUP BY w),
+j AS (SELECT q.*, CASE WHEN u > 10 THEN coalesce(step, 0) END AS step, row_number() OVER (ORDER BY window_start) AS i FROM q LEFT JOIN sp USING (window_start)),
+k AS (SELECT *, CASE WHEN u > 10 AND i > 1 THEN whole END AS wh FROM j),
+p AS (SELECT *, lag(mean) OVER o AS pm, lag(std) OVER o AS ps, lag(mx - mn) OVER o AS pr, lag(u) OVER o AS pu, lag(iqr) OVER o AS pi, lag(step) OVER o AS pt, lag(wh) OVER o AS pw FROM k WINDOW o AS (ORDER BY window_start)),
+r AS (SELECT *, CASE WHEN step > 0 AND pt > 0 THEN step / pt END AS sr FROM p)"""
+
+
+@query("audit_alerts_staged", "T-7 T-8", f"""
+WITH {STAGED}, a AS (
+SELECT window_start, 'mean_shift' AS type, abs(mean - pm) / pm * 100 AS amount FROM r WHERE abs(mean - pm) / nullif(pm, 0) * 100 > 30
+UNION ALL SELECT window_start, 'std_shift', abs(std - ps) / ps * 100 FROM r WHERE abs(std - ps) / nullif(ps, 0) * 100 > 50
+UNION ALL SELECT window_start, 'range_expansion', (mx - mn) / pr FROM r WHERE (mx - mn) / nullif(pr, 0) > 2
+UNION ALL SELECT window_start, 'range_contraction', (mx - mn) / pr FROM r WHERE (mx - mn) / nullif(pr, 0) < 0.5
+UNION ALL SELECT window_start, 'type_conversion', wh::INT::DOUBLE FROM r WHERE u > 10 AND wh <> pw
+UNION ALL SELECT window_start, 'precision_increase', u / pu FROM r WHERE u > 10 AND u / pu > 3
+UNION ALL SELECT window_start, 'precision_decrease', u / pu FROM r WHERE u > 10 AND u / pu < 0.33
+UNION ALL SELECT window_start, 'iqr_shift', abs(iqr - pi) / pi * 100 FROM r WHERE abs(iqr - pi) / nullif(pi, 0) * 100 > 75
+UNION ALL SELECT window_start, 'unit_scaled_down', 1 / sr FROM r WHERE u > 10 AND sr > 0.05 AND sr < 0.2
+UNION ALL SELECT window_start, 'unit_scaled_up', sr FROM r WHERE u > 10 AND sr > 5 AND sr < 20)
+SELECT window_start, type, round(amount, 4) AS amount FROM a""")
+def audit_alerts_staged(t):
+    lo = _events(t).agg(F.min("ts").alias("lo"))
+    ev = _events(t).join(F.broadcast(lo)).withColumn("w", F.floor(F.timestamp_diff("MICROSECOND", F.col("lo"), F.col("ts")) / 604_800_000_000))
+    v = F.when(F.col("w") == 1, F.floor(F.col("value") / 20)).when(F.col("w") == 2, F.col("value") * 10).when(
+        F.col("w") == 4, 5.0 + F.floor(F.col("value") / 100)).otherwise(F.col("value"))
+    windows = T.audit_windows(ev.select("ts", v.cast("double").alias("v")), "ts", "v", window_days=7, overlap_pct=0)
+    return T.audit_alerts(windows).withColumn("amount", F.round("amount", 4))
+
+
+@query("decompose_additive", "T-9", f"WITH {PARTS} SELECT ts::TIMESTAMP AS ts, round(trend, 9) AS trend, round(seasonal, 9) AS seasonal, round(residual, 9) AS residual FROM d")
 def decompose_additive(t):
     out = T.decompose(hourly(t), "value", ["ts"], 24)
-    # The small offset keeps values off rounding ties, here and in the SQL.
-    return out.select("ts", *[F.round(F.col(c) + 1.3e-7, 5).alias(c) for c in ("trend", "seasonal", "residual")])
+    return out.select("ts", *[F.round(c, 9).alias(c) for c in ("trend", "seasonal", "residual")])
 
 
 @query("decompose_multiplicative", "T-9", f"""
@@ -230,6 +285,41 @@ def autocorrelation(t):
     return T.autocorrelation(hourly(t), "value", ["ts"]).select("lag", F.round("acf", 6).alias("acf"))
 
 
+@query("acf_by_type", "T-11", """
+WITH z AS (SELECT event_type, value - avg(value) OVER (PARTITION BY event_type) AS y, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+v AS (SELECT event_type, sum(y * y) AS v FROM z GROUP BY 1)
+SELECT a.event_type, k::INTEGER AS lag, round(sum(a.y * b.y) / any_value(v), 6) AS acf FROM range(0, 41) r(k) JOIN z a ON true
+JOIN z b ON b.event_type = a.event_type AND b.i = a.i + k JOIN v ON v.event_type = a.event_type GROUP BY 1, 2""")
+def acf_by_type(t):
+    return PN.autocorrelation(_events(t), "value", KEY, ["event_type"]).select("event_type", "lag", F.round("acf", 6).alias("acf"))
+
+
+@query("kpss_by_type", "T-10", """
+WITH z AS (SELECT event_type, value - avg(value) OVER w AS y, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY event_type)),
+l AS (SELECT a.event_type, k, any_value(a.n) AS n, sum(a.y * b.y) AS c FROM range(0, 60) r(k) JOIN z a ON true JOIN z b ON b.event_type = a.event_type AND b.i = a.i + k GROUP BY 1, 2),
+s AS (SELECT event_type, any_value(n) AS n, sum(CASE WHEN k = 0 THEN c / n WHEN k <= floor(pow(n, 2.0 / 9)) THEN 2 * c / n ELSE 0 END) AS s0,
+ sum(CASE WHEN k BETWEEN 1 AND floor(pow(n, 2.0 / 9)) THEN k * 2 * c / n ELSE 0 END) AS s1 FROM l GROUP BY 1),
+g AS (SELECT event_type, n, floor(1.1447 * pow((s1 / s0) * (s1 / s0), 1.0 / 3) * pow(n, 1.0 / 3)) AS lags FROM s),
+v AS (SELECT event_type, sum(CASE WHEN k = 0 THEN c WHEN k <= lags THEN 2 * c * (1 - k / (lags + 1)) ELSE 0 END) / any_value(g.n) AS v FROM l JOIN g USING (event_type) GROUP BY 1),
+e AS (SELECT event_type, sum(p * p) AS e FROM (SELECT event_type, sum(y) OVER (PARTITION BY event_type ORDER BY i) AS p FROM z) GROUP BY 1)
+SELECT event_type, round(e / (n * n) / v, 5) AS kpss, lags::INTEGER AS lags FROM e JOIN v USING (event_type) JOIN g USING (event_type)""")
+def kpss_by_type(t):
+    return PN.kpss(_events(t), "value", KEY, ["event_type"]).select("event_type", F.round("kpss", 5).alias("kpss"), "lags")
+
+
+@query("adf_by_type_lag0", "T-10", """
+WITH d AS (SELECT event_type, value - lag(value) OVER w AS dy, lag(value) OVER w AS x FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)),
+r AS (SELECT event_type, regr_slope(dy, x) AS b, regr_sxx(dy, x) AS sxx, regr_syy(dy, x) AS syy, regr_count(dy, x) AS n FROM d GROUP BY 1)
+SELECT event_type, round(b / sqrt((syy - b * b * sxx) / (n - 2) / sxx), 5) AS adf FROM r""")
+def adf_by_type(t):
+    return PN.adf(_events(t), "value", KEY, ["event_type"], max_lag=0).select("event_type", F.round("adf", 5).alias("adf"))
+
+
+@query("stationarity_by_type", "T-10")
+def stationarity_by_type(t):
+    return PN.stationarity(_events(t), "value", KEY, ["event_type"])
+
+
 @query("partial_autocorrelation", "T-11")
 def partial_autocorrelation(t):
     return T.autocorrelation(hourly(t), "value", ["ts"])
@@ -254,6 +344,21 @@ def forecast_naive_scores(t):
     return scores.select(*[F.round(c, 5).alias(c) for c in ("mae", "rmse", "ci")])
 
 
+@query("forecast_naive_by_user", "T-12", """
+WITH o AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+t AS (SELECT * FROM o WHERE i < floor(n * 0.8)), f AS (SELECT user_id, max_by(value, i) AS f, max(i) AS m FROM t GROUP BY 1),
+c AS (SELECT t.user_id, stddev_samp(value) * 1.959963984540054 AS ci FROM t JOIN f ON f.user_id = t.user_id AND i > m - 10 GROUP BY 1)
+SELECT user_id, s::INTEGER AS step, round(f, 5) AS forecast, round(f - ci, 5) AS lower, round(f + ci, 5) AS upper FROM f JOIN c USING (user_id), range(1, 4) r(s)""")
+def forecast_naive_by_user(t):
+    out = PN.forecast(_events(t), "value", KEY, ["user_id"], steps=3, method="naive")
+    return out.select("user_id", "step", *[F.round(c, 5).alias(c) for c in ("forecast", "lower", "upper")])
+
+
+@query("forecast_smoothing_by_type", "T-12")
+def forecast_smoothing_by_type(t):
+    return PN.forecast(_events(t), "value", KEY, ["event_type"])
+
+
 @query("forecast_smoothing", "T-12")
 def forecast_smoothing(t):
     return FC.forecast(hourly(t), "value", ["ts"])[0]

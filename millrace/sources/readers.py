@@ -4,38 +4,36 @@ from __future__ import annotations
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType, StructType
 
 # The encodings tried, in order.
 ENCODINGS = (
-    "utf-8-sig utf-8 utf-16 utf-16le utf-16be utf-32 utf-32le utf-32be iso-8859-1 iso-8859-2 "
-    "iso-8859-5 iso-8859-6 iso-8859-7 iso-8859-8 windows-1252 ascii shift_jis euc-jp big5 "
-    "gb2312 gbk koi8-r macroman iso-2022-jp"
-).split()
-SAMPLE_BYTES = 1 << 20
+    "utf-8-sig", "utf-8", "utf-16", "utf-16le", "utf-16be", "utf-32", "utf-32le", "utf-32be", "iso-8859-1", "iso-8859-2",
+    "iso-8859-5", "iso-8859-6", "iso-8859-7", "iso-8859-8", "windows-1252", "ascii", "shift_jis", "euc-jp", "big5",
+    "gb2312", "gbk", "koi8-r", "macroman", "iso-2022-jp",
+)
 _BOMS = (b"\xff\xfe", b"\xfe\xff")
 
 
-def guess_encoding(sample: bytes) -> str:
-    """The first encoding of the list that decodes the sample.
+def decodes(content: bytes, encoding: str) -> bool:
+    """Whether all of the content is text of the encoding.
 
-    UTF-16 and UTF-32 are taken only with a byte-order mark or NUL bytes: without them
-    almost any even number of bytes would decode.
+    UTF-16 and UTF-32 need a byte-order mark or NUL bytes: without them almost any even number of bytes would decode.
     """
-    for enc in ENCODINGS:
-        if enc.startswith(("utf-16", "utf-32")) and not (sample[:2] in _BOMS or b"\0" in sample):
-            continue
-        try:
-            # A sample may end inside a character: allow its last bytes to be cut.
-            sample.decode(enc)
-            return enc
-        except UnicodeDecodeError as e:
-            if len(sample) >= SAMPLE_BYTES and e.start >= len(sample) - 4:
-                return enc
-        except UnicodeError:
-            continue
-    return "iso-8859-1"
+    if encoding.startswith(("utf-16", "utf-32")) and not (content[:2] in _BOMS or b"\0" in content):
+        return False
+    try:
+        content.decode(encoding)
+    except UnicodeError:
+        return False
+    return True
+
+
+def guess_encoding(content: bytes) -> str:
+    """The first encoding of the list that decodes the content."""
+    return next((e for e in ENCODINGS if decodes(content, e)), "iso-8859-1")
 
 
 # The charsets Spark accepts without its Java charset setting.
@@ -53,10 +51,24 @@ def charset(spark: SparkSession, encoding: str) -> str:
 
 
 def detect_encoding(spark: SparkSession, path: str) -> str:
-    """One encoding for a file set, from the leading bytes of its first file."""
-    files = spark.read.format("binaryFile").load(path).where("length > 0")
-    row = files.select(F.expr(f"substring(content, 1, {SAMPLE_BYTES})").alias("b")).first()
-    return guess_encoding(bytes(row["b"])) if row else "utf-8"
+    """The first encoding of the list that decodes every file of the set, whole.
+
+    Files are decoded where they are read, one encoding a job until one fits all; the first fits most sets. A file over 2 GB
+    is beyond one row: name its encoding.
+    """
+    files = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
+    if files.isEmpty():
+        return "utf-8"
+
+    def failing(encoding):
+        def run(batches):
+            for batch in batches:
+                bad = [not decodes(c.as_py(), encoding) for c in batch.column(0)]
+                yield pa.RecordBatch.from_arrays([pa.array([b for b in bad if b], pa.bool_())], ["bad"])
+
+        return run
+
+    return next((e for e in ENCODINGS if files.mapInArrow(failing(e), "bad boolean").isEmpty()), "iso-8859-1")
 
 
 def read_csv(
