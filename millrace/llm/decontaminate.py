@@ -4,14 +4,16 @@ For an item of ``n`` words, document windows of ``n`` words are embedded by rand
 distance: at each of ``3 n`` steps the walk writes the word it stands on and moves on or stays by a random bit of (step, word), so
 two sequences soon walk in step again after an edit. Each repetition of the bit sampling takes ``SAMPLED`` places of one of
 ``WALKS`` walks as a bucket key; the number of repetitions per length is what reaches ``RECALL`` on sequences edited at random as
-often as the bound allows. Windows that share a bucket with an item are verified by exact edit distance.
+often as the bound allows, for each kind of edit and for all kinds mixed. Windows that share a bucket with an item are verified by
+exact edit distance with a free end: the least over all lengths that a passage within the bound can have, so that words put in or
+left out count once each.
 
-A window within ``k`` edits of an item holds one of any ``k + 1`` pieces of the item unchanged, at most ``k`` words from its place;
-other windows cannot match and are not embedded. This loses nothing: every window of every document is decided.
+A passage within ``k`` edits of an item holds one of any ``k + 1`` pieces of the item unchanged, at most ``k`` words from its place;
+other places cannot match and are not embedded. This loses nothing: every place of every document is decided.
 
 The benchmark is sent to the tasks in blocks of at most ``BLOCK_WORDS`` words and the documents are read once a block, so neither
 side is ever held whole. Words are compared with A to Z in lower case. Beyond a document's end a window has places that match
-nothing. Null and empty texts and items match nothing; repeated rows are judged alike; empty tables give empty results.
+nothing, and a passage ends there. Null and empty texts and items match nothing; repeated rows are judged alike; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from millrace.llm.common import ROW, TEXT, bounded_batches, carried, chunks, wor
 
 EDITS, RECALL = 0.2, 0.98
 WALKS, SAMPLED, TRIALS, SEED = 4, 3, 64, 5
+#: Edits of the trials that set the repetitions: all kinds, replacements, insertions, deletions.
+KINDS = ((0, 1, 2), (0,), (1,), (2,))
 BLOCK_WORDS = 2_000_000
 
 
@@ -72,32 +76,35 @@ def keys(ids: np.ndarray, repetitions: int) -> np.ndarray:
     return out
 
 
-def edited(ids: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
-    """``ids`` after random replacements, insertions and deletions, cut or filled to its length."""
+def edited(ids: np.ndarray, edits: int, rng: np.random.Generator, kinds: tuple[int, ...] = (0, 1, 2)) -> np.ndarray:
+    """``ids`` after random replacements (0), insertions (1) and deletions (2), filled to ``edits`` words more."""
     out, fresh = ids.tolist(), int(ids.max()) + 1
-    for i, kind in enumerate(rng.integers(0, 3, edits)):
+    for i, kind in enumerate(rng.choice(kinds, edits)):
         at = int(rng.integers(0, max(1, len(out))))
         out[at:at + (kind != 1)] = [] if kind == 2 else [fresh + i]
-    fill = [fresh + edits + i for i in range(len(ids) - len(out))]
-    return np.array((out + fill)[:len(ids)], ids.dtype)
+    fill = [fresh + edits + i for i in range(len(ids) + edits - len(out))]
+    return np.array(out + fill, ids.dtype)
 
 
 def repetitions(n: int, edits: int, recall: float = RECALL) -> int:
-    """The least number of repetitions, doubling, at which edited sequences of ``n`` words are found often enough."""
+    """The least number of repetitions, doubling, at which sequences of ``n`` words are found and verified often enough after edits
+    of each kind and of all kinds."""
     rng = np.random.default_rng([SEED, n, edits])
     base = np.arange(1, n + 1, dtype=np.int32)
-    trials = np.stack([edited(base, edits, rng) for _ in range(TRIALS)])
+    trials = np.stack([edited(base, edits, rng, kinds) for kinds in KINDS for _ in range(TRIALS)])
+    verified = distances(trials, np.broadcast_to(base, (len(trials), n)), edits, free_end=True) <= edits
     count = WALKS
     while True:
-        hit = (keys(trials, count) == keys(base[None], count)).any(axis=1)
-        if hit.mean() >= recall:
+        hit = verified & (keys(trials[:, :n], count) == keys(base[None], count)).any(axis=1)
+        if hit.reshape(len(KINDS), TRIALS).mean(axis=1).min() >= recall:
             return count
         count *= 2
 
 
-def distances(windows: np.ndarray, items: np.ndarray, bound: int) -> np.ndarray:
-    """Edit distance of each row of ``windows`` to the row of ``items``, exact up to ``bound`` and above it beyond."""
-    m, n = items.shape
+def distances(windows: np.ndarray, items: np.ndarray, bound: int, free_end: bool = False) -> np.ndarray:
+    """Edit distance of each row of ``windows`` to the row of ``items``, exact up to ``bound`` and above it beyond; with
+    ``free_end`` the least over all lengths from the window's first word on."""
+    (m, n), longest = items.shape, windows.shape[1]
     wide = 2 * bound + 1
     far = np.int32(n + bound + 1)
     row = np.broadcast_to(np.where(np.arange(wide) >= bound, np.arange(wide) - bound, far).astype(np.int32), (m, wide)).copy()
@@ -105,7 +112,7 @@ def distances(windows: np.ndarray, items: np.ndarray, bound: int) -> np.ndarray:
         new = np.full((m, wide), far, np.int32)
         for d in range(wide):
             j = i + d - bound
-            if j < 0 or j > n:
+            if j < 0 or j > longest:
                 continue
             best = np.full(m, i, np.int32) if j == 0 else row[:, d] + (items[:, i - 1] != windows[:, j - 1])
             if d + 1 < wide:
@@ -114,7 +121,7 @@ def distances(windows: np.ndarray, items: np.ndarray, bound: int) -> np.ndarray:
                 best = np.minimum(best, new[:, d - 1] + 1)
             new[:, d] = best
         row = new
-    return row[:, bound]
+    return row.min(axis=1) if free_end else row[:, bound]
 
 
 class Index:
@@ -164,7 +171,7 @@ class Index:
         return _mixed(out)
 
     def find(self, texts: list[str]) -> list[tuple[int, object, int, int]]:
-        """(text number, item, first word, edits) of the best window per text and item."""
+        """(text number, item, first word, edits) of the best passage per text and item."""
         split = [t.encode().lower().split() for t in texts]
         counts = np.array([len(s) for s in split], np.int64)
         ids = np.fromiter((i for s in split for i in map(self.vocabulary.get, s, repeat(0))), np.int32, int(counts.sum()))
@@ -199,21 +206,21 @@ class Index:
 
     def _verified(self, start: np.ndarray, n: int, ids: np.ndarray, ends: np.ndarray):
         of, rows, count, buckets = self.lengths[n]
+        k = int(self.share * n)
         for part in range(0, len(start), 2048):
             at = start[part:part + 2048]
-            place = at[:, None] + np.arange(n)
+            place = at[:, None] + np.arange(n + k)
             windows = np.where(place < ends[np.searchsorted(ends, at, "right")][:, None], ids[np.minimum(place, len(ids) - 1)], -1)
-            made, hits = keys(windows, count), []
+            made, hits = keys(windows[:, :n], count), []
             for r, (column, order) in enumerate(buckets):
                 low, high = (np.searchsorted(column, made[:, r], side) for side in ("left", "right"))
                 for w in np.nonzero(high > low)[0].tolist():
                     hits.extend((w, i) for i in order[low[w]:high[w]].tolist())
             if hits:
                 pairs = np.unique(np.array(hits), axis=0)
-                k = int(self.share * n)
                 for p in range(0, len(pairs), 4096):
                     w, i = pairs[p:p + 4096].T
-                    d = distances(windows[w], rows[i], k)
+                    d = distances(windows[w], rows[i], k, free_end=True)
                     for x in np.nonzero(d <= k)[0].tolist():
                         yield int(at[w[x]]), int(of[i[x]]), int(d[x])
 
@@ -232,7 +239,7 @@ def matches(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
     share: float = EDITS, recall: float = RECALL,
 ) -> DataFrame:
-    """(key, item, first_word, edits): the best window of each document for each item it holds."""
+    """(key, item, first_word, edits): the best passage of each document for each item it holds."""
     spark = docs.sparkSession
     bounded_batches(spark)
     slim = carried(docs.select(*dict.fromkeys([key, text])), text).select(F.col(ROW)[key].alias("_llm_key"), TEXT)
