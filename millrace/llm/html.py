@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -75,6 +76,7 @@ class Node:
     below: list[int]
     parts: list  # text as str, child elements as int, in order
     at: int
+    place: int = 0  # among the elements below ``up``
 
 
 def parsed(page: str) -> list[Node]:
@@ -120,7 +122,7 @@ def parsed(page: str) -> list[Node]:
                     article += token in ARTICLE_TOKENS
                     other += token in OTHER_TOKENS
         here = len(nodes)
-        nodes.append(Node(tag, up, len(stack), article, other, [], [], found.start()))
+        nodes.append(Node(tag, up, len(stack), article, other, [], [], found.start(), len(nodes[up].below)))
         nodes[up].below.append(here)
         nodes[up].parts.append(here)
         if tag not in VOID and not rest.rstrip().endswith("/"):
@@ -161,17 +163,17 @@ def features(nodes: list[Node], length: int) -> np.ndarray:
         paragraphs[up] += paragraphs[i]
     out = np.zeros((n, len(FEATURES)), np.float32)
     whole = max(1.0, text[0])
+    alike = Counter((node.up, node.tag) for node in nodes)
     for i, node in enumerate(nodes):
         up = nodes[node.up] if node.up >= 0 else node
         siblings = up.below
-        alike = sum(nodes[k].tag == node.tag for k in siblings[:50]) if i else 1
         t = max(1.0, text[i])
         out[i] = (
             node.tag in ARTICLE_TAGS, node.tag in OTHER_TAGS, min(node.article, 3), min(node.other, 3), *np.minimum(above[i], 3),
             node.tag in HEADING, node.tag == "p", node.tag in ("ul", "ol", "li", "dl", "dd", "dt", "menu"), node.tag not in BLOCK, node.depth,
             np.log1p(text[i]), np.log1p(own[i]), min(1.0, links[i] / t), marks[i] / t, t / max(1.0, spaces[i]), len(node.below), len(siblings),
-            (siblings.index(i) if len(siblings) < 50 and i else 0) / max(1, len(siblings)), text[i] / max(1.0, text[node.up] if node.up >= 0 else whole),
-            text[i] / whole, alike / max(1, min(50, len(siblings))), node.at / max(1, length), np.log1p(text[i] / count[i]), np.log1p(paragraphs[i]),
+            node.place / max(1, len(siblings)), text[i] / max(1.0, text[node.up] if node.up >= 0 else whole),
+            text[i] / whole, alike[node.up, node.tag] / max(1, len(siblings)), node.at / max(1, length), np.log1p(text[i] / count[i]), np.log1p(paragraphs[i]),
             np.log1p(max(0.0, (text[node.up] if node.up >= 0 else whole) - text[i])))
     return out
 
