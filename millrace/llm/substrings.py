@@ -1,11 +1,12 @@
-"""Substring de-duplication over prefix-partitioned suffix trees.
+"""Substring de-duplication by grouping of exact windows.
 
-A suffix starts at every word. Suffixes are split into groups by a prefix: five words, or the whole window where so many suffixes
-share five words that they would not fit one task; short prefixes are packed together until a group is full. A group's subtree is
-its suffixes in the order of their paths; the internal nodes as deep as a window are the repeats, and all leaves of such a
-node but the earliest mark the words under their window. Marked windows that touch join into maximal repeats.
+This stands in for suffix trees: no suffix is ordered, no tree is built, and words are not compared where hashes agree (README,
+"Departures from the dealt methods"). A window starts at every word that has enough words after it. Windows are split into groups
+by a prefix: a 16-bit slot of the hash of five words, or the hash of the whole window where a slot holds more than fit one task;
+slots are packed together until a group is full. Within a group equal windows are found by sorting; all but the earliest mark the
+words under them. Marked windows that touch or overlap are removed as one stretch, whichever documents they repeat.
 
-Paths are 64-bit hashes of the words on them. Documents travel in chunks: a chunk sends each group the deep path of each of its
+Windows are compared as 64-bit hashes of their words. Documents travel in chunks: a chunk sends each group the hash of each of its
 distinct windows (a window that repeats inside the chunk is sent once, its later places are marked on the spot, so a passage that
 a third of all documents share is one entry per chunk), gets marks back, and applies them to its texts.
 
@@ -111,7 +112,7 @@ class Plan:
 
 
 def _packed(deep: np.ndarray, doc: np.ndarray, keys: np.ndarray) -> bytes:
-    """Deep paths with the id of each one's document (documents ascend)."""
+    """Window hashes with the id of each one's document (documents ascend)."""
     used, at = np.unique(doc, return_inverse=True)
     small = zstandard.ZstdCompressor(level=1).compress(
         np.diff(at, prepend=0).astype("<u4").tobytes() + np.diff(keys[used], prepend=0).astype("<i8").tobytes())
@@ -126,7 +127,7 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated(blobs: list[bytes], places: np.ndarray) -> list[np.ndarray]:
-    """Which entries of each blob are leaves of a deep node that has an earlier leaf; ``places`` orders blobs alike in id."""
+    """Which entries of each blob equal an earlier entry; ``places`` orders blobs alike in id."""
     opened = [_unpacked(b) for b in blobs]
     deep = np.concatenate([o[0] for o in opened])
     order = np.argsort(deep)
@@ -149,7 +150,7 @@ def deduplicated(
     group: int = GROUP_SUFFIXES, least: int = LEAST_GROUPS,
 ) -> DataFrame:
     """(key, n_words, n_removed, kept_sha256) per document; with ``texts`` also kept_text and spans, the
-    maximal repeats removed as [first word, words]. Keys must be integers."""
+    stretches removed as [first word, words]. Keys must be integers."""
     spark = docs.sparkSession
     bounded_batches(spark)
     slim = carried(docs.select(*dict.fromkeys([key, text])), text).select(F.col(ROW)[key].cast("long").alias("key"), TEXT)
