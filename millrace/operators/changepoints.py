@@ -1,9 +1,11 @@
-"""Change points by penalised optimal partitioning, in bounded blocks.
+"""Change points by penalised optimal partitioning.
 
-Each block is searched by one task, together with the rows around it, and keeps the changes among
-its own rows, so that none is lost or made by a border. For the l2 cost the changes of all blocks
-are candidates of a second search over running sums of the whole series. A series within one block
-gets the exact result.
+One task searches a series, whatever its length, in memory proportional to it. Series run side by
+side; the time of one grows with the square of its length where few changes let starts be pruned.
+
+Only where the caller gives ``block_rows`` are longer series cut into blocks, an approximation: each
+block is searched together with the rows around it and keeps the changes among its own rows. For
+the l2 cost the changes of all blocks are candidates of a second search over running sums.
 """
 
 from __future__ import annotations
@@ -16,9 +18,37 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from millrace import ordered
 
-# Rows per block: the l1 and rbf costs need all pairs or medians of a segment.
-BLOCK_ROWS = {"l2": 20_000, "l1": 2_000, "rbf": 1_500}
+# Rows up to which a series is searched whole, by cost; a cost that is not named has no limit.
+BLOCK_ROWS: dict[str, int] = {}
 JUMP, MIN_POINTS = 5, 50
+# Gaps sorted at once for the bandwidth, and rows whose kernel is added at once.
+GAPS, KERNEL_ROWS = 1_000_000, 64
+
+
+def middle_square(y: np.ndarray) -> float:
+    """Median of the squared differences of all pairs, without holding the pairs."""
+    y = np.sort(y)
+    n, i = len(y), np.arange(len(y))
+    ranks = ((n * (n - 1) // 2 - 1) // 2, n * (n - 1) // 4)
+    # Row i's gaps y[j] - y[i] for first[i] <= j < last[i] lie in the bracket.
+    first, last, low, high, mid = i + 1, np.full(n, n), 0.0, y[-1] - y[0], 0.0
+    while (last - first).sum() > GAPS:
+        at = np.clip(np.searchsorted(y, y + mid, "right"), first, last)
+        below = (at - i - 1).sum()
+        if below > ranks[1]:
+            high, last = mid, at
+        elif below <= ranks[0]:
+            low, first = mid, at
+        else:  # the bracket's middle falls between the two middle gaps
+            some, more = at > i + 1, at < n
+            return ((y[at[some] - 1] - y[some]).max() ** 2 + (y[at[more]] - y[more]).min() ** 2) / 2
+        mid = (low + high) / 2
+        if not low < mid < high:  # one value is left
+            return high**2
+    row = np.repeat(i, last - first)
+    column = np.arange(len(row)) - np.repeat(np.cumsum(last - first) - last, last - first)
+    gaps, before = np.sort(y[column] - y[row]), (first - i - 1).sum()
+    return (gaps[ranks[0] - before] ** 2 + gaps[ranks[1] - before] ** 2) / 2
 
 
 def segment_cost(y: np.ndarray, model: str) -> Callable[[np.ndarray, int], np.ndarray]:
@@ -29,13 +59,25 @@ def segment_cost(y: np.ndarray, model: str) -> Callable[[np.ndarray, int], np.nd
     if model == "l1":
         return lambda a, b: np.array([np.abs(y[i:b] - np.median(y[i:b])).sum() for i in a])
     if model == "rbf":
-        d = (y[:, None] - y) ** 2
-        mid = np.median(d[np.triu_indices(len(y), 1)]) or 1.0
-        k = np.exp(-np.clip(d / mid, 1e-2, 1e2))
-        area = np.zeros((len(y) + 1, len(y) + 1))
-        area[1:, 1:] = k.cumsum(0).cumsum(1)
-        diag = np.concatenate([[0.0], np.cumsum(k.diagonal())])
-        return lambda a, b: (diag[b] - diag[a]) - (area[b, b] - area[a, b] - area[b, a] + area[a, a]) / (b - a)
+        mid = middle_square(y) or 1.0
+        area, at = np.zeros(len(y) + 1), 0
+        kernel = lambda a, b, c: np.exp(-np.clip((y[b:c, None] - y[a:c]) ** 2 / mid, 1e-2, 1e2))
+        same = np.exp(-1e-2)
+
+        def rbf(a: np.ndarray, b: int) -> np.ndarray:
+            # area[s]: the kernel summed over all pairs of [s, at). Ends ascend, and so does the first start.
+            nonlocal at
+            low = int(a[0])
+            while at < b:
+                to = min(b, at + KERNEL_ROWS)
+                k, first = kernel(min(low, at), at, to), min(low, at)
+                new = k[:, at - first:]
+                area[at:to] = new[::-1, ::-1].cumsum(0).cumsum(1).diagonal()[::-1]
+                area[first:at] += 2 * k[:, :at - first].sum(0)[::-1].cumsum()[::-1] + new.sum()
+                at = to
+            return same * (b - a) - area[a] / (b - a)
+
+        return rbf
     raise ValueError(f"unknown cost {model}")
 
 
@@ -71,14 +113,15 @@ def change_points(df: DataFrame, value: str, order_by: Sequence[str], series: Se
 
     The penalty is the series' standard deviation times the factor. A series of fewer than 50
     values gets none. With ``max_change_points``, of more than that many every n-th is reported.
-    ``block_rows`` (by default ``BLOCK_ROWS`` of the cost) is the length up to which a series is searched whole.
+    ``block_rows`` is the length up to which series are searched whole; without it all are.
     """
     data = df.where(F.col(value).isNotNull()).select(*series, *order_by, F.col(value).cast("double").alias("_y"))
-    whole = block_rows or BLOCK_ROWS[model]
+    longest = ordered.largest_group(data, series)
+    whole = block_rows or BLOCK_ROWS.get(model) or max(1, longest)
     size, around = whole // 2, whole // 4
     stats = data.groupBy(*series).agg(
         F.count("_y").alias("_n"), F.avg("_y").alias("_m"), (F.stddev_pop("_y") * penalty_factor).alias("_pen"))
-    if ordered.largest_group(data, series) <= whole:
+    if longest <= whole:
         size, around = whole, 0
     blocks = ordered.blocked(data, order_by, around, around, series, rows=size)
     blocks = (blocks.join(F.broadcast(stats)) if not series else blocks.join(stats, list(series))).where(f"_n >= {MIN_POINTS}")
@@ -97,7 +140,7 @@ def change_points(df: DataFrame, value: str, order_by: Sequence[str], series: Se
 
     by = [*series, ordered.BLOCK]
     found = blocks.select(*by, ordered.POSITION, ordered.HOME, "_y", "_pen").groupBy(*by).applyInPandas(search, f"{lead}position bigint")
-    if model == "l2":
+    if model == "l2" and longest > whole:
         found = _merge(data, found, stats, order_by, series, lead, whole)
     if max_change_points is None:
         return found
