@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: White space between words: the six ASCII characters, nothing else.
@@ -41,7 +43,10 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str, limit: int = CHUNK_BYTE
 
 
 def bounded_batches(spark) -> None:
-    """Hold Arrow batches at 16 MB, unless the session names a bound, so that long rows cannot fill a Python worker."""
+    """Hold Arrow batches at 16 MB, unless the session names a bound, so that long rows cannot fill a Python worker.
+
+    Spark reads the bound when a query runs, after the operator has returned, so it stays set in the session.
+    """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     if name not in spark.sparkContext.getConf().toDebugString():
         spark.conf.set(name, str(16 << 20))
@@ -49,3 +54,13 @@ def bounded_batches(spark) -> None:
 
 #: Stands for a null id where ids are compared; nulls come first.
 NULL_ID = -(1 << 63)
+
+
+def shared_value(spark, value) -> Broadcast:
+    """Broadcast an object of this package: its classes travel with it, as workers need no copy of the package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(sent: Broadcast):
+    """The object of ``shared_value``, inside a task."""
+    return pickle.loads(sent.value)

@@ -23,8 +23,9 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from millrace.llm.common import ROW, TEXT, bounded_batches, carried, chunks, words
+from millrace.llm.common import ROW, TEXT, bounded_batches, carried, chunks, received, shared_value, words
 
 EDITS, RECALL = 0.2, 0.98
 WALKS, SAMPLED, TRIALS, SEED = 4, 3, 64, 5
@@ -246,17 +247,19 @@ def matches(
     kinds = (docs.schema[key].dataType.simpleString(), benchmark.schema[item].dataType.simpleString())
     schema = f"_llm_key {kinds[0]}, _llm_item {kinds[1]}, first_word long, edits long"
     out = spark.createDataFrame([], schema)
+    item_type = to_arrow_type(benchmark.schema[item].dataType)
     for index in _blocks(benchmark, item, item_text, share, recall):
-        sent = spark.sparkContext.broadcast(index)
+        sent = shared_value(spark, index)
 
         def run(batches, sent=sent):
+            held_index = received(sent)
             for batch in batches:
                 for part in chunks([batch], TEXT):
-                    found = sent.value.find(part[TEXT].to_pylist())
+                    found = held_index.find(part[TEXT].to_pylist())
                     if found:
                         at, names, first, edits = zip(*found)
                         yield pa.RecordBatch.from_arrays(
-                            [part["_llm_key"].take(pa.array(at)), pa.array(names), pa.array(first, pa.int64()), pa.array(edits, pa.int64())],
+                            [part["_llm_key"].take(pa.array(at)), pa.array(names, item_type), pa.array(first, pa.int64()), pa.array(edits, pa.int64())],
                             ["_llm_key", "_llm_item", "first_word", "edits"])
 
         out = out.union(slim.mapInArrow(run, schema))
@@ -272,12 +275,13 @@ def clean(
     bounded_batches(spark)
     out = docs
     for index in _blocks(benchmark, item, item_text, share, recall):
-        sent = spark.sparkContext.broadcast(index)
+        sent = shared_value(spark, index)
 
         def run(batches, sent=sent):
+            held_index = received(sent)
             for batch in batches:
                 for part in chunks([batch], text):
-                    held = {f[0] for f in sent.value.find([t or "" for t in part[text].to_pylist()])}
+                    held = {f[0] for f in held_index.find([t or "" for t in part[text].to_pylist()])}
                     if len(held) < part.num_rows:
                         yield part.filter(pa.array([i not in held for i in range(part.num_rows)]))
 

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import bounded_batches, chunks
+from millrace.llm.common import bounded_batches, chunks, received, shared_value
 
 FIT_PAGES, EXAMPLES, SEED = 400, 300, 3
 TREES, DEPTH, RATE, BINS, LEAST_LEAF = 40, 4, 0.3, 32, 20
@@ -395,14 +395,15 @@ def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     """(key, url, text, n_chars) per page."""
     spark = pages.sparkSession
     bounded_batches(spark)
-    sent = spark.sparkContext.broadcast(model or fit(pages, key, html))
+    sent = shared_value(spark, model or fit(pages, key, html))
     kinds = [pages.schema[c].dataType.simpleString() for c in (key, url)]
     slim = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(html).alias("html"))
 
     def run(batches):
+        trees = received(sent)
         for batch in batches:
             for part in chunks([batch], "html", 1_000_000):
-                made = texts(part["html"].to_pylist(), sent.value)
+                made = texts(part["html"].to_pylist(), trees)
                 yield pa.RecordBatch.from_arrays(
                     [part["key"], part["url"], pa.array(made, pa.string()), pa.array([len(t) for t in made], pa.int64())], ["key", "url", "text", "n_chars"])
 

@@ -146,7 +146,7 @@ def _op10_sql() -> str:
     keys = ", ".join(f"v{i}" for i in n)
     return f"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
 x AS (SELECT r, i, w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2] AS g FROM w, unnest(range(1, len(w) - 1)) AS u(i)),
 k AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM x),
 z AS (SELECT r, count(DISTINCT i + o) AS n_repeat_words FROM k, (VALUES (0), (1), (2)) AS s(o) WHERE c > 1 GROUP BY r),
@@ -154,7 +154,7 @@ m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\
   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
   coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper,
   length(t) - length(regexp_replace(t, '[.!?]', '', 'g')) AS n_marks, length(regexp_replace(t, '{gone}', '', 'g')) AS n_letters,
-  len(list_filter(w, x -> regexp_matches(x, '[#*$%&|<>]$'))) AS n_symbol_words, (length(t) - length(replace(t, '!!', ''))) // 2 AS n_shouts FROM w LEFT JOIN z USING (r)),
+  len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>]$'))) AS n_symbol_words, (length(t) - length(replace(t, '!!', ''))) // 2 AS n_shouts FROM w LEFT JOIN z USING (r)),
 v AS (SELECT *, {votes} FROM m), pat AS (SELECT {keys}, count(*)::DOUBLE AS c FROM v GROUP BY ALL), tot AS (SELECT sum(c) AS n FROM pat),
 em(it, p, {names}) AS (
   SELECT 0, {q.PRIOR}::DOUBLE, {start}

@@ -9,6 +9,8 @@ A leaf holds about twice the square root of all distinct fingerprints, so leaves
 bytes a leaf), both grow with the square root only: 10 billion fingerprints make 50,000 leaves. A pair of leaves returns a
 spanning forest of its links, never all pairs, so a family of thousands of near copies stays linear in what it emits.
 
+Hashes are folded into 64 counters a text by slices, so a task holds the text itself and little more, however long it is.
+
 Copies of a text share a fingerprint and are one entry of the index. Null and empty texts have fingerprint zero and are linked
 like any other. A null id is never the smallest of its group unless the group has no other. An empty table gives an empty result.
 """
@@ -16,6 +18,7 @@ like any other. A null id is never the smallest of its group unless the group ha
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -29,32 +32,58 @@ from millrace.session import cut_lineage
 SHINGLE, DISTANCE, SEED = 3, 2, 42
 NODE, GROUP = 32, 32
 LEAST_LEAF = 256
+#: Bytes of text whose words, and hashes whose bits, a Python task holds at once.
+SLICE_BYTES, HASHES_HELD = 1 << 16, 1 << 14
+GAP_BYTE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _slices(data: bytes, shingle: int):
+    """Words of a text by slices of ``SLICE_BYTES``, each led by the last words of the one before, so that every shingle is in one."""
+    found, at = [], 0
+    while at < len(data):
+        stop = GAP_BYTE.search(data, at + SLICE_BYTES) if at + SLICE_BYTES < len(data) else None
+        stop = stop.start() if stop else len(data)
+        found = found[max(0, len(found) - shingle + 1):] + data[at:stop].lower().split()  # bytes: only ASCII is lower-cased and splits
+        at = stop
+        yield found
 
 
 def fingerprint_values(texts: list[str | None], shingle: int = SHINGLE) -> np.ndarray:
-    """64-bit fingerprints: a bit is set if it is set in over half of the hashes of the text's word shingles."""
-    hashes, counts = [], []
+    """64-bit fingerprints: a bit is set if it is set in over half of the hashes of the text's word shingles.
+
+    Only 64 counters a text and the hashes of one slice are held, however long the texts are.
+    """
     digest = xxhash.xxh64_intdigest
-    for text in texts:
-        found = (text or "").encode().lower().split()  # bytes: only ASCII is lower-cased and only ASCII white space splits
-        if len(found) <= shingle:
-            made = [digest(b" ".join(found), SEED)] if found else []
-        else:
-            joined = b" ".join(found)
-            ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
-            starts = np.concatenate(([0], ends[:-1]))[: len(found) - shingle + 1].tolist()
-            made = [digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1:] - 1).tolist())]
-        hashes.extend(made)
-        counts.append(len(made))
-    n = np.array(counts, np.int64)
-    out = np.zeros(len(texts), np.uint64)
-    if not hashes:
-        return out
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    some = n > 0
-    sums = np.add.reduceat(bits, (np.cumsum(n) - n)[some], axis=0, dtype=np.int64)
-    out[some] = np.packbits(sums * 2 > n[some][:, None], axis=1, bitorder="little").view("<u8").ravel()
-    return out
+    ones, n = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
+    hashes: list[int] = []
+    owners: list[int] = []
+    sizes: list[int] = []
+
+    def fold():
+        if hashes:
+            bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            starts = np.cumsum([0, *sizes[:-1]])
+            np.add.at(ones, owners, np.add.reduceat(bits, starts, axis=0, dtype=np.int64))
+            np.add.at(n, owners, sizes)
+            hashes.clear(), owners.clear(), sizes.clear()
+
+    for i, text in enumerate(texts):
+        made = 0
+        for found in _slices((text or "").encode(), shingle):
+            if len(found) >= shingle:
+                joined = b" ".join(found)
+                ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
+                starts = [0, *ends[:len(found) - shingle].tolist()]
+                hashes += [digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1:] - 1).tolist())]
+                owners.append(i), sizes.append(len(starts))
+                made += len(starts)
+                if len(hashes) >= HASHES_HELD:
+                    fold()
+        if text and not made and found:
+            hashes.append(digest(b" ".join(found), SEED))
+            owners.append(i), sizes.append(1)
+    fold()
+    return np.packbits(ones * 2 > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -66,7 +95,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shing
 
     def run(batches):
         for batch in batches:
-            for part in chunks([batch], TEXT):
+            for part in chunks([batch], TEXT, 1_000_000):
                 values = fingerprint_values(part[TEXT].to_pylist(), shingle)
                 yield pa.RecordBatch.from_arrays([part[key], pa.array(values.view(np.int64)), part["text_hash"]], [key, "fp", "text_hash"])
 

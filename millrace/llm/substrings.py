@@ -25,7 +25,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import NULL_ID, ROW, TEXT, bounded_batches, carried, chunks
+from millrace.llm.common import NULL_ID, ROW, TEXT, bounded_batches, carried, chunks, received, shared_value
 
 WINDOW, PREFIX = 20, 5
 #: Suffixes that one task sorts at once (about 100 MB there), and the least number of groups.
@@ -175,17 +175,17 @@ def deduplicated(
     sizes = slim.mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # a row per slot
     counts = np.zeros(SLOTS, np.int64)
     counts[sizes["slot"].to_numpy(np.int64)] = sizes["n"].to_numpy(np.int64)
-    plan = spark.sparkContext.broadcast(Plan(counts, group, least))
+    plan = shared_value(spark, Plan(counts, group, least))
     names = ["bucket", "chunk", "blob"]
 
     def sent(batches):
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze, groups = zstandard.ZstdCompressor(level=3), received(plan).groups
         for chunk, piece, found in opened(batches, WordHashes()):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, piece.schema) as writer:
                 writer.write_batch(piece)
             buckets, blobs = [-1 - chunk], [squeeze.compress(sink.getvalue())]
-            of = plan.value.groups(found.slot, found.deep)
+            of = groups(found.slot, found.deep)
             by = np.argsort(of, kind="stable")
             edges = np.nonzero(np.diff(of[by], prepend=-1))[0]
             for part in np.split(by, edges[1:]) if len(by) else []:
@@ -213,7 +213,7 @@ def deduplicated(
         found = Windows(keys, piece[TEXT].to_pylist(), WordHashes(), window, keep_words=True)
         late = np.ones(len(found.start), bool)
         late[found.sent] = False
-        of = plan.value.groups(found.slot, found.deep)
+        of = received(plan).groups(found.slot, found.deep)
         by = np.argsort(of, kind="stable")
         for bucket, marks in blobs.items():
             low, high = np.searchsorted(of[by], bucket, "left"), np.searchsorted(of[by], bucket, "right")

@@ -12,7 +12,7 @@ reads will do, a lost task only rewrites its own part, and readers start at any
 Ids are those of the ``tokenizers`` library. Its vocabulary splits at white space first and its normaliser does not look across
 it, so a distinct word is encoded once while a Python worker keeps its ids.
 
-Null texts count as empty. Null ids come first; rows alike in id are ordered by text. An empty table gives empty files.
+Null texts count as empty. Null ids come first; rows alike in id are ordered by a hash of the text. An empty table gives empty files.
 """
 
 from __future__ import annotations
@@ -39,15 +39,35 @@ HEAD, BLOCK_HEAD = "<4sQI", "<IIIB"
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
-    bits = np.unpackbits(np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")
-    return np.packbits(bits[:, :width], bitorder="little").tobytes()
+    """The low ``width`` bits of each value, one after the other in 64-bit words."""
+    if not width or not len(values):
+        return b""
+    rows = np.zeros((-(-len(values) // 64), 64), np.uint64)
+    rows.ravel()[:len(values)] = values
+    rows &= np.uint64((1 << width) - 1)
+    # 64 values fill ``width`` words, and each value of the 64 has its place in one or two of them.
+    out = np.zeros((len(rows), width), np.uint64)
+    for i in range(64):
+        word, shift = divmod(i * width, 64)
+        out[:, word] |= rows[:, i] << np.uint64(shift)
+        if shift + width > 64:
+            out[:, word + 1] |= rows[:, i] >> np.uint64(64 - shift)
+    return out.astype("<u8").tobytes()[:(len(values) * width + 7) // 8]
 
 
 def unpack(data: bytes, n: int, width: int) -> np.ndarray:
-    bits = np.zeros((n, 32), np.uint8)
-    if width:
-        bits[:, :width] = np.unpackbits(np.frombuffer(data, np.uint8), count=n * width, bitorder="little").reshape(n, width)
-    return np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel()
+    if not width or not n:
+        return np.zeros(n, np.uint32)
+    count = -(-n // 64)
+    words = np.frombuffer(bytes(data).ljust(count * width * 8, b"\0"), "<u8").reshape(count, width)
+    rows = np.empty((count, 64), np.uint64)
+    for i in range(64):
+        word, shift = divmod(i * width, 64)
+        rows[:, i] = words[:, word] >> np.uint64(shift)
+        if shift + width > 64:
+            rows[:, i] |= words[:, word + 1] << np.uint64(64 - shift)
+    rows &= np.uint64((1 << width) - 1)
+    return rows.ravel()[:n].astype(np.uint32)
 
 
 def encode_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
@@ -174,7 +194,10 @@ def write(docs: DataFrame, path: str, vocabulary: str, key: str = "doc_id", text
     bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType
     slim = carried(docs.select(*dict.fromkeys([key, text])), text).select(F.col(ROW)[key].alias(key), TEXT)
-    ordered = slim.repartitionByRange(F.col(key).asc_nulls_first(), TEXT).sortWithinPartitions(F.col(key).asc_nulls_first(), TEXT)
+    # Ranges of key and text hash, so that Spark's range sample holds no texts; rows alike in both are the same text.
+    slim = slim.withColumn("_llm_tie", F.xxhash64(TEXT))
+    order = [F.col(key).asc_nulls_first(), F.col("_llm_tie")]
+    ordered = slim.repartitionByRange(*order).sortWithinPartitions(*order).drop("_llm_tie")
 
     def run(batches):
         from pyspark import TaskContext
@@ -223,7 +246,8 @@ def read(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:
                 ends = np.cumsum(sizes)
                 ids = decode(payload.as_py())
                 if digest:
-                    out = pa.array([zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip((ends - sizes).tolist(), ends.tolist())], last[1])
+                    view = memoryview(ids.astype("<u4", copy=False)).cast("B")
+                    out = pa.array([zlib.crc32(view[4 * a:4 * b]) for a, b in zip((ends - sizes).tolist(), ends.tolist())], last[1])
                 else:
                     out = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int64)))
                 yield pa.RecordBatch.from_arrays(

@@ -10,6 +10,7 @@ import pytest
 import xxhash
 
 from millrace.llm import decontaminate, links, queries, simhash, substrings
+from test_edited_passages import brute_passages
 
 FOLDER = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -135,36 +136,23 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def brute_matches(docs, items, share=0.2):
-    out = {}
-    for d, text in docs:
-        w = (text or "").encode().lower().split()
-        for name, item in items:
-            q = (item or "").encode().lower().split()
-            k = int(share * len(q))
-            best = min(((edit_distance(w[s:s + len(q)] + [None] * max(0, s + len(q) - len(w)), q), s) for s in range(len(w)) if q), default=(k + 1, 0))
-            if q and best[0] <= k:
-                out[d, name] = best
-    return out
-
-
 def test_edited_passages_are_found(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(400)]
     say = lambda n: [rng.choice(words) for _ in range(n)]
-    items = [(i, " ".join(say(rng.randrange(5, 60)))) for i in range(12)] + [(90, None), (91, ""), (92, "one")]
+    items = [(i, " ".join(say(rng.randrange(5, 35)))) for i in range(8)] + [(90, None), (91, ""), (92, "one")]
     docs = []
-    for d in range(60):
-        item = items[d % 12][1].split()
+    for d in range(24):
+        item = items[d % 8][1].split()
         for _ in range(rng.randrange(0, int(0.2 * len(item)) + 1)):
             at, kind = rng.randrange(len(item) + 1), rng.randrange(3)
             item[at:at + (kind != 1)] = [] if kind == 2 else [rng.choice(words)]
-        docs.append((d, " ".join(say(rng.randrange(0, 40)) + item + say(rng.randrange(0, 40))).upper()))
+        docs.append((d, " ".join(say(rng.randrange(0, 20)) + item + say(rng.randrange(0, 20))).upper()))
     docs += [(100, None), (101, ""), (102, " ".join(say(300))), (103, "one")]
     df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, item_id string")
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    bench = spark.createDataFrame(items, "item_id int, text string")
     got = {(r.doc_id, r.item_id): (r.edits, r.first_word) for r in decontaminate.matches(df.drop("item_id"), bench).collect()}
-    want = brute_matches(docs, items)
+    want = brute_passages([(d, t or "") for d, t in docs], [(i, t) for i, t in items if t])
     assert set(got) <= set(want) and len(got) >= 0.97 * len(want)
     assert all(got[k][0] >= want[k][0] for k in got) and sum(got[k] == want[k] for k in got) >= 0.9 * len(got)
     left = decontaminate.clean(df, bench)
@@ -186,3 +174,20 @@ def test_distances_are_exact_up_to_the_bound():
     want = [edit_distance(x.tolist(), y.tolist()) for x, y in zip(a, b)]
     got = decontaminate.distances(a, b, 5)
     assert all(g == w if w <= 5 else g > 5 for g, w in zip(got.tolist(), want))
+
+
+def test_fingerprints_do_not_depend_on_slices(monkeypatch):
+    rng = random.Random(8)
+    texts = [None, "", " ", "a", "a b", "a b c", "A  B\tC d", "x" * 300, "a b c d e " * 50_000]
+    texts += [" ".join(rng.choice("abcde") * rng.randint(1, 3) for _ in range(rng.randint(0, 60))) for _ in range(100)]
+
+    def brute(text):
+        w = (text or "").encode().lower().split()
+        made = [xxhash.xxh64_intdigest(b" ".join(w[i:i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in made) > len(made))
+
+    want = [brute(t) for t in texts]
+    assert simhash.fingerprint_values(texts).tolist() == want
+    monkeypatch.setattr(simhash, "SLICE_BYTES", 7)
+    monkeypatch.setattr(simhash, "HASHES_HELD", 20)
+    assert simhash.fingerprint_values(texts).tolist() == want

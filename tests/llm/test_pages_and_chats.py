@@ -190,5 +190,5 @@ def test_chat_of_the_table_and_edges(spark):
     rows = [(None, 0, "user", "a"), (None, 0, "user", "a"), (2, None, "assistant", None), (3, 1, None, "<|im_end|>"), (4, 1, "system", "s")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r for r in chat.rendered(chat.formatted(df)).collect()}
-    assert got[None].cost == 2.0 and got[4].cost == 6.0 and got[2].cost == 3.0 and got[3].text.count("<|im_end|>") == 2
+    assert got[None].cost == 2.0 and got[4].cost == 5.0 and got[2].cost == 3.0 and got[3].text.count("<|im_end|>") == 2
     assert chat.formatted(df.limit(0)).count() == 0
