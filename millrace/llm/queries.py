@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import chat, decontaminate, html, katz, mixing, quality, simhash, substrings, tokens, urls
+from millrace.llm import chat, decontaminate, html, katz, mixing, packing, quality, resample, simhash, substrings, tokens, trie, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -169,3 +169,60 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 def op10(spark, folder):
     out = quality.judge(table(spark, folder, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))
+
+
+def _crc32(numbers: str) -> str:
+    """CRC-32 of a list of bytes in SQL, bit by bit."""
+    bit = "CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END"
+    byte = f"list_reduce(list_concat([xor(a, x)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, z: {bit})"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {numbers}), lambda a, x: {byte}), 4294967295)"
+
+
+OP11_SQL = rf"""
+WITH low AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+goal AS (SELECT translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM benchmark),
+dw AS (SELECT r, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM low),
+tw AS (SELECT unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM goal),
+words AS (SELECT w, hex(w) AS h FROM (SELECT w FROM dw UNION SELECT w FROM tw)),
+crc AS (SELECT w, {_crc32("list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, (2 * i + 1)::INT, 2))::BIGINT)")} % 10000 AS b FROM words),
+per AS (SELECT r, b, count(*) AS n FROM dw JOIN crc USING (w) GROUP BY 1, 2),
+s AS (SELECT b, sum(n)::DOUBLE AS s FROM per GROUP BY 1), t AS (SELECT b, count(*)::DOUBLE AS t FROM tw JOIN crc USING (w) GROUP BY 1),
+a AS (SELECT (SELECT coalesce(sum(s), 0) FROM s) AS big_s, (SELECT coalesce(sum(t), 0) FROM t) AS big_t),
+gain AS (SELECT s.b, floor(1000 * ln((coalesce(t, 0) + 1) * (big_s + 10000) / ((s + 1) * (big_t + 10000))))::BIGINT AS g FROM s LEFT JOIN t ON s.b = t.b, a),
+m AS (SELECT low.r, doc_id, coalesce(sum(n), 0)::BIGINT AS n_features, coalesce(sum(n * g), 0)::BIGINT AS weight
+      FROM low LEFT JOIN per ON low.r = per.r LEFT JOIN gain ON per.b = gain.b GROUP BY 1, 2),
+z AS (SELECT *, weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, 'null')), 1, 8))::BIGINT + 0.5) / 4294967296)))::BIGINT AS score FROM m),
+k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS FIRST) AS rank, 10 * count(*) OVER () // 100 AS most FROM z WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= most THEN rank END AS rank FROM z LEFT JOIN k USING (r)"""
+
+
+@query("op11_resample", OP11_SQL)
+def op11(spark, folder):
+    out = resample.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP12_SQL = f"""
+WITH c AS (SELECT conv_id, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own
+           FROM conversations GROUP BY 1),
+h AS (SELECT *, coalesce({_crc32("list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)")} % 6, 0)::INT AS h FROM c),
+p AS (SELECT h.conv_id, list_concat(coalesce(b.own[1:h.h], []), h.own[h.h + 1:]) AS path FROM h LEFT JOIN c AS b ON b.conv_id = h.conv_id - h.conv_id % 100),
+x AS (SELECT conv_id, path[1:d] AS node, d, len(path) AS total FROM p, unnest(range(0, len(path) + 1)) AS u(d)),
+n AS (SELECT node, d, min(conv_id) AS conv_id, count(*) AS n_convs, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE d = total) AS ends FROM x GROUP BY 1, 2),
+k AS (SELECT node[1:d - 1] AS node, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+o AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN n.d > 0 THEN (n_convs - 1) * length(n.node[n.d].t) ELSE 0 END AS saved FROM n LEFT JOIN k ON n.node = k.node AND n.d = k.d),
+g AS (SELECT node[1:e] AS node, e AS d, sum((n_children = 0)::INT) AS n_leaves, sum(saved) AS saved_tokens FROM o, unnest(range(0, d + 1)) AS u(e) GROUP BY 1, 2)
+SELECT o.conv_id, o.d::BIGINT AS depth, up.conv_id AS parent_conv_id, o.n_convs, o.n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens,
+       sha256(coalesce(o.ends, '')) AS ends_sha256
+FROM o JOIN g ON o.node = g.node AND o.d = g.d LEFT JOIN n AS up ON up.d = o.d - 1 AND up.node = o.node[1:o.d - 1]"""
+
+
+@query("op12_prefix_trie", OP12_SQL)
+def op12(spark, folder):
+    out = trie.trie(table(spark, folder, "conversations"))
+    return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+@query("op13_packing")
+def op13(spark, folder):
+    return packing.packed(table(spark, folder, "documents"), vocabulary())

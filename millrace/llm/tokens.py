@@ -34,6 +34,8 @@ SEGMENT_IDS = 1 << 19
 END_ID = 1
 #: Distinct words whose ids a Python worker keeps (about 175 bytes each).
 WORDS_KEPT = 1_000_000
+#: Words that go to the library as one line.
+LINE = 500
 #: Layouts of the heads of a payload and of a block.
 HEAD, BLOCK_HEAD = "<4sQI", "<IIIB"
 
@@ -136,6 +138,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        special = [(i, t.content) for i, t in self.library.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip)]
+        self.mark = special[0] if special and not self.library.encode_special_tokens else None
         self.reset()
 
     def reset(self):
@@ -143,19 +147,31 @@ class Encoder:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these words and the number of ids of each. Words travel in lines with a special token between them, at which the
+        library parts a text before all else; that saves an object per word."""
+        if self.mark is None or any(self.mark[1] in w for w in words):
+            ids = [e.ids for e in self.library.encode_batch(words, add_special_tokens=False)]
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
+        lines = [self.mark[1].join(["", *words[i:i + LINE]]) for i in range(0, len(words), LINE)]
+        flat = np.array(list(chain.from_iterable(e.ids for e in self.library.encode_batch(lines, add_special_tokens=False))), np.uint32)
+        marks = np.flatnonzero(flat == self.mark[0])
+        sizes = np.diff(marks, append=len(flat)) - 1
+        return np.delete(flat, marks), sizes
+
     def learn(self):
         """Encode the words that were met since the last call."""
         new, self.place.new = self.place.new, []
         if not new:
             return
-        ids = [e.ids for e in self.library.encode_batch([w.decode() for w in new], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        n, need = len(self.place), self.used + int(sizes.sum())
+        flat, sizes = self.encoded([w.decode() for w in new])
+        n, need = len(self.place), self.used + len(flat)
         while len(self.flat) < need:
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while len(self.start) < n:
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        self.flat[self.used:need] = np.fromiter(chain.from_iterable(ids), np.uint32, need - self.used)
+        self.flat[self.used:need] = flat
         self.size[n - len(new):n] = sizes
         self.start[n - len(new):n] = self.used + np.cumsum(sizes) - sizes
         self.used = need
