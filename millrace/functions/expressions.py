@@ -4,7 +4,7 @@ Python's own parser reads the text; every node becomes a Column, so the result i
 evaluated in Python. Division by zero gives NULL and ``%`` takes the sign of the divisor.
 
 Filters may use ``& | ~`` as well as ``and or not`` (they bind alike), ``in``, ``not in``, back-quoted names, ``x if c else y``,
-``.str`` and ``.dt`` methods. Whole-column aggregates (``mean(x)``, ``x.std()``, ``percentile(x, 50)``) are computed first, all of one
+``.str`` and ``.dt`` methods (``s.str.split(',').str[0]`` gives a piece), ``get_dummies(x)['level']``. Whole-column aggregates (``mean(x)``, ``x.std()``, ``percentile(x, 50)``) are computed first, all of one
 nesting level by one ``agg``, and enter as constants; they need a table, not just column names.
 """
 
@@ -94,6 +94,7 @@ TEXT_METHODS: dict[str, Callable] = {
     "strip": F.trim, "lstrip": F.ltrim, "rstrip": F.rtrim, "len": F.length, "title": F.initcap,
     "match": lambda c, p: c.rlike(f"^(?:{p})"), "fullmatch": lambda c, p: c.rlike(f"^(?:{p})$"), "extract": lambda c, p: F.nullif(F.regexp_extract(c, p, 1), F.lit("")),
     "replace": lambda c, a, b, regex=False: F.regexp_replace(c, a, b) if regex else F.replace(c, F.lit(a), F.lit(b)),
+    "split": S.split, "get": lambda c, i: F.get(c, F.lit(i)) if i >= 0 else F.try_element_at(c, F.lit(i)),
     "isdigit": lambda c: c.rlike(r"^\d+$"), "zfill": lambda c, n: F.lpad(c, n, "0"), "slice": lambda c, a, b: F.substring(c, a + 1, b - a),
 }
 TIME_PARTS: dict[str, Callable] = {
@@ -133,7 +134,7 @@ def _parsed(text: str) -> tuple[ast.expr, dict[str, str]]:
         return {"&": " and ", "|": " or ", "~": " not "}.get(piece, piece)
 
     try:
-        return ast.parse(_LEXEME.sub(plain, text.strip()), mode="eval").body, quoted
+        return ast.parse(_LEXEME.sub(plain, text).strip(), mode="eval").body, quoted
     except SyntaxError as e:
         raise ValueError(f"not an expression: {text}") from e
 
@@ -258,8 +259,13 @@ class _Builder:
                 return F.lit(value)
             case ast.List(elts=elts):
                 return F.array(*map(self.build, elts))
-            case ast.Subscript(value=value, slice=ast.Constant(value=int(at))):
-                return F.get(self.build(value), F.lit(at))
+            case ast.Subscript(value=ast.Call(func=ast.Name(id="get_dummies") | ast.Attribute(value=ast.Name(id="pd" | "pandas"), attr="get_dummies"), args=[x]),
+                               slice=ast.Constant(value=level)):
+                return F.coalesce(self.build(x) == F.lit(level), F.lit(False))
+            case ast.Subscript(value=ast.Attribute(value=value, attr="str"), slice=ast.Constant() | ast.UnaryOp() as at) if isinstance(self.argument(at), int):
+                return TEXT_METHODS["get"](self.build(value), self.argument(at))
+            case ast.Subscript(value=value, slice=ast.Constant() | ast.UnaryOp() as at) if isinstance(self.argument(at), int):
+                return TEXT_METHODS["get"](self.build(value), self.argument(at))
             case ast.BinOp(left=left, op=op, right=right) if type(op) in _BINARY:
                 return _BINARY[type(op)](self.build(left), self.build(right))
             case ast.UnaryOp(op=op, operand=x) if type(op) in _UNARY:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 
@@ -103,3 +105,11 @@ def month_name(c: Column) -> Column:
 
 def day_name(c: Column) -> Column:
     return F.date_format(c, "EEEE")
+
+
+def split(c: Column, pattern: str | None = None, n: int = -1, regex: bool | None = None) -> Column:
+    """Pieces of a text at most ``n`` times parted: at white space runs, at a literal, or (longer than one character, or ``regex``) at a pattern."""
+    limit = n + 1 if n > 0 else -1
+    if pattern is None:
+        return F.split(F.regexp_replace(c, r"^\s+" if n > 0 else r"^\s+|\s+$", ""), r"\s+", limit)
+    return F.split(c, pattern if regex or (regex is None and len(pattern) > 1) else re.escape(pattern), limit)

@@ -124,7 +124,7 @@ def change_points(df: DataFrame, value: str, order_by: Sequence[str], series: Se
     if longest <= whole:
         size, around = whole, 0
     blocks = ordered.blocked(data, order_by, around, around, series, rows=size)
-    blocks = (blocks.join(F.broadcast(stats)) if not series else blocks.join(stats, list(series))).where(f"_n >= {MIN_POINTS}")
+    blocks = (blocks.join(F.broadcast(stats)) if not series else ordered.by_series(blocks, stats, series)).where(f"_n >= {MIN_POINTS}")
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in series)
     lead = kinds + ", " if kinds else ""
 
@@ -162,11 +162,11 @@ def _merge(data: DataFrame, found: DataFrame, stats: DataFrame, order_by, series
     many = stats.where(f"_n > {whole}")
     if many.isEmpty():
         return found
-    mean = data.join(F.broadcast(stats)) if not series else data.join(stats, list(series))
+    mean = data.join(F.broadcast(stats)) if not series else ordered.by_series(data, stats, series)
     z = F.col("_y") - F.col("_m")
     run = ordered.running_sum(mean, order_by, {"s1": z, "s2": z * z, "position": F.lit(1)}, series)
     at = found.unionByName(stats.select(*series, F.col("_n").alias("position"))).distinct()
-    sums = run.select(*series, F.col("position").cast("bigint").alias("position"), "s1", "s2", "_pen").join(at, [*series, "position"])
+    sums = ordered.by_series(run.select(*series, F.col("position").cast("bigint").alias("position"), "s1", "s2", "_pen"), at, [*series, "position"])
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("position")
@@ -185,7 +185,7 @@ def segments(df: DataFrame, value: str, order_by: Sequence[str], points: DataFra
     """(series..., segment, start, end, mean, std, samples) between change points."""
     data = ordered.with_position(df.where(F.col(value).isNotNull()), order_by, series, "_at")
     marks = points.select(*series, F.col("position").alias("_at"), F.lit(1).alias("_new"))
-    marked = data.join(marks, [*series, "_at"], "left")
+    marked = ordered.by_series(data, marks, [*series, "_at"], "left")
     cut = ordered.running_sum(marked, ["_at"], {"_seg": F.coalesce("_new", F.lit(0))}, series)
     first = order_by[0]
     return cut.groupBy(*series, (F.col("_seg") + 1).cast("bigint").alias("segment")).agg(

@@ -27,7 +27,7 @@ def _centred(df: DataFrame, value: str, order_by: Sequence[str], series: Sequenc
     """(series..., order..., _y, _m, _n): known values, their mean and number by series."""
     data = df.where(F.col(value).isNotNull()).select(*series, *order_by, F.col(value).cast("double").alias("_y"))
     stats = data.groupBy(*series).agg(F.avg("_y").alias("_m"), F.count("_y").alias("_n"))
-    return data.join(stats, list(series))
+    return ordered.by_series(data, stats, series)
 
 
 def _sums(data: DataFrame, order_by: Sequence[str], series: Sequence[str], reach: int, extra: Sequence[str], compute: Callable) -> DataFrame:
@@ -41,12 +41,12 @@ def _sums(data: DataFrame, order_by: Sequence[str], series: Sequence[str], reach
         flat = np.asarray(compute(
             pdf["_y"].to_numpy(), pdf[ordered.HOME].to_numpy(bool), pdf[ordered.POSITION].to_numpy(), *[first[c] for c in extra]), float).ravel()
         named = {c: pd.Series([first[c]] * len(flat), dtype=object) for c in by}
-        return pd.DataFrame({**named, "i": np.arange(len(flat)), "s": flat})
+        return pd.DataFrame({**named, "_i": np.arange(len(flat)), "_t": flat})
 
     cells = blocks.select(*by, ordered.BLOCK, ordered.POSITION, ordered.HOME, "_y").groupBy(*by, ordered.BLOCK).applyInPandas(
-        run, f"{_kinds(data, by)}, i int, s double")
-    sums = cells.groupBy(*by, "i").agg(F.sum("s").alias("s"))
-    return sums.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda r: r["s"]).alias("_s"))
+        run, f"{_kinds(data, by)}, _i int, _t double")
+    sums = cells.groupBy(*by, "_i").agg(F.sum("_t").alias("_t"))
+    return sums.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_t"))), lambda r: r["_t"]).alias("_s"))
 
 
 def _finished(rows: DataFrame, keep: Sequence[str], fn: Callable, schema: str) -> DataFrame:
@@ -95,7 +95,7 @@ def kpss(df: DataFrame, value: str, order_by: Sequence[str], series: Sequence[st
         return [(int(min(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3), n - 1)) if s0 else 0,)]
 
     chosen = _finished(_products(first, order_by, series, int(most ** (2 / 9)) + 1), series, choose, "_lags int")
-    second = data.join(chosen, list(series))
+    second = ordered.by_series(data, chosen, series)
     reach = second.agg(F.max("_lags")).first()[0] or 0
     sums = _products(second, order_by, series, reach)
     run = ordered.running_sum(data.select(*series, *order_by, (F.col("_y") - F.col("_m")).alias("_z")), order_by, {"_p": F.col("_z")}, series)
@@ -108,7 +108,7 @@ def kpss(df: DataFrame, value: str, order_by: Sequence[str], series: Sequence[st
         stat = row["_eta"] / n**2 / long_run if long_run else math.inf
         return [(float(stat), float(np.interp(stat, T.KPSS_CRITICAL, T.KPSS_P)), lags)]
 
-    return _finished(sums.join(eta, list(series)), series, finish, "kpss double, pvalue double, lags int")
+    return _finished(ordered.by_series(sums, eta, series), series, finish, "kpss double, pvalue double, lags int")
 
 
 def _gram(data: DataFrame, order_by: Sequence[str], series: Sequence[str], reach: int) -> DataFrame:
@@ -142,7 +142,7 @@ def adf(df: DataFrame, value: str, order_by: Sequence[str], series: Sequence[str
         return [(min(range(int(row["_lags"]) + 1), key=lambda p: T._least_squares(g, rows, p)[1]),)]
 
     chosen = _finished(_gram(first, order_by, series, first.agg(F.max("_lags")).first()[0] or 0), series, choose, "_lags int")
-    second = data.join(chosen, list(series))
+    second = ordered.by_series(data, chosen, series)
 
     def finish(row):
         g, rows = _square(row)
@@ -156,8 +156,8 @@ def stationarity(df: DataFrame, value: str, order_by: Sequence[str], series: Seq
     """(series..., both tests and the verdict) for the series with at least ten values."""
     by = list(series)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by).count().where("count >= 10").select(*by)
-    data = df.join(counts, by, "left_semi")
-    both = adf(data, value, order_by, by).join(kpss(data, value, order_by, by).withColumnRenamed("pvalue", "_kp"), by)
+    data = ordered.by_series(df, counts, by, "left_semi")
+    both = ordered.by_series(adf(data, value, order_by, by), kpss(data, value, order_by, by).drop("lags").withColumnRenamed("pvalue", "_kp"), by)
     a, k = F.col("pvalue") < 0.05, F.col("_kp") > 0.05
     verdict = F.when(a & k, "stationary").when(~a & ~k, "non_stationary").otherwise("ambiguous")
     return both.select(*by, F.col("adf").alias("adf_statistic"), F.col("pvalue").alias("adf_pvalue"), a.alias("adf_is_stationary"),
@@ -165,7 +165,7 @@ def stationarity(df: DataFrame, value: str, order_by: Sequence[str], series: Seq
 
 
 def _smoothed(train: DataFrame, series: Sequence[str], trend: bool, period: int) -> DataFrame:
-    """(series..., level, slope, season, var): the best smoothing of each series, as ``forecast.fit_smoothing`` finds it for one."""
+    """(series..., _level, _slope, _season, _v): the best smoothing of each series, as ``forecast.fit_smoothing`` finds it for one."""
     sets = FC._weights(trend, period)
     blocks = ordered.blocked(train, ["_at"], before=FC.WARM_UP + period, series=series)
 
@@ -174,18 +174,18 @@ def _smoothed(train: DataFrame, series: Sequence[str], trend: bool, period: int)
         pos, home = pdf[ordered.POSITION].to_numpy(), pdf[ordered.HOME].to_numpy(bool)
         errors, level, slope, season = FC.smooth(pdf["_y"].to_numpy(), *sets.T, period, trend, int(pos[0]) % period if period else 0)
         out = pd.DataFrame({c: pd.Series([pdf[c].iloc[0]] * len(sets), dtype=object) for c in series})
-        out["i"], out["sse"], out["sum"], out["n"] = np.arange(len(sets)), (errors[home] ** 2).sum(0), errors[home].sum(0), int(home.sum())
-        out["last"], out["level"], out["slope"] = int(pos.max()), level, slope
-        out["season"] = [list(map(float, s)) for s in season.T]
+        out["_i"], out["_sse"], out["_sum"], out["_n"] = np.arange(len(sets)), (errors[home] ** 2).sum(0), errors[home].sum(0), int(home.sum())
+        out["_last"], out["_level"], out["_slope"] = int(pos.max()), level, slope
+        out["_season"] = [list(map(float, s)) for s in season.T]
         return out
 
     rows = blocks.select(*series, ordered.BLOCK, ordered.POSITION, ordered.HOME, "_y").groupBy(*series, ordered.BLOCK).applyInPandas(
-        run, f"{_kinds(train, series)}, i int, sse double, sum double, n bigint, last bigint, level double, slope double, season array<double>")
-    each = rows.groupBy(*series, "i").agg(
-        F.sum("sse").alias("sse"), F.sum("sum").alias("s"), F.sum("n").alias("n"), F.max_by(F.struct("level", "slope", "season"), "last").alias("state"))
-    best = each.groupBy(*series).agg(F.min_by(F.struct("sse", "s", "n", "state"), F.struct("sse", "i")).alias("b"))
-    var = F.col("b.sse") / F.col("b.n") - F.pow(F.col("b.s") / F.col("b.n"), 2)
-    return best.select(*series, "b.state.level", "b.state.slope", "b.state.season", F.greatest(var, F.lit(0.0)).alias("_v"))
+        run, f"{_kinds(train, series)}, _i int, _sse double, _sum double, _n bigint, _last bigint, _level double, _slope double, _season array<double>")
+    each = rows.groupBy(*series, "_i").agg(
+        F.sum("_sse").alias("_sse"), F.sum("_sum").alias("_s"), F.sum("_n").alias("_n"), F.max_by(F.struct("_level", "_slope", "_season"), "_last").alias("_state"))
+    best = each.groupBy(*series).agg(F.min_by(F.struct("_sse", "_s", "_n", "_state"), F.struct("_sse", "_i")).alias("_b"))
+    var = F.col("_b._sse") / F.col("_b._n") - F.pow(F.col("_b._s") / F.col("_b._n"), 2)
+    return best.select(*series, "_b._state._level", "_b._state._slope", "_b._state._season", F.greatest(var, F.lit(0.0)).alias("_v"))
 
 
 def forecast(df: DataFrame, value: str, order_by: Sequence[str], series: Sequence[str], steps: int = 10, method: str = "exponential_smoothing",
@@ -198,7 +198,7 @@ def forecast(df: DataFrame, value: str, order_by: Sequence[str], series: Sequenc
     data = ordered.with_position(
         df.where(F.col(value).isNotNull()).select(*by, *order_by, F.col(value).cast("double").alias("_y")), order_by, by, "_at")
     sizes = data.groupBy(*by).agg(F.floor(F.count("_y") * train_pct / 100).alias("_size"))
-    train = data.join(sizes, by).where("_at < _size").select(*by, "_at", "_y", "_size")
+    train = ordered.by_series(data, sizes, by).where("_at < _size").select(*by, "_at", "_y", "_size")
     tail = train.where(F.col("_at") >= F.col("_size") - max(window, 10))
     last = tail.groupBy(*by, "_size").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_y"))), lambda r: r["_y"]).alias("_last"))
     z = NormalDist().inv_cdf(1 - (100 - confidence) / 200)
@@ -210,17 +210,17 @@ def forecast(df: DataFrame, value: str, order_by: Sequence[str], series: Sequenc
         return mean, F.when(F.size(part) > 1, F.sqrt(square / (F.size(part) - 1)))
 
     if method in ("moving_average", "naive"):
-        mean, _ = pieces(window)
-        spread = pieces(max(window, 10) if method == "moving_average" else 10)[1]
-        made = last.select(*by, (mean if method == "moving_average" else F.element_at("_last", -1)).alias("f"), spread.alias("sd"))
-        made = made.select(*by, F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"), "f", "sd")
+        mean, spread = pieces(window)
+        if method == "naive":
+            mean, spread = F.element_at("_last", -1), pieces(10)[1]
+        made = last.select(*by, mean.alias("_f"), spread.alias("_sd"))
+        made = made.select(*by, F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("_step"), "_f", "_sd")
     elif method == "exponential_smoothing":
-        state = _smoothed(train.select(*by, "_at", "_y"), by, trend, period).join(sizes, by)
-        made = state.select(*by, F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"), "level", "slope", "season", "_size", F.sqrt("_v").alias("sd"))
-        season = F.get("season", ((F.col("_size") + F.col("step") - 1) % max(period, 1)).cast("int")) if period else F.lit(0.0)
-        made = made.select(*by, "step", (F.col("level") + F.col("step") * F.col("slope") + season).alias("f"), "sd")
+        state = ordered.by_series(_smoothed(train.select(*by, "_at", "_y"), by, trend, period), sizes, by)
+        made = state.select(*by, F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("_step"), "_level", "_slope", "_season", "_size", F.sqrt("_v").alias("_sd"))
+        season = F.get("_season", ((F.col("_size") + F.col("_step") - 1) % max(period, 1)).cast("int")) if period else F.lit(0.0)
+        made = made.select(*by, "_step", (F.col("_level") + F.col("_step") * F.col("_slope") + season).alias("_f"), "_sd")
     else:
         raise ValueError(f"unknown method {method}")
-    return made.select(*by, F.col("step").cast("int").alias("step"), F.col("f").alias("forecast"),
-                       (F.col("f") - z * F.col("sd")).alias("lower"), (F.col("f") + z * F.col("sd")).alias("upper"))
-
+    return made.select(*by, F.col("_step").cast("int").alias("step"), F.col("_f").alias("forecast"),
+                       (F.col("_f") - z * F.col("_sd")).alias("lower"), (F.col("_f") + z * F.col("_sd")).alias("upper"))

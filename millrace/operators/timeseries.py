@@ -70,7 +70,7 @@ def resample(df: DataFrame, ts: str, value: str, rule: str, series: Sequence[str
             "_d", F.col("_d") + F.expr("INTERVAL 1 DAY") - F.expr(step), F.expr(step))).alias("_p")).where("_p BETWEEN _a AND _b")
     else:
         slots = ends.select(*series, F.explode(F.sequence("_a", "_b", F.expr(step))).alias("_p"))
-    full = slots.select(*series, "_p").join(means, [*series, "_p"], "left")
+    full = ordered.by_series(slots.select(*series, "_p"), means, [*series, "_p"], "left")
     if fill:
         full = M.interpolate(full, value, ["_p"], series)
     return full.select(*series, _label(F.col("_p"), rule).cast("timestamp_ntz").alias(ts), value)
@@ -115,7 +115,7 @@ def audit_windows(df: DataFrame, ts: str, value: str, window_days: float = 14, o
     width, slide = (round(d * 86_400_000_000) for d in (window_days, window_days * (1 - overlap_pct / 100)))
     span = data.groupBy(*series).agg(F.min("_ts").alias("_lo"), F.max("_ts").alias("_hi"))
     if series:
-        data = data.join(span, list(series))
+        data = ordered.by_series(data, span, series)
     else:
         lo, hi = span.first()
         data = data.withColumns({"_lo": literal(lo, TimestampNTZType()), "_hi": literal(hi, TimestampNTZType())})
@@ -142,7 +142,9 @@ def audit_windows(df: DataFrame, ts: str, value: str, window_days: float = 14, o
     low = counts.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy("v"))).where("_r <= 100")
     gaps = low.withColumn("_g", F.col("v") - F.lag("v").over(W.partitionBy(*by).orderBy("_r")))
     step = gaps.groupBy(*by).agg(F.expr("percentile(_g, 0.5)").alias("typical_step"))  # at most 99 values
-    out = stats.join(quart, by).join(kinds, by).join(step, by, "left")
+    out = stats
+    for side, how in ((quart, "inner"), (kinds, "inner"), (step, "left")):
+        out = ordered.by_series(out, side, by, how)
     return out.withColumns({
         "iqr": F.col("q3") - F.col("q1"), "cv": F.when(F.col("mean") == 0, 0.0).otherwise(F.try_divide("std", "mean")),
         "days": F.floor((_micros(F.col("window_end")) - _micros(F.col("window_start"))) / 86_400_000_000),
@@ -207,7 +209,7 @@ def decompose(df: DataFrame, value: str, order_by: Sequence[str], period: int =
     per = out.groupBy(*series, "_phase").agg(F.avg("_free").alias("_s"))
     mean = F.avg("_s").over(W.partitionBy(*series) if series else W.partitionBy(F.lit(0)))  # `period` rows
     side = per.select(*series, "_phase", (F.col("_s") - mean if add else F.col("_s") / mean).alias("seasonal"))
-    out = out.join(F.broadcast(side) if not series else side, [*series, "_phase"])
+    out = out.join(F.broadcast(side), "_phase") if not series else ordered.by_series(out, side, [*series, "_phase"])
     residual = F.col("_free") - F.col("seasonal") if add else F.col("_free") / F.col("seasonal")
     return out.select(*df.columns, "trend", "seasonal", residual.alias("residual"))
 
@@ -221,7 +223,7 @@ def decomposition_strength(parts: DataFrame, series: Sequence[str] = ()) -> Data
 def residual_anomalies(parts: DataFrame, ts: str, series: Sequence[str] = (), sigma: float = 3.0) -> DataFrame:
     """(series..., ts, residual, deviation_sigma) of residuals beyond ``sigma`` standard deviations."""
     stats = parts.groupBy(*series).agg(F.avg("residual").alias("_m"), F.stddev_samp("residual").alias("_s"))
-    both = parts.join(F.broadcast(stats)) if not series else parts.join(stats, list(series))
+    both = parts.join(F.broadcast(stats)) if not series else ordered.by_series(parts, stats, series)
     away = F.abs(F.col("residual") - F.col("_m"))
     return both.where(away > sigma * F.col("_s")).select(
         *series, ts, "residual", (away / F.nullif(F.col("_s"), F.lit(0.0))).alias("deviation_sigma"))
@@ -419,7 +421,7 @@ def arima_fit(df: DataFrame, value: str, order_by: Sequence[str], p: int = 1, d:
         """Add ``out``: the regression of ``source`` on the named columns."""
         coefs = _regress(table, source, names, series)
         if series:
-            table = table.join(coefs, list(series), "left")
+            table = ordered.by_series(table, coefs, series, "left")
             coefs = [F.get("_b", F.lit(i)) for i in range(len(names) + 1)]
         terms = [b * F.col(x) if series else F.lit(b) * F.col(x) for b, x in zip(coefs[1:], names)]
         return table.withColumn(out, sum(terms, coefs[0] if series else F.lit(coefs[0]))).drop("_b")

@@ -128,6 +128,14 @@ def carry(
     return bucketed.join(side, match, "left").drop(*[f"_r_{k}" for k in keys])
 
 
+def by_series(left: DataFrame, right: DataFrame, series: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on the series columns, a null series with a null one; ``right`` has one row per series."""
+    others = [F.col(f"`{c}`") for c in right.columns if c not in series]
+    side = right.select(*[F.col(f"`{c}`").alias(f"_r_{c}") for c in series], *others)
+    match = [F.col(f"`{c}`").eqNullSafe(F.col(f"`_r_{c}`")) for c in series]
+    return left.join(side, match, how).drop(*[f"_r_{c}" for c in series])
+
+
 def running_sum(
     df: DataFrame, order: Sequence[str], sums: dict[str, Column], series: Sequence[str] = (),
     totals: dict[str, Column] | None = None, small: bool | None = None,

@@ -99,6 +99,30 @@ def rows_by_predicate(t):
     return C.keep_rows(t.orders, "o_totalprice > 250000 and o_orderstatus == 'F'").select("o_orderkey", "o_totalprice")
 
 
+@query("filter_negated", "P-5 P-6 P-10 U-1 U-3", """
+SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE NOT (o_orderstatus = 'F') AND NOT regexp_matches(o_orderpriority, 'URGENT|LOW')""")
+def filter_negated(t):
+    return C.keep_rows(t.orders, "~(o_orderstatus == 'F') & ~o_orderpriority.str.contains('URGENT|LOW')").select(
+        "o_orderkey", "o_orderstatus", "o_orderpriority")
+
+
+@query("delete_rows_negated", "P-11", "SELECT s_suppkey, s_nationkey FROM supplier WHERE s_nationkey IN (1, 2, 3, 5)")
+def delete_rows_negated(t):
+    return C.delete_rows(t.supplier, "~s_nationkey.isin([1, 2, 3, 5])").select("s_suppkey", "s_nationkey")
+
+
+@query("text_split", "2.9 text/regex", """
+SELECT c_custkey, string_split(c_name, '#')[2] AS second, split_part(c_mktsegment, 'I', 1) AS head FROM customer""")
+def text_split(t):
+    df = C.add_computed(t.customer, "second", "c_name.str.split('#').str[1]")
+    return C.add_computed(df, "head", "c_mktsegment.str.split('I')[0]").select("c_custkey", "second", "head")
+
+
+@query("dummy_level", "2.9 pandas", "SELECT o_orderkey, coalesce(o_orderstatus = 'O', false) AS is_open FROM orders")
+def dummy_level(t):
+    return C.add_computed(t.orders, "is_open", "pd.get_dummies(o_orderstatus)['O']").select("o_orderkey", "is_open")
+
+
 HOLED_CUSTOMER = "(SELECT c_custkey, c_name, c_nationkey, c_mktsegment, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_acctbal END AS c_acctbal FROM customer)"
 
 

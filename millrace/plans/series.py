@@ -169,21 +169,25 @@ def audit_typical_step(t):
     return out.select("window_start", F.round("typical_step", 6).alias("typical_step"))
 
 
-def _tight(expr):
-    return f"WITH {AUDIT}, p AS (SELECT *, lag(mean) OVER o AS m, lag(std) OVER o AS s, lag(max - min) OVER o AS r, lag(unique_values) OVER o AS u, lag(iqr) OVER o AS i FROM q WINDOW o AS (ORDER BY window_start)) {expr}"
-
-
-@query("audit_alerts", "T-7 T-8", _tight("""
+@query("audit_alerts", "T-7 T-8", f"""
+WITH {AUDIT}, dv AS (SELECT DISTINCT window_start, value FROM r), rk AS (SELECT *, row_number() OVER (PARTITION BY window_start ORDER BY value) AS n FROM dv),
+gp AS (SELECT window_start, value - lag(value) OVER (PARTITION BY window_start ORDER BY n) AS gap FROM rk WHERE n <= 100),
+sp AS (SELECT window_start, median(gap) AS st FROM gp GROUP BY 1), k AS (SELECT q.*, CASE WHEN unique_values > 10 THEN coalesce(st, 0) END AS step FROM q LEFT JOIN sp USING (window_start)),
+p AS (SELECT *, lag(mean) OVER o AS m, lag(std) OVER o AS s, lag(max - min) OVER o AS r, lag(unique_values) OVER o AS u, lag(iqr) OVER o AS i,
+ CASE WHEN step > 0 AND lag(step) OVER o > 0 THEN step / lag(step) OVER o END AS sr FROM k WINDOW o AS (ORDER BY window_start))
 SELECT window_start, 'mean_shift' AS type, round(abs(mean - m) / m * 100, 4) AS amount FROM p WHERE abs(mean - m) / m * 100 > 0.5
 UNION ALL SELECT window_start, 'std_shift', round(abs(std - s) / s * 100, 4) FROM p WHERE abs(std - s) / s * 100 > 0.5
 UNION ALL SELECT window_start, 'range_expansion', round((max - min) / r, 4) FROM p WHERE (max - min) / r > 1.001
 UNION ALL SELECT window_start, 'range_contraction', round((max - min) / r, 4) FROM p WHERE (max - min) / r < 1 / 1.001
+UNION ALL SELECT window_start, 'precision_increase', round(unique_values / u, 4) FROM p WHERE unique_values > 10 AND unique_values / u > 3
 UNION ALL SELECT window_start, 'precision_decrease', round(unique_values / u, 4) FROM p WHERE unique_values > 10 AND unique_values / u < 0.33
-UNION ALL SELECT window_start, 'iqr_shift', round(abs(iqr - i) / i * 100, 4) FROM p WHERE abs(iqr - i) / i * 100 > 0.5"""))
+UNION ALL SELECT window_start, 'unit_scaled_down', round(1 / sr, 4) FROM p WHERE unique_values > 10 AND sr > 0.05 AND sr < 0.2
+UNION ALL SELECT window_start, 'unit_scaled_up', round(sr, 4) FROM p WHERE unique_values > 10 AND sr > 5 AND sr < 20
+UNION ALL SELECT window_start, 'iqr_shift', round(abs(iqr - i) / i * 100, 4) FROM p WHERE abs(iqr - i) / i * 100 > 0.5""")
 def audit_alerts(t):
     windows = T.audit_windows(_events(t), "ts", "value")
     out = T.audit_alerts(windows, mean_pct=0.5, std_pct=0.5, range_ratio=1.001, iqr_pct=0.5)
-    return out.where("type NOT LIKE 'unit%'").withColumn("amount", F.round("amount", 4))
+    return out.withColumn("amount", F.round("amount", 4))
 
 
 PARTS = f"""{HOURLY}, p AS (SELECT ts, value, row_number() OVER (ORDER BY ts) - 1 AS i FROM h),
@@ -367,3 +371,58 @@ def forecast_smoothing(t):
 @query("forecast_smoothing_seasonal", "T-12")
 def forecast_smoothing_seasonal(t):
     return FC.forecast(hourly(t), "value", ["ts"], trend=True, period=24)[0]
+
+
+def _with_null_type(t):
+    """Events of which one type is unknown: a series of its own."""
+    first = t.events.agg(F.min("event_type")).first()[0]
+    return _events(t).withColumn("event_type", F.nullif(F.col("event_type"), F.lit(first)))
+
+
+NULL_TYPE = "ev AS (SELECT event_id, ts, nullif(event_type, (SELECT min(event_type) FROM events)) AS event_type, value FROM events)"
+
+
+@query("forecast_moving_average_by_type", "T-12", f"""
+WITH {NULL_TYPE}, o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM ev),
+t AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY i DESC) AS back FROM o WHERE i < floor(n * 0.8)),
+f AS (SELECT event_type, avg(value) AS f, stddev_samp(value) * 1.959963984540054 AS ci FROM t WHERE back <= 5 GROUP BY 1)
+SELECT event_type, s::INTEGER AS step, round(f, 5) AS forecast, round(f - ci, 5) AS lower, round(f + ci, 5) AS upper FROM f, range(1, 4) r(s)""")
+def forecast_moving_average_by_type(t):
+    out = PN.forecast(_with_null_type(t), "value", KEY, ["event_type"], steps=3, method="moving_average")
+    return out.select("event_type", "step", *[F.round(c, 5).alias(c) for c in ("forecast", "lower", "upper")])
+
+
+@query("resample_null_series", "T-2", f"WITH {NULL_TYPE} SELECT event_type, date_trunc('day', ts)::TIMESTAMP AS ts, round(avg(value), 6) AS value FROM ev GROUP BY ALL")
+def resample_null_series(t):
+    return T.resample(_with_null_type(t), "ts", "value", "D", ["event_type"]).withColumn("value", F.round("value", 6))
+
+
+@query("audit_windows_null_series", "T-6 T-8", f"""
+WITH {NULL_TYPE}, b AS (SELECT event_type, min(ts) AS a, max(ts) AS z FROM ev GROUP BY 1), s AS (SELECT unnest(range(0, 100)) AS i),
+w AS (SELECT event_type, a + to_days((i * 5)::INT) AS window_start, least(a + to_days((i * 5 + 10)::INT), z) AS window_end FROM s, b WHERE a + to_days((i * 5)::INT) <= z),
+r AS (SELECT w.*, value FROM w JOIN ev e ON e.event_type IS NOT DISTINCT FROM w.event_type AND ts >= window_start AND ts < window_end)
+SELECT event_type, window_start, window_end, count(*) AS count, round(avg(value), 6) AS mean, round(median(value), 6) AS median, count(DISTINCT value) AS unique_values
+FROM r GROUP BY 1, 2, 3 HAVING count(*) >= 10""")
+def audit_windows_null_series(t):
+    out = T.audit_windows(_with_null_type(t), "ts", "value", window_days=10, series=["event_type"])
+    return out.select("event_type", "window_start", "window_end", "count", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), "unique_values")
+
+
+@query("acf_null_series", "T-11", f"""
+WITH {NULL_TYPE}, z AS (SELECT event_type, value - avg(value) OVER (PARTITION BY event_type) AS y, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM ev),
+v AS (SELECT event_type, sum(y * y) AS v FROM z GROUP BY 1)
+SELECT a.event_type, k::INTEGER AS lag, round(sum(a.y * b.y) / any_value(v), 6) AS acf FROM range(0, 11) r(k) JOIN z a ON true
+JOIN z b ON b.event_type IS NOT DISTINCT FROM a.event_type AND b.i = a.i + k JOIN v ON v.event_type IS NOT DISTINCT FROM a.event_type GROUP BY 1, 2""")
+def acf_null_series(t):
+    return PN.autocorrelation(_with_null_type(t), "value", KEY, ["event_type"], lags=10).select("event_type", "lag", F.round("acf", 6).alias("acf"))
+
+
+@query("segments_null_series", "T-5", f"""
+WITH {NULL_TYPE}, o AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i FROM ev)
+SELECT event_type, (i // 50 + 1)::BIGINT AS segment, min(ts) AS start, max(ts) AS "end", round(avg(value), 6) AS mean, count(*) AS samples FROM o GROUP BY 1, 2""")
+def segments_null_series(t):
+    df = _with_null_type(t)
+    sizes = df.groupBy("event_type").count()
+    marks = sizes.select("event_type", F.explode(F.expr("sequence(0L, count - 1, 50L)")).alias("position")).where("position > 0")
+    out = CP.segments(df, "value", KEY, marks, ["event_type"])
+    return out.select("event_type", "segment", "start", "end", F.round("mean", 6).alias("mean"), "samples")

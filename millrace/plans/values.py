@@ -24,7 +24,7 @@ def _kinds_sql(columns, compat=False):
     rank = "WHEN phone > 0.7 THEN 'phone' WHEN numeric > 0.8 THEN 'numeric' WHEN date > 0.5 THEN 'date' WHEN datetime > 0.5 THEN 'datetime'" if compat else (
         "WHEN datetime > 0.5 THEN 'datetime' WHEN date > 0.5 THEN 'date' WHEN phone > 0.7 THEN 'phone' WHEN numeric > 0.8 THEN 'numeric'")
     number = "try_cast(replace(replace(v, ',', ''), '$', '') AS DOUBLE)"
-    return " UNION ALL ".join(f"""
+    return " UNION ALL ".join(rf"""
 SELECT '{c}' AS "column", CASE WHEN email > 0.7 THEN 'email' {rank} ELSE 'text' END AS kind FROM (
 SELECT avg(contains(v, '@')::INT) AS email, avg((length(regexp_replace(v, '[^0-9]', '', 'g')) BETWEEN 7 AND 15)::INT) AS phone,
   CASE WHEN count(*) = count({number}) THEN avg(({number} <> 0)::INT) END AS numeric, avg(regexp_matches(v, '\d{{4}}-\d{{2}}-\d{{2}}')::INT) AS date,

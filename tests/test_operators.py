@@ -76,11 +76,25 @@ def test_expression_rules(spark):
     assert value("gcd(12 * c, 18)") == 6
     assert value("where(b < 0 and not c == 3, 1, 0)") == 1
     assert value("1 < c < 3") is True
-    for bad in ("__import__('os')", "nosuch + 1", "b.real", "open('x')", "[1]"):
+    assert value("[c, 1][0]") == 2
+    assert value("~(c == 2)") is False and value(" ~ (c == 3) & ~(b > 0)") is True
+    assert value("get_dummies(c)[2]") is True and value("pd.get_dummies(c)[3]") is False
+    for bad in ("__import__('os')", "nosuch + 1", "b.real", "open('x')", "get_dummies(c)"):
         with pytest.raises((ValueError, SyntaxError)):
             column_expr(bad, df)
 
 
+def test_text_pieces(spark):
+    df = spark.createDataFrame([("a.b c.d",), (" x  y ",), (None,)], "s string")
+    value = lambda text: [r[0] for r in df.select(column_expr(text, df)).collect()]
+    assert value("s.str.split('.')") == [["a", "b c", "d"], [" x  y "], None]
+    assert value("s.str.split()") == [["a.b", "c.d"], ["x", "y"], None]
+    assert value("s.str.split('.', 1).str[1]") == ["b c.d", None, None]
+    assert value("s.str.split().str.get(-1)") == ["c.d", "y", None]
+    assert value("s.str.split('[. ]+')") == [["a", "b", "c", "d"], ["", "x", "y", ""], None]
+    assert value("~s.str.contains('b')") == [False, True, None]
+
+
 def test_edits_and_checks(spark):
     df = spark.createDataFrame([(1, "a", 1.0), (2, "b", None)], "k int, s string, v double")
     edits = spark.createDataFrame([(2, "v", "5.5"), (1, "s", None)], "k int, column string, value string")
