@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
+from millrace.operators import multivariate as MV
 from millrace.operators.detectors import EXACT
 from millrace.operators.sampled import SAMPLED, score_sampled
 from millrace.quantiles import column_modes, column_quantiles
@@ -16,8 +17,14 @@ from millrace.session import cut_lineage
 CONTAMINATION = 0.1
 MAD_THRESHOLD = 3.5
 SUOD_BASE = ("KNN", "HBOS", "ECOD", "COPOD")
-WHOLE_TABLE = ("FB",)
-MODELS = [*EXACT, *SAMPLED, "SUOD"]
+#: Models over all columns together, with the least number of columns for which they are.
+WHOLE_TABLE = {"FB": (MV.feature_bagging, 1), "SOD": (MV.sod, 2), "ROD": (MV.rod, 3)}
+#: Models of one column that come from the same module.
+ALONG_ORDER = {
+    "LOCI": MV.loci, "LMDD": lambda data, key: MV.lmdd(data, key, ["x"]), "SOD": lambda data, key: MV.sod(data, key, ["x"]),
+    "FB": lambda data, key: MV.feature_bagging(data, key, ["x"]),
+}
+MODELS = [*EXACT, *SAMPLED, *ALONG_ORDER, "SUOD"]
 
 
 def preprocess(df: DataFrame, columns: Sequence[str], key: Sequence[str]) -> DataFrame:
@@ -46,6 +53,8 @@ def score(data: DataFrame, model: str, key: Sequence[str]) -> DataFrame:
     """(key..., x) -> with ``score``."""
     if model in EXACT:
         return EXACT[model](data, key)
+    if model in ALONG_ORDER:
+        return ALONG_ORDER[model](data, key)
     if model in SAMPLED:
         return score_sampled(data, ["x"], key, model)
     if model == "SUOD":
@@ -82,8 +91,8 @@ def detect(df: DataFrame, key: Sequence[str], columns: Sequence[str], models: Se
         data = cut_lineage(data)
     parts = []
     for m in models:
-        if m in WHOLE_TABLE:
-            s = label(score_sampled(data, present, key, m).select(*key, "score"), m, contamination)
+        if m in WHOLE_TABLE and len(present) >= WHOLE_TABLE[m][1]:
+            s = label(WHOLE_TABLE[m][0](data, key, present).select(*key, "score"), m, contamination)
             parts += [s.select(*key, F.lit(c).alias("column"), F.lit(m).alias("model"), "score", "label") for c in present]
             continue
         for c in present:

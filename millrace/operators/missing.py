@@ -12,6 +12,7 @@ from pyspark.sql.types import (
 
 from millrace import ordered
 from millrace.quantiles import column_modes, column_quantiles, literal
+from millrace.operators.neighbours import nearest
 from millrace.session import cut_lineage, hash_sample
 
 # Words that count as missing, and the default replacements.
@@ -206,90 +207,36 @@ def category_codes(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, di
     return df, tables
 
 
-DONOR_ROWS, GAP_ROWS = 20_000, 1_000
-
-
-def _nearest(rows, donors, k: int):
-    """Per row distances and places of the ``k`` best donors of a block; ties go to the earlier donor."""
-    import numpy as np
-
-    known = ~np.isnan(donors)
-    for row in rows:
-        have = np.flatnonzero(~np.isnan(row))
-        total, shared = np.zeros(len(donors)), np.zeros(len(donors))
-        for c in have:
-            total += np.where(known[:, c], donors[:, c] - row[c], 0.0) ** 2
-            shared += known[:, c]
-        d = np.where(shared > 0, total * len(row) / np.maximum(shared, 1), np.inf)
-        if k < len(d):  # all that may tie with the k-th
-            near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-            near = near[np.argsort(d[near], kind="stable")[:k]]
-        else:
-            near = np.argsort(d, kind="stable")
-        near = near[np.isfinite(d[near])]
-        yield d[near], near
-
-
 def knn_impute(df: DataFrame, columns: Sequence[str], key: Sequence[str], k: int = 5, donors: int | None = None) -> DataFrame:
     """Mean of the k nearest rows that know the value, by distance over shared columns.
 
     Distances skip unknown coordinates and scale up by all / shared coordinates; ties go to the smaller key. A gap for which no
     donor shares a column takes the column's mean. Every row that knows a column is a donor for it, or with ``donors`` the so many
-    of them with the smallest key hash.
+    of them with the smallest key hash. Keys must be unique.
 
-    Rows with gaps meet the donors in blocks of bounded size, and each pair of blocks returns k candidates a gap. The work is
-    rows with gaps times donors, so ``donors`` is what bounds it where both are large.
+    All columns are searched by one nearest-neighbour join (``neighbours.nearest``), in which a row meets only the donors near it.
     """
-    import numpy as np
-    import pyarrow as pa
-
     strings = [c for c in columns if _is(df, c, StringType)]
     coded, tables = category_codes(df, strings)
     num = coded.withColumns({c: F.col(c).cast("double") for c in columns})
+    known = num.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(f"n{j}") for j, c in enumerate(columns)],
+                    *[F.avg(c).alias(f"m{j}") for j, c in enumerate(columns)]).first()
+    open_ = [j for j in range(len(columns)) if 0 < known[f"n{j}"] < known["_n"]]
+    base = num.select(F.struct(*key).alias("_key"), F.array(*columns).alias("_x"))
+    pool = [base.select(F.lit(j).alias("_g"), "_key", "_x", F.get("_x", F.lit(j)).alias("_v")).where("_v IS NOT NULL") for j in open_]
+    if donors is not None:
+        pool = [hash_sample(p.withColumns({f"_k{i}": F.col("_key")[c] for i, c in enumerate(key)}), [f"_k{i}" for i in range(len(key))], donors, 42).select(
+            "_g", "_key", "_x", "_v") for p in pool]
     gap = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in columns])
-    # Python only hands keys through, as text.
-    named = F.struct(*key)
-    base = num.select(named.alias("_key"), F.to_json(named).alias("_id"), F.array(*columns).alias("_x"), *key)
-    kind = base.schema["_key"].dataType
-    place = F.xxhash64("_id", F.lit(42)).bitwiseAND(F.lit(2**62 - 1))
-    means = num.agg(*[F.avg(c).alias(c) for c in columns]).first()
-    found = None
-    for j, c in enumerate(columns):
-        open_ = base.where(F.get("_x", F.lit(j)).isNull()).select("_id", "_x")
-        pool = base.where(F.get("_x", F.lit(j)).isNotNull())
-        if donors is not None:
-            pool = hash_sample(pool, key, donors, 42)
-        pool = cut_lineage(pool.select("_key", "_id", "_x", place.alias("_p")))
-        parts, gaps = -(-pool.count() // DONOR_ROWS), -(-open_.count() // GAP_ROWS)
-        if not parts or not gaps:
-            continue
-        sorted_ = F.array_sort(F.collect_list(F.struct("_key", "_id", "_x")))
-        blocks = pool.groupBy(F.pmod("_p", F.lit(parts)).alias("_b")).agg(sorted_.alias("_many"))
-        blocks = blocks.select("_b", F.transform("_many", lambda r: r["_id"]).alias("_ids"), F.flatten(F.transform("_many", lambda r: r["_x"])).alias("_donors"))
-        wanted = open_.groupBy(F.pmod(F.xxhash64("_id"), F.lit(gaps)).alias("_g")).agg(F.collect_list(F.struct("_id", "_x")).alias("_rows"))
-        wanted = wanted.select(F.transform("_rows", lambda r: r["_id"]).alias("_names"), F.flatten(F.transform("_rows", lambda r: r["_x"])).alias("_values"),
-                               F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))).alias("_b"))
-
-        def meet(batches, j=j):
-            for batch in batches:
-                for names, values, ids, many in zip(*(batch[n] for n in ("_names", "_values", "_ids", "_donors"))):
-                    x, y = (v.values.to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(columns)) for v in (values, many))
-                    out = [(np.full(len(d), i), d, at) for i, (d, at) in enumerate(_nearest(x, y, k))]
-                    who, d, at = (np.concatenate(o) for o in zip(*out))
-                    yield pa.RecordBatch.from_arrays(
-                        [names.values.take(pa.array(who)), pa.array(d), ids.values.take(pa.array(at)), pa.array(y[at, j])], ["_name", "_d", "_id", "_v"])
-
-        near = wanted.join(blocks, "_b").select("_names", "_values", "_ids", "_donors").mapInArrow(meet, "_name string, _d double, _id string, _v double")
-        best = F.slice(F.array_sort(F.collect_list(F.struct("_d", F.from_json("_id", kind).alias("_k"), "_v"))), 1, k)
-        one = near.groupBy("_name").agg(best.alias("_best")).select(
-            F.lit(c).alias("_c"), "_name", (F.aggregate("_best", F.lit(0.0), lambda a, s: a + s["_v"]) / F.size("_best")).alias("_v"))
-        found = one if found is None else found.unionByName(one)
-    filled = num.where(gap)
-    if found is not None:
-        wide = found.groupBy("_name").agg(*[F.max(F.when(F.col("_c") == c, F.col("_v"))).alias(f"_v{j}") for j, c in enumerate(columns)])
-        filled = filled.withColumn("_name", F.to_json(named)).join(wide, "_name", "left")
-    near = lambda j: [f"_v{j}"] if found is not None else []
-    filled = filled.withColumns({c: F.coalesce(c, *near(j), F.lit(means[c])) for j, c in enumerate(columns)}).select(*num.columns)
+    filled = num.where(gap).withColumn("_key", F.struct(*key))
+    if open_:
+        asked = base.select(F.explode(F.array_compact(F.array(*[F.when(F.get("_x", F.lit(j)).isNull(), F.lit(j)) for j in open_]))).alias("_g"), F.col("_key").alias("_id"), "_x")
+        near = nearest(asked, reduce(DataFrame.unionByName, pool), k, len(columns))
+        mean = F.aggregate("_best", F.lit(0.0), lambda a, s: a + s["_v"]) / F.size("_best")
+        wide = near.groupBy("_id").agg(*[F.max(F.when(F.col("_g") == j, mean)).alias(f"_v{j}") for j in open_])
+        filled = filled.join(wide, F.col("_key") == F.col("_id"), "left").drop("_id")
+    filled = filled.withColumns({
+        c: F.coalesce(c, *([f"_v{j}"] if j in open_ else []), F.lit(known[f"m{j}"])) for j, c in enumerate(columns)}).select(*num.columns)
     filled = filled.unionByName(num.where(~gap))
     for c in strings:
         side = tables[c].select(F.col("value").alias("_v"), F.col("code").alias("_c"))

@@ -169,29 +169,6 @@ def sos(points: np.ndarray, perplexity: float = 4.5, seed: int = SEED):
     return score
 
 
-def loci(points: np.ndarray, alpha: float = 0.5, radii: int = 8, seed: int = SEED):
-    """Largest deviation of the local count from the counts around, over a few radii (first column)."""
-    p = np.sort(points[:, 0])
-    spread = p[-1] - p[0] or 1.0
-    models = []
-    for r in spread * np.geomspace(0.02, 1.0, radii):
-        n = np.searchsorted(p, p + alpha * r, "right") - np.searchsorted(p, p - alpha * r)
-        models.append((r, np.concatenate([[0], n.cumsum()]), np.concatenate([[0], (n.astype(float) ** 2).cumsum()])))
-
-    def score(x: np.ndarray) -> np.ndarray:
-        v, best = x[:, 0], np.zeros(len(x))
-        for r, s1, s2 in models:
-            a, b = np.searchsorted(p, v - r), np.searchsorted(p, v + r, "right")
-            own = np.searchsorted(p, v + alpha * r, "right") - np.searchsorted(p, v - alpha * r)
-            n = np.maximum(b - a, 1)
-            mean = (s1[b] - s1[a]) / n
-            std = np.sqrt(np.maximum((s2[b] - s2[a]) / n - mean**2, 0))
-            best = np.maximum(best, np.where((std > 0) & (b - a >= 20), (mean - own) / np.where(std > 0, std, 1), 0))
-        return best
-
-    return score
-
-
 def dif(points: np.ndarray, networks: int = 10, width: int = 20, seed: int = SEED):
     """Isolation forests on the outputs of fixed random networks, averaged."""
     rng = np.random.default_rng(seed)
@@ -204,76 +181,6 @@ def dif(points: np.ndarray, networks: int = 10, width: int = 20, seed: int = SEE
     return lambda x: sum(f(net(x)) for net, f in parts) / len(parts)
 
 
-def sample_lof(points: np.ndarray, k: int = 20, seed: int = SEED):
-    """Local outlier factor against the sample, in any number of columns."""
-    k = min(k, len(points) - 1)
-    d = _distances(points, points)
-    np.fill_diagonal(d, np.inf)
-    near = np.argsort(d, 1, kind="stable")[:, :k]
-    kdist = np.take_along_axis(d, near, 1)[:, -1]
-    dens = 1 / (np.maximum(kdist[near], np.take_along_axis(d, near, 1)).mean(1) + 1e-10)
-
-    def score(x: np.ndarray) -> np.ndarray:
-        d = _distances(x, points)
-        # A row of the sample must not count as its own neighbour.
-        own = d.argmin(1)
-        d[np.arange(len(x)), own] = np.where(d.min(1) == 0, np.inf, d.min(1))
-        near = np.argpartition(d, k - 1, 1)[:, :k]
-        reach = np.maximum(kdist[near], np.take_along_axis(d, near, 1)).mean(1)
-        return dens[near].mean(1) * (reach + 1e-10)
-
-    return score
-
-
-def feature_bagging(points: np.ndarray, rounds: int = 10, seed: int = SEED):
-    """Mean local outlier factor over random column subsets of half to all columns."""
-    rng, width, parts = np.random.default_rng(seed), points.shape[1], []
-    for _ in range(rounds):
-        n = rng.integers(max(1, width // 2), max(1, width - 1) + 1)
-        cols = np.sort(rng.choice(width, n, replace=False))
-        parts.append((cols, sample_lof(points[:, cols])))
-    return lambda x: sum(f(x[:, cols]) for cols, f in parts) / len(parts)
-
-
-def sod(points: np.ndarray, k: int = 20, refs: int = 10, alpha: float = 0.8, seed: int = SEED):
-    """Distance to the mean of shared-neighbour references, in the columns where they vary little.
-
-    With a single column no column varies less than the average of all, so the score is 0.
-    """
-    k, refs = min(k, len(points) - 1), min(refs, len(points))
-    d = _distances(points, points)
-    np.fill_diagonal(d, np.inf)
-    member = np.zeros((len(points), len(points)), np.float32)
-    np.put_along_axis(member, np.argsort(d, 1, kind="stable")[:, :k], 1.0, 1)
-
-    def score(x: np.ndarray) -> np.ndarray:
-        mine = np.zeros((len(x), len(points)), np.float32)
-        np.put_along_axis(mine, np.argpartition(_distances(x, points), k - 1, 1)[:, :k], 1.0, 1)
-        ref = points[np.argsort(-(mine @ member.T), 1, kind="stable")[:, :refs]]
-        mean, var = ref.mean(1), ref.var(1)
-        use = var < alpha * var.mean(1, keepdims=True)
-        n = use.sum(1)
-        return np.where(n > 0, np.sqrt((((x - mean) ** 2) * use).sum(1)) / np.maximum(n, 1), 0.0)
-
-    return score
-
-
-def lmdd(points: np.ndarray, rounds: int = 50, seed: int = SEED):
-    """Largest gain in mean absolute deviation when the row joins random leading parts of the sample."""
-    rng, parts = np.random.default_rng(seed), []
-    for _ in range(rounds):
-        part = points[rng.permutation(len(points))[: rng.integers(2, len(points) + 1)]]
-        parts.append((part.mean(0), np.abs(part - part.mean(0)).sum(1).mean(), len(part)))
-
-    def score(x: np.ndarray) -> np.ndarray:
-        best = np.full(len(x), -np.inf)
-        for mean, dev, n in parts:
-            best = np.maximum(best, (np.abs(x - mean).sum(1) - dev) * n / (n + 1) / (n + 1))
-        return best
-
-    return score
-
-
 def kpca(points: np.ndarray, components: int = 10, seed: int = SEED):
     """What an RBF kernel PCA of the sample leaves unexplained of the row."""
     gamma = 1.0 / points.shape[1]
@@ -297,8 +204,7 @@ def kpca(points: np.ndarray, components: int = 10, seed: int = SEED):
 # model -> (fit, sample size)
 SAMPLED = {
     "IForest": (isolation_forest, 25_600), "INNE": (inne, 1600), "OCSVM": (ocsvm, 500), "SOS": (sos, 500),
-    "LOCI": (loci, 10_000), "DIF": (dif, 2560), "SOD": (sod, 1000), "LMDD": (lmdd, 2000), "KPCA": (kpca, 300),
-    "FB": (feature_bagging, 2000),
+    "DIF": (dif, 2560), "KPCA": (kpca, 300),
 }
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import anomaly as A
 from millrace.operators import detectors as D
+from millrace.operators import multivariate as MV
 from millrace.operators import repair as X
 from millrace.plans.registry import query
 
@@ -185,15 +186,104 @@ def detect_sampling(t):
 
 
 for _m, _id in {
-    "IForest": "X-IForest", "INNE": "X-INNE", "OCSVM": "X-OCSVM", "SOS": "X-SOS", "LOCI": "X-LOCI",
-    "DIF": "X-DIF", "SOD": "X-SOD", "LMDD": "X-LMDD", "KPCA": "X-KPCA",
+    "IForest": "X-IForest", "INNE": "X-INNE", "OCSVM": "X-OCSVM", "SOS": "X-SOS", "DIF": "X-DIF", "KPCA": "X-KPCA",
 }.items():
     query(f"detect_{_m.lower()}", _id)(lambda t, m=_m: _detect(t, m))
 
 
-@query("detect_feature_bagging", "X-FB")
+def _loci_sql():
+    parts = []
+    for i, r in enumerate(MV.LOCI_RADII):
+        near = lambda w: f"(ORDER BY x RANGE BETWEEN {w} PRECEDING AND {w} FOLLOWING)"
+        parts.append(f"""o{i} AS (SELECT k, x, w * {r!r} AS r, count(*) OVER {near(f"(w * {r!r} * {MV.LOCI_ALPHA})")} AS own FROM e),
+m{i} AS (SELECT k, own, count(*) OVER {near("r")} AS n, avg(own) OVER {near("r")} AS m, avg(own::DOUBLE * own) OVER {near("r")} AS q FROM o{i})""")
+    every = " UNION ALL ".join(f"SELECT k, CASE WHEN n >= {MV.LOCI_LEAST} AND q - m * m > 1e-9 * q THEN (m - own) / sqrt(q - m * m) ELSE 0 END AS g FROM m{i}" for i in range(len(parts)))
+    return f"e AS (SELECT *, max(x) OVER () - min(x) OVER () AS w FROM z), {', '.join(parts)}, s AS (SELECT k, greatest(max(g), 0) AS score FROM ({every}) GROUP BY k)"
+
+
+@query("detect_loci", "X-LOCI", _labelled(_loci_sql()))
+def detect_loci(t):
+    return _detect(t, "LOCI")
+
+
+@query("detect_lmdd", "X-LMDD", _labelled(f"""r AS (SELECT k, x, r, md5(k || '|' || r) AS o FROM z, range(1, {MV.LMDD_ROUNDS + 1}) AS u(r)),
+p AS (SELECT k, x, count(*) OVER w AS n, sum(x) OVER w AS s1, sum(x * x) OVER w AS s2 FROM r WINDOW w AS (PARTITION BY r ORDER BY o, k ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT k, max(CASE WHEN n > 1 THEN n * ((s2 / n - (s1 / n) ** 2) - ((s2 - x * x) / (n - 1) - ((s1 - x) / (n - 1)) ** 2)) ELSE 0 END) AS score FROM p GROUP BY k)"""))
+def detect_lmdd(t):
+    return _detect(t, "LMDD")
+
+
+# Four coordinates of the embeddings, standardised.
+FOUR = ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}" for c in "abcd")
+POINTS = f"e AS (SELECT vec_id AS k, {', '.join(f'embedding[{i + 1}]::DOUBLE AS {c}' for i, c in enumerate('abcd'))} FROM embeddings), z AS (SELECT k, {FOUR} FROM e)"
+
+
+def _points(t):
+    return t.embeddings.selectExpr("vec_id AS k", *[f"double(embedding[{i}]) AS {c}" for i, c in enumerate("abcd")])
+
+
+def _together(t, model, columns, digits=5):
+    found = A.detect(_points(t), ["k"], columns, [model])
+    return found.where(F.col("column") == columns[0]).select("k", F.round("score", digits).alias("score"), "label")
+
+
+def _near_sql(name, columns, k):
+    gap = " + ".join(f"(x.{c} - y.{c}) * (x.{c} - y.{c})" for c in columns)
+    return f"{name} AS (SELECT * FROM (SELECT x.k, y.k AS j, sqrt({gap}) AS d, row_number() OVER (PARTITION BY x.k ORDER BY {gap}, y.k) AS r FROM z x JOIN z y ON x.k <> y.k) WHERE r <= {k})"
+
+
+def _scored(parts, digits=5):
+    return f"WITH {POINTS}, {parts} SELECT k, round(score, {digits}) AS score, (score > (SELECT quantile_cont(score, 0.9) FROM s))::INTEGER AS label FROM s"
+
+
+def _bagging_sql():
+    parts, terms = [], []
+    for i, (columns, n) in enumerate(MV.bags(list("abcd")).items()):
+        parts += [_near_sql(f"n{i}", columns, MV.LOF_K), f"""f{i} AS (SELECT k, max(d) AS far FROM n{i} GROUP BY k),
+l{i} AS (SELECT n.k, 1 / (avg(greatest(far, d)) + 1e-10) AS own FROM n{i} n JOIN f{i} f ON f.k = n.j GROUP BY n.k),
+o{i} AS (SELECT n.k, {n / MV.BAGS} * avg(there.own) / any_value(here.own) AS lof FROM n{i} n JOIN l{i} there ON there.k = n.j JOIN l{i} here ON here.k = n.k GROUP BY n.k)"""]
+        terms.append(f"SELECT * FROM o{i}")
+    return ", ".join(parts) + f", s AS (SELECT k, sum(lof) AS score FROM ({' UNION ALL '.join(terms)}) GROUP BY k)"
+
+
+@query("detect_feature_bagging", "X-FB", _scored(_bagging_sql()))
 def detect_feature_bagging(t):
-    return A.detect(t.part.selectExpr("p_partkey AS k", "p_size", "p_retailprice"), ["k"], ["p_size", "p_retailprice"], ["FB"])
+    return _together(t, "FB", list("abcd"))
+
+
+def _sod_sql():
+    use = lambda c: f"(v{c} < {MV.SOD_ALPHA} * (va + vb + vc + vd) / 4)"
+    total = " + ".join(f"CASE WHEN {use(c)} THEN ({c} - m{c}) ** 2 ELSE 0 END" for c in "abcd")
+    n = " + ".join(f"{use(c)}::INT" for c in "abcd")
+    return f"""{_near_sql("n", "abcd", MV.SOD_K)},
+h AS (SELECT a.k, a.j, count(c.j) AS h FROM n a JOIN n b ON b.k = a.k LEFT JOIN n c ON c.k = a.j AND c.j = b.j GROUP BY 1, 2),
+f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY h DESC, j) AS r FROM h) WHERE r <= {MV.SOD_REFS}),
+t AS (SELECT f.k, {', '.join(f'avg({c}) AS m{c}, var_pop({c}) AS v{c}' for c in 'abcd')} FROM f JOIN z ON z.k = f.j GROUP BY f.k),
+s AS (SELECT z.k, CASE WHEN {n} > 0 THEN sqrt({total}) / ({n}) ELSE 0 END AS score FROM z JOIN t USING (k))"""
+
+
+@query("detect_sod", "X-SOD", _scored(_sod_sql()))
+def detect_sod(t):
+    return _together(t, "SOD", list("abcd"))
+
+
+ROD_SQL = f"""RECURSIVE_g(i, x, y, w) AS (
+ SELECT 0, avg(a), avg(b), avg(c) FROM z
+ UNION ALL SELECT i + 1, sum(a * h) / sum(h), sum(b * h) / sum(h), sum(c * h) / sum(h)
+ FROM (SELECT g.i, z.*, 1 / nullif(sqrt((a - x) ** 2 + (b - y) ** 2 + (c - w) ** 2), 0) AS h FROM g, z WHERE g.i < 200) GROUP BY i),
+m AS (SELECT x, y, w FROM g WHERE i = 200),
+v AS (SELECT k, sqrt((a - x) ** 2 + (b - y) ** 2 + (c - w) ** 2) AS size,
+ acos(greatest(-1, least(1, ((a - x) * x + (b - y) * y + (c - w) * w) / (sqrt((a - x) ** 2 + (b - y) ** 2 + (c - w) ** 2) * sqrt(x * x + y * y + w * w))))) AS angle FROM z, m),
+q AS (SELECT min(angle) FILTER (WHERE angle <= pi() / 2) AS l0, max(angle) FILTER (WHERE angle <= pi() / 2) AS l1, min(angle) FILTER (WHERE angle > pi() / 2) AS h0,
+ max(angle) FILTER (WHERE angle > pi() / 2) AS h1 FROM v),
+a2 AS (SELECT k, size, CASE WHEN angle <= pi() / 2 THEN (angle - l0) / (l1 - l0) * (0.955 - 0.001) + 0.001 ELSE (angle - h0) / (h1 - h0) * (2.186 - pi() / 2 - 0.001) + pi() / 2 + 0.001 END AS t FROM v, q),
+c AS (SELECT k, size ** 3 * cos(t) * sin(t) ** 2 AS cost FROM a2), d AS (SELECT k, abs(cost - (SELECT median(cost) FROM c)) AS away FROM c),
+s AS (SELECT k, 0.6745 * away / (SELECT median(away) FROM d) AS score FROM d)"""
+
+
+@query("detect_rod_triples", "X-ROD", _scored(ROD_SQL, 4).replace("WITH ", "WITH RECURSIVE ", 1).replace("RECURSIVE_g", "g"))
+def detect_rod_triples(t):
+    return _together(t, "ROD", list("abc"), 4)
 
 
 TWO = """o AS (SELECT o_orderkey AS k, o_totalprice AS price, o_custkey AS cust FROM orders),

@@ -151,6 +151,24 @@ def knn_impute(t):
     return M.knn_impute(df, ["x", "y"], ["k"]).withColumn("y", F.round("y", 6))
 
 
+GAPPY = """a AS (SELECT vec_id AS k, CASE WHEN vec_id % 11 = 0 THEN NULL ELSE embedding[1]::DOUBLE END AS a, CASE WHEN vec_id % 13 = 0 THEN NULL ELSE embedding[2]::DOUBLE END AS b, embedding[3]::DOUBLE AS c FROM embeddings)"""
+
+
+def _imputed(target, other):
+    return f"""(SELECT k, avg({target}) AS v FROM (SELECT g.k, n.{target}, row_number() OVER (PARTITION BY g.k ORDER BY
+  (coalesce((g.{other} - n.{other}) * (g.{other} - n.{other}), 0) + (g.c - n.c) * (g.c - n.c)) * (3.0 / (1 + (g.{other} - n.{other} IS NOT NULL)::INT)), n.k) AS r
+  FROM a g JOIN a n ON n.{target} IS NOT NULL WHERE g.{target} IS NULL) WHERE r <= 5 GROUP BY k)"""
+
+
+@query("knn_impute_with_gaps", "M-11 F-5", f"""
+WITH {GAPPY}, x AS {_imputed("a", "b")}, y AS {_imputed("b", "a")}
+SELECT a.k, round(coalesce(a.a, x.v), 6) AS a, round(coalesce(a.b, y.v), 6) AS b, round(c, 6) AS c FROM a LEFT JOIN x ON x.k = a.k LEFT JOIN y ON y.k = a.k""")
+def knn_impute_with_gaps(t):
+    df = t.embeddings.selectExpr("vec_id AS k", "IF(vec_id % 11 = 0, NULL, double(embedding[0])) AS a", "IF(vec_id % 13 = 0, NULL, double(embedding[1])) AS b",
+                                 "double(embedding[2]) AS c")
+    return M.knn_impute(df, ["a", "b", "c"], ["k"]).withColumns({c: F.round(c, 6) for c in "abc"})
+
+
 @query("apply_suggestions", "M-12 J-5", """
 SELECT p_partkey, CASE WHEN p_partkey % 35 = 0 THEN NULL WHEN p_partkey % 5 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM part""")
 def apply_suggestions(t):
