@@ -1,16 +1,18 @@
-"""Language-model scores by Katz backoff over bigrams.
+"""Language-model scores by Katz backoff over n-grams of up to ``ORDER`` words.
 
-Counts up to ``K`` are discounted by Good-Turing estimates, larger ones are kept. What a history's discounts leave is shared among
-the words never seen after it in proportion to their unigram probability, by a weight that makes the sum over all words exactly
-one; unigrams leave their own mass to one unknown word. A history (or the unigrams) without any discounted count is divided by one
-more than its count, so that something is left.
+Counts up to ``K`` are discounted by Good-Turing estimates, level by level; larger ones are kept. What a history's discounts leave is
+shared among the words never seen after it in proportion to their probability after the history without its first word, by a weight
+that makes the sum over all words exactly one; and so on down to single words, which leave their own mass to one unknown word. A history
+(or the words) without any discounted count is divided by one more than its count, so that something is left. One symbol stands before a
+text, and the first tokens have as much history as there is.
 
 Documents travel in chunks, never token by token. First, every chunk sends its distinct words, with their counts in training
-documents, to partitions by word, and gets the counts in the whole corpus back. Then it sends its distinct word pairs to partitions
-by history and gets their counts, how many of the history's successors were seen how often, and their unigram mass. Both count
-tables are written to the shared folder by partition, and every chunk evaluates its tokens against what it got. Histories that hold
-more than a fair share of all tokens are spread over several partitions by the second word and put together again (at most four
-per partition). Counts, memory per task and messages grow in proportion to the input.
+documents, to partitions by word, and gets the counts in the whole corpus back. Then, for each level from pairs up, it sends its distinct
+n-grams to partitions by history, with their probability on the level below, and gets their counts, how many of the history's successors
+were seen how often, and the mass of those on the level below. Every level is a table written to the shared folder by partition, and
+is worked out from the replies of the levels below it; at last every chunk evaluates its tokens from the highest level down. Histories that
+hold more than a fair share of all tokens are spread over several partitions by the next word and put together again (at most four
+per partition and level). Counts, memory per task and messages grow in proportion to the input.
 
 Documents learn if crc32 of their id as text, modulo ``FOLDS``, is not ``HELD``; a null id learns. Null and empty texts are one end
 token. Repeated rows count and are scored as documents of their own. An empty table gives an empty result.
@@ -31,6 +33,8 @@ from millrace.llm.substrings import WordHashes
 from millrace.session import cut_lineage
 
 K = 5
+#: Words of the longest n-gram.
+ORDER = 3
 FOLDS, HELD = 5, 1
 #: Tokens whose pairs one partition counts, least partitions, bytes of text of a chunk.
 GROUP_TOKENS, LEAST_GROUPS, CHUNK_BYTES = 2_500_000, 48, 6_000_000
@@ -121,36 +125,63 @@ class Words:
         return np.concatenate(got).astype(np.int64) if got else np.zeros(0, np.int64)
 
 
-class Pairs:
-    """Distinct pairs (history, word) of a chunk, ordered by partition, history and word."""
+class Grams:
+    """Distinct n-grams (history, word) of one level of a chunk, ordered by partition, history and word.
 
-    def __init__(self, words: Words, counts: np.ndarray, unigrams: Unigrams):
-        history = np.empty(len(words.at), np.int64)
-        history[1:] = words.at[:-1]
-        history[words.first] = len(words.distinct)  # what stands before the first token
-        self.hashes = np.append(words.distinct, BEGIN)
-        self.seen = np.append(counts, unigrams.documents)
-        code, self.at = np.unique(history * len(self.hashes) + words.at, return_inverse=True)
-        self.history, self.word = code // len(self.hashes), code % len(self.hashes)
-        self.local = np.bincount(self.at[words.trains], minlength=len(code))
+    A token's history is the n-gram of the level below at the token before it, so histories are told apart exactly within a chunk. The first
+    tokens of a text, before which too few stand, have no n-gram of this level; before the first one stands ``BEGIN``.
+    """
+
+    def __init__(self, words: Words, below: Grams | None, seen: np.ndarray, unigrams: Unigrams):
+        self.below, self.level = below, 2 if below is None else below.level + 1
+        skip = self.level - 2
+        place = np.arange(len(words.at)) - np.repeat(words.first, words.sizes)
+        self.tokens = np.flatnonzero(place >= skip)
+        if below is None:
+            begin = len(words.distinct)
+            history = np.where(place == 0, begin, np.concatenate([[begin], words.at[:-1]])) if len(words.at) else words.at
+            self.hashes, self.seen = np.append(words.distinct, BEGIN), np.append(seen, unigrams.documents)
+        else:
+            before = np.full(len(words.at), -1)
+            before[below.tokens] = below.at
+            history = before[self.tokens - 1]
+            self.hashes, self.seen = below.gram_hashes, seen
+        wide = max(1, len(words.distinct))
+        code, first, self.at = np.unique(history * wide + words.at[self.tokens], return_index=True, return_inverse=True)
+        self.history, self.word, self.words = code // wide, code % wide, words.distinct
+        self.first = self.tokens[first]  # a token of each
+        self.local = np.bincount(self.at[words.trains[self.tokens]], minlength=len(code))
+        h, w = self.hashes[self.history], self.words[self.word]
+        mixed = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + w
+        self.gram_hashes = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         # One partition for each fair share of a quarter of a partition's tokens.
         self.salts = np.maximum(1, self.seen * 4 * words.groups // max(1, unigrams.tokens))
-        h, w = self.hashes[self.history], self.hashes[self.word]
         salt = (w >> np.uint64(20)) % self.salts[self.history].astype(np.uint64)
         self.group = (((h >> np.uint64(7)) + salt) % np.uint64(words.groups)).astype(np.int64)
         self.order = np.argsort(self.group, kind="stable")
         self.edges = np.nonzero(np.diff(self.group[self.order], prepend=-1))[0].tolist()
 
+    def lower(self, words: Words) -> np.ndarray:
+        """Place of each n-gram without its first word: a word, or an n-gram of the level below."""
+        if self.below is None:
+            return self.word
+        at = np.full(len(words.at), -1)
+        at[self.below.tokens] = self.below.at
+        return at[self.first]
+
     def parts(self):
-        """(partition, places of its pairs)."""
+        """(partition, places of its n-grams)."""
         for a, b in zip(self.edges, [*self.edges[1:], len(self.order)]):
             yield int(self.group[self.order[a]]), self.order[a:b]
 
-    def blob(self, part: np.ndarray) -> bytes:
+    def blob(self, part: np.ndarray, below: np.ndarray) -> bytes:
+        """``below`` tells the chance on the level below: for pairs the counts of the words, else the chance of each n-gram, which is
+        needed only where training documents hold it."""
         h, runs = np.unique(self.history[part], return_counts=True)
         w, at = np.unique(self.word[part], return_inverse=True)
+        told = squeezed(below[w], "<u8") if self.below is None else squeezed(below[part][self.local[part] > 0], "<f8")
         return joined(self.hashes[h].astype("<u8").tobytes(), squeezed(self.salts[h] > 1, "<u1"), squeezed(runs, "<u4"),
-                      self.hashes[w].astype("<u8").tobytes(), squeezed(self.seen[w], "<u8"), squeezed(at, "<u4"), squeezed(self.local[part], "<u4"))
+                      self.words[w].astype("<u8").tobytes(), told, squeezed(at, "<u4"), squeezed(self.local[part], "<u4"))
 
 
 def count_words(blobs: list[bytes]) -> tuple[list[bytes], bytes]:
@@ -164,20 +195,27 @@ def count_words(blobs: list[bytes]) -> tuple[list[bytes], bytes]:
     return [joined(squeezed(p, "<u8")) for p in parts], stats.tobytes()
 
 
-def count_pairs(blobs: list[bytes], unigrams: Unigrams) -> tuple[list[bytes], bytes]:
-    """For each blob: counts of its pairs; per history how many successors were seen r times, and their unigram mass where the blob
-    has a pair never seen. Then pairs seen r times, and the same per history that is spread over partitions."""
-    got = [opened(b, "<U8", "<u1", "<u4", "<U8", "<u8", "<u4", "<u4") for b in blobs]
+def count_grams(blobs: list[bytes], unigrams: Unigrams, level: int) -> tuple[list[bytes], bytes]:
+    """For each blob: counts of its n-grams; per history how many successors were seen r times, and their mass on the level below where the
+    blob has an n-gram never seen. Then n-grams seen r times, and the same per history that is spread over partitions."""
+    got = [opened(b, "<U8", "<u1", "<u4", "<U8", "<u8" if level == 2 else "<f8", "<u4", "<u4") for b in blobs]
     names, history = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
     spread = np.zeros(len(names), bool)
     spread[history] = np.concatenate([g[1] for g in got]).astype(bool)
     by_blob = np.split(history, np.cumsum([len(g[0]) for g in got])[:-1])
     rows = np.concatenate([np.repeat(h, g[2]) for h, g in zip(by_blob, got)])
     word = np.concatenate([g[3][g[5]] for g in got])
+    local = np.concatenate([g[6] for g in got])
+    chance = np.zeros(len(word))
+    if level == 2:
+        chance = unigrams.chance(np.concatenate([g[4][g[5]] for g in got]).astype(np.int64))
+    else:
+        chance[local > 0] = np.concatenate([g[4] for g in got])
     mix = (rows.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
     _, first, at = np.unique((mix ^ (mix >> np.uint64(29))) + word, return_index=True, return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate([g[6] for g in got])).astype(np.int64)
-    mass = unigrams.chance(np.concatenate([g[4][g[5]] for g in got])[first].astype(np.int64))
+    total = np.bincount(at, weights=local).astype(np.int64)
+    mass = np.zeros(len(first))
+    mass[at[local > 0]] = chance[local > 0]  # alike wherever it was worked out
     owner, seen = rows[first], total > 0
     of = np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1:K + 2]
     times = np.stack([np.bincount(owner[total == r], minlength=len(names)) for r in range(1, K + 1)], axis=1)
@@ -193,26 +231,55 @@ def count_pairs(blobs: list[bytes], unigrams: Unigrams) -> tuple[list[bytes], by
     return replies, stats
 
 
-def pair_scores(pairs: Pairs, replies: dict[int, bytes], unigrams: Unigrams, factor: np.ndarray, spread: dict[int, np.ndarray]) -> np.ndarray:
-    """log10 probability of each pair's word after its history."""
-    n = len(pairs.history)
-    total, times, mass = np.zeros(n, np.int64), np.zeros((len(pairs.hashes), K)), np.zeros(len(pairs.hashes))
-    for group, part in pairs.parts():
+@dataclass
+class Level:
+    """What all partitions of a level said: discount factors, and the histories that are spread over partitions."""
+
+    factor: np.ndarray
+    spread: dict[int, np.ndarray]
+
+
+def gram_chances(grams: Grams, replies: dict[int, bytes], lower: np.ndarray, level: Level) -> tuple[np.ndarray, np.ndarray]:
+    """(count, probability after its history) of each n-gram; ``lower`` is the probability of each on the level below."""
+    n = len(grams.history)
+    total, times, mass = np.zeros(n, np.int64), np.zeros((len(grams.hashes), K)), np.zeros(len(grams.hashes))
+    for group, part in grams.parts():
         mine, seen, wanted, sums = opened(replies[group], "<u8", "<u8", "<u1", "<F8")
         total[part] = mine
-        h = np.unique(pairs.history[part])
+        h = np.unique(grams.history[part])
         times[h] = seen.reshape(K, len(h)).T
         mass[h[wanted.astype(bool)]] = sums
-    for h in np.nonzero(pairs.salts > 1)[0].tolist():
-        if (whole := spread.get(int(pairs.hashes[h]))) is not None:
+    for h in np.nonzero(grams.salts > 1)[0].tolist():
+        if (whole := level.spread.get(int(grams.hashes[h]))) is not None:
             times[h], mass[h] = whole[:K], whole[K]
-    left = times @ ((1 - factor[1:K + 1]) * np.arange(1, K + 1))
-    whole = np.where(left > 0, pairs.seen, pairs.seen + 1)
+    left = times @ ((1 - level.factor[1:K + 1]) * np.arange(1, K + 1))
+    whole = np.where(left > 0, grams.seen, grams.seen + 1)
     left = np.where(left > 0, left, 1.0) / np.maximum(whole, 1)
-    weight = np.where(pairs.seen > 0, left / np.maximum(1 - mass, 1e-12), 1.0)
-    lower = unigrams.chance(pairs.seen[pairs.word])
-    direct = factor[np.minimum(total, K + 1)] * total / np.maximum(whole[pairs.history], 1)
-    return np.log10(np.where(total > 0, direct, weight[pairs.history] * lower))
+    weight = np.where(grams.seen > 0, left / np.maximum(1 - mass, 1e-12), 1.0)
+    direct = level.factor[np.minimum(total, K + 1)] * total / np.maximum(whole[grams.history], 1)
+    return total, np.where(total > 0, direct, weight[grams.history] * lower)
+
+
+class Ladder:
+    """The levels of a chunk, from words up to the n-grams that have been counted: (n-grams, count, probability) each."""
+
+    def __init__(self, words: Words, counts: np.ndarray, unigrams: Unigrams):
+        self.words, self.unigrams, self.counts = words, unigrams, counts
+        self.grams: Grams | None = None
+        self.seen, self.chance = counts, unigrams.chance(counts)
+        #: Probability of every token on the highest level that it has.
+        self.tokens = self.chance[words.at] if len(words.at) else np.zeros(0)
+
+    def next(self) -> tuple[Grams, np.ndarray]:
+        """The n-grams of the level above, and the probability of each without its first word."""
+        above = Grams(self.words, self.grams, self.seen, self.unigrams)
+        return above, self.chance[above.lower(self.words)]
+
+    def up(self, replies: dict[int, bytes], level: Level) -> None:
+        above, lower = self.next()
+        self.seen, self.chance = gram_chances(above, replies, lower, level)
+        self.grams = above
+        self.tokens[above.tokens] = self.chance[above.at]
 
 
 def _replied(table: pa.Table, answers: tuple[list[bytes], bytes], offset: int) -> pa.Table:
@@ -221,7 +288,7 @@ def _replied(table: pa.Table, answers: tuple[list[bytes], bytes], offset: int) -
     return pa.table([pa.array([*buckets, -1], pa.int64()), pa.array([*table["chunk"].to_pylist(), -1], pa.int64()), pa.array([*replies, stats], pa.binary())], NAMES)
 
 
-def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", group: int = GROUP_TOKENS, least: int = LEAST_GROUPS) -> DataFrame:
+def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", order: int = ORDER, group: int = GROUP_TOKENS, least: int = LEAST_GROUPS) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) per document; scores are log10 probabilities of the text."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -272,46 +339,50 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", group: int
                 writer.write_batch(piece)
             yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([chunk]), pa.array([squeeze.compress(sink.getvalue())], pa.binary())], NAMES)
 
-    def reopened(table: pa.Table):
+    def reopened(table: pa.Table) -> tuple[pa.RecordBatch, Ladder]:
+        """A chunk with all levels that have been counted."""
         blobs = dict(zip(table["bucket"].to_pylist(), table["blob"].to_pylist()))
         piece = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blobs.pop(-1))).read_all().combine_chunks()
         words = found(piece, WordHashes())
-        counts = words.counts({b: v for b, v in blobs.items() if b < groups})
-        return piece, words, counts, {b - groups: v for b, v in blobs.items() if b >= groups}
-
-    def pairs_sent(table: pa.Table) -> pa.Table:
-        chunk = table["chunk"][0].as_py()
-        _, words, counts, _ = reopened(table)
-        pairs = Pairs(words, counts, unigrams)
-        made = [(g, pairs.blob(part)) for g, part in pairs.parts()]
-        return pa.table([pa.array([m[0] for m in made], pa.int64()), pa.array([chunk] * len(made), pa.int64()), pa.array([m[1] for m in made], pa.binary())], NAMES)
-
-    def pairs_counted(table: pa.Table) -> pa.Table:
-        return _replied(table, count_pairs(table["blob"].to_pylist(), unigrams), groups)
-
-    texts = slim.mapInArrow(whole, SCHEMA)
-    word_replies = word_table.where("chunk >= 0")
-    pair_table = cut_lineage(
-        texts.union(word_replies).groupBy("chunk").applyInArrow(pairs_sent, SCHEMA).groupBy("bucket").applyInArrow(pairs_counted, SCHEMA))
-    of, spread = np.zeros(K + 2, np.int64), {}
-    # One row for each partition; spread histories are at most four for each.
-    for (blob,) in pair_table.where("chunk = -1").select("blob").collect():
-        n, names, times, mass = opened(blob, "<I8", "<U8", "<I8", "<F8")
-        of[1:] += n
-        for h, t, m in zip(names.tolist(), times.reshape(-1, K), mass.tolist()):
-            spread[h] = spread.get(h, np.zeros(K + 1)) + np.append(t, m)
-    factor = discounts(of)
+        said = lambda n: {b % groups: v for b, v in blobs.items() if b // groups == n}
+        ladder = Ladder(words, words.counts(said(0)), unigrams)
+        for n, level in enumerate(levels, 1):
+            ladder.up(said(n), level)
+        return piece, ladder
+
+    replies, levels = slim.mapInArrow(whole, SCHEMA).union(word_table.where("chunk >= 0")), []
+    for n in range(2, order + 1):
+
+        def grams_sent(table: pa.Table) -> pa.Table:
+            chunk = table["chunk"][0].as_py()
+            _, ladder = reopened(table)
+            grams, lower = ladder.next()
+            made = [(g, grams.blob(part, ladder.counts if grams.below is None else lower)) for g, part in grams.parts()]
+            return pa.table([pa.array([m[0] for m in made], pa.int64()), pa.array([chunk] * len(made), pa.int64()), pa.array([m[1] for m in made], pa.binary())], NAMES)
+
+        def grams_counted(table: pa.Table) -> pa.Table:
+            return _replied(table, count_grams(table["blob"].to_pylist(), unigrams, n), groups * (n - 1))
+
+        counted = cut_lineage(replies.groupBy("chunk").applyInArrow(grams_sent, SCHEMA).groupBy("bucket").applyInArrow(grams_counted, SCHEMA))
+        of, spread = np.zeros(K + 2, np.int64), {}
+        # One row for each partition; spread histories are at most four for each.
+        for (blob,) in counted.where("chunk = -1").select("blob").collect():
+            times_seen, names, times, mass = opened(blob, "<I8", "<U8", "<I8", "<F8")
+            of[1:] += times_seen
+            for h, t, m in zip(names.tolist(), times.reshape(-1, K), mass.tolist()):
+                spread[h] = spread.get(h, np.zeros(K + 1)) + np.append(t, m)
+        levels = [*levels, Level(discounts(of), spread)]
+        replies = replies.union(counted.where("chunk >= 0"))
 
     def scored(table: pa.Table) -> pa.Table:
-        piece, words, counts, replies = reopened(table)
-        pairs = Pairs(words, counts, unigrams)
-        score = pair_scores(pairs, replies, unigrams, factor, spread)
-        seen = counts[words.at]
+        piece, ladder = reopened(table)
+        words = ladder.words
+        seen = ladder.counts[words.at]
         add = lambda x: pa.array(np.add.reduceat(x, words.first) if len(words.first) else x)
         n = len(words.sizes)
         return pa.table([
             piece["key"], piece["held"], pa.array(words.sizes), add((seen > 0).astype(np.int64)), pa.array(np.full(n, unigrams.tokens)),
-            add(unigrams.base(seen)), add(score[pairs.at])], [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            add(unigrams.base(seen)), add(np.log10(ladder.tokens))], [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return texts.union(word_replies).union(pair_table.where("chunk >= 0")).groupBy("chunk").applyInArrow(
+    return replies.groupBy("chunk").applyInArrow(
         scored, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

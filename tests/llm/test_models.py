@@ -14,44 +14,50 @@ FOLDER = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def brute_katz(rows):
+def brute_katz(rows, order=katz.ORDER):
     """rows: (id, text); {id: (held, n_tokens, n_known, train_tokens, base, score)} by the definitions, with plain dictionaries."""
     split = [(i, [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(t or "")] + [None]) for i, t in rows]
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1 for i, _ in split]
-    uni, pairs, first = collections.Counter(), collections.Counter(), 0
+    # Histories are tuples of the n - 1 symbols before a word, of which 0 stands before the text.
+    seen = [collections.Counter() for _ in range(order + 1)]
     for (_, w), h in zip(split, held):
-        if not h:
-            uni.update(w)
-            pairs.update(zip([0, *w[:-1]], w))
-            first += 1
-    n = sum(uni.values())
-    factor = lambda counter: katz.discounts(np.array([0, *[sum(c == r for c in counter.values()) for r in range(1, katz.K + 2)]]))
-    du, dp = factor(uni), factor(pairs)
+        for p, x in enumerate(w) if not h else ():
+            for n in range(1, min(order, p + 2) + 1):
+                seen[n][(*[0, *w][p + 2 - n:p + 1], x)] += 1
+    total = sum(seen[1].values())
+    factor = [None] + [katz.discounts(np.array([0, *[sum(c == r for c in s.values()) for r in range(1, katz.K + 2)]])) for s in seen[1:]]
     cut = lambda c: min(c, katz.K + 1)
-    left = sum((1 - du[cut(c)]) * c for c in uni.values())
-    whole = n if left > 0 else n + 1
-    unknown = (left or 1) / whole
-    low = lambda w: du[cut(uni[w])] * uni[w] / whole if uni[w] else unknown
-    after = collections.defaultdict(list)
-    for (a, b), c in pairs.items():
-        after[a].append((b, c))
-    count = lambda a: first if a == 0 else uni[a]
-
-    def chance(a, b):
-        if not count(a):
-            return low(b)
-        rest = sum((1 - dp[cut(c)]) * c for _, c in after[a])
-        total = count(a) if rest > 0 else count(a) + 1
-        if pairs[a, b]:
-            return dp[cut(pairs[a, b])] * pairs[a, b] / total
-        return (rest or 1) / total / (1 - sum(low(w) for w, _ in after[a])) * low(b)
+    after = [collections.defaultdict(list) for _ in seen]
+    for n in range(2, order + 1):
+        for g, c in seen[n].items():
+            after[n][g[:-1]].append((g[-1], c))
+    left = sum((1 - factor[1][cut(c)]) * c for c in seen[1].values())
+    whole = total if left > 0 else total + 1
+    weights = {}
+
+    def chance(g):
+        n, c = len(g), seen[len(g)][g]
+        if n == 1:
+            return factor[1][cut(c)] * c / whole if c else (left or 1) / whole
+        h = g[:-1]
+        if not after[n][h]:
+            return chance(g[1:])
+        count = sum(x for _, x in after[n][h])
+        rest = sum((1 - factor[n][cut(x)]) * x for _, x in after[n][h])
+        size = count if rest > 0 else count + 1
+        if c:
+            return factor[n][cut(c)] * c / size
+        if h not in weights:
+            weights[h] = (rest or 1) / size / (1 - sum(chance((*g[1:-1], w)) for w, _ in after[n][h]))
+        return weights[h] * chance(g[1:])
 
     out = {}
     for (i, w), h in zip(split, held):
-        base = sum(math.log10((uni[x] + 0.5) / (n + 0.5 * (len(uni) + 1))) for x in w)
-        out[i] = (h, len(w), sum(uni[x] > 0 for x in w), n, base, sum(math.log10(chance(a, b)) for a, b in zip([0, *w[:-1]], w)))
-    sums = {a: sum(chance(a, b) for b in [*uni, "never seen"]) for a in list(after)[:40]}
-    return out, sums
+        base = sum(math.log10((seen[1][x,] + 0.5) / (total + 0.5 * (len(seen[1]) + 1))) for x in w)
+        score = sum(math.log10(chance((*[0, *w][max(0, p + 2 - order):p + 1], x))) for p, x in enumerate(w))
+        out[i] = (h, len(w), sum(seen[1][x,] > 0 for x in w), total, base, score)
+    some = [h for n in range(2, order + 1) for h in list(after[n])[:30]]
+    return out, {h: sum(chance((*h, w)) for (w,) in [*seen[1], ("never seen",)]) for h in some}
 
 
 def close(got, want):
@@ -70,12 +76,15 @@ def test_katz_of_the_table(spark):
     assert sum(s for _, s in lost) > sum(b for b, _ in lost)
 
 
-def test_katz_spread_histories_and_edges(spark):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_orders_spread_histories_and_edges(spark, order):
     rows = [(i, "the the the " + " ".join(f"the w{(i * k) % 17}" for k in range(20))) for i in range(40)] + [(50, None), (51, ""), (None, "The end"), (53, "all new here")]
     df = spark.createDataFrame([(i, t, True, 1) for i, t in rows], "doc_id long, text string, held boolean, key int")
-    got = {r[0]: tuple(r)[1:] for r in katz.scores(df, least=16, group=10).collect()}
-    close(got, brute_katz(rows)[0])
-    assert katz.scores(df.limit(0)).count() == 0
+    got = {r[0]: tuple(r)[1:] for r in katz.scores(df, order=order, least=16, group=10).collect()}
+    want, sums = brute_katz(rows, order)
+    close(got, want)
+    assert all(s == pytest.approx(1, abs=1e-9) for s in sums.values()) and (sums or order == 1)
+    assert katz.scores(df.limit(0), order=order).count() == 0
 
 
 def test_blocks_round_trip():
