@@ -17,6 +17,7 @@ Null texts count as empty. Null ids come first; rows alike in id are ordered by
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from itertools import chain
@@ -33,7 +34,7 @@ BLOCK, PERCENTILE = 8192, 0.95
 SEGMENT_IDS = 1 << 19
 END_ID = 1
 #: Distinct words whose ids a Python worker keeps (about 175 bytes each).
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 1_500_000
 #: Words that go to the library as one line.
 LINE = 500
 #: Layouts of the heads of a payload and of a block.
@@ -140,6 +141,11 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         special = [(i, t.content) for i, t in self.library.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip)]
         self.mark = special[0] if special and not self.library.encode_special_tokens else None
+        self.apart = [t.content.lower().encode() for t in self.library.get_added_tokens_decoder().values()]
+        steps = json.loads(self.library.to_str())["normalizer"] or {}
+        steps = steps.get("normalizers", [steps])
+        self.folds = any(x.get("type") == "Lowercase" for x in steps) and all(
+            x.get("type") in ("NFC", "Lowercase") or x.get("pattern") == {"Regex": r"\s+"} for x in steps)
         self.reset()
 
     def reset(self):
@@ -147,6 +153,17 @@ class Encoder:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
+    def folded(self, text: bytes) -> bytes:
+        """A text with ASCII letters in lower case, if the library makes them so anyway: one word in place of two.
+
+        Left as they are: texts with the text of an added token, whose case counts, and those with combining marks (U+0300 to U+037F),
+        which may be composed with letters of one case only.
+        """
+        if not self.folds or b"\xcc" in text or b"\xcd" in text:
+            return text
+        low = text.lower()
+        return text if any(a in low for a in self.apart) else low
+
     def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of these words and the number of ids of each. Words travel in lines with a special token between them, at which the
         library parts a text before all else; that saves an object per word."""
@@ -180,7 +197,7 @@ class Encoder:
         """Ids of all texts, each closed by ``end``, and the length of each."""
         if len(self.place) > WORDS_KEPT:
             self.reset()
-        split = [t.encode().split() for t in texts]
+        split = [self.folded(t.encode()).split() for t in texts]
         counts = np.array([len(s) for s in split], np.int64)
         at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         self.learn()
