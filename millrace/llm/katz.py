@@ -158,7 +158,9 @@ class Grams:
         self.salts = np.maximum(1, self.seen * 4 * words.groups // max(1, unigrams.tokens))
         salt = (w >> np.uint64(20)) % self.salts[self.history].astype(np.uint64)
         self.group = (((h >> np.uint64(7)) + salt) % np.uint64(words.groups)).astype(np.int64)
-        self.order = np.argsort(self.group, kind="stable")
+        # A history that no training document holds has nothing to tell.
+        asked = np.flatnonzero(self.seen[self.history] > 0)
+        self.order = asked[np.argsort(self.group[asked], kind="stable")]
         self.edges = np.nonzero(np.diff(self.group[self.order], prepend=-1))[0].tolist()
 
     def lower(self, words: Words) -> np.ndarray:
