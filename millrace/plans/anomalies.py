@@ -150,10 +150,10 @@ def detect_gmm(t):
 @query("detect_kde", "X-KDE", """
 WITH z AS (SELECT c_custkey AS k, (c_acctbal - (SELECT avg(c_acctbal) FROM customer)) / (SELECT stddev_pop(c_acctbal) FROM customer) AS x FROM customer),
 s AS (SELECT a.k, -ln(avg(exp(-0.5 * (a.x - b.x) * (a.x - b.x))) / sqrt(2 * pi())) AS score FROM z a, z b GROUP BY a.k)
-SELECT k, round(score, 2) AS score, (score > (SELECT quantile_cont(score, 0.9) FROM s))::INTEGER AS label FROM s""")
+SELECT k, round(score, 6) AS score, (score > (SELECT quantile_cont(score, 0.9) FROM s))::INTEGER AS label FROM s""")
 def detect_kde(t):
     found = A.detect(t.customer.selectExpr("c_custkey AS k", "c_acctbal AS v"), ["k"], ["v"], ["KDE"])
-    return found.select("k", F.round("score", 2).alias("score"), "label")
+    return found.select("k", F.round("score", 6).alias("score"), "label")
 
 
 @query("detect_qmcd", "X-QMCD", _labelled("""e AS (SELECT min(x) lo, max(x) - min(x) w FROM z), u AS (SELECT k, (x - lo) / w AS u FROM z, e),

@@ -122,3 +122,16 @@ def test_rotation_over_all_triples(spark):
     assert all(got[r[0]] == pytest.approx(w, rel=1e-5) for r, w in zip(rows, total / 4))
     with pytest.raises(ValueError):
         MV.rod(df, ["k"], names[:2])
+
+
+def test_kernel_density_far_and_near(spark):
+    from millrace.operators import detectors as D
+
+    rng = random.Random(6)
+    xs = [rng.gauss(0, 1) for _ in range(300)] + [0.25] * 50 + [-40.0, 7.9, 8.1, 1000.0, 1000.3]
+    df = spark.createDataFrame(list(enumerate(xs)), "k long, x double")
+    for bandwidth in (1.0, 0.3):
+        got = scores(D.kde(df, ["k"], bandwidth))
+        for i, v in enumerate(xs):
+            total = sum(math.exp(-0.5 * ((v - w) / bandwidth) ** 2) for w in xs) / (len(xs) * bandwidth * math.sqrt(2 * math.pi))
+            assert got[i] == pytest.approx(-math.log(total), abs=1e-9)
