@@ -165,27 +165,11 @@ def stationarity(df: DataFrame, value: str, order_by: Sequence[str], series: Seq
 
 
 def _smoothed(train: DataFrame, series: Sequence[str], trend: bool, period: int) -> DataFrame:
-    """(series..., _level, _slope, _season, _v): the best smoothing of each series, as ``forecast.fit_smoothing`` finds it for one."""
-    sets = FC._weights(trend, period)
-    blocks = ordered.blocked(train, ["_at"], before=FC.WARM_UP + period, series=series)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ordered.POSITION)
-        pos, home = pdf[ordered.POSITION].to_numpy(), pdf[ordered.HOME].to_numpy(bool)
-        errors, level, slope, season = FC.smooth(pdf["_y"].to_numpy(), *sets.T, period, trend, int(pos[0]) % period if period else 0)
-        out = pd.DataFrame({c: pd.Series([pdf[c].iloc[0]] * len(sets), dtype=object) for c in series})
-        out["_i"], out["_sse"], out["_sum"], out["_n"] = np.arange(len(sets)), (errors[home] ** 2).sum(0), errors[home].sum(0), int(home.sum())
-        out["_last"], out["_level"], out["_slope"] = int(pos.max()), level, slope
-        out["_season"] = [list(map(float, s)) for s in season.T]
-        return out
-
-    rows = blocks.select(*series, ordered.BLOCK, ordered.POSITION, ordered.HOME, "_y").groupBy(*series, ordered.BLOCK).applyInPandas(
-        run, f"{_kinds(train, series)}, _i int, _sse double, _sum double, _n bigint, _last bigint, _level double, _slope double, _season array<double>")
-    each = rows.groupBy(*series, "_i").agg(
-        F.sum("_sse").alias("_sse"), F.sum("_sum").alias("_s"), F.sum("_n").alias("_n"), F.max_by(F.struct("_level", "_slope", "_season"), "_last").alias("_state"))
-    best = each.groupBy(*series).agg(F.min_by(F.struct("_sse", "_s", "_n", "_state"), F.struct("_sse", "_i")).alias("_b"))
-    var = F.col("_b._sse") / F.col("_b._n") - F.pow(F.col("_b._s") / F.col("_b._n"), 2)
-    return best.select(*series, "_b._state._level", "_b._state._slope", "_b._state._season", F.greatest(var, F.lit(0.0)).alias("_v"))
+    """(series..., _level, _slope, _season, _v): the best smoothing of each series."""
+    fitted = FC.fit_smoothing(train, series, trend, period)
+    slope = F.get("_state", F.lit(1)) if trend else F.lit(0.0)
+    return fitted.select(*series, F.get("_state", F.lit(0)).alias("_level"), slope.alias("_slope"),
+                         F.slice("_state", 2 + trend, max(period, 1)).alias("_season"), "_v")
 
 
 def forecast(df: DataFrame, value: str, order_by: Sequence[str], series: Sequence[str], steps: int = 10, method: str = "exponential_smoothing",

@@ -426,3 +426,28 @@ def segments_null_series(t):
     marks = sizes.select("event_type", F.explode(F.expr("sequence(0L, count - 1, 50L)")).alias("position")).where("position > 0")
     out = CP.segments(df, "value", KEY, marks, ["event_type"])
     return out.select("event_type", "segment", "start", "end", F.round("mean", 6).alias("mean"), "samples")
+
+
+def _smoothing_sql(alpha, beta, trend):
+    return f"""
+WITH RECURSIVE {HOURLY}, t AS (SELECT value AS y, row_number() OVER (ORDER BY ts) - 1 AS i, count(*) OVER () AS n FROM h), tr AS (SELECT * FROM t WHERE i < floor(n * 0.8)),
+b AS (SELECT min_by(y, i) AS y0, max_by(y, i) AS y1, count(*) AS n FROM tr),
+r(i, l, s, se, sq) AS (SELECT 0::BIGINT, y0, {"(y1 - y0) / (n - 1)" if trend else "0.0::DOUBLE"}, 0.0::DOUBLE, 0.0::DOUBLE FROM b
+ UNION ALL SELECT r.i + 1, l + s + {alpha} * (y - l - s), s + {alpha * beta} * (y - l - s), se + (y - l - s), sq + (y - l - s) * (y - l - s) FROM r JOIN tr ON tr.i = r.i),
+z AS (SELECT l, s, sqrt(sq / n - (se / n) * (se / n)) * 1.959963984540054 AS ci FROM r, b WHERE r.i = b.n)
+SELECT k::INTEGER AS step, round(l + k * s, 5) AS forecast, round(l + k * s - ci, 5) AS lower, round(l + k * s + ci, 5) AS upper FROM z, range(1, 11) u(k)"""
+
+
+def _given(t, weights, trend):
+    out = FC.forecast(hourly(t), "value", ["ts"], trend=trend, weights=weights)[0]
+    return out.select("step", *[F.round(c, 5).alias(c) for c in ("forecast", "lower", "upper")])
+
+
+@query("forecast_smoothing_given_weight", "T-12", _smoothing_sql(0.3, 0.0, False))
+def forecast_smoothing_given_weight(t):
+    return _given(t, (0.3,), False)
+
+
+@query("forecast_trend_given_weights", "T-12", _smoothing_sql(0.2, 0.1, True))
+def forecast_trend_given_weights(t):
+    return _given(t, (0.2, 0.1), True)

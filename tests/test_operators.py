@@ -275,17 +275,38 @@ def test_partial_autocorrelation_of_ar1(spark):
     assert out[1]["pacf"] == pytest.approx(0.7, abs=0.05) and abs(out[2]["pacf"]) < 0.06
 
 
-def test_smoothing_splits(spark, monkeypatch):
+def smoothed(y, alpha, beta, gamma, trend, period):
+    """(squared errors, state): additive smoothing, row by row."""
+    first = y[:max(period, 1)]
+    level, slope = sum(first) / len(first), (y[-1] - y[0]) / (len(y) - 1) if trend else 0.0
+    season, sse = [v - level for v in first] if period else [0.0], 0.0
+    for t, v in enumerate(y):
+        k = t % period if period else 0
+        e = v - (level + slope + season[k])
+        sse += e * e
+        level, slope = level + slope + alpha * e, slope + alpha * beta * e
+        season[k] += gamma * (1 - alpha) * e if period else 0.0
+    return sse, [level, *([slope] if trend else []), *(season if period else [])]
+
+
+@pytest.mark.parametrize("trend, period", [(False, 0), (True, 0), (True, 4)])
+def test_smoothing_is_exact_over_blocks_and_least(spark, monkeypatch, trend, period):
     rng = np.random.default_rng(10)
-    df = spark.createDataFrame(pd.DataFrame({"t": range(600), "y": rng.normal(size=600).cumsum() + 50}))
-    whole = [r["forecast"] for r in FC.forecast(df, "y", ["t"], 3)[0].orderBy("step").collect()]
-    monkeypatch.setattr(FC, "WARM_UP", 150)
-    spark.conf.set("millrace.rowsPerBucket", "200")
-    try:
-        split = [r["forecast"] for r in FC.forecast(df, "y", ["t"], 3)[0].orderBy("step").collect()]
-    finally:
-        spark.conf.unset("millrace.rowsPerBucket")
-    np.testing.assert_allclose(split, whole, rtol=1e-6)
+    y = rng.normal(size=300).cumsum() + 50 + np.arange(300) * 0.05 + np.tile([3, -1, 0, -2], 75) * (period > 0)
+    df = spark.createDataFrame(pd.DataFrame({"_at": range(300), "_y": y}))
+    rows = []
+    for size in (50_000, 37):
+        monkeypatch.setattr(FC, "BLOCK_ROWS", size)
+        rows.append(FC.fit_smoothing(df, [], trend, period).first())
+    assert rows[0]["_weights"] == pytest.approx(rows[1]["_weights"]) and rows[0]["_state"] == pytest.approx(rows[1]["_state"], rel=1e-9)
+    w = rows[0]["_weights"]
+    sse, state = smoothed(y.tolist(), *w, trend, period)
+    assert rows[0]["_state"] == pytest.approx(state, rel=1e-8)
+    for j in range(3):
+        for move in (-0.01, 0.01):
+            if w[j] and 0 < w[j] + move < 1:
+                other = [x + move * (i == j) for i, x in enumerate(w)]
+                assert smoothed(y.tolist(), *other, trend, period)[0] >= sse * (1 - 1e-6)
 
 
 def test_profile_equals_pandas(spark, spikes):
