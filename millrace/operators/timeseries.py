@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import StringType, TimestampNTZType
 
 from millrace import ordered
+from millrace.operators import arima
 from millrace.operators import missing as M
 from millrace.operators.profile import _micros, as_timestamp, is_date_column
 from millrace.operators.values import DATE_FORMATS, DATETIME_FORMATS
@@ -372,73 +373,14 @@ def stationarity(df: DataFrame, value: str, order_by: Sequence[str], diff_level:
 # --- autoregressive fit ---------------------------------------------------------------------
 
 
-def _regress(df: DataFrame, y: str, xs: Sequence[str], series: Sequence[str] = ()) -> list[float] | DataFrame:
-    """Ordinary least squares with a constant, from one aggregate of cross products.
-
-    The coefficients, or with ``series`` a table (series..., _b: coefficients).
-    """
-    names = ["1D", *[f"`{x}`" for x in xs]]
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    full = df.where(F.col(y).isNotNull()).dropna(subset=list(xs))
-    sums = full.groupBy(*series).agg(F.array(
-        *[F.expr(f"sum({a} * {b})") for a, b in pairs], *[F.expr(f"sum({a} * `{y}`)") for a in names]).alias("_s"))
-
-    def solve(s) -> list[float]:
-        g = np.zeros((len(names), len(names)))
-        for v, (a, b) in zip(s, pairs):
-            g[names.index(a), names.index(b)] = g[names.index(b), names.index(a)] = v
-        return [float(v) for v in np.linalg.pinv(g) @ np.array(s[len(pairs):])]
-
-    if not series:
-        return solve(sums.first()["_s"])
-
-    def run(batches):
-        for pdf in batches:
-            yield pdf.assign(_b=[solve(s) for s in pdf["_s"]]).drop(columns="_s")
-
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in series)
-    return sums.mapInPandas(run, f"{kinds}, _b array<double>")
-
-
 def arima_fit(df: DataFrame, value: str, order_by: Sequence[str], p: int = 1, d: int = 0, q: int = 0,
               series: Sequence[str] = ()) -> DataFrame:
-    """Add ``fitted``: in-sample one-step values of an ARIMA(p, d, q), fitted by two-stage least squares to each series.
+    """Add ``fitted``: in-sample one-step values of an ARIMA(p, d, q) with a constant, fitted to each series by conditional least squares.
 
-    Regression on lagged values, not a likelihood fit; moving-average terms use the residuals of a long
-    autoregression in place of the unseen shocks. Every step is lags and one aggregate, so a
-    long series is not walked through by one task.
+    Series are their known values in order. The first p + d of them, rows without a value, and series with no more values than
+    parameters get NULL.
     """
-    cols = list(df.columns)
-    data, y = df.withColumn("_y0", F.col(value).cast("double")), "_y0"
-    for i in range(d):
-        data = difference(data, f"_y{i}", order_by, series=series, name=f"_y{i + 1}")
-        y = f"_y{i + 1}"
-
-    def lags(table: DataFrame, source: str, n: int, tag: str) -> DataFrame:
-        return ordered.framed(table, order_by, lambda w: {f"_{tag}{k}": F.lag(source, k).over(w) for k in range(1, n + 1)}, before=n, series=series)
-
-    def predicted(table: DataFrame, source: str, names: Sequence[str], out: str) -> DataFrame:
-        """Add ``out``: the regression of ``source`` on the named columns."""
-        coefs = _regress(table, source, names, series)
-        if series:
-            table = ordered.by_series(table, coefs, series, "left")
-            coefs = [F.get("_b", F.lit(i)) for i in range(len(names) + 1)]
-        terms = [b * F.col(x) if series else F.lit(b) * F.col(x) for b, x in zip(coefs[1:], names)]
-        return table.withColumn(out, sum(terms, coefs[0] if series else F.lit(coefs[0]))).drop("_b")
-
-    xs = []
-    if q:
-        m = max(p, q) + 10
-        data = lags(data, y, m, "l")
-        long = [f"_l{k}" for k in range(1, m + 1)]
-        data = predicted(data, y, long, "_p").withColumn("_e", F.col(y) - F.col("_p")).drop(*long, "_p")
-        data = lags(data, "_e", q, "e")
-        xs += [f"_e{k}" for k in range(1, q + 1)]
-    if p:
-        data = lags(data, y, p, "a")
-        xs = [f"_a{k}" for k in range(1, p + 1)] + xs
-    data, hat = predicted(data, y, xs, "_hat"), F.col("_hat")
-    for i in range(d):  # back from differences to values
-        data = ordered.framed(data, order_by, lambda w, i=i: {f"_back{i}": F.lag(f"_y{i}").over(w)}, before=1, series=series)
-        hat = hat + F.col(f"_back{i}")
-    return data.select(*cols, hat.alias("fitted"))
+    placed, errors, _ = arima.fitted_errors(df, value, order_by, p, d, q, series)
+    by = list(series) or ["_all"]
+    out = ordered.by_series(placed, errors, [*by, "_at"], "left").select(*df.columns, (F.col(value).cast("double") - F.col("_e")).alias("fitted"))
+    return out.unionByName(df.where(F.col(value).isNull()).withColumn("fitted", F.lit(None).cast("double")))
