@@ -28,8 +28,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import ROW, TEXT, bounded_batches, carried, chunks
-from millrace.llm.substrings import WordHashes
+from millrace.llm.common import ROW, TEXT, WordHashes, bounded_batches, carried, chunks
 from millrace.session import cut_lineage
 
 K = 5

@@ -1,17 +1,24 @@
-"""Substring de-duplication by grouping of exact windows.
+"""Substring de-duplication by suffix trees over groups of word suffixes.
 
-This stands in for suffix trees: no suffix is ordered, no tree is built, and words are not compared where hashes agree (README,
-"Departures from the dealt methods"). A window starts at every word that has enough words after it. Windows are split into groups
-by a prefix: a 16-bit slot of the hash of five words, or the hash of the whole window where a slot holds more than fit one task;
-slots are packed together until a group is full. Within a group equal windows are found by sorting; all but the earliest mark the
-words under them. Marked windows that touch or overlap are removed as one stretch, whichever documents they repeat.
+A suffix starts at every word that has a window of words from it on. A text loses the words under every window whose words started
+earlier too; those windows are the internal nodes of depth ``window`` of the suffix tree of all texts, so suffixes are kept to that
+depth. Three steps, between which documents travel in chunks, as codes of the chunk's own words:
 
-Windows are compared as 64-bit hashes of their words. Documents travel in chunks: a chunk sends each group the hash of each of its
-distinct windows (a window that repeats inside the chunk is sent once, its later places are marked on the spot, so a passage that
-a third of all documents share is one entry per chunk), gets marks back, and applies them to its texts.
+1. Filter. A suffix whose window hash occurs once has no such node above it. A chunk sends the short hashes of its distinct windows,
+   and hears which of them other chunks have as well. Equal windows always meet; windows that differ may, which step 2 settles.
+2. Trees. The suffixes left are dealt into groups by a prefix: one word, or 2, 5 or all words of the window where the shorter prefix
+   holds more suffixes than fit one task (counted beforehand over all documents); short prefixes share a group. A group has the words
+   of its suffixes, orders the suffixes and takes the common prefix lengths of neighbours: runs of length ``window`` are the deep nodes.
+   All suffixes below a node but the earliest are late.
+3. Marks. Late suffixes go back to their chunk, which removes the words under them. Documents without any suffix left after the
+   filter have their result by then and only pass.
+
+Words decide: windows that hash alike but differ are told apart, in a chunk and in a group. A window that repeats inside a chunk is
+sent once, its later places are marked on the spot, so a passage that a third of all documents share is one entry per chunk.
 
 Order is by id (null first), then place in the input. Null texts have no words. Texts shorter than a window keep all words.
-Repeated rows are documents of their own, of which all but the first lose whatever windows they have. An empty table gives an empty result.
+Repeated rows are documents of their own, of which all but the first lose whatever windows they have. An empty table gives an empty
+result. A chunk is about 4 MB of text or one longer text, which one task holds whole.
 """
 
 from __future__ import annotations
@@ -27,25 +34,60 @@ from pyspark.sql import DataFrame, functions as F
 
 from millrace.llm.common import NULL_ID, ROW, TEXT, bounded_batches, carried, chunks, received, shared_value
 
-WINDOW, PREFIX = 20, 5
-#: Suffixes that one task sorts at once (about 100 MB there), and the least number of groups.
+WINDOW = 20
+#: Lengths of the prefixes that split suffixes into groups; the window's length comes last.
+PREFIXES = (1, 2, 5)
+#: Suffixes that one task orders at once (about 300 MB there, if all pass the filter), and the least number of groups.
 GROUP_SUFFIXES, LEAST_GROUPS = 2_000_000, 64
-SLOTS = 1 << 16
+SLOTS = 1 << 14
 WORDS_KEPT = 200_000
+#: Bits of the hash that the filter compares within one of its groups.
+FILTER_BITS = 32
 FACTOR = 0xD6E8FEB86659FD93
 
 
-class WordHashes(dict):
-    """Hash of a word; the dictionary starts anew when it is full."""
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of integers, each in as few bytes as its largest value needs, compressed byte by byte place."""
+    head, body = [], []
+    for a in arrays:
+        a = a.astype(np.int64).view(np.uint64)
+        top = int(a.max()) if len(a) else 0
+        width = next(w for w in (1, 2, 4, 8) if top < 1 << 8 * w)
+        head.append(struct.pack("<IB", len(a), width))
+        body.append(a.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes())
+    return b"".join(head) + zstandard.ZstdCompressor(level=3).compress(b"".join(body))
+
+
+def unpacked(blob: bytes, n: int) -> list[np.ndarray]:
+    sizes = [struct.unpack_from("<IB", blob, 5 * i) for i in range(n)]
+    body, at, out = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[5 * n:]), np.uint8), 0, []
+    for size, width in sizes:
+        planes = body[at:at + size * width].reshape(width, size).T
+        out.append(np.ascontiguousarray(planes).view(f"<u{width}").ravel().astype(np.uint64).view(np.int64))
+        at += size * width
+    return out
+
+
+def framed(*blobs: bytes) -> bytes:
+    return struct.pack(f"<{len(blobs)}I", *map(len, blobs)) + b"".join(blobs)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, 1)
-        return value
 
-    def of(self, found: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
+def unframed(blob: bytes, n: int) -> list[bytes]:
+    ends = np.cumsum([4 * n, *struct.unpack_from(f"<{n}I", blob)])
+    return [blob[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+
+def steps(values: np.ndarray) -> np.ndarray:
+    """Differences that ``np.cumsum`` undoes."""
+    return np.diff(values, prepend=values.dtype.type(0))
+
+
+class Vocabulary(dict):
+    """A number for each word, in order of arrival."""
+
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self)
+        return at
 
 
 def rolled(values: np.ndarray, size: int) -> np.ndarray:
@@ -63,181 +105,297 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-class Windows:
-    """All windows of a chunk in order of (id, place, word)."""
+class Words:
+    """Words of documents, in order of (id, place in the input), as codes of their vocabulary (commonest first)."""
 
-    def __init__(self, keys: np.ndarray, texts: list[str | None], hashes: WordHashes, window: int, keep_words: bool = False):
-        self.order = np.argsort(keys, kind="stable")
-        self.keys = keys[self.order]
-        self.words, parts = [], []
-        for i in self.order.tolist():
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, vocabulary: list[bytes], codes: np.ndarray):
+        self.keys, self.counts, self.vocabulary, self.codes = keys, counts, vocabulary, codes
+        self.base = np.cumsum(counts) - counts
+
+    @classmethod
+    def read(cls, keys: np.ndarray, texts: list[str | None], known: Vocabulary) -> Words:
+        order = np.argsort(keys, kind="stable")
+        if len(known) > WORDS_KEPT:
+            known.clear()
+        parts = []
+        for i in order.tolist():
             found = (texts[i] or "").encode().split()
-            parts.append(hashes.of(found))
-            if keep_words:
-                self.words.append(found)
-        self.counts = np.array([len(p) for p in parts], np.int64)
-        ids = np.concatenate([*parts, np.zeros(0, np.uint64)])
-        ends = np.cumsum(self.counts)
+            parts.append(np.fromiter(map(known.__getitem__, found), np.int64, len(found)))
+        ids = np.concatenate([*parts, np.zeros(0, np.int64)])
+        often = np.bincount(ids, minlength=len(known))
+        ranks = np.argsort(-often, kind="stable")[:np.count_nonzero(often)]
+        code = np.zeros(len(known), np.int64)
+        code[ranks] = np.arange(len(ranks))
+        names = list(known)
+        return cls(keys[order], np.array([len(p) for p in parts], np.int64), [names[i] for i in ranks.tolist()], code[ids])
+
+    def pack(self) -> bytes:
+        names = zstandard.ZstdCompressor(level=3).compress(b"\n".join(self.vocabulary))
+        return framed(names, packed(steps(self.keys), self.counts, self.codes))
+
+    @classmethod
+    def unpack(cls, blob: bytes) -> Words:
+        names, rest = unframed(blob, 2)
+        keys, counts, codes = unpacked(rest, 3)
+        return cls(np.cumsum(keys), counts, zstandard.ZstdDecompressor().decompress(names).split(), codes)
+
+    def hashes(self) -> np.ndarray:
+        table = np.fromiter((xxhash.xxh64_intdigest(w, 1) for w in self.vocabulary), np.uint64, len(self.vocabulary))
+        return table[self.codes]
+
+    def starts(self, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places at which a window starts, and the document of each."""
         fit = np.maximum(self.counts - window + 1, 0)
-        self.doc = np.repeat(np.arange(len(parts)), fit)
-        self.start = np.arange(len(self.doc)) + np.repeat(ends - self.counts - (np.cumsum(fit) - fit), fit)
-        deep = _mixed(rolled(ids, window))[self.start] if len(self.start) else np.zeros(0, np.uint64)
-        _, first = np.unique(deep, return_index=True)
-        self.sent = np.sort(first)  # the first place of each distinct window
-        self.deep = deep[self.sent]
-        prefix = _mixed(rolled(ids, min(PREFIX, window)))
-        self.slot = (prefix[self.start[self.sent]] >> np.uint64(48)).astype(np.int64) if len(self.start) else np.zeros(0, np.int64)
-
-
-class Plan:
-    """Group of every prefix slot, and the number of groups over which a crowded slot is split by the whole window."""
-
-    def __init__(self, counts: np.ndarray, group: int, least: int):
-        group = max(1, min(group, -(-int(counts.sum()) // least)))
-        self.base, self.parts = np.zeros(SLOTS, np.int64), np.ones(SLOTS, np.int64)
-        at = filled = 0
-        for slot, n in enumerate(counts.tolist()):
-            if n > group:
-                if filled:
-                    at, filled = at + 1, 0
-                self.base[slot], self.parts[slot] = at, -(-n // group)
-                at += int(self.parts[slot])
-            else:
-                if filled + n > group:
-                    at, filled = at + 1, 0
-                self.base[slot], filled = at, filled + n
-
-    def groups(self, slot: np.ndarray, deep: np.ndarray) -> np.ndarray:
-        return self.base[slot] + (deep % self.parts[slot].astype(np.uint64)).astype(np.int64)
-
-
-def _packed(deep: np.ndarray, doc: np.ndarray, keys: np.ndarray) -> bytes:
-    """Window hashes with the id of each one's document (documents ascend)."""
-    used, at = np.unique(doc, return_inverse=True)
-    small = zstandard.ZstdCompressor(level=1).compress(
-        np.diff(at, prepend=0).astype("<u4").tobytes() + np.diff(keys[used], prepend=0).astype("<i8").tobytes())
-    return struct.pack("<II", len(deep), len(used)) + deep.astype("<u8").tobytes() + small
-
-
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, used = struct.unpack_from("<II", blob)
-    rest = zstandard.ZstdDecompressor().decompress(blob[8 + 8 * n:])
-    keys = np.cumsum(np.frombuffer(rest, "<i8", used, 4 * n))
-    return np.frombuffer(blob, "<u8", n, 8), keys[np.cumsum(np.frombuffer(rest, "<u4", n))]
-
-
-def repeated(blobs: list[bytes], places: np.ndarray) -> list[np.ndarray]:
-    """Which entries of each blob equal an earlier entry; ``places`` orders blobs alike in id."""
-    opened = [_unpacked(b) for b in blobs]
-    deep = np.concatenate([o[0] for o in opened])
-    order = np.argsort(deep)
-    path = deep[order]
-    same = path[1:] == path[:-1]
-    inner = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    at = order[inner]
-    keys = np.concatenate([o[1] for o in opened])[at]
-    place = np.repeat(places, [len(o[0]) for o in opened])[at]
-    by = np.lexsort((place, keys, deep[at]))
-    path = deep[at][by]
-    late = np.concatenate([[False], path[1:] == path[:-1]]) if len(path) else np.zeros(0, bool)
-    out = np.zeros(len(deep), bool)
-    out[at[by]] = late
-    return np.split(out, np.cumsum([len(o[0]) for o in opened])[:-1])
+        doc = np.repeat(np.arange(len(self.counts)), fit)
+        return np.arange(len(doc)) + np.repeat(self.base - (np.cumsum(fit) - fit), fit), doc
+
+    def of(self, docs: np.ndarray) -> Words:
+        """The documents that ``docs`` marks; the vocabulary stays."""
+        return Words(self.keys[docs], self.counts[docs], self.vocabulary, self.codes[np.repeat(docs, self.counts)])
+
+    def results(self, gone: np.ndarray | None, texts: bool) -> pa.Table:
+        names, rows = np.array([*self.vocabulary, b""], object)[:-1], []
+        for at, n in zip(self.base.tolist(), self.counts.tolist()):
+            codes = self.codes[at:at + n]
+            out = np.zeros(n, bool) if gone is None else gone[at:at + n]
+            kept = b" ".join(names[codes[~out]].tolist())
+            row = (n, int(out.sum()), hashlib.sha256(kept).hexdigest())
+            if texts:
+                turns = np.flatnonzero(np.diff(np.concatenate([[0], out.astype(np.int8), [0]])))
+                row += (kept.decode(), [[int(a), int(b - a)] for a, b in zip(turns[::2], turns[1::2])])
+            rows.append(row)
+        kinds = [pa.int64(), pa.int64(), pa.string(), *([pa.string(), pa.list_(pa.list_(pa.int64()))] if texts else [])]
+        columns = list(zip(*rows)) if rows else [[] for _ in kinds]
+        keys = pa.array(self.keys, mask=self.keys == NULL_ID)
+        return pa.table([keys, *[pa.array(c, k) for c, k in zip(columns, kinds)]], [f"c{i}" for i in range(len(kinds) + 1)])
+
+
+class Prefixes:
+    """Prefix slots of suffixes by prefix length, and the group of each suffix."""
+
+    def __init__(self, window: int):
+        self.lengths = [*[n for n in PREFIXES if n < window], window]
+
+    def slots(self, hashes: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+        """Mixed hash of the prefix of each length; its lowest bits are the slot."""
+        return [_mixed(rolled(hashes, n))[at] if len(at) else np.zeros(0, np.uint64) for n in self.lengths]
+
+    def plan(self, counts: np.ndarray, group: int, least: int) -> None:
+        """``counts``: suffixes by (length, slot). A slot holds a group, shares one, or is left to the next length; at the last
+        length it is split by the whole window."""
+        total = int(counts[0].sum())
+        group = max(1, min(group, -(-total // least)))
+        self.filters = max(1, -(-total // group))
+        self.base = np.full(counts.shape, -1, np.int64)
+        self.parts = np.ones(SLOTS, np.uint64)
+        at = 0
+        for level, row in enumerate(counts):
+            filled = 0
+            for slot, n in enumerate(row.tolist()):
+                if n <= group:
+                    if filled + n > group:
+                        at, filled = at + 1, 0
+                    self.base[level, slot], filled = at, filled + n
+            at += 1
+        for slot in np.flatnonzero(self.base[-1] < 0).tolist():
+            self.base[-1, slot], self.parts[slot] = at, -(-int(counts[-1, slot]) // group)
+            at += int(self.parts[slot])
+
+    def groups(self, slots: list[np.ndarray]) -> np.ndarray:
+        out = np.full(len(slots[0]), -1, np.int64)
+        for base, prefix in zip(self.base, slots):
+            out = np.where(out < 0, base[(prefix % np.uint64(SLOTS)).astype(np.int64)], out)
+        last = slots[-1] % np.uint64(SLOTS)
+        split = (out == self.base[-1][last.astype(np.int64)]) * (slots[-1] // np.uint64(SLOTS) % self.parts[last.astype(np.int64)])
+        return out + split.astype(np.int64)
+
+    def names(self, deep: np.ndarray, bits: int) -> np.ndarray:
+        """(filter group, short hash) of each window as one number."""
+        return (deep % np.uint64(self.filters) << np.uint64(32)) | (deep >> np.uint64(64 - bits))
+
+
+def shared_names(blobs: list[bytes]) -> list[np.ndarray]:
+    """Which entries of each blob another blob has too; entries are distinct within a blob."""
+    parts = [np.cumsum(unpacked(b, 1)[0]) for b in blobs]
+    names = np.concatenate(parts)
+    order = np.argsort(names)
+    same = names[order][1:] == names[order][:-1]
+    out = np.zeros(len(names), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return np.split(out, np.cumsum([len(p) for p in parts])[:-1])
+
+
+def suffix_blob(words: Words, at: np.ndarray, doc: np.ndarray, window: int) -> bytes:
+    """Suffixes by place, with the ids of their documents and their words."""
+    paths = words.codes[at[:, None] + np.arange(window)]
+    used = np.flatnonzero(np.bincount(paths.ravel(), minlength=len(words.vocabulary)))
+    code = np.zeros(len(words.vocabulary), np.int64)
+    code[used] = np.arange(len(used))
+    names = zstandard.ZstdCompressor(level=3).compress(b"\n".join([words.vocabulary[i] for i in used.tolist()]))
+    docs, of = np.unique(doc, return_inverse=True)
+    return framed(names, packed(steps(at), steps(of), steps(words.keys[docs]), code[paths].ravel()))
+
+
+def tree_order(paths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in order of their words, and how many leading words each shares with the one before it."""
+    bits = max(1, (size - 1).bit_length())
+    each = max(1, 63 // bits)
+    sorted_by = []
+    for at in range(0, paths.shape[1], each):
+        part = np.zeros(len(paths), np.int64)
+        for column in paths[:, at:at + each].T:
+            part = part << bits | column
+        sorted_by.append(part)
+    order = np.lexsort(sorted_by[::-1])
+    depth, open_ = np.zeros(len(paths), np.int64), np.ones(max(0, len(paths) - 1), bool)
+    for column in paths.T:
+        ordered = column[order]
+        open_ &= ordered[1:] == ordered[:-1]
+        depth[1:] += open_
+    return order, depth
+
+
+def late_suffixes(blobs: list[bytes], places: np.ndarray, window: int) -> list[np.ndarray]:
+    """Places of the suffixes of each blob that are not the earliest below their node of depth ``window``;
+    ``places`` orders blobs alike in id."""
+    known, starts, keys, paths = Vocabulary(), [], [], []
+    for blob in blobs:
+        names, rest = unframed(blob, 2)
+        at, of, ids, codes = unpacked(rest, 4)
+        found = zstandard.ZstdDecompressor().decompress(names).split()
+        table = np.fromiter(map(known.__getitem__, found), np.int32, len(found))
+        starts.append(np.cumsum(at))
+        keys.append(np.cumsum(ids)[np.cumsum(of)])
+        paths.append(table[codes].reshape(-1, window))
+    sizes = [len(s) for s in starts]
+    order, depth = tree_order(np.concatenate(paths), len(known))
+    node = np.cumsum(depth < window)
+    by = np.lexsort((np.concatenate(starts)[order], np.repeat(places, sizes)[order], np.concatenate(keys)[order], node))
+    late = np.zeros(len(order), bool)
+    late[order[by]] = np.diff(node[by], prepend=0) == 0
+    return [s[m] for s, m in zip(starts, np.split(late, np.cumsum(sizes)[:-1]))]
 
 
 def deduplicated(
     docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, texts: bool = False,
-    group: int = GROUP_SUFFIXES, least: int = LEAST_GROUPS,
+    group: int = GROUP_SUFFIXES, least: int = LEAST_GROUPS, filter_bits: int = FILTER_BITS,
 ) -> DataFrame:
     """(key, n_words, n_removed, kept_sha256) per document; with ``texts`` also kept_text and spans, the
-    stretches removed as [first word, words]. Keys must be integers."""
+    stretches removed as [first word, words]; late windows that touch or overlap are one stretch. Keys must be integers."""
     spark = docs.sparkSession
     bounded_batches(spark)
     slim = carried(docs.select(*dict.fromkeys([key, text])), text).select(F.col(ROW)[key].cast("long").alias("key"), TEXT)
+    prefixes = Prefixes(window)
 
-    def opened(batches, hashes):
+    def opened(batches):
         from pyspark import TaskContext
 
-        chunk = TaskContext.get().partitionId() << 32
+        chunk, known = TaskContext.get().partitionId() << 32, Vocabulary()
         for batch in batches:
             for piece in chunks([batch], TEXT):
-                keys = piece["key"].fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-                yield chunk, piece, Windows(keys, piece[TEXT].to_pylist(), hashes, window)
+                yield chunk, Words.read(piece["key"].fill_null(NULL_ID).to_numpy(zero_copy_only=False), piece[TEXT].to_pylist(), known)
                 chunk += 1
 
     def counted(batches):
-        total = np.zeros(SLOTS, np.int64)
-        for _, _, found in opened(batches, WordHashes()):
-            total += np.bincount(found.slot, minlength=SLOTS)
-        at = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+        total = np.zeros((len(prefixes.lengths), SLOTS), np.int64)
+        for _, found in opened(batches):
+            for level, slots in enumerate(prefixes.slots(found.hashes(), found.starts(window)[0])):
+                total[level] += np.bincount((slots % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total.ravel()[at])], ["slot", "n"])
 
     sizes = slim.mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # a row per slot
-    counts = np.zeros(SLOTS, np.int64)
-    counts[sizes["slot"].to_numpy(np.int64)] = sizes["n"].to_numpy(np.int64)
-    plan = shared_value(spark, Plan(counts, group, least))
-    names = ["bucket", "chunk", "blob"]
+    counts = np.zeros((len(prefixes.lengths), SLOTS), np.int64)
+    counts.ravel()[sizes["slot"].to_numpy(np.int64)] = sizes["n"].to_numpy(np.int64)
+    prefixes.plan(counts, group, least)
+    plan = shared_value(spark, prefixes)
+    names, schema = ["bucket", "chunk", "blob"], "bucket long, chunk long, blob binary"
+    table_of = lambda rows, kind=pa.table: kind(
+        [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[], [], []], [pa.int64(), pa.int64(), pa.binary()])], names)
+
+    def named(words: Words, at: np.ndarray) -> np.ndarray:
+        deep = rolled(words.hashes(), window)
+        return received(plan).names(_mixed(deep[at]), filter_bits) if len(at) else np.zeros(0, np.uint64)
 
     def sent(batches):
-        squeeze, groups = zstandard.ZstdCompressor(level=3), received(plan).groups
-        for chunk, piece, found in opened(batches, WordHashes()):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, piece.schema) as writer:
-                writer.write_batch(piece)
-            buckets, blobs = [-1 - chunk], [squeeze.compress(sink.getvalue())]
-            of = groups(found.slot, found.deep)
-            by = np.argsort(of, kind="stable")
-            edges = np.nonzero(np.diff(of[by], prepend=-1))[0]
-            for part in np.split(by, edges[1:]) if len(by) else []:
-                buckets.append(int(of[part[0]]))
-                blobs.append(_packed(found.deep[part], found.doc[found.sent[part]], found.keys))
-            yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array([chunk] * len(blobs)), pa.array(blobs, pa.binary())], names)
-
-    def marked(table: pa.Table) -> pa.Table:
+        for chunk, words in opened(batches):
+            distinct = np.unique(named(words, words.starts(window)[0]))
+            groups = (distinct >> np.uint64(32)).astype(np.int64)
+            edges = np.flatnonzero(np.diff(groups, prepend=-1))
+            rows = [(-1 - chunk, chunk, words.pack())]
+            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(groups)]):
+                rows.append((int(groups[a]), chunk, packed(steps((distinct[a:b] & np.uint64(0xFFFFFFFF)).astype(np.int64)))))
+            yield table_of(rows, pa.RecordBatch.from_arrays)
+
+    def filtered(table: pa.Table) -> pa.Table:
         if table["bucket"][0].as_py() < 0:
             return table
-        chunk = table["chunk"].to_numpy()
-        marks = repeated(table["blob"].to_pylist(), chunk)
-        some = [i for i, m in enumerate(marks) if m.any()]
-        return pa.table([table["bucket"].take(pa.array(some, pa.int64())), table["chunk"].take(pa.array(some, pa.int64())),
-                         pa.array([np.packbits(marks[i]).tobytes() for i in some], pa.binary())], names)
+        marks = shared_names(table["blob"].to_pylist())
+        rows = zip(table["bucket"].to_pylist(), table["chunk"].to_pylist(), marks)
+        return table_of([(b, c, packed(steps(np.flatnonzero(m)))) for b, c, m in rows if m.any()])
 
-    extra = [("kept_text", pa.string()), ("spans", pa.list_(pa.list_(pa.int64())))] if texts else []
-    out_names = [key, "n_words", "n_removed", "kept_sha256", *[e[0] for e in extra]]
+    def suffixes(table: pa.Table) -> pa.Table:
+        blobs = dict(zip(table["bucket"].to_pylist(), table["blob"].to_pylist()))
+        whole = min(blobs)
+        words = Words.unpack(blobs.pop(whole))
+        at, doc = words.starts(window)
+        distinct, first, same = np.unique(named(words, at), return_index=True, return_inverse=True)
+        held = np.zeros(len(distinct), bool)
+        edges = (distinct >> np.uint64(32)).astype(np.int64)
+        for bucket, marks in blobs.items():
+            held[np.searchsorted(edges, bucket) + np.cumsum(unpacked(marks, 1)[0])] = True
+        again = np.flatnonzero(first[same] != np.arange(len(at)))
+        mine = np.ones(len(again), bool)  # places whose words are those of the first place with that hash
+        for k in range(window):
+            mine &= words.codes[at[again] + k] == words.codes[at[first[same[again]]] + k]
+        stray = again[~mine]
+        held[same[stray]] = True
+        out = np.zeros(len(at), bool)
+        out[first[held]] = True
+        out[stray] = True
+        touched = np.zeros(len(words.counts), bool)
+        touched[doc[out]] = touched[doc[again]] = True
+        done, rest = words.of(~touched), words.of(touched)
+        sink = pa.BufferOutputStream()
+        result = done.results(None, texts)
+        with pa.ipc.new_stream(sink, result.schema) as writer:
+            writer.write_table(result)
+        chunk = -1 - whole
+        moved = np.cumsum(np.where(touched, words.counts, 0)) - words.counts - words.base
+        local = (at + moved[doc])[again[mine]]
+        done_blob = zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
+        rows = [(whole, chunk, framed(done_blob, packed(steps(local)), rest.pack()))]
+        sends, of = (at + moved[doc])[out], (np.cumsum(touched) - 1)[doc[out]]
+        if len(sends):
+            groups = received(plan).groups(prefixes.slots(rest.hashes(), sends))
+            by = np.argsort(groups, kind="stable")
+            for part in np.split(by, np.flatnonzero(np.diff(groups[by])) + 1):
+                rows.append((int(groups[part[0]]), chunk, suffix_blob(rest, sends[part], of[part], window)))
+        return table_of(rows)
+
+    def rooted(table: pa.Table) -> pa.Table:
+        if table["bucket"][0].as_py() < 0:
+            return table
+        late = late_suffixes(table["blob"].to_pylist(), table["chunk"].to_numpy(), window)
+        rows = zip(table["bucket"].to_pylist(), table["chunk"].to_pylist(), late)
+        return table_of([(b, c, packed(steps(at))) for b, c, at in rows if len(at)])
+
+    extra = ["kept_text", "spans"] if texts else []
 
     def applied(table: pa.Table) -> pa.Table:
         blobs = dict(zip(table["bucket"].to_pylist(), table["blob"].to_pylist()))
-        whole = blobs.pop(min(blobs))
-        piece = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(whole)).read_all().combine_chunks()
-        keys = piece["key"].fill_null(NULL_ID).to_numpy()
-        found = Windows(keys, piece[TEXT].to_pylist(), WordHashes(), window, keep_words=True)
-        late = np.ones(len(found.start), bool)
-        late[found.sent] = False
-        of = received(plan).groups(found.slot, found.deep)
-        by = np.argsort(of, kind="stable")
-        for bucket, marks in blobs.items():
-            low, high = np.searchsorted(of[by], bucket, "left"), np.searchsorted(of[by], bucket, "right")
-            late[found.sent[by[low:high]]] = np.unpackbits(np.frombuffer(marks, np.uint8), count=high - low).astype(bool)
-        cover = np.zeros(int(found.counts.sum()) + 1, np.int32)
-        np.add.at(cover, found.start[late], 1)
-        np.add.at(cover, found.start[late] + window, -1)
-        gone = np.cumsum(cover[:-1]) > 0
-        rows, at = [], 0
-        for n, words in zip(found.counts.tolist(), found.words):
-            out = gone[at:at + n]
-            at += n
-            removed = int(out.sum())
-            kept = b" ".join(words if not removed else [w for w, x in zip(words, out.tolist()) if not x])
-            row = (n, removed, hashlib.sha256(kept).hexdigest())
-            if texts:
-                steps = np.flatnonzero(np.diff(np.concatenate([[0], out.astype(np.int8), [0]])))
-                row += (kept.decode(), [[int(a), int(b - a)] for a, b in zip(steps[::2], steps[1::2])])
-            rows.append(row)
-        columns = list(zip(*rows)) if rows else [[] for _ in out_names[1:]]
-        kinds = [pa.int64(), pa.int64(), pa.string(), *[e[1] for e in extra]]
-        return pa.table([piece["key"].combine_chunks().take(pa.array(found.order)), *[pa.array(c, k) for c, k in zip(columns, kinds)]], out_names)
+        done, local, rest = unframed(blobs.pop(min(blobs)), 3)
+        words = Words.unpack(rest)
+        late = np.concatenate([np.cumsum(unpacked(b, 1)[0]) for b in [local, *blobs.values()]])
+        cover = np.zeros(len(words.codes) + window + 1, np.int64)
+        np.add.at(cover, late, 1)
+        np.add.at(cover, late + window, -1)
+        found = words.results(np.cumsum(cover)[:len(words.codes)] > 0, texts)
+        before = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(done)).read_all()
+        return pa.concat_tables([before, found]).rename_columns([key, "n_words", "n_removed", "kept_sha256", *extra])
 
-    rows = slim.mapInArrow(sent, "bucket long, chunk long, blob binary")
-    back = rows.groupBy("bucket").applyInArrow(marked, "bucket long, chunk long, blob binary")
     more = ", kept_text string, spans array<array<long>>" if texts else ""
-    return back.groupBy("chunk").applyInArrow(applied, f"`{key}` long, n_words long, n_removed long, kept_sha256 string{more}")
+    shared = slim.mapInArrow(sent, schema).groupBy("bucket").applyInArrow(filtered, schema)
+    trees = shared.groupBy("chunk").applyInArrow(suffixes, schema).groupBy("bucket").applyInArrow(rooted, schema)
+    return trees.groupBy("chunk").applyInArrow(applied, f"`{key}` long, n_words long, n_removed long, kept_sha256 string{more}")

@@ -49,8 +49,9 @@ def test_substring_edge_cases(spark):
     shared = make(30)
     rows = [(1, shared), (2, make(5) + "\n" + shared + " " + make(4)), (3, None), (4, ""), (5, "a " * 60), (6, make(3)), (7, shared), (None, shared)]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, chunk string")
-    for group, least in ((2_000_000, 64), (7, 1)):  # one plan, and one in which prefixes are split by the whole window
-        out = substrings.deduplicated(df, texts=True, group=group, least=least).collect()
+    # one plan; prefixes split by the whole window; hashes that collide, so that words must decide
+    for group, least, bits in ((2_000_000, 64, 32), (7, 1, 32), (2_000_000, 1, 1)):
+        out = substrings.deduplicated(df, texts=True, group=group, least=least, filter_bits=bits).collect()
         assert sorted((r[:4] for r in map(tuple, out)), key=str) == sorted(brute_substrings(rows, 20), key=str)
     spans = {r.doc_id: r.spans for r in out}
     assert spans[7] == [[0, 30]] and spans[3] == [] and spans[None] == []
@@ -59,6 +60,45 @@ def test_substring_edge_cases(spark):
     assert substrings.deduplicated(df.limit(0)).count() == 0
 
 
+def test_substrings_of_few_words(spark):
+    """Short windows over two words: many repeats inside a chunk, deep ties, several documents in several chunks."""
+    rng = random.Random(4)
+    rows = [(rng.randrange(40), " ".join(rng.choice("ab") for _ in range(rng.randrange(30)))) for _ in range(60)]
+    rows = [(i, t) for i, t in dict(rows).items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for window in (1, 2, 5, 9):
+        for group, bits in ((2_000_000, 32), (5, 2)):
+            out = substrings.deduplicated(df, window=window, group=group, least=2, filter_bits=bits).collect()
+            assert sorted(map(tuple, out)) == sorted(brute_substrings(rows, window))
+
+
+def test_order_and_depth_of_suffixes():
+    rng = np.random.default_rng(5)
+    for size in (1, 3, 70_000):
+        paths = rng.integers(0, size, (300, 20)).astype(np.int32)
+        paths[100:200] = paths[:100]
+        paths[200:, :12] = paths[:100, :12]
+        order, depth = substrings.tree_order(paths, size)
+        rows = [tuple(paths[i]) for i in order]
+        assert rows == sorted(rows)
+        shared = [next((k for k in range(20) if a[k] != b[k]), 20) for a, b in zip(rows, rows[1:])]
+        assert depth.tolist() == [0, *shared]
+
+
+def test_prefixes_grow_until_a_group_fits():
+    prefixes = substrings.Prefixes(20)
+    hashes = np.array([1, 2, 3, 4, 5] * 400, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    hashes[:600] = hashes[0]  # one word makes up the first third
+    at = np.arange(len(hashes) - 19)
+    slots = prefixes.slots(hashes, at)
+    counts = np.array([np.bincount((s % np.uint64(substrings.SLOTS)).astype(int), minlength=substrings.SLOTS) for s in slots])
+    prefixes.plan(counts, 700, 1)
+    groups = prefixes.groups(slots)
+    assert np.bincount(groups).max() <= 700 and (prefixes.base >= 0).any(1).sum() >= 2
+    for n in np.unique(slots[-1]):
+        assert len(set(groups[slots[-1] == n])) == 1  # equal windows meet
+
+
 def brute_fingerprint(text):
     w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     w = WORD.findall(w)
