@@ -7,9 +7,10 @@ depth. Three steps, between which documents travel in chunks, as codes of the ch
 1. Filter. A suffix whose window hash occurs once has no such node above it. A chunk sends the short hashes of its distinct windows,
    and hears which of them other chunks have as well. Equal windows always meet; windows that differ may, which step 2 settles.
 2. Trees. The suffixes left are dealt into groups by a prefix: one word, or 2, 5 or all words of the window where the shorter prefix
-   holds more suffixes than fit one task (counted beforehand over all documents); short prefixes share a group. A group has the words
-   of its suffixes, orders the suffixes and takes the common prefix lengths of neighbours: runs of length ``window`` are the deep nodes.
-   All suffixes below a node but the earliest are late.
+   holds more suffixes than fit one task (counted beforehand over all documents); small prefixes share a group. The prefix is that of
+   the window's anchor, the word in it from which five words have the least hash: neighbouring suffixes mostly have the same anchor, so
+   they go to one group as one stretch of words, and equal windows have equal anchors. A group orders its suffixes and takes the common
+   prefix lengths of neighbours: runs of length ``window`` are the deep nodes. All suffixes below a node but the earliest are late.
 3. Marks. Late suffixes go back to their chunk, which removes the words under them. Documents without any suffix left after the
    filter have their result by then and only pass.
 
@@ -100,6 +101,16 @@ def rolled(values: np.ndarray, size: int) -> np.ndarray:
     return out * np.uint64(FACTOR) + values[size - 1:size - 1 + n] if size % 2 else out
 
 
+def least_places(values: np.ndarray, size: int) -> np.ndarray:
+    """Place of the least of ``size`` values from each place on; the first of equal ones."""
+    least, have = (values >> np.uint64(32) << np.uint64(32)) | np.arange(len(values), dtype=np.uint64), 1
+    while 2 * have <= size:
+        least, have = np.minimum(least[:-have], least[have:]), 2 * have
+    if size > have:
+        least = np.minimum(least[:have - size], least[size - have:])
+    return (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))
@@ -177,8 +188,13 @@ class Prefixes:
         self.lengths = [*[n for n in PREFIXES if n < window], window]
 
     def slots(self, hashes: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-        """Mixed hash of the prefix of each length; its lowest bits are the slot."""
-        return [_mixed(rolled(hashes, n))[at] if len(at) else np.zeros(0, np.uint64) for n in self.lengths]
+        """Mixed hash of the anchor's prefix of each length, at last of the window; its lowest bits are the slot."""
+        if not len(at):
+            return [np.zeros(0, np.uint64) for _ in self.lengths]
+        *short, window = self.lengths
+        longest = max(short, default=window)
+        anchor = least_places(_mixed(rolled(hashes, longest)), window - longest + 1)[at]
+        return [*[_mixed(rolled(hashes, n))[anchor] for n in short], _mixed(rolled(hashes, window))[at]]
 
     def plan(self, counts: np.ndarray, group: int, least: int) -> None:
         """``counts``: suffixes by (length, slot). A slot holds a group, shares one, or is left to the next length; at the last
@@ -226,15 +242,25 @@ def shared_names(blobs: list[bytes]) -> list[np.ndarray]:
     return np.split(out, np.cumsum([len(p) for p in parts])[:-1])
 
 
+def stretches(at: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the words under the windows that start at ``at``, and where each window starts among these words."""
+    cut = np.concatenate([[True], (np.diff(at) >= window) | (np.diff(doc) != 0)])
+    first = np.flatnonzero(cut)
+    begin, of = at[first], np.cumsum(cut) - 1
+    sizes = at[np.append(first[1:], len(at)) - 1] + window - begin
+    shift = np.cumsum(sizes) - sizes - begin
+    return np.arange(sizes.sum()) - np.repeat(shift, sizes), at + shift[of]
+
+
 def suffix_blob(words: Words, at: np.ndarray, doc: np.ndarray, window: int) -> bytes:
-    """Suffixes by place, with the ids of their documents and their words."""
-    paths = words.codes[at[:, None] + np.arange(window)]
-    used = np.flatnonzero(np.bincount(paths.ravel(), minlength=len(words.vocabulary)))
+    """Suffixes by place, with the ids of their documents and their words, each word once."""
+    held = words.codes[stretches(at, doc, window)[0]]
+    used = np.flatnonzero(np.bincount(held, minlength=len(words.vocabulary)))
     code = np.zeros(len(words.vocabulary), np.int64)
     code[used] = np.arange(len(used))
     names = zstandard.ZstdCompressor(level=3).compress(b"\n".join([words.vocabulary[i] for i in used.tolist()]))
     docs, of = np.unique(doc, return_inverse=True)
-    return framed(names, packed(steps(at), steps(of), steps(words.keys[docs]), code[paths].ravel()))
+    return framed(names, packed(steps(at), steps(of), steps(words.keys[docs]), code[held]))
 
 
 def tree_order(paths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -265,9 +291,10 @@ def late_suffixes(blobs: list[bytes], places: np.ndarray, window: int) -> list[n
         at, of, ids, codes = unpacked(rest, 4)
         found = zstandard.ZstdDecompressor().decompress(names).split()
         table = np.fromiter(map(known.__getitem__, found), np.int32, len(found))
-        starts.append(np.cumsum(at))
-        keys.append(np.cumsum(ids)[np.cumsum(of)])
-        paths.append(table[codes].reshape(-1, window))
+        at, of = np.cumsum(at), np.cumsum(of)
+        starts.append(at)
+        keys.append(np.cumsum(ids)[of])
+        paths.append(table[codes][stretches(at, of, window)[1][:, None] + np.arange(window)])
     sizes = [len(s) for s in starts]
     order, depth = tree_order(np.concatenate(paths), len(known))
     node = np.cumsum(depth < window)

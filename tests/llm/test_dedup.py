@@ -85,10 +85,21 @@ def test_order_and_depth_of_suffixes():
         assert depth.tolist() == [0, *shared]
 
 
+def test_anchors_and_stretches():
+    rng = np.random.default_rng(6)
+    values = rng.integers(0, 5, 200).astype(np.uint64) << np.uint64(40)
+    for size in (1, 2, 5, 7, 16):
+        assert substrings.least_places(values, size).tolist() == [i + int(values[i:i + size].argmin()) for i in range(201 - size)]
+    at, doc = np.array([3, 4, 9, 30, 36, 37]), np.array([0, 0, 0, 0, 1, 1])
+    places, of = substrings.stretches(at, doc, 6)
+    assert [places[o:o + 6].tolist() for o in of] == [list(range(a, a + 6)) for a in at] and len(places) == 12 + 6 + 7
+
+
 def test_prefixes_grow_until_a_group_fits():
     prefixes = substrings.Prefixes(20)
     hashes = np.array([1, 2, 3, 4, 5] * 400, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     hashes[:600] = hashes[0]  # one word makes up the first third
+    hashes[600:] += np.arange(1400, dtype=np.uint64) // np.uint64(50)
     at = np.arange(len(hashes) - 19)
     slots = prefixes.slots(hashes, at)
     counts = np.array([np.bincount((s % np.uint64(substrings.SLOTS)).astype(int), minlength=substrings.SLOTS) for s in slots])
