@@ -161,8 +161,12 @@ class Words:
         return np.arange(len(doc)) + np.repeat(self.base - (np.cumsum(fit) - fit), fit), doc
 
     def of(self, docs: np.ndarray) -> Words:
-        """The documents that ``docs`` marks; the vocabulary stays."""
-        return Words(self.keys[docs], self.counts[docs], self.vocabulary, self.codes[np.repeat(docs, self.counts)])
+        """The documents that ``docs`` marks, with the words that they use."""
+        codes = self.codes[np.repeat(docs, self.counts)]
+        used = np.flatnonzero(np.bincount(codes, minlength=len(self.vocabulary)))
+        code = np.zeros(len(self.vocabulary), np.int64)
+        code[used] = np.arange(len(used))
+        return Words(self.keys[docs], self.counts[docs], [self.vocabulary[i] for i in used.tolist()], code[codes])
 
     def results(self, gone: np.ndarray | None, texts: bool) -> pa.Table:
         names, rows = np.array([*self.vocabulary, b""], object)[:-1], []
