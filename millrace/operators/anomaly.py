@@ -22,7 +22,7 @@ WHOLE_TABLE = {"FB": (MV.feature_bagging, 1), "SOD": (MV.sod, 2), "ROD": (MV.rod
 #: Models of one column that come from the same module.
 ALONG_ORDER = {
     "LOCI": MV.loci, "LMDD": lambda data, key: MV.lmdd(data, key, ["x"]), "SOD": lambda data, key: MV.sod(data, key, ["x"]),
-    "FB": lambda data, key: MV.feature_bagging(data, key, ["x"]),
+    "FB": lambda data, key: MV.feature_bagging(data, key, ["x"]), "SOS": lambda data, key: MV.sos(data, key, ["x"]),
 }
 MODELS = [*EXACT, *SAMPLED, *ALONG_ORDER, "SUOD"]
 

@@ -7,6 +7,7 @@ Inputs are standardised columns without gaps, as ``anomaly.preprocess`` makes th
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Sequence
 from functools import reduce
@@ -23,6 +24,8 @@ SEED = 42
 LOF_K, BAGS = 20, 10
 SOD_K, SOD_REFS, SOD_ALPHA = 20, 10, 0.8
 LMDD_ROUNDS = 10
+#: Binding reaches the ``SOS_K`` nearest points that differ; the affinity's width is found by halving its logarithm's range.
+SOS_K, SOS_PERPLEXITY, SOS_HALVINGS, SOS_RANGE = 15, 4.5, 60, 27.6
 LOCI_ALPHA, LOCI_LEAST = 0.5, 20
 #: Radii as shares of the range: from 0.02 to 1 in equal ratios.
 LOCI_RADII = tuple(0.02 * 50 ** (i / 7) for i in range(8))
@@ -69,6 +72,46 @@ def feature_bagging(df: DataFrame, key: Sequence[str], columns: Sequence[str], k
     return df.join(factors, _key(key) == F.col("_id")).drop("_id")
 
 
+def sos(df: DataFrame, key: Sequence[str], columns: Sequence[str], perplexity: float = SOS_PERPLEXITY, k: int = SOS_K) -> DataFrame:
+    """Add ``score``: the probability that no other row binds to the row, where each row binds to one at random by nearness.
+
+    Nearness falls off as a Gauss curve whose width gives the row ``perplexity`` partners. Rows at one point are handled as one
+    point with a count, so copies bind to each other exactly; of the other points the ``k`` nearest (at least some three times
+    the perplexity) are reached and those beyond, whose share is small, are not. Rows with a gap get a null score.
+    """
+    points = df.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count(F.lit(1)).alias("_m"))
+    points = cut_lineage(points.dropna(subset=list(columns)))
+    weights = points.select(_key(columns).alias("_id"), "_m")
+    edges = neighbours.others(points, columns, [list(columns)], k).select("_id", F.explode("_near").alias("_e"))
+    edges = edges.select("_id", F.col("_e._key").alias("_to"), (F.col("_e._d") ** 2).alias("d")).join(
+        weights.select(F.col("_id").alias("_to"), F.col("_m").alias("n")), "_to")
+    # A point's own copies are partners at no distance.
+    copies = weights.where("_m > 1").select("_id", F.col("_id").alias("_to"), F.lit(0.0).alias("d"), (F.col("_m") - 1).alias("n"))
+    near = edges.select("_id", "_to", "d", "n").unionByName(copies).groupBy("_id").agg(
+        F.array_sort(F.collect_list(F.struct("d", "n", F.col("_to").alias("to")))).alias("_near"))
+    near = near.withColumn("_away", F.transform("_near", lambda s: F.struct((s["d"] - F.get("_near", F.lit(0))["d"]).alias("d"), s["n"].alias("n"))))
+
+    def total(beta, term):
+        return F.aggregate("_away", F.lit(0.0), lambda a, s: a + s["n"] * term(beta * s["d"]))
+
+    def halve(span, _):
+        middle = (span["low"] + span["high"]) / 2
+        z = total(F.exp(middle), lambda x: F.exp(-x))
+        wide = F.ln(z) + total(F.exp(middle), lambda x: x * F.exp(-x)) / z > math.log(perplexity)
+        return F.struct(F.when(wide, middle).otherwise(span["low"]).alias("low"), F.when(wide, span["high"]).otherwise(middle).alias("high"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(SOS_HALVINGS)), F.struct(F.lit(-SOS_RANGE).alias("low"), F.lit(SOS_RANGE).alias("high")), halve,
+                        lambda span: F.exp((span["low"] + span["high"]) / 2))
+    near = cut_lineage(near.withColumn("_beta", found)).withColumn("_z", total(F.col("_beta"), lambda x: F.exp(-x)))
+    binds = near.join(weights, "_id").select("_id", "_m", "_z", "_beta", F.posexplode("_near").alias("_at", "_e"), F.get("_near", F.lit(0))["d"].alias("_least"))
+    own = F.col("_e.to") == F.col("_id")
+    share = F.least(F.exp(-F.col("_beta") * (F.col("_e.d") - F.col("_least"))) / F.col("_z"), F.lit(1 - 1e-12))
+    free = binds.select(F.col("_e.to").alias("_id"), (F.when(own, F.col("_m") - 1).otherwise(F.col("_m")) * F.log1p(-share)).alias("_l"))
+    scores = weights.join(free.groupBy("_id").agg(F.sum("_l").alias("_l")), "_id", "left").select(
+        F.col("_id").alias("_at"), F.exp(F.coalesce("_l", F.lit(0.0))).alias("score"))
+    return df.join(scores, _key(columns) == F.col("_at"), "left").drop("_at")
+
+
 def sod(df: DataFrame, key: Sequence[str], columns: Sequence[str], k: int = SOD_K, refs: int = SOD_REFS, alpha: float = SOD_ALPHA) -> DataFrame:
     """Add ``score``: distance from the mean of the reference rows, in the columns in which these vary little.
 

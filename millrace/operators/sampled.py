@@ -144,31 +144,6 @@ def ocsvm(points: np.ndarray, nu: float = 0.5, seed: int = SEED):
     return lambda x: rho - kernel(x) @ alpha
 
 
-def sos(points: np.ndarray, perplexity: float = 4.5, seed: int = SEED):
-    """Probability that no sampled row binds to the row, with a fixed perplexity per sampled row."""
-    d2 = _distances(points, points) ** 2
-    np.fill_diagonal(d2, np.inf)
-    low, high = np.full(len(points), 1e-12), np.full(len(points), 1e12)
-    for _ in range(80):
-        beta = np.sqrt(low * high)
-        a = np.exp(-beta[:, None] * (d2 - d2.min(1, keepdims=True)))
-        p = a / a.sum(1, keepdims=True)
-        entropy = -(p * np.log(np.where(p > 0, p, 1.0))).sum(1)
-        wide = entropy > np.log(perplexity)
-        low, high = np.where(wide, beta, low), np.where(wide, high, beta)
-    near = d2.min(1)
-    z = np.exp(-beta[:, None] * (d2 - near[:, None])).sum(1)
-
-    def score(x: np.ndarray) -> np.ndarray:
-        d = _distances(x, points)
-        a = np.exp(np.minimum(-beta * (d**2 - near), 700))
-        own = d.argmin(1)  # a row of the sample does not bind to itself
-        a[np.arange(len(x)), own] *= d.min(1) > 0
-        return np.exp(np.log1p(-np.minimum(a / (z + a), 1 - 1e-12)).sum(1))
-
-    return score
-
-
 def dif(points: np.ndarray, networks: int = 10, width: int = 20, seed: int = SEED):
     """Isolation forests on the outputs of fixed random networks, averaged."""
     rng = np.random.default_rng(seed)
@@ -203,7 +178,7 @@ def kpca(points: np.ndarray, components: int = 10, seed: int = SEED):
 
 # model -> (fit, sample size)
 SAMPLED = {
-    "IForest": (isolation_forest, 25_600), "INNE": (inne, 1600), "OCSVM": (ocsvm, 500), "SOS": (sos, 500),
+    "IForest": (isolation_forest, 25_600), "INNE": (inne, 1600), "OCSVM": (ocsvm, 500),
     "DIF": (dif, 2560), "KPCA": (kpca, 300),
 }
 

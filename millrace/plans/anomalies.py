@@ -186,11 +186,32 @@ def detect_sampling(t):
 
 
 for _m, _id in {
-    "IForest": "X-IForest", "INNE": "X-INNE", "OCSVM": "X-OCSVM", "SOS": "X-SOS", "DIF": "X-DIF", "KPCA": "X-KPCA",
+    "IForest": "X-IForest", "INNE": "X-INNE", "OCSVM": "X-OCSVM", "DIF": "X-DIF", "KPCA": "X-KPCA",
 }.items():
     query(f"detect_{_m.lower()}", _id)(lambda t, m=_m: _detect(t, m))
 
 
+def _sos_sql():
+    step = "CASE WHEN ln(z) + e / z > {p} THEN m ELSE lo END AS lo, CASE WHEN ln(z) + e / z > {p} THEN hi ELSE m END AS hi".format(p=f"ln({MV.SOS_PERPLEXITY})")
+    return f"""p AS (SELECT x, count(*) AS c FROM z GROUP BY x),
+q AS (SELECT x, c, lead(x, {MV.SOS_K}, 1e9) OVER (ORDER BY x) AS up, lag(x, {MV.SOS_K}, -1e9) OVER (ORDER BY x) AS down FROM p),
+n AS (SELECT a.x, a.c, b.x AS y, b.c AS w, (a.x - b.x) * (a.x - b.x) AS d FROM q a JOIN p b ON b.x BETWEEN a.down AND a.up AND a.x <> b.x),
+k AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY x ORDER BY d, y) <= {MV.SOS_K}),
+l AS (SELECT *, d - min(d) OVER (PARTITION BY x) AS g FROM (SELECT * FROM k UNION ALL SELECT x, c, x, c - 1, 0 FROM p WHERE c > 1)),
+t AS (SELECT x, -{MV.SOS_RANGE}::DOUBLE AS lo, {MV.SOS_RANGE}::DOUBLE AS hi, 0 AS i FROM (SELECT DISTINCT x FROM l) UNION ALL
+  SELECT x, {step}, i + 1 FROM (SELECT t.x, t.lo, t.hi, t.i, (t.lo + t.hi) / 2 AS m, sum(w * exp(-exp((t.lo + t.hi) / 2) * g)) AS z,
+    sum(w * exp((t.lo + t.hi) / 2) * g * exp(-exp((t.lo + t.hi) / 2) * g)) AS e FROM t JOIN l USING (x) WHERE t.i < {MV.SOS_HALVINGS} GROUP BY ALL)),
+b AS (SELECT x, exp((lo + hi) / 2) AS beta FROM t WHERE i = {MV.SOS_HALVINGS}),
+a AS (SELECT y, CASE WHEN x = y THEN c - 1 ELSE c END AS c, least(exp(-beta * g) / sum(w * exp(-beta * g)) OVER (PARTITION BY x), 1 - 1e-12) AS s FROM l JOIN b USING (x)),
+f AS (SELECT y AS x, exp(sum(c * ln(1 - s))) AS score FROM a GROUP BY y),
+s AS (SELECT z.k, coalesce(f.score, 1) AS score FROM z LEFT JOIN f USING (x))"""
+
+
+@query("detect_sos", "X-SOS", _labelled(_sos_sql()).replace("WITH ", "WITH RECURSIVE ", 1))
+def detect_sos(t):
+    return _detect(t, "SOS")
+
+
 def _loci_sql():
     parts = []
     for i, r in enumerate(MV.LOCI_RADII):

@@ -135,3 +135,58 @@ def test_kernel_density_far_and_near(spark):
         for i, v in enumerate(xs):
             total = sum(math.exp(-0.5 * ((v - w) / bandwidth) ** 2) for w in xs) / (len(xs) * bandwidth * math.sqrt(2 * math.pi))
             assert got[i] == pytest.approx(-math.log(total), abs=1e-9)
+
+
+def brute_sos(x, perplexity, k):
+    """Row by row: the ``k`` nearest points that differ, all copies of each, and all own copies."""
+    out = np.zeros(len(x))
+    for row in x:
+        d = ((x - row) ** 2).sum(1)
+        points = sorted({(d[i], *x[i]) for i in range(len(x)) if d[i] > 0})[:k]
+        held = {p[1:] for p in points}
+        me = next(i for i in range(len(x)) if (x[i] == row).all())
+        use = [i for i in range(len(x)) if (d[i] == 0 and i != me) or tuple(x[i]) in held]
+        away = d[use] - d[use].min()
+        low, high = -MV.SOS_RANGE, MV.SOS_RANGE
+        for _ in range(60):
+            a = np.exp(-np.exp((low + high) / 2) * away)
+            p = a / a.sum()
+            wide = -(p * np.log(np.where(p > 0, p, 1))).sum() > math.log(perplexity)
+            low, high = ((low + high) / 2, high) if wide else (low, (low + high) / 2)
+        # Copies of the row bind alike, each to all rows but itself.
+        yet = np.zeros(len(x))
+        yet[use] = np.log1p(-np.minimum(p, 1 - 1e-12))
+        copies = np.flatnonzero(d == 0)
+        if len(copies) > 1:
+            yet[me] = yet[copies[1]]
+            yet[copies] *= (len(copies) - 1) / len(copies)
+        out += yet
+    return np.exp(out)
+
+
+@pytest.mark.parametrize("k", [15, 500])
+def test_sos_on_many_cells_and_copies(spark, small_cells, k):
+    df, rows, names = table(spark)
+    got = scores(MV.sos(df, ["k"], names, k=k))
+    want = brute_sos(np.array([r[1:] for r in rows]), MV.SOS_PERPLEXITY, k)
+    assert len(got) == len(rows) and len({round(x, 9) for x in got.values()}) == 160
+    assert all(got[r[0]] == pytest.approx(w, rel=1e-6, abs=1e-9) for r, w in zip(rows, want))
+
+
+def test_sos_far_points_weigh_little(spark):
+    df, rows, names = table(spark)
+    x = np.array([r[1:] for r in rows])
+    some, whole = brute_sos(x, MV.SOS_PERPLEXITY, MV.SOS_K), brute_sos(x, MV.SOS_PERPLEXITY, len(x))
+    assert np.abs(some - whole).max() < 0.08 and np.corrcoef(some, whole)[0, 1] > 0.999
+
+
+def test_sos_edges(spark):
+    lone = spark.createDataFrame([(1, 2.0)], "k long, c0 double")
+    assert scores(MV.sos(lone, ["k"], ["c0"])) == {1: 1.0}
+    gap = spark.createDataFrame([(1, 2.0), (2, None), (3, 2.0)], "k long, c0 double")
+    got = scores(MV.sos(gap, ["k"], ["c0"]))
+    assert got[2] is None and got[1] == got[3] == pytest.approx(0, abs=1e-9)
+    far = spark.createDataFrame([*((i, i / 10) for i in range(40)), (99, 50.0)], "k long, c0 double")
+    got = scores(MV.sos(far, ["k"], ["c0"]))
+    assert max(got, key=got.get) == 99 and got[99] > 0.9
+    assert MV.sos(lone.limit(0), ["k"], ["c0"]).count() == 0
