@@ -5,7 +5,8 @@ evaluated in Python. Division by zero gives NULL and ``%`` takes the sign of the
 
 Filters may use ``& | ~`` as well as ``and or not`` (they bind alike), ``in``, ``not in``, back-quoted names, ``x if c else y``,
 ``.str`` and ``.dt`` methods (``s.str.split(',').str[0]`` gives a piece), ``get_dummies(x)['level']``. Whole-column aggregates (``mean(x)``, ``x.std()``, ``percentile(x, 50)``) are computed first, all of one
-nesting level by one ``agg``, and enter as constants; they need a table, not just column names.
+nesting level by one ``agg``, and enter as constants; they need a table, not just column names. What looks along an order
+(``x.shift(1)``, ``x.cumsum()``, ``x.rank()``) is in ``along``.
 """
 
 from __future__ import annotations
@@ -103,6 +104,10 @@ TIME_PARTS: dict[str, Callable] = {
     "month_name": S.month_name, "day_name": S.day_name,
 }
 
+#: Methods that look along an order, and those whose own methods do.
+ALONG = frozenset("shift diff pct_change cumsum cummax cummin ffill bfill rank".split())
+ALONG_WINDOWS = {"rolling": frozenset("mean sum min max std count".split()), "expanding": frozenset("mean sum min max count".split())}
+
 _BINARY = {
     ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b,
     ast.Div: F.try_divide, ast.Mod: S.floor_mod, ast.Pow: F.pow, ast.FloorDiv: S.floor_divide,
@@ -314,8 +319,23 @@ class _Builder:
         return self.call(FUNCTIONS[name], args, keywords, len(args))
 
 
+def along_call(builder: _Builder, node: ast.AST) -> tuple[str, ast.expr, list, tuple] | None:
+    """(method, its column, leading arguments, (arguments, keywords)) of a call that looks along an order."""
+    match node:
+        case ast.Call(func=ast.Attribute(value=ast.Call(func=ast.Attribute(value=x, attr=window), args=args, keywords=keywords), attr=stat), args=[], keywords=[]) if (
+                stat in ALONG_WINDOWS.get(window, ()) and builder.is_column(x)):
+            return window, x, [stat], (args, keywords)
+        case ast.Call(func=ast.Attribute(value=x, attr=name), args=args, keywords=keywords) if name in ALONG and builder.is_column(x) and not (
+                isinstance(x, ast.Attribute) and x.attr in ("str", "dt")):
+            return name, x, [], (args, keywords)
+    return None
+
+
 def column_expr(text: str, columns: Sequence[str] | DataFrame) -> Column:
     """``text`` over the named columns; any other name raises ``ValueError``."""
     tree, quoted = _parsed(text)
     builder = _Builder(columns, quoted)
+    along = next((n for n in ast.walk(tree) if along_call(builder, n)), None)
+    if along is not None:
+        raise ValueError(f"an order is needed (order_by): {ast.unparse(along)}")
     return builder.build(builder.settled(tree))

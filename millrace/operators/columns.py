@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
 
+from millrace.functions.along import ordered_exprs
 from millrace.functions.expressions import column_expr
 from millrace.ordered import with_position
 
@@ -75,20 +76,41 @@ def infer_dtypes(df: DataFrame, share: float = 0.9) -> DataFrame:
     return df.withColumns(casts) if casts else df
 
 
+def _valued(df: DataFrame, expression: str | Column, order_by: Sequence[str], series: Sequence[str]) -> tuple[DataFrame, Column]:
+    """The expression as a column of a table that may have helper columns."""
+    if not isinstance(expression, str):
+        return df, expression
+    if not order_by:
+        return df, column_expr(expression, df)
+    wide, (value,) = ordered_exprs(df, [expression], order_by, series)
+    return wide, value
+
+
 def add_computed(
     df: DataFrame, name: str, expression: str | Column, at: int | None = None,
-    before: str | None = None, after: str | None = None,
+    before: str | None = None, after: str | None = None, order_by: Sequence[str] = (), series: Sequence[str] = (),
 ) -> DataFrame:
-    """A computed column at the end, at an index, or next to a column."""
+    """A computed column at the end, at an index, or next to a column.
+
+    Here and below ``order_by`` (a total order, within ``series``) lets the expression look along it: ``x.shift(1)``, ``x.cumsum()``.
+    """
     if name in df.columns:
         raise ValueError(f"column {name} exists")
-    value = column_expr(expression, df) if isinstance(expression, str) else expression
+    wide, value = _valued(df, expression, order_by, series)
     cols = list(df.columns)
     place = at if at is not None else cols.index(before) if before else cols.index(after) + 1 if after else len(cols)
     if not 0 <= place <= len(cols):
         raise ValueError("position outside the table")
     cells = [F.col(f"`{c}`") for c in cols]
-    return df.select(*cells[:place], value.alias(name), *cells[place:])
+    return wide.select(*cells[:place], value.alias(name), *cells[place:])
+
+
+def add_many_computed(df: DataFrame, expressions: Mapping[str, str], order_by: Sequence[str] = (), series: Sequence[str] = ()) -> DataFrame:
+    """Computed columns at the end; those that look along the order share their passes over it."""
+    if set(expressions) & set(df.columns):
+        raise ValueError(f"columns exist: {sorted(set(expressions) & set(df.columns))}")
+    wide, values = ordered_exprs(df, list(expressions.values()), order_by, series)
+    return wide.select(*[F.col(f"`{c}`") for c in df.columns], *[v.alias(n) for n, v in zip(expressions, values)])
 
 
 def select_columns(
@@ -119,14 +141,15 @@ def row_intervals(df: DataFrame, ranges: Sequence[tuple[int, int]], order_by: Se
     return pos.where(hit).drop("_pos")
 
 
-def keep_rows(df: DataFrame, condition: str | Column) -> DataFrame:
-    return df.where(column_expr(condition, df) if isinstance(condition, str) else condition)
+def keep_rows(df: DataFrame, condition: str | Column, order_by: Sequence[str] = (), series: Sequence[str] = ()) -> DataFrame:
+    wide, test = _valued(df, condition, order_by, series)
+    return wide.where(test).select(*[F.col(f"`{c}`") for c in df.columns]) if order_by else wide.where(test)
 
 
-def delete_rows(df: DataFrame, condition: str | Column) -> DataFrame:
+def delete_rows(df: DataFrame, condition: str | Column, order_by: Sequence[str] = (), series: Sequence[str] = ()) -> DataFrame:
     """Rows where the condition is true go; rows where it is unknown stay."""
-    test = column_expr(condition, df) if isinstance(condition, str) else condition
-    return df.where(~F.coalesce(test, F.lit(False)))
+    wide, test = _valued(df, condition, order_by, series)
+    return keep_rows(wide, ~F.coalesce(test, F.lit(False))).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def delete_keys(df: DataFrame, keys: DataFrame, on: Sequence[str], check: bool = True) -> DataFrame:

@@ -171,6 +171,22 @@ def running_sum(
     return out
 
 
+def running_extreme(
+    df: DataFrame, order: Sequence[str], highest: dict[str, str], lowest: dict[str, str], series: Sequence[str] = (),
+    small: bool | None = None,
+) -> DataFrame:
+    """Add inclusive running maxima and minima (added column -> source column) along ``order``; nulls are passed over."""
+    wanted = [(n, c, F.max, F.greatest) for n, c in highest.items()] + [(n, c, F.min, F.least) for n, c in lowest.items()]
+    if is_small(df, series) if small is None else small:
+        w = W.partitionBy(*series) if series else W.partitionBy(F.lit(0))
+        run = w.orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        return df.select("*", *[extreme(c).over(run).alias(n) for n, c, extreme, _ in wanted])
+    run = bucket_window(order, series).rowsBetween(W.unboundedPreceding, 0)
+    out = carry(with_bucket(df, [*series, *order]), series, {f"_off{i}": (extreme(c), extreme) for i, (_, c, extreme, _) in enumerate(wanted)})
+    return out.select(*df.columns, *[
+        either(F.col(f"_off{i}"), extreme(c).over(run)).alias(n) for i, (n, c, extreme, either) in enumerate(wanted)])
+
+
 def with_position(
     df: DataFrame, order: Sequence[str], series: Sequence[str] = (), name: str = POSITION,
     small: bool | None = None,
@@ -235,7 +251,7 @@ def fill_along(
 
 def framed(
     df: DataFrame, order: Sequence[str], build: Callable[[W], dict[str, Column]] | Sequence[Callable],
-    before: int = 0, after: int = 0, series: Sequence[str] = (), position: str | None = None,
+    before: int = 0, after: int = 0, series: Sequence[str] = (), position: str | None = None, small: bool | None = None,
 ) -> DataFrame:
     """Add window columns whose frames reach ``before`` rows back and ``after`` ahead.
 
@@ -246,7 +262,7 @@ def framed(
     names a column for the 0-based position in the series, which builders may use.
     """
     stages = [build] if callable(build) else list(build)
-    if is_small(df, series):
+    if is_small(df, series) if small is None else small:
         w = (W.partitionBy(*series) if series else W.partitionBy(F.lit(0))).orderBy(*order)
         if position:
             df = with_position(df, order, series, position, small=True)

@@ -364,6 +364,48 @@ def computed_dates(t):
     return out.withColumns({"y": F.col("y").cast("bigint"), "q": F.col("q").cast("bigint")})
 
 
+@query("computed_along_order", "P-5 P-6 U-1 2.9 pandas", """
+WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderdate AS d, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_totalprice END::DOUBLE AS v FROM orders)
+SELECT k, coalesce(lag(v) OVER s, CASE WHEN row_number() OVER s = 1 THEN 0 END) AS prev, v - lead(v) OVER s AS step, v / nullif(lag(v, 2) OVER s, 0) - 1 AS change,
+  CASE WHEN v IS NOT NULL THEN sum(v) OVER s END AS total, CASE WHEN v IS NOT NULL THEN max(v) OVER s END AS top,
+  CASE WHEN v IS NOT NULL THEN min(v) OVER s END AS low, last_value(v IGNORE NULLS) OVER s AS known,
+  CASE WHEN count(v) OVER t = 3 THEN avg(v) OVER t END AS mean3, CASE WHEN count(*) OVER t = 3 THEN count(v) OVER t END AS n3, avg(v) OVER s AS so_far,
+  CASE WHEN v IS NOT NULL THEN v - (SELECT avg(v) FROM o) - lag(v) OVER s + (SELECT avg(v) FROM o) END AS centred
+FROM o WINDOW s AS (PARTITION BY c ORDER BY d, k ROWS UNBOUNDED PRECEDING), t AS (PARTITION BY c ORDER BY d, k ROWS 2 PRECEDING)""",
+       rounded="prev step change total top low known mean3 so_far centred", digits=4)
+def computed_along_order(t):
+    df = t.orders.selectExpr("o_orderkey AS k", "o_custkey AS c", "o_orderdate AS d", "double(IF(o_orderkey % 9 = 0, NULL, o_totalprice)) AS v")
+    texts = {
+        "prev": "v.shift(1, fill_value=0)", "step": "v.diff(-1)", "change": "v.pct_change(periods=2)", "total": "v.cumsum()", "top": "v.cummax()",
+        "low": "v.cummin()", "known": "v.ffill()", "mean3": "v.rolling(3).mean()", "n3": "v.rolling(3).count()", "so_far": "v.expanding().mean()",
+        "centred": "(v - v.mean()).diff()"}
+    return C.add_many_computed(df, texts, order_by=["d", "k"], series=["c"]).select("k", *texts)
+
+
+@query("computed_ranks", "P-5 P-6 U-1 2.9 pandas", """
+SELECT p_partkey, rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0 AS middle,
+  rank() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC)::DOUBLE AS low, dense_rank() OVER (PARTITION BY p_brand ORDER BY p_size)::DOUBLE AS dense,
+  cume_dist() OVER (ORDER BY p_size) AS share FROM part""", rounded="middle share", digits=9)
+def computed_ranks(t):
+    df = t.part
+    for name, text, series in (
+            ("middle", "p_size.rank()", []), ("low", "p_retailprice.rank(method='min', ascending=False)", ["p_brand"]),
+            ("dense", "p_size.rank(method='dense')", ["p_brand"]), ("share", "p_size.rank(method='max', pct=True)", [])):
+        df = C.add_computed(df, name, text, order_by=["p_partkey"], series=series)
+    return df.select("p_partkey", "middle", "low", "dense", "share")
+
+
+@query("filter_along_order", "P-10 P-11 U-3", """
+SELECT o_orderkey, o_totalprice FROM (SELECT o_orderkey, o_totalprice, lag(o_totalprice) OVER w AS a, lead(o_custkey) OVER w AS b, o_custkey, max(o_totalprice) OVER w AS m
+  FROM orders WINDOW w AS (ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING))
+WHERE o_totalprice - a > 1000 AND NOT b > o_custkey AND NOT (m = o_totalprice)""")
+def filter_along_order(t):
+    order = ["o_orderdate", "o_orderkey"]
+    kept = C.delete_rows(t.orders, "~(o_totalprice.diff() > 1000) or o_totalprice.shift(1).isnull() or ~~(o_custkey.shift(-1) > o_custkey) or "
+                         "o_custkey.shift(-1).isnull() or o_totalprice == o_totalprice.cummax()", order_by=order)
+    return kept.select("o_orderkey", "o_totalprice")
+
+
 @query("scalar_generators", "2.9 numpy generators", """
 SELECT s_suppkey, (list_sum([2.0 + i * 0.5 FOR i IN range(0, 5)]) + s_suppkey)::DOUBLE AS lin, len(range(0, s_suppkey + 1)) AS seq,
        CAST(0 AS DOUBLE) AS zeros FROM supplier""")
