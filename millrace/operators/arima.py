@@ -9,6 +9,7 @@ Rows are numbered and packed into blocks once; every step of the fit (Gauss-Newt
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -29,33 +30,80 @@ def _differenced(y: np.ndarray, d: int) -> np.ndarray:
     return w
 
 
+def recursed(x: np.ndarray, theta: np.ndarray) -> np.ndarray:
+    """v with v_t = x_t - theta_1 v_{t-1} - .. - theta_q v_{t-q} along each row of ``x``, from 0.
+
+    Pieces of the rows run side by side from 0; what a piece takes over from the one before is added as responses to a unit before it.
+    """
+    many, rows = x.shape
+    q = len(theta)
+    length = max(q, math.ceil(math.sqrt(rows)))
+    pieces = max(1, -(-rows // length))
+    v = np.zeros((many + q, pieces, q + length))  # the last q rows respond to a unit in one of the q places before the first
+    v[:many].reshape(many, pieces, -1)[:, :, q:] = np.pad(x, ((0, 0), (0, pieces * length - rows))).reshape(many, pieces, length)
+    for j in range(q):
+        v[many + j, :, q - 1 - j] = 1.0
+    for t in range(q, q + length):
+        for j in range(q):
+            v[:, :, t] -= theta[j] * v[:, :, t - 1 - j]
+    own, unit = v[:many, :, q:], v[many:, 0, q:]
+    before = np.zeros((many, q))  # the values 1 .. q places before a piece
+    for i in range(pieces):
+        if before.any():
+            own[:, i] += before @ unit
+        before = own[:, i, ::-1][:, :q]
+    return own.reshape(many, -1)[:, :rows]
+
+
+def responses(rows: int, theta: np.ndarray) -> np.ndarray:
+    """By place 1 .. q before the first row: what the recursion makes of a unit there, over the rows."""
+    q = len(theta)
+    x = np.zeros((q, rows))
+    for j in range(q):  # the unit j + 1 places before row 0 enters row t by the weight of lag t + j + 1
+        for t in range(min(rows, q - j)):
+            x[j, t] = -theta[t + j]
+    return recursed(x, theta)
+
+
 def block_map(y: np.ndarray, pos: np.ndarray, home: np.ndarray, beta: np.ndarray, p: int, d: int, q: int) -> tuple[np.ndarray, np.ndarray, int]:
     """(G, M, n): with u = (1, state before), sums of products are u' G u by pairs of quantities and the state after is M u; n errors.
 
     Quantities are the error and its derivatives by the constant, the ``p`` and the ``q`` weights; the state is the last ``q`` of each.
+    Every quantity is one given by the values plus responses to the state, which are few: products are summed over these alone.
     """
     w = _differenced(y, d)
     at = np.flatnonzero(home & (pos >= p + d))
-    kinds, wide = 2 + p + q, 1 + q * (2 + p + q)
-    lags = np.stack([w[at - i] for i in range(1, p + 1)], 1) if p else np.zeros((len(at), 0))
-    given = np.zeros((len(at), kinds))  # what each quantity gets from the values alone
+    kinds, wide, n = 2 + p + q, 1 + q * (2 + p + q), len(at)
+    lags = np.stack([w[at - i] for i in range(1, p + 1)], 1) if p else np.zeros((n, 0))
+    given = np.zeros((n, kinds))  # what each quantity gets from the values alone
     given[:, 0] = w[at] - beta[0] - lags @ beta[1:1 + p]
     given[:, 1] = -1.0
     given[:, 2:2 + p] = -lags
     if not q:
-        return (given.T @ given).reshape(kinds, 1, kinds, 1), np.zeros((0, 1)), len(at)
+        return (given.T @ given).reshape(kinds, 1, kinds, 1), np.zeros((0, 1)), n
     theta = beta[1 + p:]
-    state = np.zeros((q, kinds, wide))
-    state.reshape(-1, wide)[np.arange(q * kinds), 1 + np.arange(q * kinds)] = 1.0
-    gram = np.zeros((kinds * wide, kinds * wide))
-    for row in given:
-        x = -np.tensordot(theta, state, 1)
-        x[:, 0] += row
-        x[2 + p:] -= state[:, 0]
-        flat = x.ravel()
-        gram += flat[:, None] * flat
-        state = np.concatenate([x[None], state[:-1]])
-    return gram.reshape(kinds, wide, kinds, wide), state.reshape(-1, wide), len(at)
+    plain, unit = recursed(given[:, :2 + p].T, theta), responses(n, theta)
+
+    def later(e: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """For each weight the values of ``e`` as many places before, with ``start`` (1 .. q places before row 0) before them."""
+        line = np.concatenate([start[::-1], e])
+        return np.stack([line[q - 1 - i:q - 1 - i + n] for i in range(q)])
+
+    by_weight = recursed(-later(plain[0], np.zeros(q)), theta)
+    mixed = [recursed(-later(unit[j], np.eye(q)[j]), theta) for j in range(q)]
+    basis = np.concatenate([plain, by_weight, unit, *mixed])
+    pick = np.zeros((kinds, wide, len(basis)))  # what of the basis each quantity takes by each number of u
+    first = np.zeros((q, kinds, wide))
+    for a in range(kinds):
+        pick[a, 0, a] = 1.0
+        for j in range(q):
+            pick[a, 1 + j * kinds + a, kinds + j] = first[j, a, 1 + j * kinds + a] = 1.0
+            if a >= 2 + p:
+                pick[a, 1 + j * kinds, kinds + q + j * q + a - 2 - p] = 1.0
+    flat = pick.reshape(-1, len(basis))
+    gram = flat @ (basis @ basis.T) @ flat.T
+    state = [(flat @ basis[:, n - 1 - j]).reshape(kinds, wide) if j < n else first[j - n] for j in range(q)]
+    return gram.reshape(kinds, wide, kinds, wide), np.concatenate(state), n
 
 
 def put_together(maps: Sequence[tuple[np.ndarray, np.ndarray]], kinds: int, q: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -167,9 +215,7 @@ def fitted_errors(df: DataFrame, value: str, order_by: Sequence[str], p: int, d:
                 e = w[at] - beta[0] - (np.stack([w[at - i] for i in range(1, p + 1)], 1) @ beta[1:1 + p] if p else 0.0)
                 if q:
                     theta, last = beta[1 + p:], np.asarray(row["_start"], float).reshape(q, count)[:, 0]
-                    for t in range(len(e)):
-                        e[t] -= theta @ last
-                        last = np.concatenate([[e[t]], last[:-1]])
+                    e = recursed(e[None], theta)[0] + last @ responses(len(e), theta)
                 yield pd.DataFrame({**{c: pd.Series([row[c]] * len(at), dtype=object) for c in by}, "_at": pos[at], "_e": e})
 
     ready = ordered.by_series(ordered.by_series(packed, begun, [*by, "_b"]), final.select(*by, "_tried"), by)
