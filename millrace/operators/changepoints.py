@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from millrace import ordered
+from millrace.session import cut_lineage
 
 # Rows up to which a series is searched whole, by cost; a cost that is not named has no limit.
 BLOCK_ROWS: dict[str, int] = {}
@@ -183,11 +184,13 @@ def _merge(data: DataFrame, found: DataFrame, stats: DataFrame, order_by, series
 
 def segments(df: DataFrame, value: str, order_by: Sequence[str], points: DataFrame, series: Sequence[str] = ()) -> DataFrame:
     """(series..., segment, start, end, mean, std, samples) between change points."""
-    data = ordered.with_position(df.where(F.col(value).isNotNull()), order_by, series, "_at")
-    marks = points.select(*series, F.col("position").alias("_at"), F.lit(1).alias("_new"))
-    marked = ordered.by_series(data, marks, [*series, "_at"], "left")
-    cut = ordered.running_sum(marked, ["_at"], {"_seg": F.coalesce("_new", F.lit(0))}, series)
     first = order_by[0]
+    known = df.where(F.col(value).isNotNull()).select(*dict.fromkeys([*series, *order_by, value]))
+    data = ordered.with_position(known, order_by, series, "_at").select(*dict.fromkeys([*series, first, value, "_at"]))
+    marks = points.select(*series, F.col("position").alias("_at"), F.lit(1).alias("_new"))
+    marked = cut_lineage(ordered.by_series(data, marks, [*series, "_at"], "left"))  # read for the sizes, the sums of blocks and the rows
+    block = F.floor(F.col("_at") / ordered.part_rows(df))
+    cut = ordered.running_sum(marked, ["_at"], {"_seg": F.coalesce("_new", F.lit(0))}, series, bucket=block)
     return cut.groupBy(*series, (F.col("_seg") + 1).cast("bigint").alias("segment")).agg(
         F.min(first).alias("start"), F.max(first).alias("end"), F.avg(value).alias("mean"),
         F.stddev_pop(value).alias("std"), F.count(F.lit(1)).alias("samples"))

@@ -22,6 +22,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from millrace.session import cut_lineage
+
 BUCKET = "_mr_bucket"
 POSITION = "_mr_pos"
 BLOCK = "_mr_block"
@@ -38,6 +40,11 @@ def _setting(df: DataFrame, name: str, default: int) -> int:
     return int(df.sparkSession.conf.get(f"millrace.{name}", str(default)))
 
 
+def part_rows(df: DataFrame) -> int:
+    """Rows of a bucket where the order itself tells them apart (a position, an even hash)."""
+    return min(_setting(df, "rowsPerBucket", ROWS_PER_BUCKET), SMALL_GROUP)
+
+
 def largest_group(df: DataFrame, series: Sequence[str]) -> int:
     """Rows of the largest series (of the table, when no series is named)."""
     if not series:
@@ -118,7 +125,8 @@ def carry(
         step = F.col(BUCKET) if scope == "before" else F.col(BUCKET).desc()
         across = across.orderBy(step).rowsBetween(W.unboundedPreceding, -1)
     keys = [BUCKET, *series]
-    per_bucket = bucketed.groupBy(*keys).agg(*[a.alias(n) for n, (a, _) in summary.items()])
+    # Written once, its size is known and, where small, it is sent to the rows instead of these being dealt anew.
+    per_bucket = cut_lineage(bucketed.groupBy(*keys).agg(*[a.alias(n) for n, (a, _) in summary.items()]))
     # Lead names out of the way so the join condition is unambiguous.
     side = per_bucket.select(
         *[F.col(k).alias(f"_r_{k}") for k in keys],
@@ -138,11 +146,12 @@ def by_series(left: DataFrame, right: DataFrame, series: Sequence[str], how: str
 
 def running_sum(
     df: DataFrame, order: Sequence[str], sums: dict[str, Column], series: Sequence[str] = (),
-    totals: dict[str, Column] | None = None, small: bool | None = None,
+    totals: dict[str, Column] | None = None, small: bool | None = None, bucket: Column | None = None,
 ) -> DataFrame:
     """Add inclusive running sums (and whole-series totals) along ``order``.
 
-    Here and below ``small`` says what ``is_small`` would find out, where the caller knows it.
+    Here and below ``small`` says what ``is_small`` would find out, where the caller knows it. ``bucket``, where given, ascends
+    along the order in parts of bounded size, as a position over a number of rows does, and no edges are looked for.
     """
     totals = totals or {}
     if is_small(df, series) if small is None else small:
@@ -153,7 +162,7 @@ def running_sum(
             *[F.sum(c).over(run).alias(n) for n, c in sums.items()],
             *[F.sum(c).over(w).alias(n) for n, c in totals.items()],
         )
-    b = with_bucket(df, [*series, *order])
+    b = with_bucket(df, [*series, *order]) if bucket is None else df.withColumn(BUCKET, bucket)
     run = bucket_window(order, series).rowsBetween(W.unboundedPreceding, 0)
     for i, (n, c) in enumerate(sums.items()):
         b = b.withColumn(f"_term{i}", c)
@@ -280,15 +289,16 @@ def framed(
 
 def blocked(
     df: DataFrame, order: Sequence[str], before: int = 0, after: int = 0, series: Sequence[str] = (),
-    rows: int | None = None, small: bool | None = None,
+    rows: int | None = None, small: bool | None = None, position: str | None = None,
 ) -> DataFrame:
     """Rows with ``POSITION``, cut into blocks (``BLOCK``) of at most ``rows`` rows per series.
 
     Rows within ``before`` / ``after`` of a border also appear in the next / previous block,
     there with ``HOME`` false. A (series, block) group is bounded, so it may be one task's work.
+    ``position`` names a column that already holds the 0-based position.
     """
     size = max(rows or _setting(df, "rowsPerBucket", ROWS_PER_BUCKET), before, after, 1)
-    pos = with_position(df, order, series, small=small)
+    pos = with_position(df, order, series, small=small) if position is None else df.withColumn(POSITION, F.col(position))
     block = F.floor(F.col(POSITION) / size)
     inside = F.col(POSITION) % size
     away = lambda b: F.struct(b.alias("b"), F.lit(False).alias("h"))
