@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from millrace import ordered
 from millrace.operators import forecast as FC
 from millrace.operators import timeseries as T
+from millrace.session import cut_lineage
 
 
 def _kinds(df: DataFrame, series: Sequence[str]) -> str:
@@ -24,15 +25,16 @@ def _kinds(df: DataFrame, series: Sequence[str]) -> str:
 
 
 def _centred(df: DataFrame, value: str, order_by: Sequence[str], series: Sequence[str]) -> DataFrame:
-    """(series..., order..., _y, _m, _n): known values, their mean and number by series."""
+    """(series..., _at, _y, _m, _n): known values numbered once along the order, their mean and number by series."""
     data = df.where(F.col(value).isNotNull()).select(*series, *order_by, F.col(value).cast("double").alias("_y"))
+    data = cut_lineage(ordered.with_position(data, order_by, series, "_at").select(*series, "_at", "_y"))
     stats = data.groupBy(*series).agg(F.avg("_y").alias("_m"), F.count("_y").alias("_n"))
-    return ordered.by_series(data, stats, series)
+    return ordered.by_series(data, cut_lineage(stats), series)
 
 
-def _sums(data: DataFrame, order_by: Sequence[str], series: Sequence[str], reach: int, extra: Sequence[str], compute: Callable) -> DataFrame:
+def _sums(data: DataFrame, series: Sequence[str], reach: int, extra: Sequence[str], compute: Callable) -> DataFrame:
     """(series..., extra..., _s): sums over blocks of ``compute(values, home, positions, extras)``; extras are constant by series."""
-    blocks = ordered.blocked(data.select(*series, *order_by, "_y", *extra), order_by, before=reach, series=series)
+    blocks = ordered.blocked(data.select(*series, "_at", "_y", *extra), ["_at"], before=reach, series=series, rows=T.BLOCK_ROWS, position="_at")
     by = [*series, *extra]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -61,13 +63,12 @@ def _finished(rows: DataFrame, keep: Sequence[str], fn: Callable, schema: str) -
     return rows.mapInPandas(run, f"{_kinds(rows, keep)}, {schema}")
 
 
-def _products(data: DataFrame, order_by: Sequence[str], series: Sequence[str], reach: int, extra: Sequence[str] = ("_n", "_lags")) -> DataFrame:
+def _products(data: DataFrame, series: Sequence[str], reach: int, extra: Sequence[str] = ("_n", "_lags")) -> DataFrame:
     """``_s``: sums of z_t z_{t-k} for k = 0 .. ``_lags`` of the centred values."""
     def compute(z, home, _, n, lags):
-        at = np.flatnonzero(home)
-        return [(z[at[at >= k]] * z[at[at >= k] - k]).sum() for k in range(int(lags) + 1)]
+        return T.shifted_products(z, home, int(lags))
 
-    return _sums(data.withColumn("_y", F.col("_y") - F.col("_m")), order_by, series, reach, extra, compute)
+    return _sums(data.withColumn("_y", F.col("_y") - F.col("_m")), series, reach, extra, compute)
 
 
 def autocorrelation(df: DataFrame, value: str, order_by: Sequence[str], series: Sequence[str], lags: int = 40) -> DataFrame:
@@ -79,12 +80,29 @@ def autocorrelation(df: DataFrame, value: str, order_by: Sequence[str], series:
         r = s / s[0] if s[0] else np.full(len(s), np.nan)
         return [(k, float(r[k]), p) for k, p in enumerate(T.partial_correlations(r))]
 
-    return _finished(_products(data, order_by, series, lags), series, finish, "lag int, acf double, pacf double")
+    return _finished(_products(data, series, lags), series, finish, "lag int, acf double, pacf double")
+
+
+def _partial_sums(data: DataFrame, series: Sequence[str]) -> DataFrame:
+    """(series..., _parts): by block in order the rows, the sum of the centred values, and the sums of their running sums and of the squares of these."""
+    blocks = ordered.blocked(data.select(*series, "_at", (F.col("_y") - F.col("_m")).alias("_z")), ["_at"], series=series, rows=T.BLOCK_ROWS, position="_at")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        first, p = pdf.iloc[0], pdf.sort_values(ordered.POSITION)["_z"].to_numpy().cumsum()
+        named = {c: pd.Series([first[c]], dtype=object) for c in series}
+        return pd.DataFrame({**named, "_b": [first[ordered.BLOCK]], "_p": [[float(len(p)), p[-1], p.sum(), p @ p]]})
+
+    parts = blocks.select(*series, ordered.BLOCK, ordered.POSITION, "_z").groupBy(*series, ordered.BLOCK).applyInPandas(
+        run, f"{_kinds(data, series)}, _b long, _p array<double>")
+    return parts.groupBy(*series).agg(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_p"))), lambda r: r["_p"]).alias("_parts"))
 
 
 def kpss(df: DataFrame, value: str, order_by: Sequence[str], series: Sequence[str]) -> DataFrame:
     """(series..., kpss, pvalue, lags): level stationarity, lags chosen from the data of each series."""
-    data = _centred(df, value, order_by, series)
+    return _kpss(_centred(df, value, order_by, series), series)
+
+
+def _kpss(data: DataFrame, series: Sequence[str]) -> DataFrame:
     most = data.agg(F.max("_n")).first()[0] or 1
     first = data.withColumn("_lags", F.floor(F.pow("_n", F.lit(2 / 9))).cast("int"))
 
@@ -94,34 +112,30 @@ def kpss(df: DataFrame, value: str, order_by: Sequence[str], series: Sequence[st
         s1 = (np.arange(1, len(c)) * 2 * c[1:] / n).sum()
         return [(int(min(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3), n - 1)) if s0 else 0,)]
 
-    chosen = _finished(_products(first, order_by, series, int(most ** (2 / 9)) + 1), series, choose, "_lags int")
+    chosen = cut_lineage(_finished(_products(first, series, int(most ** (2 / 9)) + 1), series, choose, "_lags int"))
     second = ordered.by_series(data, chosen, series)
-    reach = second.agg(F.max("_lags")).first()[0] or 0
-    sums = _products(second, order_by, series, reach)
-    run = ordered.running_sum(data.select(*series, *order_by, (F.col("_y") - F.col("_m")).alias("_z")), order_by, {"_p": F.col("_z")}, series)
-    eta = run.groupBy(*series).agg(F.sum(F.col("_p") * F.col("_p")).alias("_eta"))
+    reach = chosen.agg(F.max("_lags")).first()[0] or 0
+    sums = _products(second, series, reach)
 
     def finish(row):
         c, n, lags = np.array(row["_s"]), row["_n"], int(row["_lags"])
         k = np.arange(1, lags + 1)
         long_run = (c[0] + 2 * (c[1:] * (1 - k / (lags + 1))).sum()) / n
-        stat = row["_eta"] / n**2 / long_run if long_run else math.inf
+        start = eta = 0.0
+        for rows, total, once, square in row["_parts"]:
+            eta += square + 2 * start * once + rows * start * start
+            start += total
+        stat = eta / n**2 / long_run if long_run else math.inf
         return [(float(stat), float(np.interp(stat, T.KPSS_CRITICAL, T.KPSS_P)), lags)]
 
-    return _finished(ordered.by_series(sums, eta, series), series, finish, "kpss double, pvalue double, lags int")
+    return _finished(ordered.by_series(sums, _partial_sums(data, series), series), series, finish, "kpss double, pvalue double, lags int")
 
 
-def _gram(data: DataFrame, order_by: Sequence[str], series: Sequence[str], reach: int) -> DataFrame:
+def _gram(data: DataFrame, series: Sequence[str], reach: int) -> DataFrame:
     def compute(y, home, pos, n, lags):
-        lags = int(lags)
-        width, d = lags + 3, np.diff(y, prepend=np.nan)
-        at = np.flatnonzero(home & (pos >= lags + 1))
-        if not len(at):
-            return np.zeros(width * width + 1)
-        m = np.column_stack([d[at], np.ones(len(at)), y[at - 1], *[d[at - k] for k in range(1, lags + 1)]])
-        return np.append((m.T @ m).ravel(), len(at))
+        return T.lagged_gram(y, home, pos, int(lags))
 
-    return _sums(data, order_by, series, reach + 1, ("_n", "_lags"), compute)
+    return _sums(data, series, reach + 1, ("_n", "_lags"), compute)
 
 
 def _square(row) -> tuple[np.ndarray, int]:
@@ -132,7 +146,10 @@ def _square(row) -> tuple[np.ndarray, int]:
 
 def adf(df: DataFrame, value: str, order_by: Sequence[str], series: Sequence[str], max_lag: int | None = None) -> DataFrame:
     """(series..., adf, pvalue, lags): unit-root test with a constant, lags by AIC in each series."""
-    data = _centred(df, value, order_by, series)
+    return _adf(_centred(df, value, order_by, series), series, max_lag)
+
+
+def _adf(data: DataFrame, series: Sequence[str], max_lag: int | None = None) -> DataFrame:
     top = F.lit(max_lag) if max_lag is not None else F.greatest(F.lit(0), F.least(
         F.ceil(12 * F.pow(F.col("_n") / 100, F.lit(0.25))), F.floor(F.col("_n") / 2) - 2))
     first = data.withColumn("_lags", top.cast("int"))
@@ -141,7 +158,7 @@ def adf(df: DataFrame, value: str, order_by: Sequence[str], series: Sequence[str
         g, rows = _square(row)
         return [(min(range(int(row["_lags"]) + 1), key=lambda p: T._least_squares(g, rows, p)[1]),)]
 
-    chosen = _finished(_gram(first, order_by, series, first.agg(F.max("_lags")).first()[0] or 0), series, choose, "_lags int")
+    chosen = cut_lineage(_finished(_gram(first, series, first.agg(F.max("_lags")).first()[0] or 0), series, choose, "_lags int"))
     second = ordered.by_series(data, chosen, series)
 
     def finish(row):
@@ -149,15 +166,15 @@ def adf(df: DataFrame, value: str, order_by: Sequence[str], series: Sequence[str
         t = T._least_squares(g, rows, int(row["_lags"]))[0]
         return [(float(t), T.adf_pvalue(t), int(row["_lags"]))]
 
-    return _finished(_gram(second, order_by, series, second.agg(F.max("_lags")).first()[0] or 0), series, finish, "adf double, pvalue double, lags int")
+    return _finished(_gram(second, series, chosen.agg(F.max("_lags")).first()[0] or 0), series, finish, "adf double, pvalue double, lags int")
 
 
 def stationarity(df: DataFrame, value: str, order_by: Sequence[str], series: Sequence[str]) -> DataFrame:
     """(series..., both tests and the verdict) for the series with at least ten values."""
     by = list(series)
     counts = df.where(F.col(value).isNotNull()).groupBy(*by).count().where("count >= 10").select(*by)
-    data = ordered.by_series(df, counts, by, "left_semi")
-    both = ordered.by_series(adf(data, value, order_by, by), kpss(data, value, order_by, by).drop("lags").withColumnRenamed("pvalue", "_kp"), by)
+    data = _centred(ordered.by_series(df, cut_lineage(counts), by, "left_semi"), value, order_by, by)
+    both = ordered.by_series(_adf(data, by), _kpss(data, by).drop("lags").withColumnRenamed("pvalue", "_kp"), by)
     a, k = F.col("pvalue") < 0.05, F.col("_kp") > 0.05
     verdict = F.when(a & k, "stationary").when(~a & ~k, "non_stationary").otherwise("ambiguous")
     return both.select(*by, F.col("adf").alias("adf_statistic"), F.col("pvalue").alias("adf_pvalue"), a.alias("adf_is_stationary"),
@@ -179,9 +196,9 @@ def forecast(df: DataFrame, value: str, order_by: Sequence[str], series: Sequenc
     A season is used as given for every series; a series shorter than two periods is forecast from what it has.
     """
     by = list(series)
-    data = ordered.with_position(
-        df.where(F.col(value).isNotNull()).select(*by, *order_by, F.col(value).cast("double").alias("_y")), order_by, by, "_at")
-    sizes = data.groupBy(*by).agg(F.floor(F.count("_y") * train_pct / 100).alias("_size"))
+    data = cut_lineage(ordered.with_position(
+        df.where(F.col(value).isNotNull()).select(*by, *order_by, F.col(value).cast("double").alias("_y")), order_by, by, "_at").select(*by, "_at", "_y"))
+    sizes = cut_lineage(data.groupBy(*by).agg(F.floor(F.count("_y") * train_pct / 100).alias("_size")))
     train = ordered.by_series(data, sizes, by).where("_at < _size").select(*by, "_at", "_y", "_size")
     tail = train.where(F.col("_at") >= F.col("_size") - max(window, 10))
     last = tail.groupBy(*by, "_size").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_y"))), lambda r: r["_y"]).alias("_last"))

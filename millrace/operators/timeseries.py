@@ -25,6 +25,7 @@ from millrace.operators.values import DATE_FORMATS, DATETIME_FORMATS
 from millrace.quantiles import count_quantiles, literal
 
 # Resampling rule -> length of a period.
+BLOCK_ROWS = 100_000  # rows whose lagged products one task sums
 RULES = {"Y": "1 YEAR", "M": "1 MONTH", "W": "7 DAY", "D": "1 DAY", "h": "1 HOUR", "min": "1 MINUTE", "s": "1 SECOND"}
 
 
@@ -246,7 +247,7 @@ def _block_sums(df: DataFrame, value: str, order_by: Sequence[str], reach: int,
     Every block is bounded and holds the ``reach`` rows before it; one short row per block is
     added up by Spark.
     """
-    data = ordered.blocked(df.select(*order_by, F.col(value).cast("double").alias("_y")), order_by, before=reach)
+    data = ordered.blocked(df.select(*order_by, F.col(value).cast("double").alias("_y")), order_by, before=reach, rows=BLOCK_ROWS)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ordered.POSITION)
@@ -259,16 +260,19 @@ def _block_sums(df: DataFrame, value: str, order_by: Sequence[str], reach: int,
     return np.array([r["s"] for r in sums.orderBy("i").collect()])
 
 
+def shifted_products(z: np.ndarray, home: np.ndarray, lags: int) -> np.ndarray:
+    """Sums of z_t z_{t-k} over the home rows t (consecutive) of a block, for k = 0..lags."""
+    at = np.flatnonzero(home)
+    if not len(at):
+        return np.zeros(lags + 1)
+    first, end = int(at[0]), int(at[-1]) + 1
+    return np.array([z[max(first, k):end] @ z[max(first, k) - k:max(end - k, 0)] if end > k else 0.0 for k in range(lags + 1)])
+
+
 def lag_products(df: DataFrame, value: str, order_by: Sequence[str], lags: int) -> tuple[np.ndarray, int]:
     """Sums of (y_t - mean)(y_{t-k} - mean) for k = 0..lags, and the number of rows."""
     mean, n = df.agg(F.avg(value), F.count(value)).first()
-
-    def compute(y, home, _):
-        z = y - mean
-        at = np.flatnonzero(home)
-        return np.array([(z[at[at >= k]] * z[at[at >= k] - k]).sum() for k in range(lags + 1)])
-
-    return _block_sums(df, value, order_by, lags, compute), n
+    return _block_sums(df, value, order_by, lags, lambda y, home, _: shifted_products(y - mean, home, lags)), n
 
 
 def partial_correlations(r: np.ndarray) -> list[float]:
@@ -292,19 +296,42 @@ def autocorrelation(df: DataFrame, value: str, order_by: Sequence[str], lags: in
     return df.sparkSession.createDataFrame(rows, "lag int, acf double, pacf double")
 
 
-def _gram(df: DataFrame, value: str, order_by: Sequence[str], lags: int) -> tuple[np.ndarray, int]:
-    """Cross products of [dy_t, 1, y_{t-1}, dy_{t-1} .. dy_{t-lags}] over all rows with every lag."""
+def lagged_gram(y: np.ndarray, home: np.ndarray, pos: np.ndarray, lags: int) -> np.ndarray:
+    """Cross products of [dy_t, 1, y_{t-1}, dy_{t-1} .. dy_{t-lags}] over the home rows t with every lag, then their number.
+
+    A product of two lagged differences is that of the lags one less, with a row more at the start and one less at the end: only
+    the products with dy_t and y_{t-1} run over the rows, and no table of all lags is made.
+    """
     width = lags + 3
+    at = np.flatnonzero(home & (pos >= lags + 1))
+    if not len(at):
+        return np.zeros(width * width + 1)
+    d, first, end = np.diff(y, prepend=np.nan), int(at[0]), int(at[-1]) + 1
+    ends = np.arange(1, lags + 1)
+    into, out, now, before = d[first - ends], d[end - ends], d[first:end], y[first - 1:end - 1]
+    products, sums, levels = (np.zeros(lags + 1) for _ in range(3))
+    for k in range(lags + 1):
+        lagged = d[first - k:end - k]
+        products[k], levels[k] = now @ lagged, before @ lagged
+    sums[0] = now.sum()
+    sums[1:] = sums[0] + np.cumsum(into - out)
+    both = np.zeros((lags + 1, lags + 1))
+    both[0] = both[:, 0] = products
+    for i in range(lags):
+        both[i + 1, 1:] = both[i, :-1] + into[i] * into - out[i] * out
+    gram, place = np.zeros((width, width)), np.array([0, *range(3, width)])
+    gram[np.ix_(place, place)] = both
+    gram[1, place] = gram[place, 1] = sums
+    gram[2, place] = gram[place, 2] = levels
+    gram[1, 1], gram[2, 2] = len(at), before @ before
+    gram[1, 2] = gram[2, 1] = before.sum()
+    return np.append(gram.ravel(), len(at))
 
-    def compute(y, home, pos):
-        d = np.diff(y, prepend=np.nan)
-        at = np.flatnonzero(home & (pos >= lags + 1))
-        if not len(at):
-            return np.zeros(width * width + 1)
-        m = np.column_stack([d[at], np.ones(len(at)), y[at - 1], *[d[at - k] for k in range(1, lags + 1)]])
-        return np.append((m.T @ m).ravel(), len(at))
 
-    sums = _block_sums(df, value, order_by, lags + 1, compute)
+def _gram(df: DataFrame, value: str, order_by: Sequence[str], lags: int) -> tuple[np.ndarray, int]:
+    """``lagged_gram`` over all rows with every lag."""
+    width = lags + 3
+    sums = _block_sums(df, value, order_by, lags + 1, lambda y, home, pos: lagged_gram(y, home, pos, lags))
     return sums[:-1].reshape(width, width), int(sums[-1])
 
 
