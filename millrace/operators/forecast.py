@@ -21,6 +21,8 @@ COARSE, SLOW = (0.05, 0.2, 0.5, 0.9), (0.02, 0.2)
 SEARCH, SETTLED, ROUNDS, LEAST, MOST = {False: 0.01, True: 0.1}, 1e-3, 40, 1e-4, 1 - 1e-4
 #: Rows that one task runs through.
 BLOCK_ROWS = 50_000
+#: Rows of a piece of a block (up to a whole number of periods), and how many numbers the maps of pieces run side by side may take.
+PIECE_ROWS, PIECE_NUMBERS = 200, 500_000
 
 
 def _split(df: DataFrame, value: str, order_by: Sequence[str], train_pct: float) -> tuple[DataFrame, int, int]:
@@ -34,30 +36,60 @@ def block_maps(y: np.ndarray, sets: np.ndarray, trend: bool, period: int, phase:
     """What additive smoothing does to any state over these rows, for each set of weights: a row of numbers that ``composed`` reads.
 
     With u = (1, state before the rows), the state after them is M u, the sum of one-step errors t u and that of their squares u' G u, as
-    every step is linear. So the rows are run once with no state, and once with each unit state and no values.
+    every step is linear. So the rows are run once with no state, and once with each unit state and no values. Pieces of the rows (of
+    whole periods) run side by side, and what they do is put together in order.
     """
     n, wide = len(sets), 2 + trend + period
-    alpha, beta, gamma = sets.T[:, :, None]
-    level, slope, season = np.zeros((n, wide)), np.zeros((n, wide)), np.zeros((max(period, 1), n, wide))
-    level[:, 1] = 1
+    length = math.ceil(PIECE_ROWS / max(period, 1)) * max(period, 1)
+    pieces = max(1, PIECE_NUMBERS // (n * wide * wide))
+    whole, parts = len(y) // length * length, []
+    if pieces > 1:
+        for at in range(0, whole, length * pieces):
+            parts.append(_one_after_another(_piece_maps(y[at:min(whole, at + length * pieces)].reshape(-1, length), sets, trend, period, phase)))
+    else:
+        whole = 0
+    if whole < len(y) or not parts:
+        parts.append(_piece_maps(y[None, whole:], sets, trend, period, phase))
+    gram, total, state = _one_after_another(tuple(np.concatenate(p, axis=1) for p in zip(*parts)))
+    return np.concatenate([gram.reshape(n, -1), total.reshape(n, -1), state.reshape(n, -1)], axis=1)
+
+
+def _piece_maps(y: np.ndarray, sets: np.ndarray, trend: bool, period: int, phase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(G, t, M) by set and piece, for the pieces of equal length that are the rows of ``y`` and start at one phase."""
+    n, many, wide = len(sets), len(y), 2 + trend + period
+    alpha, beta, gamma = sets.T[:, :, None, None]
+    level, slope, season = np.zeros((n, many, wide)), np.zeros((n, many, wide)), np.zeros((max(period, 1), n, many, wide))
+    level[..., 1] = 1
     if trend:
-        slope[:, 2] = 1
+        slope[..., 2] = 1
     for i in range(period):
-        season[i, :, 2 + trend + i] = 1
-    gram, total = np.zeros((n, wide, wide)), np.zeros((n, wide))
-    for t, v in enumerate(y):
+        season[i, ..., 2 + trend + i] = 1
+    gram, total = np.zeros((n, many, wide, wide)), np.zeros((n, many, wide))
+    for t in range(y.shape[1]):
         k = (phase + t) % period if period else 0
         e = -(level + slope + season[k])
-        e[:, 0] += v
-        gram += e[:, :, None] * e[:, None, :]
+        e[..., 0] += y[:, t]
+        gram += e[..., :, None] * e[..., None, :]
         total += e
         level = level + slope + alpha * e
         if trend:
             slope = slope + alpha * beta * e
         if period:
             season[k] += gamma * (1 - alpha) * e
-    state = np.stack([level, *([slope] if trend else []), *season[:period]], axis=1)
-    return np.concatenate([gram.reshape(n, -1), total, state.reshape(n, -1)], axis=1)
+    return gram, total, np.stack([level, *([slope] if trend else []), *season[:period]], axis=2)
+
+
+def _one_after_another(maps: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(G, t, M) of all pieces in order, by joining neighbours until one is left."""
+    gram, total, state = maps
+    while gram.shape[1] > 1:
+        even = gram.shape[1] // 2 * 2
+        left, right = ((gram[:, i:even:2], total[:, i:even:2], state[:, i:even:2]) for i in (0, 1))
+        into = np.concatenate([np.zeros_like(left[2][..., :1, :]), left[2]], axis=2)  # what the right piece takes over
+        into[..., 0, 0] = 1
+        joined = (left[0] + into.swapaxes(2, 3) @ right[0] @ into, left[1] + (right[1][..., None, :] @ into)[..., 0, :], right[2] @ into)
+        gram, total, state = (np.concatenate([j, m[:, even:]], axis=1) for j, m in zip(joined, (gram, total, state)))
+    return gram, total, state
 
 
 def composed(maps: Sequence[np.ndarray], state: np.ndarray) -> tuple[float, float, np.ndarray]:
