@@ -63,7 +63,7 @@ def loda(df: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def _tails(df: DataFrame) -> DataFrame:
     """(x, left, right): -log of both empirical tails per distinct value."""
-    counts = df.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
+    counts = cut_lineage(df.groupBy("x").agg(F.count(F.lit(1)).alias("c")))
     run = ordered.running_sum(counts, ["x"], {"cum": F.col("c")}, totals={"n": F.col("c")})
     return run.select(
         "x", (-F.ln(F.col("cum") / F.col("n"))).alias("left"),
@@ -88,21 +88,12 @@ def copod(df: DataFrame, key: Sequence[str]) -> DataFrame:
     return out.withColumn("score", F.greatest(both, _skewed_tail(df))).drop("left", "right")
 
 
-def _neighbours(w: W, k: int, *fields: str) -> Column:
-    """The k rows before and after as (d, j, fields...): distance and relative place."""
-    side = []
-    for j in [*range(-k, 0), *range(1, k + 1)]:
-        at = lambda c, j=j: F.lag(c, -j).over(w) if j < 0 else F.lead(c, j).over(w)
-        side.append(F.when(at("x").isNotNull(), F.struct(
-            F.abs(at("x") - F.col("x")).alias("d"), F.lit(j).alias("j"), *[at(f).alias(f) for f in fields])))
-    return F.array_sort(F.array_compact(F.array(*side)))
-
-
 def knn(df: DataFrame, key: Sequence[str], k: int = KNN_K) -> DataFrame:
-    """Distance to the k-th nearest other row."""
-    out = ordered.framed(df, ["x", *key], lambda w: {"near": _neighbours(w, k)}, k, k)
-    size = F.least(F.lit(k), F.size("near"))
-    return out.withColumn("score", F.get("near", size - 1)["d"]).drop("near")
+    """Distance to the k-th nearest other row (the farthest where there are fewer; null for a single row)."""
+    def compute(x: np.ndarray) -> np.ndarray:
+        return _nearest(x, k)[0][:, -1] if len(x) > 1 else np.full(len(x), np.nan)
+
+    return _by_block(df, key, k, compute)
 
 
 def _by_block(df: DataFrame, key: Sequence[str], reach: int, compute: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
@@ -256,7 +247,7 @@ def qmcd(df: DataFrame, key: Sequence[str]) -> DataFrame:
     width = (hi - lo) or 1.0
     u = (F.col("x") - lo) / width
     t1, t2 = (s1 - n * lo) / width, (s2 - 2 * lo * s1 + n * lo * lo) / width**2
-    counts = df.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
+    counts = cut_lineage(df.groupBy("x").agg(F.count(F.lit(1)).alias("c")))
     run = ordered.running_sum(counts, ["x"], {"cn": F.col("c"), "cs": u * F.col("c")})
     near = u * F.col("cn") - F.col("cs") + (t1 - F.col("cs")) - u * (n - F.col("cn"))
     square = n * u * u - 2 * u * t1 + t2
