@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from millrace import ordered
@@ -26,6 +28,8 @@ SOD_K, SOD_REFS, SOD_ALPHA = 20, 10, 0.8
 LMDD_ROUNDS = 10
 #: Binding reaches the ``SOS_K`` nearest points that differ; the affinity's width is found by halving its logarithm's range.
 SOS_K, SOS_PERPLEXITY, SOS_HALVINGS, SOS_RANGE = 15, 4.5, 60, 27.6
+#: Sorted points that one task binds, those packed into a block whose counts are looked up, and blocks that ask another one together.
+SOS_BLOCK, LOCI_BLOCK, LOCI_PART = 50_000, 25_000, 256
 LOCI_ALPHA, LOCI_LEAST = 0.5, 20
 #: Radii as shares of the range: from 0.02 to 1 in equal ratios.
 LOCI_RADII = tuple(0.02 * 50 ** (i / 7) for i in range(8))
@@ -158,51 +162,105 @@ def lmdd(df: DataFrame, key: Sequence[str], columns: Sequence[str], rounds: int
     return df.join(best, _key(key) == F.col("_id")).drop("_id")
 
 
-def _known_up_to(points: DataFrame, asked: DataFrame, values: Sequence[str]) -> DataFrame:
-    """``asked`` (_at, _side, ...) with the ``values`` of the last of ``points`` (_v, values...) before its place: side 1 takes a point at the
-    place itself, side -1 does not; 0 where there is none."""
-    rest = [c for c in asked.columns if c not in ("_at", "_side")]
-    line = points.select(F.col("_v").alias("_at"), F.lit(0).alias("_side"), *[F.col(c).alias(f"_p{c}") for c in values]).unionByName(asked, allowMissingColumns=True)
-    line = cut_lineage(line)
-    filled = ordered.fill_along(line, [], ["_at", "_side"], forward={f"_p{c}": f"_f{c}" for c in values})
-    return filled.where("_side != 0").select(*rest, "_side", *[F.coalesce(f"_f{c}", F.lit(0.0)).alias(c) for c in values])
+def _counted_within(blocks: DataFrame, before: dict[int, np.ndarray], steps: Sequence[tuple[int, float]], factor: float, powers: int) -> DataFrame:
+    """(_b, _i, _side, _from, _s0 ..): for the sorted values of every block, from place ``_from`` on, running sums at both ends of the
+    interval of ``factor`` times each radius about them: of the copies ``_c`` and, by power up to ``powers``, of ``_c`` times ``_own`` to it.
+
+    An end lies among the values of one block, and the ends of a block's values in consecutive blocks: each such run of ends goes to the
+    block that answers it, in parts of ``LOCI_PART`` asking blocks. Ends before all values have no row. ``before`` holds for every block its
+    first value and, by power and radius, the sums over the blocks before it; it is sent to every task.
+    """
+    order = sorted(before, key=lambda b: before[b][0])
+    firsts, many = np.array([before[b][0] for b in order]), len(steps)
+
+    def ask(batches):
+        for batch in batches:
+            for b, v in zip(batch["_b"], batch["_v"]):
+                for i, r in steps:
+                    for side in (-1, 1):
+                        at = v + side * factor * r
+                        there = np.searchsorted(firsts, at, "right" if side > 0 else "left") - 1
+                        starts = np.flatnonzero(np.r_[True, there[1:] != there[:-1]])
+                        ends = np.r_[starts[1:], len(at)]
+                        out = [(order[there[s]], i, b // LOCI_PART, b, side, int(s), at[s:e]) for s, e in zip(starts, ends) if there[s] >= 0]
+                        yield pd.DataFrame(out, columns=["_to", "_i", "_part", "_b", "_side", "_from", "_ends"])
+
+    asked = cut_lineage(blocks.select("_b", "_v").mapInPandas(ask, "_to long, _i int, _part long, _b long, _side int, _from long, _ends array<double>"))
+    wanted = asked.select(F.col("_to").alias("_t"), F.col("_i").alias("_r"), F.col("_part").alias("_q")).distinct()
+    points = blocks.drop("_t").join(wanted, F.col("_b") == F.col("_t")).select(
+        "_t", "_r", "_q", "_v", "_c", *([F.get("_own", F.col("_r")).alias("_own")] if powers else []))
+    names = [f"_s{p}" for p in range(powers + 1)]
+
+    def answer(kept: tuple, asking: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        to, i, _ = kept
+        v, c = block["_v"].iloc[0], block["_c"].iloc[0]
+        at = [np.searchsorted(v, e, "right" if side > 0 else "left") - 1 for e, side in zip(asking["_ends"], asking["_side"])]
+        out = asking[["_b", "_i", "_side", "_from"]]
+        for p, name in enumerate(names):
+            sums = before[to][1 + p * many + i] + np.cumsum(c * block["_own"].iloc[0] ** p if p else c)
+            out = out.assign(**{name: [sums[x] for x in at]})
+        return out
+
+    return asked.groupBy("_to", "_i", "_part").cogroup(points.groupBy("_t", "_r", "_q")).applyInPandas(
+        answer, "_b long, _i int, _side int, _from long, " + ", ".join(f"{n} array<double>" for n in names))
+
+
+def _sums_before(blocks: DataFrame) -> dict[int, np.ndarray]:
+    """By block the first value, and the sums ``_t`` over the blocks before it: a few numbers a block."""
+    out, total = {}, 0.0
+    for b, first, t in blocks.select("_b", F.get("_v", F.lit(0)), "_t").orderBy("_b").collect():
+        out[b] = np.append(first, np.zeros(len(t)) + total)
+        total = total + np.array(t)
+    return out
+
+
+def _between(part: pd.DataFrame, name: str, size: int, radii: int) -> np.ndarray:
+    """By radius and value the running sum at the upper end of the interval less that at the lower end."""
+    out = np.zeros((radii, size))
+    for i, side, at, found in zip(part["_i"], part["_side"], part["_from"], part[name]):
+        out[i, at:at + len(found)] += side * found
+    return out
 
 
 def loci(df: DataFrame, key: Sequence[str], alpha: float = LOCI_ALPHA, radii: Sequence[float] = LOCI_RADII, least: int = LOCI_LEAST) -> DataFrame:
     """Add ``score`` to (key..., x): by how many standard deviations a row's count within alpha * r falls short of the mean count of the
     rows within r, at the worst of a few radii (shares of the range) at which at least ``least`` rows are that near.
 
-    Counts are differences of running counts at both ends of the interval. The ends are merged with the sorted values, so every
-    lookup is a fill along an order; equal values are one point.
+    Counts are differences of running counts at both ends of the interval. Sorted values are packed into blocks; the ends go to the
+    blocks that hold them as whole runs, where they are looked up; equal values are one point.
     """
-    values = cut_lineage(df.groupBy(F.col("x").alias("_v")).agg(F.count(F.lit(1)).cast("double").alias("_c")).where("_v IS NOT NULL"))
+    values = cut_lineage(df.groupBy(F.col("x").cast("double").alias("_v")).agg(F.count(F.lit(1)).cast("double").alias("_c")).where("_v IS NOT NULL"))
     low, high = values.agg(F.min("_v"), F.max("_v")).first()
     spread = (high - low or 1.0) if high is not None else 1.0
     steps = [(i, float(r * spread)) for i, r in enumerate(radii)]
-    points = cut_lineage(ordered.running_sum(values, ["_v"], {"_n": F.col("_c")}))
-
-    def ends(source: DataFrame, factor: float, keep: Sequence[str]) -> DataFrame:
-        """Both ends of an interval about each value, for each radius."""
-        parts = F.array(*[F.struct((F.col("_v") + side * factor * r).alias("_at"), F.lit(side).alias("_side"), F.lit(i).alias("_r"))
-                          for i, r in steps for side in (-1, 1)])
-        return source.select("_v", *keep, F.explode(parts).alias("_e")).select("_v", *keep, "_e.*")
-
-    def between(found: DataFrame, by: Sequence[str], names: dict[str, str]) -> DataFrame:
-        return found.groupBy(*by).agg(*[F.sum(F.col("_side") * F.col(n)).alias(out) for n, out in names.items()])
-
-    own = cut_lineage(between(_known_up_to(points, ends(values, alpha, ["_c"]), ["_n"]), ["_v", "_c", "_r"], {"_n": "_own"}))
-    wide = own.groupBy("_v", "_c").pivot("_r", [i for i, _ in steps]).agg(F.first("_own"))
-    sums = {"_n": F.col("_c")} | {f"_{p}_{i}": F.col("_c") * F.pow(F.col(str(i)), F.lit(p)) for i, _ in steps for p in (1, 2)}
-    running = cut_lineage(ordered.running_sum(wide, ["_v"], sums))
-    names = ["_n", *[f"_{p}_{i}" for i, _ in steps for p in (1, 2)]]
-    around = between(_known_up_to(running, ends(values, 1.0, []), names), ["_v", "_r"], {n: n for n in names})
-    pick = lambda p: F.element_at(F.array(*[F.col(f"_{p}_{i}") for i, _ in steps]), F.col("_r") + 1)
-    both = around.select(F.col("_v").alias("_w"), F.col("_r").alias("_q"), "_n", (pick(1) / F.col("_n")).alias("_mean"), (pick(2) / F.col("_n")).alias("_sq")).join(
-        own, (F.col("_w") == F.col("_v")) & (F.col("_q") == F.col("_r")))
-    # Counts are whole numbers: a variance below a billionth of the square is rounding.
-    var = F.col("_sq") - F.col("_mean") * F.col("_mean")
-    std = F.when((var > 1e-9 * F.col("_sq")) & (F.col("_n") >= least), F.sqrt(var))
-    best = both.groupBy(F.col("_v").alias("_w")).agg(F.max(F.greatest(F.coalesce((F.col("_mean") - F.col("_own")) / std, F.lit(0.0)), F.lit(0.0))).alias("score"))
+    placed = ordered.with_position(values, ["_v"], name="_at").withColumn("_b", F.floor(F.col("_at") / LOCI_BLOCK))
+    packed = placed.groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("_v", "_c"))).alias("_s")).select(
+        "_b", F.col("_s._v").alias("_v"), F.col("_s._c").alias("_c"))
+    many = len(steps)
+    copies = F.aggregate("_c", F.lit(0.0), lambda a, c: a + c)
+    packed = cut_lineage(packed.withColumn("_t", F.array_repeat(copies, many)))
+
+    def own(kept: tuple, found: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        v, c = block["_v"].iloc[0], block["_c"].iloc[0]
+        counts = _between(found, "_s0", len(v), many)
+        totals = [(c * counts[i] ** p).sum() for p in range(3) for i in range(many)]
+        return pd.DataFrame({"_b": [kept[0]], "_v": [v], "_c": [c], "_own": [list(counts)], "_t": [totals]})
+
+    near = _counted_within(packed, _sums_before(packed), steps, alpha, 0).groupBy("_b").cogroup(packed.groupBy("_b")).applyInPandas(
+        own, "_b long, _v array<double>, _c array<double>, _own array<array<double>>, _t array<double>")
+    near = cut_lineage(near)
+
+    def scored(kept: tuple, found: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        v, counts = block["_v"].iloc[0], np.stack(block["_own"].iloc[0])
+        n, first, second = (_between(found, f"_s{p}", len(v), many) for p in range(3))
+        mean, square = first / n, second / n
+        # Counts are whole numbers: a variance below a billionth of the square is rounding.
+        var = square - mean * mean
+        some = (var > 1e-9 * square) & (n >= least)
+        return pd.DataFrame({"_w": v, "score": np.where(some, (mean - counts) / np.sqrt(np.where(some, var, 1.0)), 0.0).clip(min=0.0).max(0)})
+
+    best = _counted_within(near, _sums_before(near), steps, 1.0, 2).groupBy("_b").cogroup(near.select("_b", "_v", "_own").groupBy("_b")).applyInPandas(
+        scored, "_w double, score double")
     return df.join(best, F.col("x") == F.col("_w"), "left").drop("_w")
 
 

@@ -16,6 +16,22 @@ def _scores(df):
     return np.array([r["score"] for r in df.orderBy("k").collect()])
 
 
+def test_loci_counts_by_blocks(spark, monkeypatch):
+    x, df = _line(spark)
+    monkeypatch.setattr(ordered, "fill_along", None)
+    monkeypatch.setattr(MV, "LOCI_BLOCK", 7, raising=False)
+    monkeypatch.setattr(MV, "LOCI_PART", 2, raising=False)
+    got, expected, gap = _scores(MV.loci(df, ["k"])), np.zeros(len(x)), x[None, :] - x[:, None]
+    for r in MV.LOCI_RADII:
+        r *= x.max() - x.min()
+        own = ((x[None, :] >= (x - r / 2)[:, None]) & (x[None, :] <= (x + r / 2)[:, None])).sum(1)
+        for i in range(len(x)):
+            near = own[(x >= x[i] - r) & (x <= x[i] + r)]
+            if len(near) >= MV.LOCI_LEAST and near.std() > 1e-4:
+                expected[i] = max(expected[i], (near.mean() - own[i]) / near.std())
+    assert gap.shape == (len(x), len(x)) and np.allclose(got, expected, atol=1e-8)
+
+
 def test_knn_by_blocks_without_window_rows(spark, monkeypatch):
     x, df = _line(spark)
     monkeypatch.setattr(ordered, "framed", None)
