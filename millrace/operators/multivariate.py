@@ -76,6 +76,49 @@ def feature_bagging(df: DataFrame, key: Sequence[str], columns: Sequence[str], k
     return df.join(factors, _key(key) == F.col("_id")).drop("_id")
 
 
+def _bound_along(points: DataFrame, column: str, perplexity: float, k: int) -> DataFrame:
+    """(_at, score) of ``sos`` for the points of one column, with ``_m`` copies: the nearest points lie within ``k`` places of the sorted ones.
+
+    A block of sorted points has 2 k more on either side: those within k places may bind to its points and need k places themselves.
+    """
+    blocks = ordered.blocked(points.select(F.col(f"`{column}`").cast("double").alias("_at"), "_m"), ["_at"], 2 * k, 2 * k, rows=SOS_BLOCK)
+    steps = np.r_[-k:0, 1:k + 1]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(ordered.POSITION)
+        x, m = pdf["_at"].to_numpy(), pdf["_m"].to_numpy(float)
+        to = np.arange(len(x))[:, None] + steps
+        out = (to < 0) | (to >= len(x))
+        to = np.clip(to, 0, len(x) - 1)
+        d = np.where(out, np.inf, (x[:, None] - x[to]) ** 2)
+        best = np.argsort(d, 1, kind="stable")[:, :k]  # of equally near points the smaller
+        # A point's own copies are partners at no distance.
+        d = np.column_stack([np.zeros(len(x)), np.take_along_axis(d, best, 1)])
+        to = np.column_stack([np.arange(len(x)), np.take_along_axis(to, best, 1)])
+        n = np.where(np.isfinite(d), m[to], 0.0)
+        n[:, 0] = m - 1
+        some = n.sum(1) > 0  # a point alone binds to none
+        d, to, n, m_ = d[some], to[some], n[some], m[some]
+        away = np.where(n > 0, d - np.where(n[:, 0] > 0, 0.0, d[:, 1])[:, None], 0.0) if len(d) else d
+        low, high = np.full(len(d), -SOS_RANGE), np.full(len(d), SOS_RANGE)
+        for _ in range(SOS_HALVINGS):
+            middle = (low + high) / 2
+            far = np.exp(middle)[:, None] * away
+            held = n * np.exp(-far)
+            z = held.sum(1)
+            wide = np.log(z) + (held * far).sum(1) / z > math.log(perplexity)
+            low, high = np.where(wide, middle, low), np.where(wide, high, middle)
+        bind = np.exp(-np.exp((low + high) / 2)[:, None] * away)
+        share = np.minimum(bind / (n * bind).sum(1)[:, None], 1 - 1e-12)
+        free = np.repeat(m_[:, None], d.shape[1], 1)
+        free[:, 0] -= 1
+        free = np.where(n > 0, free * np.log1p(-share), 0.0)
+        score = np.exp(np.bincount(to.ravel(), free.ravel(), len(x)))
+        return pd.DataFrame({"_at": x, "score": score})[pdf[ordered.HOME].to_numpy(bool)]
+
+    return blocks.groupBy(ordered.BLOCK).applyInPandas(run, "_at double, score double")
+
+
 def sos(df: DataFrame, key: Sequence[str], columns: Sequence[str], perplexity: float = SOS_PERPLEXITY, k: int = SOS_K) -> DataFrame:
     """Add ``score``: the probability that no other row binds to the row, where each row binds to one at random by nearness.
 
@@ -85,6 +128,9 @@ def sos(df: DataFrame, key: Sequence[str], columns: Sequence[str], perplexity: f
     """
     points = df.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.count(F.lit(1)).alias("_m"))
     points = cut_lineage(points.dropna(subset=list(columns)))
+    if len(columns) == 1:
+        scores = _bound_along(points, columns[0], perplexity, k)
+        return df.join(scores, F.col(f"`{columns[0]}`") == F.col("_at"), "left").drop("_at")
     weights = points.select(_key(columns).alias("_id"), "_m")
     edges = neighbours.others(points, columns, [list(columns)], k).select("_id", F.explode("_near").alias("_e"))
     edges = edges.select("_id", F.col("_e._key").alias("_to"), (F.col("_e._d") ** 2).alias("d")).join(

@@ -32,6 +32,20 @@ def test_loci_counts_by_blocks(spark, monkeypatch):
     assert gap.shape == (len(x), len(x)) and np.allclose(got, expected, atol=1e-8)
 
 
+def test_sos_of_one_column_needs_no_join_of_neighbours(spark, monkeypatch):
+    _, df = _line(spark)
+    flat = df.selectExpr("*", "0D AS zero")
+    expected = _scores(MV.sos(flat, ["k"], ["x", "zero"]))  # the same distances by the general way
+    monkeypatch.setattr(neighbours, "others", None)
+    monkeypatch.setattr(MV, "SOS_BLOCK", 40, raising=False)
+    assert np.allclose(_scores(MV.sos(df, ["k"], ["x"])), expected, rtol=1e-9)
+
+
+def test_sos_of_one_row_and_of_gaps(spark):
+    df = spark.createDataFrame([(1, 2.0), (2, None)], "k long, x double")
+    assert [r["score"] for r in MV.sos(df, ["k"], ["x"]).orderBy("k").collect()] == [1.0, None]
+
+
 def test_knn_by_blocks_without_window_rows(spark, monkeypatch):
     x, df = _line(spark)
     monkeypatch.setattr(ordered, "framed", None)
