@@ -194,10 +194,12 @@ def lmdd(df: DataFrame, key: Sequence[str], columns: Sequence[str], rounds: int
     """
     name = F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in key])
     each = df.select(*key, *columns, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("_r")).withColumn(
-        "_o", F.md5(F.concat(name, F.lit("|"), F.col("_r").cast("string"))))
-    each = cut_lineage(each)
+        "_o", F.unhex(F.md5(F.concat(name, F.lit("|"), F.col("_r").cast("string")))))
+    # Hashes are spread evenly, so their first four bytes cut the order into parts of about equal size.
+    rows = df.count()
+    part = F.floor(F.conv(F.substring(F.hex("_o"), 1, 8), 16, 10).cast("long") * F.lit(max(1, -(-rows // ordered.part_rows(df)))) / F.lit(1 << 32))
     sums = {"_n": F.lit(1)} | {f"_{p}{j}": F.pow(F.col(f"`{c}`"), F.lit(p)) for j, c in enumerate(columns) for p in (1, 2)}
-    run = ordered.running_sum(each, ["_o", *key], sums, ["_r"])
+    run = ordered.running_sum(each, ["_o", *key], sums, ["_r"], bucket=part)
     now, before = F.lit(0.0), F.lit(0.0)
     for j, c in enumerate(columns):
         n, s1, s2, x = F.col("_n"), F.col(f"_1{j}"), F.col(f"_2{j}"), F.col(f"`{c}`")

@@ -46,6 +46,15 @@ def test_sos_of_one_row_and_of_gaps(spark):
     assert [r["score"] for r in MV.sos(df, ["k"], ["x"]).orderBy("k").collect()] == [1.0, None]
 
 
+def test_lmdd_cuts_its_orders_by_hash(spark, monkeypatch):
+    _, df = _line(spark)
+    expected = _scores(MV.lmdd(df, ["k"], ["x"]))
+    monkeypatch.setattr(ordered, "with_bucket", None)
+    monkeypatch.setattr(ordered, "is_small", lambda *a: False)
+    monkeypatch.setattr(ordered, "SMALL_GROUP", 50)
+    assert np.allclose(_scores(MV.lmdd(df, ["k"], ["x"])), expected, rtol=1e-9)
+
+
 def test_knn_by_blocks_without_window_rows(spark, monkeypatch):
     x, df = _line(spark)
     monkeypatch.setattr(ordered, "framed", None)
