@@ -1,11 +1,16 @@
 """Katz scores, token files, quality rules: against plain versions."""
 
 import collections
+import glob
 import math
+import os
 import re
+import tempfile
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import katz, quality, queries, tokens
@@ -87,6 +92,66 @@ def test_katz_orders_spread_histories_and_edges(spark, order):
     assert katz.scores(df.limit(0), order=order).count() == 0
 
 
+def zipf_texts(n, words):
+    rng = np.random.default_rng(1)
+    return [" ".join(f"w{x}" for x in np.minimum(rng.zipf(1.3, words), 50_000)) for _ in range(n)]
+
+
+def test_katz_sends_a_few_bytes_for_each_gram():
+    texts, groups = zipf_texts(40, 2500), 4
+    piece = pa.record_batch([pa.array(range(40)), pa.array(texts), pa.array([i % 5 == 1 for i in range(40)])], ["key", katz.TEXT, "held"])
+    state, sent = katz.spelled(piece, groups)
+    counted = {g: katz.count_words([blob], g, groups) for g, blob in sent}
+    sums = np.sum([np.frombuffer(stats, "<i8") for _, stats in counted.values()], axis=0)
+    unigrams = katz.Unigrams(int(sums[0]), int(sums[2]), np.concatenate([[0], sums[3:]]), int(sums[1]))
+    assert unigrams.documents == 32
+    ladder = katz.Ladder(katz.Words(state, {g: r[0] for g, (r, _) in counted.items()}, groups), unigrams)
+    factor = unigrams.factor
+    for level, most in ((2, 2), (3, 4)):
+        blobs = dict(ladder.blobs())
+        assert sum(map(len, blobs.values())) < most * len(ladder.next()[0].history)
+        answers = {g: katz.count_grams([blob], level, factor) for g, blob in blobs.items()}
+        of, spread = np.zeros(katz.K + 2, np.int64), {}
+        for _, stats in answers.values():
+            seen, names, times, mass = (np.frombuffer(x, k) for x, k in zip(katz.parted(stats), ("<i8", "<i8", "<i8", "<f8")))
+            of[1:] += seen
+            for h, t, m in zip(names.reshape(-1, level - 1).tolist(), times.reshape(-1, katz.K), mass):
+                spread[tuple(h)] = spread.get(tuple(h), 0) + np.append(t, m)
+        factor = katz.discounts(of)
+        ladder.up({g: r[0] for g, (r, _) in answers.items()}, katz.Level(factor, spread))
+    assert np.all(ladder.tokens > 0) and np.all(ladder.tokens <= 1)
+
+
+@pytest.mark.parametrize("size", [2**10, 2**31])
+def test_katz_numbers_round_trip(size):
+    rng = np.random.default_rng(2)
+    high, low = rng.integers(0, size, 3000) // 300 * 300, rng.integers(0, size, 3000) % 50
+    first, at = katz.distinct(high, low)
+    pairs = sorted({*zip(high.tolist(), low.tolist())})
+    assert [*zip(high[first].tolist(), low[first].tolist())] == pairs and [pairs[i] for i in at] == [*zip(high.tolist(), low.tolist())]
+    high, low = np.array(pairs).T
+    starts = katz.changes(high)
+    assert np.array_equal(katz.unstepped(katz.unsqueezed(katz.squeezed(katz.steps(low, starts))), starts), low)
+    assert all(np.array_equal(katz.unsqueezed(katz.squeezed(x)), x) for x in (high, np.zeros(5, int), np.zeros(0, int), np.array([2**40, 0])))
+
+
+def test_katz_leaves_no_shuffle_files(spark):
+    def left():
+        top = os.environ.get("SPARK_LOCAL_DIRS") or tempfile.gettempdir()
+        return {f: os.path.getsize(f) for at in ("", "*/") for f in glob.glob(f"{top}/{at}blockmgr-*/*/shuffle_*.data")}
+
+    df = spark.createDataFrame(list(enumerate(zipf_texts(40, 2500))), "doc_id long, text string")
+    before = left()
+    scored = katz.scores(df)
+    for _ in range(10):  # they go in the background
+        if (more := sum(v for f, v in left().items() if f not in before)) < 100_000:
+            break
+        time.sleep(0.2)
+    assert more < 100_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert scored.count() == 40
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(0)
     for ids in (np.zeros(0), np.array([7]), rng.integers(0, 49408, 20000), np.where(rng.random(9000) < 0.02, 2**32 - 1, rng.integers(0, 50, 9000)), np.full(100, 5)):
