@@ -26,9 +26,11 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
@@ -41,7 +43,8 @@ PREFIXES = (1, 2, 5)
 #: Suffixes that one task orders at once (about 300 MB there, if all pass the filter), and the least number of groups.
 GROUP_SUFFIXES, LEAST_GROUPS = 2_000_000, 64
 SLOTS = 1 << 14
-WORDS_KEPT = 200_000
+#: Suffixes that are turned into sort keys, or compared, at once.
+ROWS = 1 << 14
 #: Bits of the hash that the filter compares within one of its groups.
 FILTER_BITS = 32
 FACTOR = 0xD6E8FEB86659FD93
@@ -83,12 +86,20 @@ def steps(values: np.ndarray) -> np.ndarray:
     return np.diff(values, prepend=values.dtype.type(0))
 
 
-class Vocabulary(dict):
-    """A number for each word, in order of arrival."""
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by a plain sort: ``np.unique`` hashes them, which takes many times as long."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])[:len(values)]]
 
-    def __missing__(self, word: bytes) -> int:
-        at = self[word] = len(self)
-        return at
+
+def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Numbers of the words of all texts, the number of words of each text, and the words."""
+    split = pc.ascii_split_whitespace(texts)
+    found, edges = split.flatten(), split.offsets.to_numpy()
+    words = pc.not_equal(pc.binary_length(found), 0)  # white space at an end of a text leaves an empty one
+    counts = np.diff(np.append(0, np.cumsum(words.to_numpy(zero_copy_only=False)))[edges - edges[0]])
+    coded = found.filter(words).dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), counts, coded.dictionary
 
 
 def rolled(values: np.ndarray, size: int) -> np.ndarray:
@@ -124,21 +135,14 @@ class Words:
         self.base = np.cumsum(counts) - counts
 
     @classmethod
-    def read(cls, keys: np.ndarray, texts: list[str | None], known: Vocabulary) -> Words:
+    def read(cls, keys: np.ndarray, texts: pa.Array) -> Words:
         order = np.argsort(keys, kind="stable")
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        parts = []
-        for i in order.tolist():
-            found = (texts[i] or "").encode().split()
-            parts.append(np.fromiter(map(known.__getitem__, found), np.int64, len(found)))
-        ids = np.concatenate([*parts, np.zeros(0, np.int64)])
-        often = np.bincount(ids, minlength=len(known))
-        ranks = np.argsort(-often, kind="stable")[:np.count_nonzero(often)]
-        code = np.zeros(len(known), np.int64)
+        ids, counts, names = numbered(pc.fill_null(texts, "").take(pa.array(order)))
+        ranks = np.argsort(-np.bincount(ids, minlength=len(names)), kind="stable")
+        code = np.zeros(len(names), np.int64)
         code[ranks] = np.arange(len(ranks))
-        names = list(known)
-        return cls(keys[order], np.array([len(p) for p in parts], np.int64), [names[i] for i in ranks.tolist()], code[ids])
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(names)], names.take(pa.array(ranks))), pa.scalar("\n", names.type))[0]
+        return cls(keys[order], counts, joined.as_buffer().to_pybytes().split(), code[ids])
 
     def pack(self) -> bytes:
         names = zstandard.ZstdCompressor(level=3).compress(b"\n".join(self.vocabulary))
@@ -151,7 +155,7 @@ class Words:
         return cls(np.cumsum(keys), counts, zstandard.ZstdDecompressor().decompress(names).split(), codes)
 
     def hashes(self) -> np.ndarray:
-        table = np.fromiter((xxhash.xxh64_intdigest(w, 1) for w in self.vocabulary), np.uint64, len(self.vocabulary))
+        table = np.fromiter(map(xxhash.xxh64_intdigest, self.vocabulary, repeat(1)), np.uint64, len(self.vocabulary))
         return table[self.codes]
 
     def starts(self, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -259,52 +263,64 @@ def stretches(at: np.ndarray, doc: np.ndarray, window: int) -> tuple[np.ndarray,
 def suffix_blob(words: Words, at: np.ndarray, doc: np.ndarray, window: int) -> bytes:
     """Suffixes by place, with the ids of their documents and their words, each word once."""
     held = words.codes[stretches(at, doc, window)[0]]
-    used = np.flatnonzero(np.bincount(held, minlength=len(words.vocabulary)))
-    code = np.zeros(len(words.vocabulary), np.int64)
-    code[used] = np.arange(len(used))
+    used = distinct(held)
     names = zstandard.ZstdCompressor(level=3).compress(b"\n".join([words.vocabulary[i] for i in used.tolist()]))
-    docs, of = np.unique(doc, return_inverse=True)
-    return framed(names, packed(steps(at), steps(of), steps(words.keys[docs]), code[held]))
+    first = np.append(True, doc[1:] != doc[:-1])
+    return framed(names, packed(steps(at), steps(np.cumsum(first) - 1), steps(words.keys[doc[first]]), np.searchsorted(used, held)))
 
 
 def tree_order(paths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in order of their words, and how many leading words each shares with the one before it."""
     bits = max(1, (size - 1).bit_length())
-    each = max(1, 63 // bits)
-    sorted_by = []
-    for at in range(0, paths.shape[1], each):
-        part = np.zeros(len(paths), np.int64)
-        for column in paths[:, at:at + each].T:
-            part = part << bits | column
-        sorted_by.append(part)
-    order = np.lexsort(sorted_by[::-1])
-    depth, open_ = np.zeros(len(paths), np.int64), np.ones(max(0, len(paths) - 1), bool)
-    for column in paths.T:
-        ordered = column[order]
-        open_ &= ordered[1:] == ordered[:-1]
-        depth[1:] += open_
+    each, (n, width) = max(1, 63 // bits), paths.shape
+    parts = np.zeros((-(-width // each), n), np.int64)
+    for a in range(0, n, ROWS):
+        for k, column in enumerate(paths[a:a + ROWS].T):
+            part = parts[k // each, a:a + ROWS]
+            part[:] = part << bits | column
+    order = np.argsort(parts[0])
+    alike = np.append(False, np.diff(parts[0][order]) == 0)[:n]  # as the one before, as far as they are ordered
+    for part in parts[1:]:
+        at = np.flatnonzero(alike | np.append(alike[1:], False)[:n])
+        run, value = np.cumsum(~alike[at]), part[order[at]]
+        differ = alike[at] & np.append(False, value[1:] != value[:-1])[:len(at)]
+        mixed = np.zeros(len(at) + 1, bool)
+        mixed[run[differ]] = True
+        again = np.flatnonzero(mixed[run])  # other runs are in order as they are
+        by = again[np.lexsort((value[again], run[again]))]
+        order[at[again]], value[again] = order[at[by]], value[by]
+        alike[at] &= np.append(False, value[1:] == value[:-1])[:len(at)]
+    depth = np.zeros(n, np.int64)
+    for a in range(1, n, ROWS):
+        rows = paths[order[a - 1:a + ROWS]]
+        same = rows[1:] == rows[:-1]
+        depth[a:a + ROWS] = np.where(same.all(axis=1), width, same.argmin(axis=1))
     return order, depth
 
 
 def late_suffixes(blobs: list[bytes], places: np.ndarray, window: int) -> list[np.ndarray]:
     """Places of the suffixes of each blob that are not the earliest below their node of depth ``window``;
     ``places`` orders blobs alike in id."""
-    known, starts, keys, paths = Vocabulary(), [], [], []
-    for blob in blobs:
-        names, rest = unframed(blob, 2)
-        at, of, ids, codes = unpacked(rest, 4)
-        found = zstandard.ZstdDecompressor().decompress(names).split()
-        table = np.fromiter(map(known.__getitem__, found), np.int32, len(found))
+    names, numbers = zip(*[unframed(b, 2) for b in blobs])
+    names = [zstandard.ZstdDecompressor().decompress(x) for x in names]
+    found, counts, known = numbered(pa.array(names, pa.large_binary()).view(pa.large_string()))
+    starts, keys, paths = [], [], []
+    for blob, table in zip(numbers, np.split(found.astype(np.int32), np.cumsum(counts)[:-1])):
+        at, of, ids, codes = unpacked(blob, 4)
         at, of = np.cumsum(at), np.cumsum(of)
         starts.append(at)
         keys.append(np.cumsum(ids)[of])
-        paths.append(table[codes][stretches(at, of, window)[1][:, None] + np.arange(window)])
+        paths.append(np.lib.stride_tricks.sliding_window_view(table[codes], window)[stretches(at, of, window)[1]])
     sizes = [len(s) for s in starts]
     order, depth = tree_order(np.concatenate(paths), len(known))
-    node = np.cumsum(depth < window)
-    by = np.lexsort((np.concatenate(starts)[order], np.repeat(places, sizes)[order], np.concatenate(keys)[order], node))
+    top = depth < window
+    first, node = np.flatnonzero(top), np.cumsum(top) - 1
+    early = np.ones(len(order), bool)  # the least (id, place of the blob, place) below each node
+    for values in (np.concatenate(keys), np.repeat(places, sizes), np.concatenate(starts)):
+        values = np.where(early, values[order], np.iinfo(np.int64).max)
+        early &= values == np.minimum.reduceat(values, first)[node]
     late = np.zeros(len(order), bool)
-    late[order[by]] = np.diff(node[by], prepend=0) == 0
+    late[order] = ~early
     return [s[m] for s, m in zip(starts, np.split(late, np.cumsum(sizes)[:-1]))]
 
 
@@ -322,10 +338,10 @@ def deduplicated(
     def opened(batches):
         from pyspark import TaskContext
 
-        chunk, known = TaskContext.get().partitionId() << 32, Vocabulary()
+        chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
             for piece in chunks([batch], TEXT):
-                yield chunk, Words.read(piece["key"].fill_null(NULL_ID).to_numpy(zero_copy_only=False), piece[TEXT].to_pylist(), known)
+                yield chunk, Words.read(piece["key"].fill_null(NULL_ID).to_numpy(zero_copy_only=False), piece[TEXT])
                 chunk += 1
 
     def counted(batches):
@@ -345,18 +361,18 @@ def deduplicated(
     table_of = lambda rows, kind=pa.table: kind(
         [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[], [], []], [pa.int64(), pa.int64(), pa.binary()])], names)
 
-    def named(words: Words, at: np.ndarray) -> np.ndarray:
-        deep = rolled(words.hashes(), window)
+    def named(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+        deep = rolled(hashes, window)
         return received(plan).names(_mixed(deep[at]), filter_bits) if len(at) else np.zeros(0, np.uint64)
 
     def sent(batches):
         for chunk, words in opened(batches):
-            distinct = np.unique(named(words, words.starts(window)[0]))
-            groups = (distinct >> np.uint64(32)).astype(np.int64)
+            windows = distinct(named(words.hashes(), words.starts(window)[0]))
+            groups = (windows >> np.uint64(32)).astype(np.int64)
             edges = np.flatnonzero(np.diff(groups, prepend=-1))
             rows = [(-1 - chunk, chunk, words.pack())]
             for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(groups)]):
-                rows.append((int(groups[a]), chunk, packed(steps((distinct[a:b] & np.uint64(0xFFFFFFFF)).astype(np.int64)))))
+                rows.append((int(groups[a]), chunk, packed(steps((windows[a:b] & np.uint64(0xFFFFFFFF)).astype(np.int64)))))
             yield table_of(rows, pa.RecordBatch.from_arrays)
 
     def filtered(table: pa.Table) -> pa.Table:
@@ -371,9 +387,14 @@ def deduplicated(
         whole = min(blobs)
         words = Words.unpack(blobs.pop(whole))
         at, doc = words.starts(window)
-        distinct, first, same = np.unique(named(words, at), return_index=True, return_inverse=True)
-        held = np.zeros(len(distinct), bool)
-        edges = (distinct >> np.uint64(32)).astype(np.int64)
+        hashes = words.hashes()
+        windows = named(hashes, at)
+        by = np.argsort(windows)
+        edge = np.flatnonzero(np.append(True, np.diff(windows[by]) != 0)[:len(at)])
+        first, same = np.minimum.reduceat(by, edge) if len(at) else by, np.zeros(len(at), np.int64)
+        same[by] = np.repeat(np.arange(len(edge)), np.diff(edge, append=len(at)))
+        held = np.zeros(len(edge), bool)
+        edges = (windows[first] >> np.uint64(32)).astype(np.int64)
         for bucket, marks in blobs.items():
             held[np.searchsorted(edges, bucket) + np.cumsum(unpacked(marks, 1)[0])] = True
         again = np.flatnonzero(first[same] != np.arange(len(at)))
@@ -399,7 +420,7 @@ def deduplicated(
         rows = [(whole, chunk, framed(done_blob, packed(steps(local)), rest.pack()))]
         sends, of = (at + moved[doc])[out], (np.cumsum(touched) - 1)[doc[out]]
         if len(sends):
-            groups = received(plan).groups(prefixes.slots(rest.hashes(), sends))
+            groups = received(plan).groups(prefixes.slots(hashes[np.repeat(touched, words.counts)], sends))
             by = np.argsort(groups, kind="stable")
             for part in np.split(by, np.flatnonzero(np.diff(groups[by])) + 1):
                 rows.append((int(groups[part[0]]), chunk, suffix_blob(rest, sends[part], of[part], window)))
