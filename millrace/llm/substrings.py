@@ -35,7 +35,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.llm.common import NULL_ID, ROW, TEXT, bounded_batches, carried, chunks, received, shared_value
+from millrace.llm.common import NULL_ID, ROW, TEXT, bounded_batches, carried, chunks, listed, numbered, received, shared_value
 
 WINDOW = 20
 #: Lengths of the prefixes that split suffixes into groups; the window's length comes last.
@@ -92,16 +92,6 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return values[np.append(True, values[1:] != values[:-1])[:len(values)]]
 
 
-def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Numbers of the words of all texts, the number of words of each text, and the words."""
-    split = pc.ascii_split_whitespace(texts)
-    found, edges = split.flatten(), split.offsets.to_numpy()
-    words = pc.not_equal(pc.binary_length(found), 0)  # white space at an end of a text leaves an empty one
-    counts = np.diff(np.append(0, np.cumsum(words.to_numpy(zero_copy_only=False)))[edges - edges[0]])
-    coded = found.filter(words).dictionary_encode()
-    return coded.indices.to_numpy().astype(np.int64), counts, coded.dictionary
-
-
 def rolled(values: np.ndarray, size: int) -> np.ndarray:
     """Hash of ``size`` values from each place on, by doubling."""
     if size == 1:
@@ -141,8 +131,7 @@ class Words:
         ranks = np.argsort(-np.bincount(ids, minlength=len(names)), kind="stable")
         code = np.zeros(len(names), np.int64)
         code[ranks] = np.arange(len(ranks))
-        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(names)], names.take(pa.array(ranks))), pa.scalar("\n", names.type))[0]
-        return cls(keys[order], counts, joined.as_buffer().to_pybytes().split(), code[ids])
+        return cls(keys[order], counts, listed(names.take(pa.array(ranks))), code[ids])
 
     def pack(self) -> bytes:
         names = zstandard.ZstdCompressor(level=3).compress(b"\n".join(self.vocabulary))

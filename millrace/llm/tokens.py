@@ -10,7 +10,8 @@ place and their high part in the exception list. All numbers are little-endian.
 reads will do, a lost task only rewrites its own part, and readers start at any segment, or at any block by the index.
 
 Ids are those of the ``tokenizers`` library. Its vocabulary splits at white space first and its normaliser does not look across
-it, so a distinct word is encoded once while a Python worker keeps its ids.
+it, so a distinct word is encoded once while a Python worker keeps its ids. Where the library also parts a word after each letter
+before a mark or digit, words are cut there beforehand: "word," and "word" share their ids.
 
 Null texts count as empty. Null ids come first; rows alike in id are ordered by a hash of the text. An empty table gives empty files.
 """
@@ -18,6 +19,7 @@ Null texts count as empty. Null ids come first; rows alike in id are ordered by
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from itertools import chain
@@ -26,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm.common import ROW, TEXT, bounded_batches, carried, chunks
+from millrace.llm.common import ROW, TEXT, bounded_batches, carried, chunks, listed, numbered
 from millrace.session import scratch_path
 
 MAGIC = b"PFR1"
@@ -34,9 +36,13 @@ BLOCK, PERCENTILE = 8192, 0.95
 SEGMENT_IDS = 1 << 19
 END_ID = 1
 #: Distinct words whose ids a Python worker keeps (about 175 bytes each).
-WORDS_KEPT = 1_500_000
-#: Words that go to the library as one line.
-LINE = 500
+WORDS_KEPT = 400_000
+#: Words that go to the library as one line, as longer lines take it longer a word, and lines that go there at once.
+LINE, LINES = 50, 200
+#: A pattern by which the library may find the parts of words. None of its parts goes on from a letter to anything but a letter.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Letters of ASCII and Latin-1 in UTF-8. They stay as they are in NFC, and are letters in either case.
+LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 #: Layouts of the heads of a payload and of a block.
 HEAD, BLOCK_HEAD = "<4sQI", "<IIIB"
 
@@ -142,10 +148,24 @@ class Encoder:
         special = [(i, t.content) for i, t in self.library.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip)]
         self.mark = special[0] if special and not self.library.encode_special_tokens else None
         self.apart = [t.content.lower().encode() for t in self.library.get_added_tokens_decoder().values()]
-        steps = json.loads(self.library.to_str())["normalizer"] or {}
-        steps = steps.get("normalizers", [steps])
+        setup = json.loads(self.library.to_str())
+        steps, splits = setup["normalizer"] or {}, setup["pre_tokenizer"] or {}
+        steps, splits = steps.get("normalizers", [steps]), splits.get("pretokenizers", [splits])
         self.folds = any(x.get("type") == "Lowercase" for x in steps) and all(
             x.get("type") in ("NFC", "Lowercase") or x.get("pattern") == {"Regex": r"\s+"} for x in steps)
+        found = {"type": "Split", "pattern": {"Regex": PARTS}, "behavior": "Removed", "invert": True}
+        self.parts = self.folds and splits[:1] == [found] and all(
+            (x.get("type"), x.get("add_prefix_space"), x.get("use_regex")) == ("ByteLevel", False, False) for x in splits[1:])
+        suffix, vocabulary = setup["model"].get("end_of_word_suffix"), setup["model"]["vocab"]
+        self.closes = None
+        if self.parts and suffix and setup["model"]["type"] == "BPE" and all(LETTERS.sub(b"", a).strip() for a in self.apart):
+            # Which ids end a part. Its suffix cannot come from a word of letters, so they end one and only one.
+            self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.closes[[i for word, i in vocabulary.items() if word.endswith(suffix)]] = not suffix.isalpha()
+        self.is_letter, self.is_mark, self.is_second = np.zeros((3, 256), bool)
+        self.is_letter[[b for b in range(0x80) if LETTERS.fullmatch(bytes([b]))]] = True
+        self.is_second[[b for b in range(0x80, 0x100) if LETTERS.fullmatch(bytes([0xC3, b]))]] = True
+        self.is_mark[0x21:0x7F] = ~self.is_letter[0x21:0x7F]
         self.reset()
 
     def reset(self):
@@ -153,53 +173,82 @@ class Encoder:
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def folded(self, text: bytes) -> bytes:
-        """A text with ASCII letters in lower case, if the library makes them so anyway: one word in place of two.
+    def folded(self, texts: list[bytes]) -> tuple[bytes, np.ndarray]:
+        """All texts, one after the other, and their edges. ASCII letters are in lower case, if the library makes them so anyway: one word
+        in place of two. Letters have a gap before marks and digits, if the library parts words there.
 
         Left as they are: texts with the text of an added token, whose case counts, and those with combining marks (U+0300 to U+037F),
         which may be composed with letters of one case only.
         """
-        if not self.folds or b"\xcc" in text or b"\xcd" in text:
-            return text
-        low = text.lower()
-        return text if any(a in low for a in self.apart) else low
+        data, edges = b"".join(texts), np.cumsum([0, *map(len, texts)])
+        if not self.folds:
+            return data, edges
+        low = data.lower()
+        if b"\xcc" in data or b"\xcd" in data or any(a in low for a in self.apart):
+            if len(texts) == 1:
+                return data, edges
+            each = [self.folded([t])[0] for t in texts]
+            return b"".join(each), np.cumsum([0, *map(len, each)])
+        if not self.parts:
+            return low, edges
+        code = np.frombuffer(low, np.uint8)
+        marks = np.flatnonzero(self.is_mark[code[1:]]) + 1
+        before, first = code[marks - 1], code[np.maximum(marks - 2, 0)] == 0xC3
+        cuts = marks[self.is_letter[before] | first & self.is_second[before]]
+        return np.insert(code, cuts, ord(" ")).tobytes(), edges + np.searchsorted(cuts, edges)
+
+    def of_lines(self, lines: list[str]) -> np.ndarray:
+        """Ids of these lines, one after the other."""
+        found = (self.library.encode_batch_fast(lines[i:i + LINES], add_special_tokens=False) for i in range(0, len(lines), LINES))
+        return np.concatenate([np.zeros(0, np.uint32), *[np.array(e.ids, np.uint32) for batch in found for e in batch]])
 
     def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of these words and the number of ids of each. Words travel in lines with a special token between them, at which the
         library parts a text before all else; that saves an object per word."""
         if self.mark is None or any(self.mark[1] in w for w in words):
-            ids = [e.ids for e in self.library.encode_batch(words, add_special_tokens=False)]
+            ids = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             return np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum())), sizes
-        lines = [self.mark[1].join(["", *words[i:i + LINE]]) for i in range(0, len(words), LINE)]
-        flat = np.array(list(chain.from_iterable(e.ids for e in self.library.encode_batch(lines, add_special_tokens=False))), np.uint32)
+        flat = self.of_lines([self.mark[1].join(["", *words[i:i + LINE]]) for i in range(0, len(words), LINE)])
         marks = np.flatnonzero(flat == self.mark[0])
         sizes = np.diff(marks, append=len(flat)) - 1
         return np.delete(flat, marks), sizes
 
+    def encoded_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of ``LETTERS`` only, each of which is one part: they travel with a space between them, which gives no ids."""
+        flat = self.of_lines([" ".join(words[i:i + LINE]) for i in range(0, len(words), LINE)])
+        ends = np.flatnonzero(self.closes[flat])
+        if len(ends) != len(words) or ends[-1] != len(flat) - 1:  # letters that the vocabulary lacks
+            return self.encoded(words)
+        return flat, np.diff(ends, prepend=-1)
+
     def learn(self):
         """Encode the words that were met since the last call."""
         new, self.place.new = self.place.new, []
-        if not new:
-            return
-        flat, sizes = self.encoded([w.decode() for w in new])
-        n, need = len(self.place), self.used + len(flat)
-        while len(self.flat) < need:
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        n = len(self.place)
         while len(self.start) < n:
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        self.flat[self.used:need] = flat
-        self.size[n - len(new):n] = sizes
-        self.start[n - len(new):n] = self.used + np.cumsum(sizes) - sizes
-        self.used = need
+        plain = np.array([self.closes is not None and (w.isalpha() or bool(LETTERS.fullmatch(w))) for w in new], bool)  # isalpha: ASCII
+        for mine, encode in ((plain, self.encoded_letters), (~plain, self.encoded)):
+            places = np.flatnonzero(mine)
+            if not len(places):
+                continue
+            flat, sizes = encode([new[i].decode() for i in places.tolist()])
+            need = self.used + len(flat)
+            while len(self.flat) < need:
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.flat[self.used:need] = flat
+            self.size[n - len(new) + places] = sizes
+            self.start[n - len(new) + places] = self.used + np.cumsum(sizes) - sizes
+            self.used = need
 
     def texts(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by ``end``, and the length of each."""
         if len(self.place) > WORDS_KEPT:
             self.reset()
-        split = [self.folded(t.encode()).split() for t in texts]
-        counts = np.array([len(s) for s in split], np.int64)
-        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        data, edges = self.folded([t.encode() for t in texts])
+        found, counts, names = numbered(pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(data)]))
+        at = np.fromiter(map(self.place.__getitem__, listed(names)), np.int64, len(names))[found]
         self.learn()
         size = self.size[at]
         ends = np.concatenate([[0], np.cumsum(size)])
