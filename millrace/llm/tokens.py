@@ -36,7 +36,7 @@ BLOCK, PERCENTILE = 8192, 0.95
 SEGMENT_IDS = 1 << 19
 END_ID = 1
 #: Distinct words whose ids a Python worker keeps (about 175 bytes each).
-WORDS_KEPT = 400_000
+WORDS_KEPT = 250_000
 #: Words that go to the library as one line, as longer lines take it longer a word, and lines that go there at once.
 LINE, LINES = 50, 200
 #: A pattern by which the library may find the parts of words. None of its parts goes on from a letter to anything but a letter.
@@ -222,15 +222,26 @@ class Encoder:
             return self.encoded(words)
         return flat, np.diff(ends, prepend=-1)
 
+    def encoded_plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of a to z only, from the library's model: its steps before leave such words as they are, and whole."""
+        tokenize, flat, sizes = self.library.model.tokenize, [], []
+        for word in words:
+            found = [t.id for t in tokenize(word)]
+            flat += found
+            sizes.append(len(found))
+        return np.array(flat, np.uint32), np.array(sizes, np.int64)
+
     def learn(self):
         """Encode the words that were met since the last call."""
         new, self.place.new = self.place.new, []
         n = len(self.place)
         while len(self.start) < n:
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        plain = np.array([self.closes is not None and (w.isalpha() or bool(LETTERS.fullmatch(w))) for w in new], bool)  # isalpha: ASCII
-        for mine, encode in ((plain, self.encoded_letters), (~plain, self.encoded)):
-            places = np.flatnonzero(mine)
+        kinds = np.zeros(len(new), np.int8)
+        if self.closes is not None:  # isalpha and islower of bytes look at ASCII
+            kinds[:] = [2 if w.isalpha() and w.islower() else 1 if LETTERS.fullmatch(w) else 0 for w in new]
+        for kind, encode in enumerate((self.encoded, self.encoded_letters, self.encoded_plain)):
+            places = np.flatnonzero(kinds == kind)
             if not len(places):
                 continue
             flat, sizes = encode([new[i].decode() for i in places.tolist()])

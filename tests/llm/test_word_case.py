@@ -49,3 +49,12 @@ def test_letters_that_the_library_treats_otherwise():
     encoder.closes[:] = False  # no word is seen to end: the plain way
     flat, sizes = encoder.encoded_letters(words)
     assert flat.tolist() == want.tolist() and sizes.tolist() == lengths.tolist()
+
+
+def test_plain_words_from_the_model():
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(3)
+    encoder, library = tokens.Encoder(path), Tokenizer.from_file(path)
+    words = [*"abcdefghijklmnopqrstuvwxyz", "the", "z" * 300, *["".join(rng.choice("etaoinshrdqxz") for _ in range(rng.randint(1, 14))) for _ in range(3000)]]
+    flat, sizes = encoder.encoded_plain(words)
+    want = [e.ids for e in library.encode_batch(words, add_special_tokens=False)]
+    assert flat.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
